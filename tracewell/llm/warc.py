@@ -5,7 +5,8 @@ with its file, offset, length, URL and payload digest.  ``read_records`` takes t
 records that are wanted, puts them in file and offset order, and reads neighbours that lie close together
 with one request.  Files are reached by ``pyarrow.fs`` from their URI, so the archive folder may be any
 store that it knows; a repeated task attempt writes a file of its own and only the index tells which
-files count.
+files count.  Each record is a gzip member of its own, as usual for such archives, so that a byte range can be
+read alone.
 
 Of records with equal payloads the one with the largest id holds the payload; the others are revisits
 that refer to it.  Defined results: null payload and null URL count as empty; rows with the id of the
@@ -16,7 +17,9 @@ index without rows.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -30,9 +33,9 @@ from tracewell.llm._tables import new_path, written
 
 INDEX = "record_id long, url string, record_type string, refers_to long, payload_digest string, file string, offset long, length long"
 RECORDS = "record_id long, url string, record_type string, refers_to long, payload_digest string, payload binary"
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 GAP_BYTES = 64 << 10
-RUN_BYTES = 8 << 20
+RUN_BYTES = 4 << 20
 _HEAD = re.compile(rb"([^:\r\n]+): ?([^\r\n]*)\r\n")
 
 
@@ -91,17 +94,17 @@ def write_archives(pages: DataFrame, record_id: str, url: str, payload: str, fol
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         fs, root = pafs.FileSystem.from_uri(folder)
-        path = f"{root}/part-{task.partitionId():06d}-{task.stageId()}-{task.taskAttemptId()}.warc"
+        path = f"{root}/part-{task.partitionId():06d}-{task.stageId()}-{task.taskAttemptId()}.warc.gz"
         stream, offset = None, 0
         for batch in batches:
             index = []
             for r in batch.to_pylist():
                 if stream is None:
                     fs.create_dir(root, recursive=True)
-                    stream = fs.open_output_stream(path)
+                    stream = fs.open_output_stream(path, compression=None)
                 digest = payload_digest(r["payload"])
                 refers_to = r["holder"] if r["revisit"] else None
-                record = render(r["record_id"], r["url"], r["payload"], refers_to, r["revisit"], digest)
+                record = gzip.compress(render(r["record_id"], r["url"], r["payload"], refers_to, r["revisit"], digest), 6, mtime=0)
                 stream.write(record)
                 index.append((r["record_id"], _clean(r["url"]), "revisit" if r["revisit"] else "response", refers_to, digest, path, offset, len(record)))
                 offset += len(record)
@@ -117,20 +120,25 @@ def write_archives(pages: DataFrame, record_id: str, url: str, payload: str, fol
 def read_records(index: DataFrame) -> DataFrame:
     """The records of the given index rows, read from their archives."""
     wanted = index.select("file", "offset", "length").withColumn("block", F.floor(F.col("offset") / BLOCK_BYTES))
-    placed = wanted.repartition("file", "block").sortWithinPartitions("file", "offset")
+    tasks = math.ceil((index.agg(F.sum("length")).first()[0] or 0) / BLOCK_BYTES)
+    tasks = max(tasks, index.sparkSession.sparkContext.defaultParallelism)  # index rows are small, what they name isn't
+    placed = wanted.repartition(tasks, "file", "block").sortWithinPartitions("file", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, found = list(zip(batch["file"].to_pylist(), batch["offset"].to_pylist(), batch["length"].to_pylist(), strict=True)), []
+            rows = list(zip(*(batch[n].to_pylist() for n in ("file", "offset", "length")), strict=True))
+            found, held = [], 0
             for uri, ranges in _runs(rows):
                 fs, path = pafs.FileSystem.from_uri(uri)
                 start, stop = ranges[0][0], max(o + n for o, n in ranges)
                 with fs.open_input_file(path) as f:
                     data = f.read_at(stop - start, start)
-                found += [tuple(parse(data[o - start : o - start + n]).values()) for o, n in ranges]
-                if sum(len(r[-1]) for r in found) > RUN_BYTES:
+                for o, n in ranges:
+                    found.append(tuple(parse(gzip.decompress(data[o - start : o - start + n])).values()))
+                    held += len(found[-1][-1])
+                if held > RUN_BYTES:
                     yield _batch(found, RECORDS)
-                    found = []
+                    found, held = [], 0
             yield _batch(found, RECORDS)
 
     return placed.mapInArrow(read, RECORDS)
