@@ -28,6 +28,8 @@ from tracewell.llm._tables import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 CELLS = 4096
+#: Up to so many sources the table of their limits is broadcast; beyond, Spark joins it as it sees fit.
+BROADCAST_SOURCES = 10_000
 
 
 def word_count(text: str) -> F.Column:
@@ -84,6 +86,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), quality: DataFram
     last = last.select(placed["source"].alias("of"), F.col("cell").alias("last_cell"), "before")
     limits = plan.join(last, plan["source"].eqNullSafe(last["of"]), "left").drop("of")
 
+    if len(totals) <= BROADCAST_SOURCES:
+        limits = F.broadcast(limits)
     joined = rows.join(limits.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     inner = joined.where("cell = last_cell")
     order = Window.partitionBy("source").orderBy("key", "doc_id", "text_crc").rowsBetween(Window.unboundedPreceding, -1)
