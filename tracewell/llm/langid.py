@@ -10,7 +10,8 @@ a column for each language.  A text gets the language with the lowest cross-entr
 A tenth of the training texts, chosen by a hash of the text, is kept from the counts and calibrates the
 rest: the temperature that turns cross-entropies into a probability (the score), and for each language the
 cross-entropy above which a text of ``MIN_CHARS`` or more characters is rejected as none of the languages.
-The limit lies as far again above the median as the 99.5th percentile does, so that ordinary texts stay.
+The limit lies three quarters of the way from the median of the language's own texts to the median of the
+same texts with the letters of each word in sorted order, so that mixed and unusual texts stay.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 and rejected; training rows
 without language or letter teach nothing; without any training row every text is ``und``; equal
@@ -125,10 +126,11 @@ class Models:
         total = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(-np.log(p), axis=0, dtype=np.float64)])
         return total[ends] - total[ends - sizes], sizes
 
-    def cross_entropies(self, texts: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def cross_entropies(self, texts: pa.ChunkedArray | pa.Array, scrambled: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Nats per predicted character for each text and language, and the number of characters."""
         bounds, codes, vocabulary = letter_words(texts)
-        costs, sizes = self.word_costs(vocabulary.to_pylist())
+        words = vocabulary.to_pylist()
+        costs, sizes = self.word_costs(["".join(sorted(w)) for w in words] if scrambled else words)
         total = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(costs[codes], axis=0)])[bounds]
         n = np.diff(np.concatenate([[0], np.cumsum(sizes[codes])])[bounds])
         return np.diff(total, axis=0) / np.maximum(n, 1)[:, None], n
@@ -202,16 +204,17 @@ def train_models(train: DataFrame, text: str = "text", lang: str = "lang", max_n
         for batch in batches:
             for part in _words.slices(batch, "text", SLICE):
                 h, n = found.cross_entropies(part["text"])
-                truth = np.array([found.langs.index(x) if x in found.limits or x in found.langs else -1 for x in part["lang"].to_pylist()], np.int64)
+                truth = np.array([found.langs.index(x) if x in found.langs else -1 for x in part["lang"].to_pylist()], np.int64)
                 use = (n > 0) & (truth >= 0)
+                none = found.cross_entropies(part["text"], scrambled=True)[0].min(axis=1)[use]
                 h, n, truth = h[use], n[use], truth[use]
                 losses = [-np.log(np.maximum(probabilities(h, n, t)[np.arange(len(n)), truth], 1e-9)) if len(n) else np.empty(0) for t in TEMPERATURES]
-                yield pa.RecordBatch.from_arrays([pa.array([found.langs[i] for i in truth], pa.string()), pa.array(h[np.arange(len(n)), truth]), pa.array(n), *map(pa.array, losses)], names=["lang", "h", "n", *columns])
+                yield pa.RecordBatch.from_arrays([pa.array([found.langs[i] for i in truth], pa.string()), pa.array(h[np.arange(len(n)), truth]), pa.array(none), pa.array(n), *map(pa.array, losses)], names=["lang", "h", "none", "n", *columns])
 
-    judged = rows.where("held").select("text", "lang").mapInArrow(judge, "lang string, h double, n long, " + ", ".join(f"{c} double" for c in columns))
-    long_ = F.when(F.col("n") >= MIN_CHARS, F.col("h"))
-    summary = judged.groupBy("lang").agg(F.percentile_approx(long_, [0.5, 0.995], 10000).alias("q"), *(F.sum(c).alias(c) for c in columns)).collect()  # a row for each language
-    models.limits = {r.lang: r.q[0] + 2 * (r.q[1] - r.q[0]) + 0.1 for r in summary if r.q}
+    judged = rows.where("held").select("text", "lang").mapInArrow(judge, "lang string, h double, none double, n long, " + ", ".join(f"{c} double" for c in columns))
+    median = lambda c: F.percentile_approx(F.when(F.col("n") >= MIN_CHARS, F.col(c)), 0.5, 10000)
+    summary = judged.groupBy("lang").agg(median("h").alias("own"), median("none").alias("none"), *(F.sum(c).alias(c) for c in columns)).collect()  # a row for each language
+    models.limits = {r.lang: r.own + 0.75 * max(r.none - r.own, 0.0) for r in summary if r.own is not None}
     if summary:
         models.temperature = TEMPERATURES[int(np.argmin([sum(r[c] for r in summary) for c in columns]))]
     return models
