@@ -229,7 +229,8 @@ def pack(pieces: DataFrame, length: int = LENGTH, units: int = UNITS) -> DataFra
         counts[u - 1] += n
     places = Places(cutting_stock(counts))
     offsets = spark.createDataFrame(firsts, "__units int, __block int, __first long")
-    order = Window.partitionBy("__units", "__block").orderBy("doc_id", "start")
+    place_order = [n for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens") if n in names]
+    order = Window.partitionBy("__units", "__block").orderBy(*place_order)
     ranked = classed.join(offsets, ["__units", "__block"]).withColumn("__rank", F.row_number().over(order) - 1 + F.col("__first"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +240,7 @@ def pack(pieces: DataFrame, length: int = LENGTH, units: int = UNITS) -> DataFra
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long"
     placed = ranked.select(*names, "__units", "__rank").mapInArrow(place, schema)
-    inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), *place_order).rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long"))
 
 
