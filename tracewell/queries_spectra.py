@@ -1,0 +1,202 @@
+"""Queries on grids, spectra, features and stressed traces."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tracewell import sql
+from tracewell.functions import band_windows, eq3_grid, l2_norm, l2_normalize, linear_grid, to_bin, to_db
+from tracewell.operators.spectral import band_features, dft_bins, sample_bins
+from tracewell.operators.traces import add_noise, clip_samples, die_gain, drift_resample, noise_variance, signal_power, spectrum_slice
+from tracewell.plans import fixture
+from tracewell.plans.sweep import condition_grid
+
+QUERIES, ORACLE_SQL = {}, {}
+
+
+#: Queries that are named after the operator they apply.
+NAMED = {"band_windows_of_parts": "band_windows", "dft_bins_of_traces": "dft_bins", "spectrum_range": "spectrum_slice", "unit_vectors": "l2_normalize", "clipped_samples": "clip_samples", "noisy_samples": "add_noise", "gained_samples": "die_gain", "drifted_samples": "drift_resample", "conditions_of_chips": "condition_grid"}
+
+
+def query(sql_text: str | None = None):
+    def register(f):
+        name = NAMED.get(f.__name__, f.__name__)
+        QUERIES[name] = f
+        if sql_text is not None:
+            ORACLE_SQL[name] = sql_text
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r6(c) -> F.Column:
+    """Rounded to 6 places; a negative zero becomes zero."""
+    return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 129 + 1).cast("int").alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT k, round(f, 2) + 0e0 AS freq_hz, CAST(round(f / 1250000000e0 * 499999e0) AS INTEGER) AS bin, n FROM (
+  SELECT CAST(l_partkey % 129 + 1 AS INTEGER) AS k, count(*) AS n,
+    CASE WHEN k <= 65 THEN (k - 1) * 156250e0 ELSE 15000000e0 + (k - 66) * (625000000e0 / 63e0) END AS f
+  FROM lineitem GROUP BY CAST(l_partkey % 129 + 1 AS INTEGER))
+""")
+def grid_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = linear_grid(spark)
+    return _points(spark, sf_dir).join(F.broadcast(grid), "k").select("k", F.round("freq_hz", 2).alias("freq_hz"), "bin", "n")
+
+
+@query("""
+SELECT k, CAST(CASE WHEN k <= 65 THEN round(4000e0 / (66 - k)) ELSE 4000 * (k - 64) END AS INTEGER) AS bin, n
+FROM (SELECT CAST(l_partkey % 129 + 1 AS INTEGER) AS k, count(*) AS n FROM lineitem GROUP BY 1) p
+""")
+def grid_eq3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _points(spark, sf_dir).join(F.broadcast(eq3_grid(spark)), "k").select("k", "bin", "n")
+
+
+@query("""
+SELECT p_partkey, CAST(trunc(f / 1250000000e0 * 499999e0) AS INTEGER) AS bin_trunc, CAST(round(f / 1250000000e0 * 499999e0) AS INTEGER) AS bin_round
+FROM (SELECT p_partkey, p_retailprice * 100000e0 AS f FROM part) p
+""")
+def freq_to_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = F.col("p_retailprice") * 1e5
+    return table(spark, sf_dir, "part").select("p_partkey", to_bin(f, 2.5e9, 500_000, "trunc").alias("bin_trunc"), to_bin(f, 2.5e9, 500_000).alias("bin_round"))
+
+
+@query("""
+SELECT k, bin, CAST(greatest(0, bin - 200) AS INTEGER) AS lo, CAST(least(500000, bin + 201) AS INTEGER) AS hi
+FROM (SELECT p_partkey AS k, CAST(p_partkey * 7919 % 500000 AS INTEGER) AS bin FROM part) p
+""")
+def band_windows_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), (F.col("p_partkey") * 7919 % 500_000).cast("int").alias("bin"))
+    return band_windows(grid, 200, 500_000)
+
+
+@query(f"WITH {sql.TRACE}, {sql.spectrum([40, 60, 100])} SELECT chip, bin, round(re, 4) + 0e0 AS re, round(im, 4) + 0e0 AS im, round(mag, 4) + 0e0 AS mag FROM sp")
+def dft_bins_of_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r4 = lambda c: (F.round(c, 4) + F.lit(0.0)).alias(c)
+    return dft_bins(fixture.samples(spark, sf_dir), [40, 60, 100], fixture.N).select("chip", "bin", r4("re"), r4("im"), r4("mag"))
+
+
+@query(f"""
+WITH {sql.TRACE}, {sql.spectrum([20, 40, 60, 80])}
+SELECT s.chip, s.bin, round(20e0 * log10(s.mag / r.mag), 6) + 0e0 AS db FROM sp s JOIN sp r ON s.chip = r.chip AND r.bin = 40
+""")
+def spectrum_db(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spectrum = dft_bins(fixture.samples(spark, sf_dir), [20, 40, 60, 80], fixture.N)
+    clock = F.max(F.when(F.col("bin") == fixture.CLOCK_BIN, F.col("mag"))).over(Window.partitionBy("chip"))
+    return spectrum.select("chip", "bin", r6(to_db(F.col("mag"), clock)).alias("db"))
+
+
+@query(f"WITH {sql.TRACE}, {sql.spectrum(list(range(30, 42)))} SELECT chip, bin, round(mag, 4) + 0e0 AS mag FROM sp WHERE bin BETWEEN 35 AND 41")
+def spectrum_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spectrum = dft_bins(fixture.samples(spark, sf_dir), list(range(30, 42)), fixture.N)
+    return spectrum_slice(spectrum, 35, 41).select("chip", "bin", (F.round("mag", 4) + F.lit(0.0)).alias("mag"))
+
+
+def _long(vectors: DataFrame, column: str) -> DataFrame:
+    return vectors.select("chip", "label", F.posexplode(column).alias("k", "v")).select("chip", "label", (F.col("k") + 1).alias("k"), r6("v").alias("v"))
+
+
+@query(f"WITH {sql.FEATURES} SELECT chip, label, CAST(k AS INTEGER) AS k, round(v, 6) + 0e0 AS v FROM ft")
+def ev_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(fixture.chip_vectors(spark, sf_dir), "ev")
+
+
+@query(f"WITH {sql.BIN_FEATURES} SELECT chip, label, CAST(k AS INTEGER) AS k, round(v, 6) + 0e0 AS v FROM fb")
+def ev_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(fixture.chip_vectors(spark, sf_dir), "ev_bin")
+
+
+def _windows(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(k, b, lo, hi) for k, (b, lo, hi) in enumerate(zip(fixture.BINS, fixture.LO, fixture.HI, strict=True), 1)], "k int, bin int, lo int, hi int")
+
+
+@query(ORACLE_SQL["ev_band"])
+def ev_band_by_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The band features by DFT and band join, without a helper: for few bins and short traces."""
+    wanted = sorted({b for lo, hi in zip(fixture.LO, fixture.HI, strict=True) for b in range(lo, hi)})
+    spectrum = dft_bins(fixture.samples(spark, sf_dir), wanted, fixture.N, ("chip", "label"))
+    return band_features(spectrum, _windows(spark), ("chip", "label")).select("chip", "label", "k", r6("v").alias("v"))
+
+
+@query(f"""
+WITH {sql.TRACE}, {sql.spectrum(fixture.BINS)}
+SELECT chip, CAST(bin AS INTEGER) AS bin, round(mag, 4) + 0e0 AS mag FROM sp
+""")
+def sampled_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spectrum = dft_bins(fixture.samples(spark, sf_dir), range(0, 361, 5), fixture.N)
+    return sample_bins(spectrum, _windows(spark)).select("chip", "bin", (F.round("mag", 4) + F.lit(0.0)).alias("mag"))
+
+
+@query(f"""
+WITH {sql.TRACE}
+SELECT chip, round((720 * sum(d * d) + pow(sum(d), 2) - pow(sum(CASE WHEN i % 2 = 0 THEN d ELSE -d END), 2)) / 2e0 / 1000000e0, 4) + 0e0 AS energy_millions FROM tr GROUP BY chip
+""")
+def raw_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By Parseval's theorem the SQL needs no spectrum."""
+    return fixture.chip_vectors(spark, sf_dir).select("chip", (F.round(F.col("raw_energy") / 1e6, 4) + F.lit(0.0)).alias("energy_millions"))
+
+
+@query(f"""
+WITH {sql.EMBEDDED}, nr AS (SELECT vec_id, sqrt(sum(x * x)) AS norm FROM em GROUP BY vec_id)
+SELECT em.vec_id AS vec_id, round(max(norm), 6) + 0e0 AS norm, round(sum(abs(x / (norm + 1e-12))), 6) + 0e0 AS absolute, round(max(x / (norm + 1e-12)), 6) + 0e0 AS largest
+FROM em JOIN nr ON em.vec_id = nr.vec_id GROUP BY em.vec_id
+""")
+def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("norm", l2_norm(F.col("embedding"))).withColumn("v", l2_normalize(F.col("embedding"), F.col("norm")))
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + F.abs(x))
+    return rows.select("vec_id", r6("norm").alias("norm"), r6(total).alias("absolute"), r6(F.array_max("v")).alias("largest"))
+
+
+@query(f"WITH {sql.TRACE} SELECT chip, i, round(greatest(-60e0, least(90e0, d)), 6) + 0e0 AS d FROM tr")
+def clipped_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clip_samples(fixture.samples(spark, sf_dir), -60.0, 90.0).select("chip", F.col("i").cast("long").alias("i"), r6("d").alias("d"))
+
+
+@query(f"WITH {sql.TRACE} SELECT chip, round(avg(d * d), 4) + 0e0 AS power, round(avg(d * d) / pow(10e0, 2e0), 6) + 0e0 AS variance FROM tr GROUP BY chip")
+def snr_power(spark: SparkSession, sf_dir: str) -> DataFrame:
+    power = signal_power(fixture.samples(spark, sf_dir), ["chip"])
+    return power.select("chip", (F.round("power", 4) + F.lit(0.0)).alias("power"), r6(noise_variance(F.col("power"), 20.0)).alias("variance"))
+
+
+@query(f"""
+WITH {sql.TRACE}, pw AS (SELECT chip, avg(d * d) AS power FROM tr GROUP BY chip)
+SELECT tr.chip AS chip, i, round(d + sqrt(power / 10e0) * {sql.normal("CAST(tr.chip AS VARCHAR) || '|' || CAST(i AS VARCHAR) || '|7'")}, 6) + 0e0 AS d FROM tr JOIN pw ON tr.chip = pw.chip
+""")
+def noisy_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return add_noise(fixture.samples(spark, sf_dir), 10.0, 7).select("chip", F.col("i").cast("long").alias("i"), r6("d").alias("d"))
+
+
+@query(f"WITH {sql.TRACE} SELECT chip, i, round(d * (1 + 0.06e0 * {sql.normal("CAST(chip AS VARCHAR) || '|11'")}), 6) + 0e0 AS d FROM tr")
+def gained_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return die_gain(fixture.samples(spark, sf_dir), 0.06, 11).select("chip", F.col("i").cast("long").alias("i"), r6("d").alias("d"))
+
+
+@query(f"""
+WITH {sql.TRACE}, pl AS (SELECT chip, i, least(719e0, i * 1.005e0) AS pos FROM tr),
+nx AS (SELECT chip, i, pos, CAST(floor(pos) AS BIGINT) AS lo, CAST(least(719, floor(pos) + 1) AS BIGINT) AS hi FROM pl)
+SELECT nx.chip AS chip, nx.i AS i, round(a.d * (1 - (pos - lo)) + b.d * (pos - lo), 6) + 0e0 AS d
+FROM nx JOIN tr a ON a.chip = nx.chip AND a.i = lo JOIN tr b ON b.chip = nx.chip AND b.i = hi
+""")
+def drifted_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = drift_resample(fixture.samples(spark, sf_dir), 0.5, fixture.N)
+    return rows.select("chip", F.col("i").cast("long").alias("i"), r6("d").alias("d"))
+
+
+@query("""
+WITH c AS (SELECT * FROM (VALUES ('snr', 30e0, 0.5e0), ('snr', 25e0, 0.5e0), ('snr', 20e0, 0.5e0), ('snr', 15e0, 0.5e0), ('snr', 10e0, 0.5e0), ('snr', 5e0, 0.5e0),
+  ('drift', 20e0, 0e0), ('drift', 20e0, 0.5e0), ('drift', 20e0, 1e0), ('drift', 20e0, 1.5e0), ('drift', 20e0, 2e0), ('drift', 20e0, 2.5e0), ('drift', 20e0, 3e0)) AS t(experiment, snr_db, drift_pct))
+SELECT experiment, snr_db, drift_pct, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer CROSS JOIN c GROUP BY 1, 2, 3
+""")
+def conditions_of_chips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = condition_grid(table(spark, sf_dir, "customer").select("c_custkey"))
+    return grid.groupBy("experiment", "snr_db", "drift_pct").agg(F.count("*").alias("n"), F.sum("c_custkey").alias("keys"))

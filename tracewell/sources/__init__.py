@@ -1 +1,6 @@
-"""Spark jobs: sources."""
+"""Sources and sinks: cycle logs, chip vectors, models, reports and traces."""
+
+from tracewell.sources.files import assignment_map, read_chip_vectors, read_cycle_logs, read_reports, read_sources, write_report, write_traces
+from tracewell.sources.models import load_detectors, load_fcm, save_detectors, save_fcm
+
+__all__ = ["assignment_map", "load_detectors", "load_fcm", "read_chip_vectors", "read_cycle_logs", "read_reports", "read_sources", "save_detectors", "save_fcm", "write_report", "write_traces"]

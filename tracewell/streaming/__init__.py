@@ -1 +1,5 @@
-"""Spark jobs: streaming."""
+"""Structured Streaming jobs: verdicts, toggles and running averages."""
+
+from tracewell.streaming.jobs import average_stream, score_stream, toggles_stream
+
+__all__ = ["average_stream", "score_stream", "toggles_stream"]
