@@ -12,8 +12,8 @@ whatever they cover is removed.
 
 Windows that are estimated to occur ``HOT`` times or more aren't grouped in one task: their smallest document
 is found by partial minima, and the few windows that can be so frequent are given to all tasks.  The sketch
-has three or more cells for each window up to ``2 ** MAX_CELL_BITS`` cells a row (1 bit each when it is sent
-out, 256 MB in all); beyond about 350 million windows it lets more single windows through to the exact pass,
+has three or more cells for each window up to ``2 ** MAX_CELL_BITS`` cells a row.  It is written to the shared
+folder as 1 bit a cell, and each worker reads it there (256 MB at most, in all rows); beyond about 350 million windows it lets more single windows through to the exact pass,
 which costs shuffled bytes but no result.
 
 Defined results: a null text has no words; null ids count as larger than all others and not as smaller than
@@ -29,12 +29,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.dataset as pads
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.llm import _words
 from tracewell.llm._pack import pack, unpack
+from tracewell.llm._tables import new_path
 
 WINDOW = 13
 ROWS = 2
@@ -44,7 +47,7 @@ HOT = 20_000
 UNIT_BYTES = 16 << 20
 BUCKET_WINDOWS = 500_000
 NO_ID = np.iinfo(np.int64).max
-SLICE = 16 << 20
+SLICE = 8 << 20
 
 
 def windows(rows: pa.Table, text: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,34 +65,49 @@ def ids_of(rows: pa.Table, name: str) -> np.ndarray:
 
 
 class Sketch:
-    """What the merged sketch tells: for each row, which cells have counted 2 or more, and which ``HOT``."""
+    """The merged sketch as a worker holds it: for each row, which cells have counted 2 or more."""
 
-    def __init__(self, bits: int) -> None:
+    def __init__(self, bits: int, path: str) -> None:
         self.bits = bits
-        self.repeated = [np.zeros(max(1, (1 << bits) >> 3), np.uint8) for _ in range(ROWS)]
-        self.hot = [np.empty(0, np.uint64)] * ROWS
-
-    def cells(self, hashes: np.ndarray) -> np.ndarray:
-        return hashes >> np.uint64(64 - self.bits)
+        self.repeated = [np.zeros(1 << bits >> 3, np.uint8) for _ in range(ROWS)]
+        fs, root = pafs.FileSystem.from_uri(path)
+        for batch in pads.dataset(root, filesystem=fs, format="parquet").to_batches(columns=["row", "stripe", "cells"], batch_size=16):
+            for r, stripe, cells in zip(*(batch[n].to_pylist() for n in ("row", "stripe", "cells")), strict=True):
+                (bitmap,) = unpack(cells)
+                at = stripe << STRIPE_BITS >> 3
+                self.repeated[r][at : at + len(bitmap)] = bitmap
 
     def has_repeated(self, both: np.ndarray) -> np.ndarray:
         """Places of the windows estimated to occur twice or more."""
         places = np.arange(both.shape[1])
         for r in range(ROWS):
-            cells = self.cells(both[r][places])
+            cells = cells_of(both[r][places], self.bits)
             places = places[(self.repeated[r][cells >> np.uint64(3)] >> (cells & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1]
         return places
 
-    def has_hot(self, both: np.ndarray) -> np.ndarray:
-        found = np.ones(both.shape[1], bool)
-        for r in range(ROWS):
-            found &= np.isin(self.cells(both[r]), self.hot[r])
-        return found
+
+def cells_of(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return hashes >> np.uint64(64 - bits)
+
+
+_held: dict[str, Sketch] = {}
+
+
+def held_sketch(bits: int, path: str) -> Sketch:
+    """The sketch of this run, read once by each worker; a worker holds one at a time."""
+    if path not in _held:
+        _held.clear()
+        _held[path] = Sketch(bits, path)
+    return _held[path]
+
+
+def release_sketch() -> None:
+    _held.clear()
 
 
-def build_sketch(docs: DataFrame, text: str, width: int, n_windows: int, hot: int) -> Sketch:
+def build_sketch(docs: DataFrame, text: str, width: int, n_windows: int, hot: int) -> tuple[int, str, list[np.ndarray]]:
+    """The sketch's bits, where it was written, and the cells of each row that counted ``hot`` or more."""
     bits = min(max((3 * n_windows).bit_length(), STRIPE_BITS), MAX_CELL_BITS)
-    sketch = Sketch(bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,7 +115,7 @@ def build_sketch(docs: DataFrame, text: str, width: int, n_windows: int, hot: in
                 both = windows(rows, text, width)[0]
                 parts: list[tuple[int, int, bytes]] = []
                 for r in range(ROWS):
-                    cells, times = np.unique(sketch.cells(both[r]), return_counts=True)
+                    cells, times = np.unique(cells_of(both[r], bits), return_counts=True)
                     stripes = (cells >> np.uint64(STRIPE_BITS)).astype(np.int64)
                     edges = np.flatnonzero(np.diff(stripes, prepend=-1))
                     for a, b in zip(edges, [*edges[1:], len(cells)], strict=True):
@@ -110,8 +128,9 @@ def build_sketch(docs: DataFrame, text: str, width: int, n_windows: int, hot: in
         key, total = None, np.zeros(1 << STRIPE_BITS, np.uint32)
 
         def close() -> pa.RecordBatch:
-            bitmap = np.packbits(total > 1, bitorder="little")
-            return _batch([(*key, pack(bitmap, np.flatnonzero(total >= hot).astype(np.uint32)))], ("row", "stripe", "cells"), (pa.int32(), pa.int32(), pa.binary()))
+            often = np.flatnonzero(total >= hot).astype(np.uint64) + np.uint64(key[1] << STRIPE_BITS)
+            row = (*key, pack(np.packbits(total > 1, bitorder="little")), pack(often) if len(often) else None)
+            return _batch([row], ("row", "stripe", "cells", "hot"), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))
 
         for batch in batches:
             for r, stripe, cells in zip(*(batch[n].to_pylist() for n in ("row", "stripe", "cells")), strict=True):
@@ -128,15 +147,13 @@ def build_sketch(docs: DataFrame, text: str, width: int, n_windows: int, hot: in
 
     schema = "row int, stripe int, cells binary"
     partial = docs.select(text).mapInArrow(count, schema)
-    merged = partial.repartition("row", "stripe").sortWithinPartitions("row", "stripe").mapInArrow(merge, schema)
-    hot_cells: list[list[np.ndarray]] = [[] for _ in range(ROWS)]
-    for r, stripe, cells in merged.toLocalIterator():  # at most ROWS << MAX_CELL_BITS bits
-        bitmap, often = unpack(cells)
-        at = (stripe << STRIPE_BITS) >> 3
-        sketch.repeated[r][at : at + len(bitmap)] = bitmap
-        hot_cells[r].append(often.astype(np.uint64) + np.uint64(stripe << STRIPE_BITS))
-    sketch.hot = [np.sort(np.concatenate(c)) if c else np.empty(0, np.uint64) for c in hot_cells]
-    return sketch
+    merged = partial.repartition("row", "stripe").sortWithinPartitions("row", "stripe").mapInArrow(merge, schema + ", hot binary")
+    path = new_path(docs.sparkSession, "sketch")
+    merged.write.parquet(path)
+    found: list[list[np.ndarray]] = [[] for _ in range(ROWS)]
+    for r, often in docs.sparkSession.read.schema(schema + ", hot binary").parquet(path).where("hot is not null").select("row", "hot").toLocalIterator():
+        found[r] += unpack(often)  # at most n_windows / hot cells a row
+    return bits, path, [np.sort(np.concatenate(c)) if c else np.empty(0, np.uint64) for c in found]
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WINDOW, hot: int = HOT) -> DataFrame:
@@ -151,12 +168,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     units = max(-(-n_bytes // UNIT_BYTES), spark.sparkContext.defaultParallelism)
     buckets = max(-(-n_windows // BUCKET_WINDOWS), spark.sparkContext.defaultParallelism)
     placed = docs.withColumn("__unit", F.pmod(F.xxhash64(doc_id), F.lit(units)).cast("int"))
-    sketch = build_sketch(docs, text, width, n_windows, hot)
-    shared = spark.sparkContext.broadcast(sketch)
-    smallest = spark.sparkContext.broadcast(_smallest_of_hot(docs, text, doc_id, width, shared, hot) if all(len(c) for c in sketch.hot) else None)
+    bits, path, hot_cells = build_sketch(docs, text, width, n_windows, hot)
+    smallest = spark.sparkContext.broadcast(_smallest_of_hot(docs, text, doc_id, width, bits, hot_cells, hot) if all(len(c) for c in hot_cells) else None)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, hottest = shared.value, smallest.value
+        found, hottest = held_sketch(bits, path), smallest.value
         for batch in batches:
             for rows in _words.slices(batch, text, SLICE):
                 both, of, place = windows(rows, text, width)
@@ -203,6 +219,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     added = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
 
     def cut(_key: tuple, rows: pa.Table, found: pa.Table) -> pa.Table:
+        release_sketch()  # workers live on; the sketch is needed no more
         if not rows.num_rows:
             return _without_rows(rows)
         marked = [unpack(m) for m in found["marks"].to_pylist()]
@@ -239,14 +256,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return placed.groupBy("__unit").cogroup(marks.groupBy("__unit")).applyInArrow(cut, T.StructType([*docs.schema.fields, *added]))
 
 
-def _smallest_of_hot(docs: DataFrame, text: str, doc_id: str, width: int, shared, hot: int) -> tuple[np.ndarray, np.ndarray]:
+def _smallest_of_hot(docs: DataFrame, text: str, doc_id: str, width: int, bits: int, hot_cells: list[np.ndarray], hot: int) -> tuple[np.ndarray, np.ndarray]:
     """The windows in hot cells, as sorted keys, and the smallest id of each."""
+    cells = docs.sparkSession.sparkContext.broadcast(hot_cells)
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in _words.slices(batch, text, SLICE):
                 both, of, _ = windows(rows, text, width)
-                some = shared.value.has_hot(both)
+                some = np.all([np.isin(cells_of(both[r], bits), cells.value[r]) for r in range(ROWS)], axis=0)
                 ids = ids_of(rows, doc_id)[of[some]]
                 keys, place = np.unique(_keys(both[0][some], both[1][some]), return_inverse=True)
                 best = np.full(len(keys), NO_ID)
