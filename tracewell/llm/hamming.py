@@ -115,7 +115,9 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 10, block_codes: int = B
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["query_id", "asked", "code", "distance"])
 
-    found = indexed.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInArrow(search, FOUND)
+    # A number of partitions that is given isn't coalesced: the blocks are small to read but long to search.
+    placed = [d.repartition(blocks * parts, "block", "part").groupBy("block", "part") for d in (indexed, asked)]
+    found = placed[0].cogroup(placed[1]).applyInArrow(search, FOUND)
     best = Window.partitionBy("query_id", "asked").orderBy("distance", "found_id")
     listed = ids.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     rows = found.distinct().join(listed, "code").select("query_id", "asked", "distance", F.explode("ids").alias("found_id"))
