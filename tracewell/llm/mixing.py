@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
 Each document gets an exponential key, divided by its quality weight, from a uniform number that depends
-on its id, its text's checksum and the seed alone.  Within a source the documents in key order fill the
+on its id, its text and the seed alone.  Within a source the documents in key order fill the
 source's budget of words: complete epochs over all documents first, then the front of the order, where
 the document that crosses the budget is taken in part.
 
@@ -56,15 +56,17 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), quality: DataFram
     ``quality`` has ``doc_id`` and a positive ``weight``; a document without one has weight 1.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "source", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc"), word_count("text").alias("size"))
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    digest = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.md5(text), F.lit(str(seed))).cast("binary"))
+    uniform = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
+    rows = docs.select("doc_id", "source", F.crc32(text).alias("text_crc"), word_count("text").alias("size"), uniform.alias("uniform"))
     if quality is not None:
         rows = rows.join(quality.groupBy("doc_id").agg(F.max("weight").alias("weight")), "doc_id", "left")
     else:
         rows = rows.withColumn("weight", F.lit(1.0))
-    uniform = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_crc"), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    key = -F.log(uniform) / F.coalesce("weight", F.lit(1.0))
+    key = -F.log("uniform") / F.coalesce("weight", F.lit(1.0))
     rows = rows.withColumn("key", key).withColumn("cell", F.least(F.lit(cells - 1), F.floor((1 - F.exp(-F.col("key"))) * cells)).cast("int"))
-    rows = written(rows.drop("weight"), "mix-rows")
+    rows = written(rows.drop("weight", "uniform"), "mix-rows")
 
     per_cell = rows.groupBy("source", "cell").agg(F.sum("size").alias("size"))
     totals = [tuple(r) for r in per_cell.groupBy("source").agg(F.sum("size")).collect()]  # a row for each source
