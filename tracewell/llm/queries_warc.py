@@ -20,4 +20,14 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_warc": op8_warc}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op8_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS bytes, sha1(coalesce(html, '')) AS x FROM pages),
+d AS (
+  SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(x, CAST(floor(5 * g / 4) AS INTEGER) + 1, 2) AS BIGINT) >> CAST(3 - (5 * g) % 4 AS BIGINT)) & 31) + 1 AS BIGINT), 1), '' ORDER BY g) AS digest
+  FROM p CROSS JOIN (SELECT range AS g FROM range(32)) r GROUP BY page_id
+),
+m AS (SELECT p.page_id AS page_id, CAST(bytes AS BIGINT) AS payload_bytes, digest AS payload_digest, max(p.page_id) OVER (PARTITION BY digest, bytes) AS holder FROM p JOIN d ON p.page_id = d.page_id)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> holder THEN holder END AS refers_to FROM m
+""",
+}
