@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from tracewell.functions import fmax_mhz
 from tracewell.operators.reports import parse_pipe_tables, register_audit, report_overhead
 from tracewell.sources import read_chip_vectors, read_cycle_logs, read_reports, read_sources, write_report, write_traces
 
@@ -36,6 +37,12 @@ def test_reports(spark, tmp_path):
     assert rows["Slice LUTs*"].delta == 3 and rows["Slice LUTs*"].within and rows["Slice Registers"].modified is None
 
 
+def test_capacity(spark):
+    golden = spark.createDataFrame([("d", "lut", 2000, 20800)], "device string, item string, used int, available int")
+    row = report_overhead(golden, golden.withColumn("used", F.lit(2052)), available="available").first()
+    assert row.capacity_pct == 0.25 and not row.within and golden.select(fmax_mhz(F.lit(8.0)).alias("f")).first().f == 125.0
+
+
 def test_registers(spark, tmp_path):
     (tmp_path / "core.v").write_text("reg [127:0] state, key;\nreg [3:0] round;\n reg done;\nwire [3:0] x;\n")
     rows = {r.signal: r.width for r in register_audit(read_sources(spark, str(tmp_path / "*.v"))).collect()}

@@ -58,3 +58,8 @@ def shunt_voltage(toggles: Column, modified: Column, active: Column, variant: st
 
 def clip(value: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
+
+
+def fmax_mhz(delay_ns: Column) -> Column:
+    """The clock rate that a critical path allows; null for a delay of 0."""
+    return F.try_divide(F.lit(1000.0), delay_ns)

@@ -23,9 +23,15 @@ def parse_pipe_tables(reports: DataFrame, items: Sequence[str], report: str = "r
     return lines.select("report_id", fields.alias("f")).where(F.size("f") >= 2).select("report_id", F.get("f", F.lit(0)).alias("item"), F.expr("try_cast(f[1] as int)").alias("used"))
 
 
-def report_overhead(golden: DataFrame, modified: DataFrame, on: Sequence[str] = ("device", "item"), used: str = "used", limit: float | Column = LUT_LIMIT) -> DataFrame:
-    """``on, golden, modified, delta, delta_pct, within``: what the modified design uses more, and whether it stays unnoticed."""
-    both = golden.select(*on, F.col(used).alias("golden")).join(modified.select(*on, F.col(used).alias("modified")), list(on))
+def report_overhead(golden: DataFrame, modified: DataFrame, on: Sequence[str] = ("device", "item"), used: str = "used", limit: float | Column = LUT_LIMIT, available: str | None = None) -> DataFrame:
+    """``on, golden, modified, delta, delta_pct, within``: what the modified design uses more, and whether it stays unnoticed.
+
+    With ``available``, a column of the golden rows, also ``capacity_pct``: the difference as a share of the device.
+    """
+    room = [F.col(available).alias("available")] if available else []
+    both = golden.select(*on, F.col(used).alias("golden"), *room).join(modified.select(*on, F.col(used).alias("modified")), list(on))
+    if available:
+        both = both.withColumn("capacity_pct", F.try_divide(100.0 * (F.col("modified") - F.col("golden")), F.col("available"))).drop("available")
     both = both.withColumn("delta", F.col("modified") - F.col("golden")).withColumn("delta_pct", F.try_divide(100.0 * F.col("delta"), F.col("golden")))
     return both.withColumn("within", F.coalesce(F.col("delta_pct") <= limit, F.col("delta") <= 0))
 

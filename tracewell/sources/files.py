@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: The two headers of cycle logs, fixed by the loggers: volts with a parity flag, millivolts with an activity flag.
 LOG_V = "cycle INT, timestamp_ns BIGINT, hamming_toggles INT, vccint_shunt_v DOUBLE, cipher_match INT"
 LOG_MV = "cycle INT, timestamp_ns BIGINT, hamming_toggles INT, vccint_shunt_mv DOUBLE, trojan_active INT"
+#: Up to so many files the table of their headers is broadcast, so that no line is shuffled.
+BROADCAST_FILES = 50_000
 CHIP = "ARRAY<STRUCT<chip_id STRING, label INT, ground_truth INT, category STRING, ev ARRAY<DOUBLE>>>"
 CHIP_FILE = f"sampling_frequency_hz DOUBLE, clock_frequency_hz DOUBLE, n_samples BIGINT, eigenvector_dimension INT, training_chips {CHIP}, validation_chips {CHIP}"
 MEMBER = "MAP<STRING, STRUCT<assigned_cluster STRING, ground_truth STRING, membership_golden DOUBLE, membership_trojan DOUBLE>>"
@@ -24,7 +26,8 @@ def read_cycle_logs(spark: SparkSession, path: str, min_bytes: int = 100, core:
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")).where(F.col("bytes") >= min_bytes)
     is_head = F.col("value").startswith("cycle,")
     heads = lines.where(is_head).groupBy("file").agg(F.min("value").alias("head"))
-    rows = lines.where(~is_head & (F.trim("value") != "")).join(heads, "file")  # a head for each file
+    files = spark.read.format("binaryFile").load(path).select("path").count()  # lists names, reads no content
+    rows = lines.where(~is_head & (F.trim("value") != "")).join(F.broadcast(heads) if files <= BROADCAST_FILES else heads, "file")
     parts = F.split("value", ",")
     at = lambda name: F.array_position(F.transform(F.split("head", ","), F.trim), F.lit(name)).cast("int")
     field = lambda name, kind: F.when(at(name) > 0, F.trim(F.get(parts, at(name) - 1)).try_cast(kind)).alias(name)
