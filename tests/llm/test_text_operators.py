@@ -231,25 +231,17 @@ def test_languages_of_new_texts(spark):
 
 
 def test_model_is_a_distribution():
+    """After each context the probabilities of all characters, and what is kept for unknown ones, add up to 1."""
     grams = Counter()
     for w in ["the", "then", "that", "thin", "a"]:
         s = langid.START * (langid.ORDER - 1) + w + langid.END
         grams.update(s[k : k + langid.ORDER] for k in range(len(s) - langid.ORDER + 1))
     models = langid.build_models([("en", g, n) for g, n in grams.items()])
-    letters = sorted({g[-1] for g in grams if g[-1] != langid.END})
-
-    def p_next(prefix):
-        whole = [float(np.exp(-models.word_costs([prefix + c])[0][0, 0])) for c in letters]  # with the end after it
-        return whole
-
-    # Probabilities of a letter after "th": cost of "th"+c without its end mark, taken by hand.
-    points, places, _ = langid.characters(["th" + c for c in letters])
-    p = np.full((len(places), 1), models.floor, np.float32)
-    for n, (g, s, c, b) in enumerate(zip(models.grams, models.shares, models.contexts, models.backoffs, strict=True), 1):
-        p = p * langid._rows(c, b, langid.gram_keys(points, places - 1, n - 1), 1.0) + langid._rows(g, s, langid.gram_keys(points, places, n), 0.0)
-    third = p[2::4, 0]
-    end = np.exp(-(models.word_costs(["th"])[0][0, 0])) / np.exp(-np.log(1 / (p[0, 0] * p[1, 0])))
-    assert abs(third.sum() + end + models.floor * 0 - 1) < 0.05 and len(p_next("t")) == len(letters)
+    known = sorted({g[-1] for g in grams})
+    for prefix in ("", "t", "th", "tha", "xyz"):
+        points = np.array([[ord(c) for c in langid.START * (langid.ORDER - 1) + prefix + end] for end in [*known, "?"]], np.uint64)
+        places = np.arange(1, len(points) + 1) * points.shape[1] - 1
+        assert abs(models.character_probabilities(points.ravel(), places).sum() - 1) < 1e-5
 
 
 def test_langid_without_training_rows(spark, odd):

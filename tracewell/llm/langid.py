@@ -40,7 +40,9 @@ MIN_CHARS = 40
 TEMPERATURES = (0.02, 0.05, 0.1, 0.2, 0.5, 1.0)
 #: Characters of a text that count towards its score at most: later ones repeat the evidence.
 EVIDENCE = 200
-SLICE = 16 << 20
+SLICE = 8 << 20
+#: Distinct words that are scored at a time, which bounds a worker's memory.
+WORDS_AT_ONCE = 32_768
 PREDICTION = "lang_pred string, score double, cross_entropy double, n_letters long, rejected boolean"
 
 
@@ -117,14 +119,21 @@ class Models:
 
     def word_costs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The negative log probability of each word in each language, and its number of predicted characters."""
-        points, places, sizes = characters(words)
+        costs, sizes = np.empty((len(words), len(self.langs))), np.empty(len(words), np.int64)
+        for k in range(0, len(words), WORDS_AT_ONCE):
+            part = slice(k, k + WORDS_AT_ONCE)
+            points, places, sizes[part] = characters(words[part])
+            total = np.cumsum(-np.log(self.character_probabilities(points, places)), axis=0, dtype=np.float64)
+            ends = np.cumsum(sizes[part])
+            costs[part] = np.diff(total[ends - 1], axis=0, prepend=0.0)
+        return costs, sizes
+
+    def character_probabilities(self, points: np.ndarray, places: np.ndarray) -> np.ndarray:
         p = np.full((len(places), len(self.langs)), self.floor, np.float32)
         for n, (grams, shares, contexts, backoffs) in enumerate(zip(self.grams, self.shares, self.contexts, self.backoffs, strict=True), 1):
             p *= _rows(contexts, backoffs, gram_keys(points, places - 1, n - 1), 1.0)
             p += _rows(grams, shares, gram_keys(points, places, n), 0.0)
-        ends = np.cumsum(sizes)
-        total = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(-np.log(p), axis=0, dtype=np.float64)])
-        return total[ends] - total[ends - sizes], sizes
+        return p
 
     def cross_entropies(self, texts: pa.ChunkedArray | pa.Array, scrambled: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Nats per predicted character for each text and language, and the number of characters."""
