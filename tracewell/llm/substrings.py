@@ -12,7 +12,7 @@ whatever they cover is removed.
 
 Windows that are estimated to occur ``HOT`` times or more aren't grouped in one task: their smallest document
 is found by partial minima, and the few windows that can be so frequent are given to all tasks.  The sketch
-has three or more cells for each window up to ``2 ** MAX_CELL_BITS`` cells a row.  It is written to the shared
+has three cells a row for each window, up to ``MAX_STRIPES`` stripes of 4 million cells.  It is written to the shared
 folder as 1 bit a cell, and each worker reads it there (256 MB at most, in all rows); beyond about 350 million windows it lets more single windows through to the exact pass,
 which costs shuffled bytes but no result.
 
@@ -41,8 +41,8 @@ from tracewell.llm._tables import new_path
 
 WINDOW = 13
 ROWS = 2
-STRIPE_BITS = 22
-MAX_CELL_BITS = 30
+CELLS_PER_WINDOW = 3
+STRIPE_BITS, MAX_STRIPES = 22, 256
 HOT = 20_000
 UNIT_BYTES = 16 << 20
 BUCKET_WINDOWS = 500_000
@@ -67,9 +67,9 @@ def ids_of(rows: pa.Table, name: str) -> np.ndarray:
 class Sketch:
     """The merged sketch as a worker holds it: for each row, which cells have counted 2 or more."""
 
-    def __init__(self, bits: int, path: str) -> None:
-        self.bits = bits
-        self.repeated = [np.zeros(1 << bits >> 3, np.uint8) for _ in range(ROWS)]
+    def __init__(self, cells: int, path: str) -> None:
+        self.cells = cells
+        self.repeated = [np.zeros(cells >> 3, np.uint8) for _ in range(ROWS)]
         fs, root = pafs.FileSystem.from_uri(path)
         for batch in pads.dataset(root, filesystem=fs, format="parquet").to_batches(columns=["row", "stripe", "cells"], batch_size=16):
             for r, stripe, cells in zip(*(batch[n].to_pylist() for n in ("row", "stripe", "cells")), strict=True):
@@ -81,23 +81,23 @@ class Sketch:
         """Places of the windows estimated to occur twice or more."""
         places = np.arange(both.shape[1])
         for r in range(ROWS):
-            cells = cells_of(both[r][places], self.bits)
+            cells = cells_of(both[r][places], self.cells)
             places = places[(self.repeated[r][cells >> np.uint64(3)] >> (cells & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1]
         return places
 
 
-def cells_of(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return hashes >> np.uint64(64 - bits)
+def cells_of(hashes: np.ndarray, cells: int) -> np.ndarray:
+    return (hashes >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)
 
 
 _held: dict[str, Sketch] = {}
 
 
-def held_sketch(bits: int, path: str) -> Sketch:
+def held_sketch(cells: int, path: str) -> Sketch:
     """The sketch of this run, read once by each worker; a worker holds one at a time."""
     if path not in _held:
         _held.clear()
-        _held[path] = Sketch(bits, path)
+        _held[path] = Sketch(cells, path)
     return _held[path]
 
 
@@ -106,8 +106,8 @@ def release_sketch() -> None:
 
 
 def build_sketch(docs: DataFrame, text: str, width: int, n_windows: int, hot: int) -> tuple[int, str, list[np.ndarray]]:
-    """The sketch's bits, where it was written, and the cells of each row that counted ``hot`` or more."""
-    bits = min(max((3 * n_windows).bit_length(), STRIPE_BITS), MAX_CELL_BITS)
+    """The number of cells in a row, where the sketch was written, and the cells of each row that counted ``hot`` or more."""
+    n_cells = max(1, min(-(-CELLS_PER_WINDOW * n_windows >> STRIPE_BITS), MAX_STRIPES)) << STRIPE_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,7 +115,7 @@ def build_sketch(docs: DataFrame, text: str, width: int, n_windows: int, hot: in
                 both = windows(rows, text, width)[0]
                 parts: list[tuple[int, int, bytes]] = []
                 for r in range(ROWS):
-                    cells, times = np.unique(cells_of(both[r], bits), return_counts=True)
+                    cells, times = np.unique(cells_of(both[r], n_cells), return_counts=True)
                     stripes = (cells >> np.uint64(STRIPE_BITS)).astype(np.int64)
                     edges = np.flatnonzero(np.diff(stripes, prepend=-1))
                     for a, b in zip(edges, [*edges[1:], len(cells)], strict=True):
@@ -153,7 +153,7 @@ def build_sketch(docs: DataFrame, text: str, width: int, n_windows: int, hot: in
     found: list[list[np.ndarray]] = [[] for _ in range(ROWS)]
     for r, often in docs.sparkSession.read.schema(schema + ", hot binary").parquet(path).where("hot is not null").select("row", "hot").toLocalIterator():
         found[r] += unpack(often)  # at most n_windows / hot cells a row
-    return bits, path, [np.sort(np.concatenate(c)) if c else np.empty(0, np.uint64) for c in found]
+    return n_cells, path, [np.sort(np.concatenate(c)) if c else np.empty(0, np.uint64) for c in found]
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WINDOW, hot: int = HOT) -> DataFrame:
@@ -168,11 +168,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     units = max(-(-n_bytes // UNIT_BYTES), spark.sparkContext.defaultParallelism)
     buckets = max(-(-n_windows // BUCKET_WINDOWS), spark.sparkContext.defaultParallelism)
     placed = docs.withColumn("__unit", F.pmod(F.xxhash64(doc_id), F.lit(units)).cast("int"))
-    bits, path, hot_cells = build_sketch(docs, text, width, n_windows, hot)
-    smallest = spark.sparkContext.broadcast(_smallest_of_hot(docs, text, doc_id, width, bits, hot_cells, hot) if all(len(c) for c in hot_cells) else None)
+    n_cells, path, hot_cells = build_sketch(docs, text, width, n_windows, hot)
+    smallest = spark.sparkContext.broadcast(_smallest_of_hot(docs, text, doc_id, width, n_cells, hot_cells, hot) if all(len(c) for c in hot_cells) else None)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, hottest = held_sketch(bits, path), smallest.value
+        found, hottest = held_sketch(n_cells, path), smallest.value
         for batch in batches:
             for rows in _words.slices(batch, text, SLICE):
                 both, of, place = windows(rows, text, width)
@@ -256,7 +256,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return placed.groupBy("__unit").cogroup(marks.groupBy("__unit")).applyInArrow(cut, T.StructType([*docs.schema.fields, *added]))
 
 
-def _smallest_of_hot(docs: DataFrame, text: str, doc_id: str, width: int, bits: int, hot_cells: list[np.ndarray], hot: int) -> tuple[np.ndarray, np.ndarray]:
+def _smallest_of_hot(docs: DataFrame, text: str, doc_id: str, width: int, n_cells: int, hot_cells: list[np.ndarray], hot: int) -> tuple[np.ndarray, np.ndarray]:
     """The windows in hot cells, as sorted keys, and the smallest id of each."""
     cells = docs.sparkSession.sparkContext.broadcast(hot_cells)
 
@@ -264,7 +264,7 @@ def _smallest_of_hot(docs: DataFrame, text: str, doc_id: str, width: int, bits:
         for batch in batches:
             for rows in _words.slices(batch, text, SLICE):
                 both, of, _ = windows(rows, text, width)
-                some = np.all([np.isin(cells_of(both[r], bits), cells.value[r]) for r in range(ROWS)], axis=0)
+                some = np.all([np.isin(cells_of(both[r], n_cells), cells.value[r]) for r in range(ROWS)], axis=0)
                 ids = ids_of(rows, doc_id)[of[some]]
                 keys, place = np.unique(_keys(both[0][some], both[1][some]), return_inverse=True)
                 best = np.full(len(keys), NO_ID)
