@@ -20,13 +20,17 @@ MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
 def slices(batch: pa.RecordBatch | pa.Table, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.Table]:
-    """Cuts a batch into tables of about ``limit`` bytes of text, one row at least."""
+    """Cuts a batch into tables of about ``limit`` bytes of text, one row at least.
+
+    Workers live on from task to task, so what a slice took is given back before the next one.
+    """
     table = pa.table(batch) if isinstance(batch, pa.Table) else pa.Table.from_batches([batch])
     sizes = pc.fill_null(pc.binary_length(table[text]), 0).to_numpy().astype(np.int64)
     part = (np.cumsum(sizes) - sizes) // limit
     edges = np.flatnonzero(np.diff(part, prepend=-1))
     for start, stop in zip(edges, [*edges[1:], len(sizes)], strict=True):
         yield table.slice(start, stop - start)
+        pa.default_memory_pool().release_unused()
 
 
 def one_array(column: pa.ChunkedArray | pa.Array) -> pa.Array:

@@ -33,7 +33,7 @@ LENGTH = 4096
 UNITS = 256
 END_ID = 2
 #: Words whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 ENCODE_ROWS = 4096
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
