@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm._tables import documents, written
-from tracewell.llm.jaccard import jaccard_join
+from tracewell.llm.jaccard import order_id, similarity_classes, text_key
 from tracewell.llm.langid import predict, train_models
 from tracewell.llm.mixing import apply_mix, mix
 from tracewell.llm.packing import cut_pieces, pack
@@ -31,10 +31,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate class; repeated rows of an id stay one row."""
-    kept = jaccard_join(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
-    one = Window.partitionBy("doc_id").orderBy(*COLUMNS[1:])
+    """The row with the smallest id, then text, of each near-duplicate class; a null id is first in order.
+
+    Texts without words are in no class: of them only repeated rows go.
+    """
+    found = similarity_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    found = found.select(order_id().alias("__id"), F.col("text_key").alias("__key"), F.col("root").alias("__root")).distinct()
+    rows = docs.select(*COLUMNS, order_id().alias("__id"), text_key().alias("__key")).join(found, ["__id", "__key"])
+    one = Window.partitionBy("__root", *(F.when(F.col("__root").isNull(), F.col(c)) for c in COLUMNS)).orderBy(*COLUMNS)
     return rows.withColumn("__at", F.row_number().over(one)).where("__at = 1").select(*COLUMNS)
 
 

@@ -169,6 +169,28 @@ def test_pipeline_stages(spark, sf_dir):
     assert packed.select("doc_id").distinct().count() == kept[3]
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    """One row of each class stays, the first by id and text, whatever ids its rows share with other classes."""
+    text = lambda group, near=0: " ".join([f"{group}{i}" for i in range(60)] + ["near"] * near)
+    classes = [
+        [(None, text("a")), (1, text("a", 1)), (2, text("a"))],
+        [(None, text("b")), (5, text("b", 1))],
+        [(1, text("c")), (6, text("c")), (6, text("c", 1))],  # 1 is a duplicate in the first class
+        [(7, text("d")), (7, text("d"))],
+        [(7, text("e", 1)), (7, text("e"))],
+        [(None, "x y")],
+        [(None, None)],
+        [(8, "")],
+        [(8, None)],
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, t, "en", "s", len(t or "")) for c in classes for i, t in c]
+    random.Random(6).shuffle(rows)
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, schema).repartition(3), "").collect()
+    first = lambda c: min(c, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(map(first, classes), key=str)
+
+
 def test_predictions_of_held_out_documents(spark, sf_dir):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = QUERIES["op1_langid"](spark, sf_dir).where("held_out").collect()

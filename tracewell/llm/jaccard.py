@@ -39,7 +39,7 @@ LEAF_CHUNK, CHUNK = 8192, 256
 #: Standard errors of the minhash estimate that a pair at the threshold may fall below it.
 SLACK = 3.5
 SLICE = 8 << 20
-SETS = "doc_id long, node long, n_shingles int, values binary"
+SETS = "doc_id long, text_key long, node long, n_shingles int, values binary"
 #: Stands for a null id: smaller than all others.
 NO_ID = -(1 << 63)
 
@@ -159,11 +159,21 @@ def document_sets(docs: DataFrame, width: int) -> DataFrame:
                 binary = np.full(len(sizes), None, object)
                 binary[full] = [s.tobytes() for s in signatures]
                 yield pa.RecordBatch.from_arrays(
-                    [rows["doc_id"].combine_chunks(), pa.array(set_hashes(bounds, values)), pa.array(sizes.astype(np.int32)), pa.array(binary.tolist(), pa.binary())],
+                    [rows["doc_id"].combine_chunks(), rows["text_key"].combine_chunks(), pa.array(set_hashes(bounds, values)), pa.array(sizes.astype(np.int32)), pa.array(binary.tolist(), pa.binary())],
                     names=[f.split()[0] for f in SETS.split(", ")],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(embed, SETS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text").mapInArrow(embed, SETS)
+
+
+def order_id() -> F.Column:
+    """The id as a key to join and order by, never null."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+
+
+def text_key() -> F.Column:
+    """A hash of the text, which tells rows of one id apart."""
+    return F.xxhash64("text")
 
 
 def set_hashes(bounds: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -323,30 +333,41 @@ def _shared(bounds: np.ndarray, values: np.ndarray, left: np.ndarray, right: np.
     return np.rint(out).astype(np.int64)
 
 
-def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, width: int = WIDTH) -> DataFrame:
-    """``doc_id, class_id, n_links`` for each row of ``docs`` (``doc_id``, ``text``).
+def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, width: int = WIDTH) -> DataFrame:
+    """``doc_id, text_key, root, class_id, n_links`` for each row of ``docs`` (``doc_id``, ``text``).
 
-    ``class_id`` is the smallest ``doc_id`` of the class; ``n_links`` the number of other documents whose
-    similarity to this one is ``threshold`` or more.
+    ``root`` is the class itself, the hash of one of its sets, whatever ids its rows have; null for texts
+    without words.  ``text_key`` tells which text of an id the row is about.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = written(document_sets(docs, width), "sets")
-    full = sets.where("n_shingles > 0").withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
-    reps = written(full.groupBy(F.col("node").alias("rep")).agg(F.min("id").alias("id"), F.count("*").alias("times"), F.first("values").alias("values")), "reps")
+    full = sets.where("n_shingles > 0").withColumn("id", order_id())
+    reps = full.groupBy(F.col("node").alias("rep")).agg(F.min(F.struct("id", "text_key")).alias("least"), F.count("*").alias("times"), F.first("values").alias("values"))
+    reps = written(reps.select("rep", "least.id", "least.text_key", "times", "values"), "reps")
 
     groups = written(components(candidate_edges(reps, threshold, recall)), "groups")
     sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
-    members = groups.join(sizes, "root").join(reps.select(F.col("rep").alias("node"), "id", "times"), "node")
-    members = members.select(F.col("root").alias("grp"), F.col("node").alias("rep"), "n", "times", "id")
-    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
-    links = written(exact_links(members.join(texts, "id"), threshold, width), "links")
+    members = groups.join(sizes, "root").join(reps.select(F.col("rep").alias("node"), "id", "text_key", "times"), "node")
+    members = members.select(F.col("root").alias("grp"), F.col("node").alias("rep"), "n", "times", "id", "text_key")
+    texts = docs.select(order_id().alias("id"), text_key().alias("text_key"), "text")
+    links = written(exact_links(members.join(texts, ["id", "text_key"]), threshold, width), "links")
 
     classes = components(links.where("a <> b").select("a", "b")).withColumnRenamed("node", "rep")
     counts = links.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("linked"))
-    of_rep = reps.drop("values").join(counts, "rep", "left").join(classes, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    of_rep = reps.drop("values", "text_key").join(counts, "rep", "left").join(classes, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     of_rep = written(of_rep.select("rep", "root", "id", (F.coalesce("linked", F.lit(0)) + F.col("times") - 1).alias("n_links")), "classes")
     firsts = of_rep.groupBy("root").agg(F.min("id").alias("first"))
-    of_rep = of_rep.join(firsts, "root").select(F.col("rep").alias("node"), "first", "n_links")
-    found = sets.select("doc_id", "n_shingles", "node").join(of_rep, "node", "left")
+    of_rep = of_rep.join(firsts, "root").select(F.col("rep").alias("node"), "root", "first", "n_links")
+    found = sets.select("doc_id", "text_key", "n_shingles", "node").join(of_rep, "node", "left")
     class_id = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.nullif("first", F.lit(NO_ID)))
-    return found.select("doc_id", class_id.alias("class_id"), F.when(F.col("n_shingles") == 0, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"))
+    n_links = F.when(F.col("n_shingles") == 0, 0).otherwise(F.col("n_links")).cast("long")
+    return found.select("doc_id", "text_key", F.when(F.col("n_shingles") > 0, F.col("root")).alias("root"), class_id.alias("class_id"), n_links.alias("n_links"))
+
+
+def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, width: int = WIDTH) -> DataFrame:
+    """``doc_id, class_id, n_links`` for each row of ``docs`` (``doc_id``, ``text``).
+
+    ``class_id`` is the smallest ``doc_id`` of the class; ``n_links`` the number of other documents whose
+    similarity to this one is ``threshold`` or more.
+    """
+    return similarity_classes(docs, threshold, recall, width).select("doc_id", "class_id", "n_links")
