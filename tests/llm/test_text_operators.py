@@ -230,6 +230,26 @@ def test_languages_of_new_texts(spark):
     assert got[902].rejected and not got[903].rejected
 
 
+def test_models_keep_all_ngrams(spark):
+    """More n-grams than any bound on a model: none is lost, and all figures come from the full counts."""
+    rng = random.Random(8)
+    words = ["".join(chr(0x4E00 + rng.randrange(20_000)) for _ in range(8)) for _ in range(44_000)]
+    rows = [(k, " ".join(words[k : k + 400]), "zz", None, 0) for k in range(0, len(words), 400)] + english_and_vowels(40)
+    train = spark.createDataFrame(rows, SCHEMA)
+    models = langid.train_models(train)
+    counts = Counter()
+    for r in train.where(F.pmod(F.xxhash64("text"), F.lit(10)) != 0).collect():
+        for w in r.text.split():
+            s = langid.START * (langid.ORDER - 1) + w + langid.END
+            counts.update((r.lang, s[k : k + langid.ORDER]) for k in range(len(s) - langid.ORDER + 1))
+    assert len(counts) > 310_000
+    whole = langid.build_models([(name, gram, n) for (name, gram), n in counts.items()])
+    assert models.langs == whole.langs and models.floor == whole.floor
+    for table in ("grams", "contexts", "shares", "backoffs"):
+        for ours, theirs in zip(getattr(models, table), getattr(whole, table), strict=True):
+            assert ours.shape == theirs.shape and (ours == theirs).all() if ours.dtype == np.uint64 else np.allclose(ours, theirs, atol=1e-7)
+
+
 def test_model_is_a_distribution():
     """After each context the probabilities of all characters, and what is kept for unknown ones, add up to 1."""
     grams = Counter()

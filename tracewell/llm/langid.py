@@ -15,12 +15,19 @@ same texts with the letters of each word in sorted order, so that mixed and unus
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 and rejected; training rows
 without language or letter teach nothing; without any training row every text is ``und``; equal
-cross-entropies go to the language first in code-point order.  Of a language's n-grams the ``max_ngrams``
-most frequent are kept, so the model that is sent to all tasks has at most that many for each language.
+cross-entropies go to the language first in code-point order.
+
+The models keep every n-gram of every order.  Spark derives and sorts them; the driver streams them into two
+files, which tasks map into memory, so that only the pages they look at take any.
 """
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,14 +35,15 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm import _words
+from tracewell.llm._tables import written
 
 ORDER = 4
 START, END = "\x02", "\x03"
-MAX_NGRAMS = 300_000
 MIN_CHARS = 40
 TEMPERATURES = (0.02, 0.05, 0.1, 0.2, 0.5, 1.0)
 #: Characters of a text that count towards its score at most: later ones repeat the evidence.
@@ -104,9 +112,17 @@ def count_ngrams(train: DataFrame, text: str, lang: str) -> DataFrame:
     return rows.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+#: The arrays of a model, each a list with an entry for each order.
+TABLES = ("grams", "shares", "contexts", "backoffs")
+
+
 @dataclass
 class Models:
-    """The models of all languages: for each order sorted n-gram and context hashes with a column for each language."""
+    """The models of all languages: for each order sorted n-gram and context hashes with a column for each language.
+
+    With ``files`` the arrays lie in Spark files of these names (hashes, values), ``sizes`` rows to a table; a
+    pickled model has only the names and maps the files again where it is read.
+    """
 
     langs: list[str]
     floor: float
@@ -116,6 +132,24 @@ class Models:
     backoffs: list[np.ndarray] = field(default_factory=list)
     temperature: float = 0.1
     limits: dict[str, float] = field(default_factory=dict)
+    files: tuple[str, str] | None = None
+    sizes: list[int] = field(default_factory=list)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | (dict.fromkeys(TABLES, []) if self.files else {})
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        if self.files:
+            self.map_files()
+
+    def map_files(self) -> None:
+        keys, values = (np.asarray(np.memmap(SparkFiles.get(name), kind, "r")) for name, kind in zip(self.files, (np.uint64, np.float32), strict=True))
+        values = values.reshape(-1, len(self.langs))
+        ends = np.cumsum(self.sizes)
+        spans = [slice(end - size, end) for end, size in zip(ends, self.sizes, strict=True)]
+        self.grams, self.shares = ([x[s] for s in spans[::2]] for x in (keys, values))
+        self.contexts, self.backoffs = ([x[s] for s in spans[1::2]] for x in (keys, values))
 
     def word_costs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The negative log probability of each word in each language, and its number of predicted characters."""
@@ -156,7 +190,7 @@ def _rows(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: flo
 
 
 def build_models(rows: list[tuple[str, str, int]]) -> Models:
-    """Interpolated Kneser-Ney models from ``(lang, n-gram, count)``."""
+    """Interpolated Kneser-Ney models from ``(lang, n-gram, count)``, in the memory of one process; for small tables."""
     langs = sorted({r[0] for r in rows})
     column = {name: i for i, name in enumerate(langs)}
     counts: list[dict[str, Counter]] = [{name: Counter() for name in langs} for _ in range(ORDER + 1)]
@@ -190,19 +224,84 @@ def build_models(rows: list[tuple[str, str, int]]) -> Models:
     return models
 
 
+def model_tables(counts: DataFrame, langs: list[str]) -> DataFrame:
+    """``part, gram, v0, v1, ...``: all n-grams (part ``2 n - 2``) and contexts (``2 n - 1``) with a value for each language."""
+    parts, level = [], counts
+    for n in range(ORDER, 0, -1):
+        if n < ORDER:
+            level = written(level.groupBy("lang", F.substring("gram", 2, n).alias("gram")).agg(F.count("*").alias("n")), f"grams-{n}")
+        n1, n2 = (F.count(F.when(F.col("n") == t, 1)) for t in (1, 2))
+        discount = F.when(n1 > 0, F.least(F.lit(0.95), F.greatest(F.lit(0.1), n1 / (n1 + 2 * n2)))).otherwise(0.5)
+        discounts = F.broadcast(level.groupBy("lang").agg(discount.alias("discount")))  # a row for each language
+        rows = level.withColumn("context", F.substring("gram", 1, n - 1))
+        contexts = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("types")).join(discounts, "lang")
+        share = F.greatest(F.col("n") - F.col("discount"), F.lit(0.0)) / F.col("total")
+        shares = rows.join(contexts, ["lang", "context"])
+        parts.append(shares.select(F.lit(2 * n - 2).alias("part"), "gram", "lang", share.alias("v")))
+        parts.append(contexts.select(F.lit(2 * n - 1), "context", "lang", F.col("discount") * F.col("types") / F.col("total")))
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.union(more)
+    unseen = (F.col("part") % 2).cast("double")  # share 0, back-off 1
+    own = lambda name: F.max(F.when(F.col("lang") == name, F.col("v")))
+    rows = rows.groupBy("part", "gram").agg(*(own(name).alias(f"v{k}") for k, name in enumerate(langs)))
+    return rows.select("part", "gram", *(F.coalesce(f"v{k}", unseen).alias(f"v{k}") for k in range(len(langs))))
+
+
+def stored_models(counts: DataFrame) -> Models:
+    """The models of ``build_models`` from a table ``lang, gram, n`` of any size, in files that tasks map."""
+    spark = counts.sparkSession
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())  # a row for each language
+    alphabet = counts.select(F.substring("gram", ORDER, 1)).distinct().count()
+    models = Models(langs, 1.0 / (alphabet + 1))
+    if not langs:
+        return models
+    names = [f"v{k}" for k in range(len(langs))]
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, grams = batch["part"].to_numpy(), np.array(batch["gram"].to_pylist(), object)
+            keys = np.zeros(len(part), np.uint64)
+            for p in np.unique(part):
+                keys[part == p] = key_of(grams[part == p].tolist())
+            place = (keys ^ np.uint64(1 << 63)).view(np.int64)  # signed, in the order of the hashes
+            values = np.stack([batch[v].to_numpy() for v in names], axis=1).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch["part"], pa.array(place), pa.array([v.tobytes() for v in values], pa.binary())], names=["part", "place", "value"])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, place, value = batch["part"].to_numpy(), batch["place"].to_numpy(), batch["value"].to_pylist()
+            edges = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+            for a, b in zip(edges, [*edges[1:], len(part)], strict=True):
+                keys = place[a:b].view(np.uint64) ^ np.uint64(1 << 63)
+                yield pa.RecordBatch.from_arrays([pa.array(part[a : a + 1], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([b"".join(value[a:b])], pa.binary())], names=["part", "keys", "share"])
+
+    rows = written(model_tables(counts, langs).mapInArrow(keyed, "part int, place long, value binary"), "model")
+    folder, name = tempfile.mkdtemp(prefix="spark-"), uuid.uuid4().hex
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    models.files, models.sizes = (f"{name}.keys", f"{name}.values"), [0] * (2 * ORDER)
+    with open(os.path.join(folder, models.files[0]), "wb") as keys, open(os.path.join(folder, models.files[1]), "wb") as values:
+        for r in rows.orderBy("part", "place").mapInArrow(blocks, "part int, keys binary, share binary").toLocalIterator():  # a batch of rows at a time
+            models.sizes[r.part] += len(r["keys"]) // 8
+            keys.write(r["keys"])
+            values.write(r["share"])
+    for file in models.files:
+        spark.sparkContext.addFile(os.path.join(folder, file))
+    models.map_files()
+    return models
+
+
 def probabilities(h: np.ndarray, n: np.ndarray, temperature: float) -> np.ndarray:
     logits = -h * temperature * np.minimum(n, EVIDENCE)[:, None]
     e = np.exp(logits - logits.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train_models(train: DataFrame, text: str = "text", lang: str = "lang", max_ngrams: int = MAX_NGRAMS) -> Models:
+def train_models(train: DataFrame, text: str = "text", lang: str = "lang") -> Models:
     """Models from all rows of ``train`` with a language."""
     spark = train.sparkSession
     rows = train.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null").withColumn("held", F.pmod(F.xxhash64("text"), F.lit(10)) == 0)
-    by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    kept = count_ngrams(rows.where("not held"), "text", "lang").withColumn("at", F.row_number().over(by_count)).where(F.col("at") <= max_ngrams)
-    models = build_models([(r.lang, r.gram, r.n) for r in kept.select("lang", "gram", "n").toLocalIterator()])
+    models = stored_models(written(count_ngrams(rows.where("not held"), "text", "lang"), "grams"))
     if not models.langs:
         return models
     shared = spark.sparkContext.broadcast(models)
