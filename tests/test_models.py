@@ -84,6 +84,18 @@ def test_moments_and_pca(spark):
     assert np.allclose(pcs.mean(axis=0), 0, atol=1e-9) and np.allclose(np.cov(pcs, rowvar=False), np.diag(np.diag(np.cov(pcs, rowvar=False))), atol=1e-9)
 
 
+def test_class_covariance_of_all_places(spark, sf_dir):
+    from tracewell.queries import QUERIES
+
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", "embedding").collect()
+    got = {(r.label, r.i, r.j): r["cov"] for r in QUERIES["class_cov_partial"](spark, sf_dir).collect()}
+    labels = {r.label for r in rows}
+    assert len(got) == len(labels) * 64 * 64
+    for label in labels:
+        own = np.cov(np.array([r.embedding for r in rows if r.label == label], float), rowvar=False) + 1e-6 * np.eye(64)
+        assert np.allclose([[got[label, i, j] for j in range(64)] for i in range(64)], own, atol=1e-6)
+
+
 def test_detector_round_trip(spark, tmp_path):
     df = vectors(spark)
     found = fit_detector(df.where("split = 'train'"), components=3)

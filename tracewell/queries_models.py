@@ -41,6 +41,16 @@ def q_class_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cov.select("label", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), r6("cov").alias("cov"))
 
 
+def q_class_cov_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full covariance of each label with the ridge, from partial sums; null for a label of one vector, as in ``class_cov``."""
+    vectors = _vectors(spark, sf_dir)
+    found = moments(vectors, ["label"])
+    keys = [(r.label, "" if r.label is None else str(r.label)) for r in vectors.where("ev is not null").select("label").distinct().collect()]  # a row for each label
+    value = lambda m, i, j: float(round(m.cov[i, j] + (1e-6 if i == j else 0.0), 6)) + 0.0 if m.n > 1 else None
+    rows = [(label, i, j, value(found[key], i, j)) for label, key in keys for i in range(len(found[key].mean)) for j in range(len(found[key].mean))]
+    return spark.createDataFrame(rows, f"label {vectors.schema['label'].dataType.simpleString()}, i int, j int, cov double")
+
+
 def q_cum_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     variances = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.sum("p_size").cast("double").alias("variance"))
     return explained_variance(variances).select("p_brand", "variance", F.col("rank").cast("int").alias("rank"), r6("cum_pct").alias("cum_pct"))
@@ -181,6 +191,7 @@ ORACLE_SQL = {
     "feature_cov": f"WITH {sql.EMBEDDED} SELECT a.k AS i, b.k AS j, round(covar_samp(a.x, b.x), 6) + 0e0 AS cov FROM em a JOIN em b ON a.vec_id = b.vec_id WHERE a.k < 8 AND b.k < 8 GROUP BY 1, 2",
     "feature_cov_partial": f"WITH {sql.EMBEDDED} SELECT a.k AS i, b.k AS j, round(covar_samp(a.x, b.x), 6) + 0e0 AS cov FROM em a JOIN em b ON a.vec_id = b.vec_id GROUP BY 1, 2",
     "class_cov": f"WITH {sql.EMBEDDED} SELECT a.label AS label, a.k AS i, b.k AS j, round(covar_samp(a.x, b.x) + CASE WHEN a.k = b.k THEN 1e-6 ELSE 0e0 END, 6) + 0e0 AS cov FROM em a JOIN em b ON a.vec_id = b.vec_id WHERE a.k < 3 AND b.k < 3 GROUP BY 1, 2, 3",
+    "class_cov_partial": f"WITH {sql.EMBEDDED} SELECT a.label AS label, a.k AS i, b.k AS j, round(covar_samp(a.x, b.x) + CASE WHEN a.k = b.k THEN 1e-6 ELSE 0e0 END, 6) + 0e0 AS cov FROM em a JOIN em b ON a.vec_id = b.vec_id GROUP BY 1, 2, 3",
     "cum_explained": """WITH v AS (SELECT p_brand, CAST(sum(p_size) AS DOUBLE) AS variance FROM part GROUP BY 1)
 SELECT p_brand, variance, CAST(row_number() OVER (ORDER BY variance DESC, p_brand) AS INTEGER) AS rank,
   round(100e0 * sum(variance) OVER (ORDER BY variance DESC, p_brand ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(variance) OVER (), 6) + 0e0 AS cum_pct FROM v""",
