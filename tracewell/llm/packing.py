@@ -1,7 +1,8 @@
 """Packing token sequences by cutting-stock column generation.
 
 Documents become token ids; a document longer than a sequence is cut into full pieces and a rest.  Piece
-lengths are rounded up to units, and the histogram over the units (a fixed number of counts, whatever the
+lengths are rounded up to units, short ones after they have been put together in bundles, and the histogram
+over the units (a fixed number of counts, whatever the
 input) defines a cutting-stock problem: cover all counts with the fewest patterns.  The linear program is
 solved by column generation, where a knapsack over the units prices the columns; patterns are rounded down
 and what is left is filled greedily, largest first.  Pieces are ranked within their length class, in blocks
@@ -10,8 +11,9 @@ so that no task orders a whole class, and the rank names the pattern, sequence a
 Tokens of a text are found word by word: the tokenizer drops white space and no rule of it reaches over
 white space, so each distinct word of a batch is encoded once.
 
-Defined results: a null or empty text has the closing id alone; equal rows are packed once each; an empty
-table gives no pieces.
+Defined results: a null or empty text has the closing id alone; null ids are ids like others; equal rows are packed
+once each; a text of any length is cut whole, in slices of one row at least; of other columns of the documents none is
+kept, so that no name can clash; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -32,43 +34,80 @@ from tracewell.llm._tables import written
 LENGTH = 4096
 UNITS = 256
 END_ID = 2
-#: Words whose ids a worker remembers.
-REMEMBERED = 120_000
-ENCODE_ROWS = 4096
+#: Words whose ids a worker remembers, and the ids that one of them has at most.
+REMEMBERED, LONGEST = 1_000_000, 64
+#: New words are encoded so many at a time, parted by the mark.
+ENCODE_WORDS, MARK = 1024, "\x01"
+#: Pieces below ``SHORT`` units are put together in bundles of ``BUNDLE`` units or a little more.
+SHORT, BUNDLE = 4, 28
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class WordTokens:
-    """The ids of distinct words, with a bounded memory of earlier ones."""
+    """The ids of distinct words, with a bounded memory of earlier ones.
+
+    A remembered word is two 64-bit hashes and the place of its ids, all in arrays.  When the memory is full, words that
+    weren't met again since the last time are forgotten.  New words are encoded many at a time, parted by a mark that
+    the tokenizer turns into one id of its own; where the marks can't be told from the words, one by one.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.index: dict[str, int] = {}
+        own = [e.ids for e in self.tokenizer.encode_batch_fast(["a", MARK, f"a {MARK} a"], add_special_tokens=False)]
+        self.mark = own[1][0] if len(own[1]) == 1 and own[2] == own[0] + own[1] + own[0] else None
+        self.first, self.second = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.starts, self.sizes, self.again = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
         self.ids = np.empty(0, np.uint32)
-        self.starts = np.zeros(1, np.int64)
 
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def fresh(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and how many each has."""
+        parts = [words[k : k + ENCODE_WORDS] for k in range(0, len(words), ENCODE_WORDS)]
+        ids, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for part in parts:
+            joined = f" {MARK} ".join(part)
+            if self.mark is not None and joined.count(MARK) == len(part) - 1:
+                found = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+                marks = np.flatnonzero(found == self.mark)
+                if len(marks) == len(part) - 1:
+                    ids.append(np.delete(found, marks))
+                    sizes.append(np.diff(np.concatenate([[-1], marks, [len(found)]])) - 1)
+                    continue
+            single = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            ids.append(np.fromiter(itertools.chain.from_iterable(single), np.uint32))
+            sizes.append(np.fromiter(map(len, single), np.int64, len(single)))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def encode(self, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(ids, starts, lengths)``: word ``i`` has ``ids[starts[i] : starts[i] + lengths[i]]``."""
-        place = np.fromiter((self.index.get(w, -1) for w in words), np.int64, len(words))
-        new = np.flatnonzero(place < 0)
-        found: list[list[int]] = []
-        for k in range(0, len(new), ENCODE_ROWS):
-            part = [words[i] for i in new[k : k + ENCODE_ROWS]]
-            found += [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))])
-        starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        place[new] = len(self.starts) - 1 + np.arange(len(new))
-        room = max(0, REMEMBERED - len(self.index))
-        kept = min(room, len(new))
-        if kept:
-            self.index.update((words[i], int(place[i])) for i in new[:kept])
-            self.starts = starts[: len(self.starts) + kept]
-            self.ids = ids[: self.starts[-1]]
-        return ids, starts[place], starts[place + 1] - starts[place]
+        first, second = _words.hash_words(vocabulary)
+        at = np.searchsorted(self.first, first)
+        inside = np.minimum(at, max(len(self.first) - 1, 0))
+        known = (self.first[inside] == first) & (self.second[inside] == second) if len(self.first) else np.zeros(len(first), bool)
+        new = np.flatnonzero(~known)
+        more, n = self.fresh(vocabulary.take(pa.array(new)).to_pylist())
+        ids = np.concatenate([self.ids, more])
+        starts, sizes = np.empty(len(first), np.int64), np.empty(len(first), np.int64)
+        starts[known], sizes[known] = self.starts[inside[known]], self.sizes[inside[known]]
+        starts[new], sizes[new] = len(self.ids) + np.cumsum(n) - n, n
+        self.again[inside[known]] = True
+        self.remember(first[new], second[new], starts[new], n, ids)
+        return ids, starts, sizes
+
+    def remember(self, first: np.ndarray, second: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        short = sizes <= LONGEST
+        columns = [(self.first, first[short]), (self.second, second[short]), (self.starts, starts[short]), (self.sizes, sizes[short]), (self.again, np.zeros(short.sum(), bool))]
+        first, second, starts, sizes, again = (np.concatenate(c) for c in columns)
+        if len(first) > REMEMBERED:
+            stays = np.flatnonzero(again)[:REMEMBERED >> 1]
+            first, second, starts, sizes, again = first[stays], second[stays], starts[stays], sizes[stays], np.zeros(len(stays), bool)
+        order = np.argsort(first, kind="stable")
+        self.first, self.second, starts, self.sizes, self.again = (x[order] for x in (first, second, starts, sizes, again))
+        ends = np.cumsum(self.sizes)
+        self.ids = ids[np.repeat(starts - (ends - self.sizes), self.sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        self.starts = ends - self.sizes
 
 
 _tokens: dict[str, WordTokens] = {}
@@ -83,7 +122,7 @@ def word_tokens(path: str) -> WordTokens:
 def token_ids(texts: pa.ChunkedArray | pa.Array, tokens: WordTokens, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """``(bounds, ids)`` of the texts, each text closed by ``end_id``."""
     bounds, codes, vocabulary = _words.split_words(texts)
-    ids, starts, lengths = tokens.encode(vocabulary.to_pylist())
+    ids, starts, lengths = tokens.encode(vocabulary)
     sizes = lengths[codes]
     ends = np.concatenate([[0], np.cumsum(sizes)])
     flat = ids[np.repeat(starts[codes] - ends[:-1], sizes) + np.arange(ends[-1])]
@@ -144,6 +183,25 @@ def best_pattern(widths: np.ndarray, values: np.ndarray, capacity: int) -> tuple
     return float(best[capacity]), pattern
 
 
+def inverted(basis: np.ndarray, estimate: np.ndarray) -> np.ndarray:
+    """The inverse by elimination; the estimate where the basis is singular to working precision.
+
+    Element by element on purpose: threaded linear algebra in a process that also runs a Spark driver may never end.
+    """
+    m = len(basis)
+    a = np.concatenate([basis, np.eye(m)], axis=1)
+    for c in range(m):
+        p = c + int(np.abs(a[c:, c]).argmax())
+        if abs(a[p, c]) < 1e-11:
+            return estimate
+        a[[c, p]] = a[[p, c]]
+        a[c] /= a[c, c]
+        factor = a[:, c].copy()
+        factor[c] = 0
+        a -= factor[:, None] * a[c]
+    return a[:, m:]
+
+
 def cutting_stock(counts: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """Patterns and how often each is used, so that together they hold ``counts[u - 1]`` pieces of ``u`` units."""
     counts = np.asarray(counts, np.int64)
@@ -157,17 +215,16 @@ def cutting_stock(counts: np.ndarray) -> list[tuple[int, np.ndarray]]:
         value, pattern = best_pattern(widths, inverse.sum(axis=0), capacity)
         if value <= 1 + 1e-7:
             break
-        d = inverse @ pattern
+        d = (inverse * pattern).sum(axis=1)
         ratio = np.where(d > 1e-10, x / np.where(d > 1e-10, d, 1), np.inf)
         r = int(ratio.argmin())
         basis[:, r] = pattern
+        row = inverse[r] / d[r]
+        inverse -= d[:, None] * row
+        inverse[r] = row
         if step % 100 == 99:
-            inverse = np.linalg.inv(basis)
-        else:
-            row = inverse[r] / d[r]
-            inverse -= np.outer(d, row)
-            inverse[r] = row
-        x = np.maximum(inverse @ demand, 0)
+            inverse = inverted(basis, inverse)
+        x = np.maximum((inverse * demand).sum(axis=1), 0)
     left, used = counts.copy(), []
 
     def use(times: int, units: np.ndarray) -> None:
@@ -213,35 +270,45 @@ class Places:
 
 def pack(pieces: DataFrame, length: int = LENGTH, units: int = UNITS) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; no sequence is longer than ``length``."""
-    spark, unit = pieces.sparkSession, length // units
+    unit = length // units
     if unit * units != length:
         raise ValueError("length must be a multiple of units")
     pieces = written(pieces, "pieces")
     names = pieces.columns
-    classed = pieces.withColumn("__units", F.ceil(F.col("length") / unit).cast("int"))
-    total = pieces.count()
-    blocks = max(16, total // 1_000_000)
-    classed = classed.withColumn("__block", F.pmod(F.xxhash64("doc_id", "start"), F.lit(blocks)).cast("int"))
-    sizes = sorted(tuple(r) for r in classed.groupBy("__units", "__block").count().toLocalIterator())  # units times blocks rows
-    counts, firsts = np.zeros(units, np.int64), []
-    for u, block, n in sizes:
-        firsts.append((u, block, int(counts[u - 1])))
-        counts[u - 1] += n
-    places = Places(cutting_stock(counts))
-    offsets = spark.createDataFrame(firsts, "__units int, __block int, __first long")
     place_order = [n for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens") if n in names]
-    order = Window.partitionBy("__units", "__block").orderBy(*place_order)
-    ranked = classed.join(offsets, ["__units", "__block"]).withColumn("__rank", F.row_number().over(order) - 1 + F.col("__first"))
+    blocks = max(16, pieces.count() // 1_000_000)
+    keyed = pieces.withColumn("__block", F.pmod(F.xxhash64(*place_order), F.lit(blocks)).cast("int"))
+
+    # Short pieces become bundles, which are packed like long pieces.
+    upto = Window.partitionBy("__block").orderBy(*place_order).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("length").over(upto), F.lit(0))
+    is_short = F.col("length") < SHORT * unit
+    short = keyed.where(is_short).withColumn("__bundle", F.floor(before / (BUNDLE * unit)).cast("long"))
+    bundles = short.groupBy("__block", "__bundle").agg(F.sum("length").alias("__size"))
+    items = keyed.where(~is_short).withColumn("__bundle", F.lit(None).cast("long")).withColumn("__size", F.col("length"))
+    items = items.unionByName(bundles, allowMissingColumns=True).withColumn("__units", F.ceil(F.col("__size") / unit).cast("int"))
+
+    per = written(items.groupBy("__units", "__block").agg(F.count("*").alias("__n")), "classes")
+    counts = np.zeros(units, np.int64)
+    for u, n in per.groupBy("__units").agg(F.sum("__n")).collect():  # a row for each unit
+        counts[u - 1] = n
+    places = Places(cutting_stock(counts))
+    first = F.sum("__n").over(Window.partitionBy("__units").orderBy("__block")) - F.col("__n")
+    order = Window.partitionBy("__units", "__block").orderBy(*place_order, "__bundle")
+    ranked = items.join(per.withColumn("__first", first).drop("__n"), ["__units", "__block"]).withColumn("__rank", F.row_number().over(order) - 1 + F.col("__first"))
+    carried = [*names, "__block", "__bundle"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = places.sequence(batch["__units"].to_numpy(), batch["__rank"].to_numpy())
-            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pa.array(found)], names=[*names, "sequence_id"])
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in carried), pa.array(found)], names=[*carried, "sequence_id"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long"
-    placed = ranked.select(*names, "__units", "__rank").mapInArrow(place, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.select(*carried).schema.fields) + ", sequence_id long"
+    placed = written(ranked.select(*carried, "__units", "__rank").mapInArrow(place, schema), "placed")
+    whole = placed.where("__bundle is null").select(*names, "sequence_id")
+    bundled = short.join(placed.where("__bundle is not null").select("__block", "__bundle", "sequence_id"), ["__block", "__bundle"])
     inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), *place_order).rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long"))
+    return whole.unionByName(bundled.select(*names, "sequence_id")).withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long"))
 
 
 def sequences(packed: DataFrame, pieces_with_ids: DataFrame, length: int = LENGTH, pad_id: int = 0) -> DataFrame:
