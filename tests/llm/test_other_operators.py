@@ -121,29 +121,47 @@ def test_runs_join_close_ranges():
 # binary codes
 
 
-def test_nearest_codes_equal_brute_force(spark):
+def brute_force(codes, q, k):
+    """``rank, distance, id`` of the k nearest of ``{id: words}``."""
+    d = sorted((sum((x ^ y).bit_count() for x, y in zip(c, q, strict=True)), i) for i, c in codes)
+    return [(r, *x) for r, x in enumerate(d[:k], 1)]
+
+
+@pytest.mark.parametrize(("bits", "cell_codes", "cell_queries"), [(64, 100_000, 20_000), (64, 40, 3), (200, 60, 1000), (10, 5, 5)])
+def test_nearest_codes_equal_brute_force(spark, bits, cell_codes, cell_queries):
     rng = np.random.default_rng(4)
-    codes = rng.integers(-(2**63), 2**63 - 1, 700, dtype=np.int64)
-    codes[100:180] = codes[5]
-    codes[200:400] = codes[200] ^ (1 << rng.integers(0, 62, 200))
-    rows = [(i, int(c)) for i, c in enumerate(codes)] + [(None, 5), (9999, None)]
-    base = spark.createDataFrame(rows, "id long, code long")
-    queries = base.where("id % 23 = 0")
+    words = -(-bits // 64)
+    codes = [[int(rng.integers(0, 1 << min(63, bits - 64 * w))) for w in range(words)] for _ in range(500)]
+    for i in range(100, 160):
+        codes[i] = list(codes[5])
+    for i in range(200, 400):  # a crowd that shares most segments
+        codes[i] = [codes[200][0] ^ (1 << int(rng.integers(0, min(62, bits)))), *codes[200][1:]]
+    codes[7][0] = -(1 << 63) if bits >= 64 else codes[7][0]
+    rows = list(enumerate(codes)) + [(None, codes[0]), (9999, None), (3, codes[400])]
+    base = spark.createDataFrame(rows, "id long, code array<long>").withColumn("distance", F.lit("clash")).repartition(3)
     got = defaultdict(list)
-    for r in hamming.top_k(base, queries, 12, block_codes=150, block_queries=10).collect():
+    for r in hamming.top_k(base, base.where("id % 23 = 0"), 12, bits, cell_codes, cell_queries).collect():
         got[r.query_id].append((r.rank, r.distance, r.found_id))
-    for q in range(0, 700, 23):
-        d = sorted((int(np.bitwise_count(np.uint64(np.int64(c).view(np.uint64) ^ codes[q].view(np.uint64)))), i) for i, c in enumerate(codes))[:12]
-        assert [(a, b) for _, a, b in sorted(got[q])] == d
-    few = hamming.top_k(base.where("id < 3"), base.where("id = 1"), 10).collect()
-    assert len(few) == 3 and hamming.top_k(base.limit(0), queries, 3).count() == 0
+    unsigned = [(i, [x % (1 << 64) for x in c]) for i, c in rows if i is not None and c is not None]
+    for q in range(0, 500, 23):
+        assert sorted(got[q]) == brute_force(unsigned, [x % (1 << 64) for x in codes[q]], 12)
+    assert len(got) == 22
+
+
+def test_nearest_of_few_codes(spark):
+    base = spark.createDataFrame([(0, [1]), (1, [3]), (2, [-1])], "id long, code array<long>")
+    few = hamming.top_k(base, base.where("id = 1"), 10).collect()
+    assert [(r.found_id, r.distance) for r in sorted(few, key=lambda r: r.rank)] == [(1, 0), (0, 1), (2, 62)]
+    assert hamming.top_k(base.limit(0), base, 3).count() == 0 and hamming.top_k(base, base.limit(0), 3).count() == 0
     twice = base.where("id = 1").unionByName(base.where("id = 1"))
-    assert hamming.top_k(base.where("id < 3"), twice, 2).count() == 4
+    assert hamming.top_k(base, twice, 2).count() == 4
 
 
 def test_sign_codes(spark):
-    df = spark.createDataFrame([([1.0] + [-1.0] * 62 + [2.0],), ([0.0, 3.0],)], "v array<double>")
-    assert [r.c for r in df.select(hamming.sign_code(F.col("v")).alias("c")).collect()] == [1 - 2**63, 2]
+    df = spark.createDataFrame([([1.0] + [-1.0] * 62 + [2.0] + [0.0, 5.0],), ([0.0, 3.0],), ([None, None, 1.0],)], "v array<double>")
+    assert [r.c for r in df.select(hamming.sign_code(F.col("v")).alias("c")).collect()] == [[1 - 2**63], [2], [4]]
+    assert [r.c for r in df.select(hamming.sign_code(F.col("v"), 66).alias("c")).collect()] == [[1 - 2**63, 2], [2, 0], [4, 0]]
+    assert hamming.widths(64, 50_000) == [16] * 4 and sum(hamming.widths(200, 10**9)) == 200
 
 
 # helpers and the whole

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import zlib
@@ -10,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tracewell.llm import fingerprints, jaccard, langid, mixing, packing, sharding, substrings
@@ -110,17 +112,62 @@ def test_sketches_are_exact_when_small_and_merge(docs, rows):
         assert abs(r.j - len(a & b) / len(a | b)) < 0.15 and abs(r.c - len(a & b) / len(a)) < 0.3
 
 
-def test_next_document_over_blocks(docs, rows, odd):
-    for blocks in (1, 4, 50):
-        found, following = fingerprints.with_next(docs, blocks)
+def test_next_document_over_blocks(docs, rows, odd, spark):
+    for block_rows in (1000, 30, 2):
+        found, following = fingerprints.with_next(docs, block_rows)
         got = {r.doc_id: r.f for r in found.withColumn("f", following("text")).where("tail = 0").collect()}
         texts = [r[1] or "" for r in rows]
         assert got == {i: texts[(i + 1) % len(texts)] for i in range(len(texts))}
-    found, following = fingerprints.with_next(odd)
-    assert found.withColumn("f", following("text")).where("tail = 0 and f is not null").count() == 6
+        assert found.where("tail = 1").count() == found.select("block").distinct().count()  # one copy a block
+    clustered = spark.createDataFrame([(i if i % 3 else i * 10**15, f"t{i}") for i in range(900)], "doc_id long, text string")
+    sizes = [r["count"] for r in fingerprints.with_next(clustered, 30)[0].groupBy("block").count().collect()]
+    assert len(sizes) >= 25 and max(sizes) <= 60
+    without = spark.createDataFrame([(None, f"t{i}") for i in range(400)] + [(1, "x")], "doc_id long, text string")
+    found, following = fingerprints.with_next(without, 20)
+    got = found.withColumn("f", following("text")).where("tail = 0").collect()
+    assert len(got) == 401 and len({r.f for r in got}) == 401 and len({r.block for r in got}) >= 15
+    for block_rows in (1, 1000):
+        found, following = fingerprints.with_next(odd, block_rows)
+        assert found.withColumn("f", following("text")).where("tail = 0 and f is not null").count() == 6
     assert fingerprints.with_next(odd.limit(0))[0].count() == 0
 
 
+def bottom_k(text: str) -> list[int]:
+    """A text's sketch, shingle by shingle: 64-bit hashes chained from word to word, as signed numbers."""
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    own = [xxhash.xxh64_intdigest(w.encode(), 42) for w in WORD.findall(text)]
+    if len(own) >= fingerprints.WIDTH:
+        parts = [own[k : k + fingerprints.WIDTH] for k in range(len(own) - fingerprints.WIDTH + 1)]
+    else:
+        parts = [own] if own else []
+    out = set()
+    for part in parts:
+        h = 42
+        for w in part:
+            h = xxhash.xxh64_intdigest(w.to_bytes(8, "little"), h)
+        out.add(signed(h))
+    return sorted(out)[: fingerprints.K]
+
+
+def test_fingerprint_query_equals_brute_force(spark, sf_dir):
+    """Every column of the query over its table, the last document's successor included."""
+    from tracewell.llm.queries_fingerprints import op3_fingerprints
+
+    likeness = lambda a, b: 1.0 if not a and not b else len(set(sorted(set(a) | set(b))[: fingerprints.K]) & set(a) & set(b)) / len(sorted(set(a) | set(b))[: fingerprints.K])
+    as_hex = lambda sketch: " ".join(f"{x % (1 << 64):x}" for x in sketch)
+    texts = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+    got = {r.doc_id: r for r in op3_fingerprints(spark, sf_dir).collect()}
+    assert len(got) == len(texts)
+    for k, (i, text) in enumerate(texts):
+        following = texts[(k + 1) % len(texts)][1]
+        m = len(text) // 4
+        edited = text[: len(text) - m] + following[:m]
+        own, changed, after = map(bottom_k, (text, edited, following))
+        assert (got[i].n_chars, got[i].edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (as_hex(own), as_hex(changed))
+        assert abs(got[i].near_edited - likeness(own, changed)) < 1e-12 and abs(got[i].near_next - likeness(own, after)) < 1e-12
+
+
 # count-min substring dedup
 
 
@@ -202,7 +249,42 @@ def test_join_of_odd_rows(odd):
 
 
 def test_runs_reach_the_recall():
-    assert jaccard.runs_for(0.999, 1) == 7 and jaccard.runs_for(0.999, 3) == 15
+    """The chance of a run from the recursion equals that of simulated trees, and depth grows with the sets."""
+    assert [jaccard.depth_for(n) for n in (10, 10**5, 10**9)] == [2, 3, 6]
+    assert jaccard.runs_for(0.999, 3) > jaccard.runs_for(0.999, 2) > jaccard.runs_for(0.9, 2)
+    rng = np.random.default_rng(0)
+
+    def together(agree: int, depth: int) -> bool:
+        return depth == 0 or any(together(agree, depth - 1) for _ in range(rng.binomial(agree, 1 / (0.8 * jaccard.POSITIONS))))
+
+    missed = 0.0
+    for _ in range(400):
+        agree = rng.binomial(jaccard.POSITIONS, 0.8)
+        missed += not any(together(agree, 2) for _ in range(jaccard.runs_for(0.9, 2)))
+    assert missed / 400 < 0.15
+
+
+def test_recall_of_pairs_at_the_threshold(spark):
+    """Lone pairs whose similarity is just the threshold, among many unrelated texts that fill large buckets."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    data, pairs = [], 150
+    for k in range(pairs):
+        own = [word() for _ in range(184)]  # 180 shingles; 20 new ones at the end leave 160 of 200 in common
+        data += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(own[:164] + [word() for _ in range(20)]))]
+    data += [(10_000 + k, " ".join(word() for _ in range(60))) for k in range(300)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.jaccard_join(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    found = sum(got[2 * k + 1] == (2 * k, 1) for k in range(pairs))
+    assert found >= pairs - 2 and all(got[10_000 + k] == (10_000 + k, 0) for k in range(300))
+
+
+def test_hot_keys_are_joined_by_broadcast(spark, monkeypatch):
+    rows = spark.createDataFrame([(0, i) for i in range(500)] + [(k, k) for k in range(1, 200)], "path long, rep long")
+    sizes = rows.groupBy("path").agg(F.count("*").alias("n")).where("path <> 7")
+    for keys in (1, 10_000):
+        monkeypatch.setattr(jaccard, "HOT_KEYS", keys)
+        got = sorted(tuple(r) for r in jaccard.skew_join(rows, sizes, "path", 699).select("path", "rep", "n").collect())
+        assert got == sorted([(0, i, 500) for i in range(500)] + [(k, k, 1) for k in range(1, 200) if k != 7])
 
 
 # Kneser-Ney

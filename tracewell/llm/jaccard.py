@@ -4,19 +4,24 @@ Documents are sets of word shingles.  A set is embedded as ``POSITIONS`` minhash
 position with the probability of their Jaccard similarity.  A run of the join splits all sets recursively: a
 node of its tree samples positions, each with probability 1 / (``threshold`` x ``POSITIONS``), and sends a set
 down one branch for every sampled position, named by the set's value there.  A bucket of ``LEAF`` sets or
-fewer is searched by brute force; a larger one is split again, down to ``DEPTH``, where it is searched by brute
-force in blocks of pairs of chunks.  Runs repeat until the chance to miss a pair at the threshold is below
-1 - ``recall``.  A run finds such a pair with probability q(DEPTH) or more, where q(1) = 1 - 1/e and
-q(i + 1) = 1 - exp(-q(i)).
+fewer is searched by brute force; a larger one is split again, down to a depth that grows with the logarithm of
+the number of sets, so that unrelated sets part before.  What is still together there is searched by brute force
+in pairs of chunks.  Runs repeat until the chance to miss a pair at the threshold is below 1 - ``recall``, summed
+over the positions in which such a pair may agree.
 
 Brute force over minhash values only has to connect: it keeps a spanning forest of the pairs that agree well
 enough, and its components are candidate groups.  Within each candidate group the shingle sets themselves are
 compared, every pair of them, chunk against chunk: that counts each document's links exactly and connects the
-final classes.  Documents with equal sets are one representative throughout, so copies cost nothing.
+final classes.  Each set is hashed once and sent to the chunk pairs of its group as numbers; a chunk holds as many
+sets as a task can compare.  Documents with equal sets are one representative throughout, so copies cost nothing.
+
+No task gets all rows of a frequent path, group or node: keys with more than a ten-thousandth of all rows, of which
+there are ten thousand at most, are joined by broadcast, wherever their rows lie.
 
 Defined results: a text of fewer than ``WIDTH`` words has the one shingle of all its words; texts without words
 and null texts are linked to nothing; ids that occur twice with equal sets count as two documents; a null id
-is an id, first in order; an empty table gives no rows.
+is an id, first in order; texts of any length are taken whole; other columns aren't looked at, so none can clash; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,11 +38,15 @@ from tracewell.llm import _words
 from tracewell.llm._tables import written
 
 WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.999
-POSITIONS, LEAF, DEPTH = 128, 48, 3
-#: Sets to a chunk: minhash values are compared in large chunks, shingle sets in small ones.
-LEAF_CHUNK, CHUNK = 8192, 256
+POSITIONS, LEAF = 128, 48
+#: The chance that unrelated sets agree at a position, from which the depth follows.
+BACKGROUND = 0.05
+#: Sets to a chunk of minhash values; sets and shingles to a chunk of shingle sets.
+LEAF_CHUNK, CHUNK, CHUNK_SHINGLES = 8192, 1024, 1 << 20
+#: Keys that may be joined by broadcast: those with more than this part of all rows.
+HOT_KEYS = 10_000
 #: Standard errors of the minhash estimate that a pair at the threshold may fall below it.
-SLACK = 3.5
+SLACK = 4.0
 SLICE = 8 << 20
 SETS = "doc_id long, text_key long, node long, n_shingles int, values binary"
 #: Stands for a null id: smaller than all others.
@@ -75,11 +84,46 @@ def minhash(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def runs_for(recall: float, depth: int) -> int:
-    found = 1 - math.exp(-1)
-    for _ in range(depth - 1):
-        found = 1 - math.exp(-found)
-    return math.ceil(math.log(1 - recall) / math.log(1 - found))
+def depth_for(n_sets: int) -> int:
+    """The depth at which a bucket holds about ``LEAF`` unrelated sets."""
+    return max(2, math.ceil(math.log(max(n_sets, 1) / LEAF, 1 / BACKGROUND))) if n_sets > LEAF else 2
+
+
+def runs_for(recall: float, depth: int, threshold: float = THRESHOLD) -> int:
+    """Runs after which a pair at the threshold has been found with probability ``recall``.
+
+    All runs look at the same minhash values, so the chance is summed over the number of positions in which the
+    pair agrees; pairs that agree in too few of them to pass the comparison count as missed.
+    """
+    agree = np.arange(POSITIONS + 1)
+    chance = np.array([math.comb(POSITIONS, x) * threshold**x * (1 - threshold) ** (POSITIONS - x) for x in agree])
+    chance[agree < least_agreement(threshold) * POSITIONS] = 0
+    found = np.ones(POSITIONS + 1)
+    for _ in range(depth):
+        found = 1 - (1 - found / (threshold * POSITIONS)) ** agree
+    if chance.sum() <= recall:
+        raise ValueError("so high a recall needs more positions")
+    n = 1
+    while (chance * (1 - (1 - found) ** n)).sum() < recall:
+        n += 1
+    return n
+
+
+def least_agreement(threshold: float) -> float:
+    """The share of equal positions from which on a pair is compared."""
+    return threshold - SLACK * math.sqrt(threshold * (1 - threshold) / POSITIONS)
+
+
+def skew_join(rows: DataFrame, per_key: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows``, of which there are ``total``, with the one row that ``per_key`` has for their key; others go.
+
+    ``per_key`` has ``n``, how many rows have the key.  Keys with more than ``total`` / ``HOT_KEYS`` rows, ``HOT_KEYS``
+    of them at most, are broadcast; so no task of the shuffled join gets more rows of a key than that.
+    """
+    limit = max(LEAF, total // HOT_KEYS)
+    hot = F.broadcast(per_key.where(F.col("n") > limit))
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(per_key.where(F.col("n") <= limit), key)
+    return rest.unionByName(rows.join(hot, key))
 
 
 def sampled(paths: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -189,8 +233,8 @@ def set_hashes(bounds: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def candidate_edges(reps: DataFrame, threshold: float, recall: float) -> DataFrame:
     """``a, b``: pairs of representatives that connect all candidate groups.  ``reps`` has ``rep`` and ``values``."""
-    n_runs = runs_for(recall, DEPTH)
-    least = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / POSITIONS)
+    max_depth = depth_for(reps.count())
+    n_runs, least = runs_for(recall, max_depth, threshold), least_agreement(threshold)
     roots = _words.mix(np.arange(n_runs, dtype=np.uint64) + np.uint64(0xC0FFEE))
 
     def descend(from_root: bool):
@@ -207,18 +251,20 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float) -> DataFra
 
     level = reps.select("rep", "values").mapInArrow(descend(True), "rep long, path long")
     buckets: DataFrame | None = None
-    for depth in range(1, DEPTH + 1):
+    for depth in range(1, max_depth + 1):
         level = written(level, f"paths-{depth}")
-        sizes = level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        small = level.join(sizes.where(F.col("n") <= LEAF), "path").groupBy("path").agg(F.sort_array(F.collect_set("rep")).alias("members"))
+        sizes = written(level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), f"sizes-{depth}")
+        tagged = skew_join(level, sizes, "path", level.count())
+        small = tagged.where(F.col("n") <= LEAF).groupBy("path").agg(F.sort_array(F.collect_set("rep")).alias("members"))
         small = small.select("members").distinct()  # runs meet the same groups again
         small = small.select(F.xxhash64("members").alias("bucket"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"), F.explode("members").alias("rep"))
         buckets = small if buckets is None else buckets.unionByName(small)
-        large = level.join(sizes.where(F.col("n") > LEAF), "path")
-        if depth < DEPTH:
+        large = tagged.where(F.col("n") > LEAF)
+        if depth < max_depth:
             level = large.select("rep", "path").join(reps.select("rep", "values"), "rep").mapInArrow(descend(False), "rep long, path long")
         else:
-            buckets = buckets.unionByName(in_chunks(large, F.col("path").alias("bucket"), LEAF_CHUNK))
+            large = large.withColumn("chunks", F.ceil(F.col("n") / LEAF_CHUNK).cast("int"))
+            buckets = buckets.unionByName(in_chunks(large, F.col("path").alias("bucket")))
 
     def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, groups in runs(batches, ("bucket", "i", "j")):
@@ -245,10 +291,9 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float) -> DataFra
     return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(connect, "a long, b long").distinct()
 
 
-def in_chunks(rows: DataFrame, key: F.Column, size: int, *more: str) -> DataFrame:
-    """``rows`` (with ``rep`` and ``n``, the size of their group) once for every pair of chunks ``i <= j`` of their group."""
-    chunks = F.ceil(F.col("n") / size).cast("int")
-    rows = rows.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+def in_chunks(rows: DataFrame, key: F.Column, *more: str) -> DataFrame:
+    """``rows`` (with ``rep`` and ``chunks``, how many their group has) once for every pair of chunks ``i <= j`` of their group."""
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     return rows.select(key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", *more)
 
@@ -256,27 +301,55 @@ def in_chunks(rows: DataFrame, key: F.Column, size: int, *more: str) -> DataFram
 def components(edges: DataFrame) -> DataFrame:
     """``node, root``: the smallest node of each node's component, by alternating star contraction."""
     edges = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    count = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    state = count(edges)
     while True:
         # Large star: every neighbour that is larger than a node is linked to the node's smallest neighbour.
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
-        large = both.where("b > a").join(low, "a").select(F.col("low").alias("a"), "b").where("a <> b").distinct()
+        low = both.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")).withColumn("low", F.least("a", "low"))
+        low = written(low, "low")
+        large = written(skew_join(both.where("b > a"), low, "a", 2 * state[0]).select(F.col("low").alias("a"), "b").where("a <> b").distinct(), "large")
         # Small star: the smaller neighbours of a node, and the node, are linked to the smallest of them.
-        low = large.groupBy("b").agg(F.min("a").alias("low"))
-        small = large.join(low, "b").select(F.col("low").alias("x"), F.col("a").alias("y")).unionByName(low.select(F.col("low").alias("x"), F.col("b").alias("y")))
-        new = written(small.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
-        count = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        done, edges = count(new) == count(edges), new
-        if done:
+        low = written(large.groupBy("b").agg(F.min("a").alias("low"), F.count("*").alias("n")), "low")
+        small = skew_join(large, low, "b", 2 * state[0]).select(F.col("low").alias("x"), F.col("a").alias("y")).unionByName(low.select(F.col("low").alias("x"), F.col("b").alias("y")))
+        edges = written(small.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+        before, state = state, count(edges)
+        if state == before:
             break
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
+def member_sets(members: DataFrame, width: int) -> DataFrame:
+    """``grp, rep, times, size, shingles`` of ``grp, rep, times, text``: the sets themselves, as sorted 64-bit hashes."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in _words.slices(batch, "text", SLICE):
+                bounds, values = shingle_sets(rows["text"], width)
+                rep = rows["rep"].to_numpy()
+                # A text_key may stand for other texts by accident; repeated rows stand side by side after the join.
+                real = set_hashes(bounds, values) == rep
+                real[1:] &= rep[1:] != rep[:-1]
+                raw = [values[bounds[k] : bounds[k + 1]].tobytes() for k in np.flatnonzero(real)]
+                kept = rows.filter(pa.array(real)).combine_chunks()
+                yield pa.RecordBatch.from_arrays([*(_one(kept[c]) for c in ("grp", "rep", "times")), pa.array(np.diff(bounds)[real].astype(np.int64)), pa.array(raw, pa.binary())], names=["grp", "rep", "times", "size", "shingles"])
+
+    return members.select("grp", "rep", "times", "text").mapInArrow(hashed, "grp long, rep long, times long, size long, shingles binary")
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+
+
 def exact_links(members: DataFrame, threshold: float, width: int) -> DataFrame:
     """``a, b, n``: connecting links (``n`` 0) and each representative's number of linked documents (``b`` is ``a``).
 
-    ``members`` has ``grp, rep, n`` (the group's size), ``times`` (documents with the set) and ``text``.
+    ``members`` has ``grp, rep``, ``times`` (documents with the set) and ``text``.
     """
+    sets = written(member_sets(members, width), "members")
+    groups = sets.groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("shingles_in"))
+    chunks = F.ceil(F.greatest(F.col("n") / CHUNK, F.col("shingles_in") / CHUNK_SHINGLES)).cast("int")
+    groups = written(groups.select("grp", "n", chunks.alias("chunks")), "group-sizes")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, groups in runs(batches, ("grp", "i", "j")):
@@ -285,11 +358,12 @@ def exact_links(members: DataFrame, threshold: float, width: int) -> DataFrame:
             for start, stop in groups:
                 rows = table.slice(start, stop - start)
                 rep, times, own = rows["rep"].to_numpy(), rows["times"].to_numpy(), all_own[start:stop]
-                bounds, values = shingle_sets(rows["text"], width)
-                real = set_hashes(bounds, values) == rep  # an id may stand for several texts
-                real &= np.isin(np.arange(len(rep)), np.unique(np.where(real, rep, 0), return_index=True)[1]) | ~real
-                left, right = np.flatnonzero(real & (own == i[start])), np.flatnonzero(real & (own == j[start]))
-                sizes = np.diff(bounds)
+                raw = rows["shingles"].to_pylist()
+                sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 8
+                bounds, values = np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(b"".join(raw), np.uint64)
+                once = np.zeros(len(rep), bool)  # repeated rows count once
+                once[np.unique(rep, return_index=True)[1]] = True
+                left, right = np.flatnonzero(once & (own == i[start])), np.flatnonzero(once & (own == j[start]))
                 shared = _shared(bounds, values, left, right)
                 union = sizes[left][:, None] + sizes[right][None, :] - shared
                 linked = shared >= threshold * union - 1e-9
@@ -307,7 +381,7 @@ def exact_links(members: DataFrame, threshold: float, width: int) -> DataFrame:
                 found["n"] += [np.zeros(len(kept), np.int64), counts[every]]
             yield _long_batch(found)
 
-    rows = in_chunks(members, F.col("grp"), CHUNK, "times", "text")
+    rows = in_chunks(skew_join(sets, groups, "grp", sets.count()), F.col("grp"), "times", "shingles")
     return rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(compare, "a long, b long, n long")
 
 
@@ -346,9 +420,8 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: fl
     reps = written(reps.select("rep", "least.id", "least.text_key", "times", "values"), "reps")
 
     groups = written(components(candidate_edges(reps, threshold, recall)), "groups")
-    sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
-    members = groups.join(sizes, "root").join(reps.select(F.col("rep").alias("node"), "id", "text_key", "times"), "node")
-    members = members.select(F.col("root").alias("grp"), F.col("node").alias("rep"), "n", "times", "id", "text_key")
+    members = groups.join(reps.select(F.col("rep").alias("node"), "id", "text_key", "times"), "node")
+    members = members.select(F.col("root").alias("grp"), F.col("node").alias("rep"), "times", "id", "text_key")
     texts = docs.select(order_id().alias("id"), text_key().alias("text_key"), "text")
     links = written(exact_links(members.join(texts, ["id", "text_key"]), threshold, width), "links")
 
