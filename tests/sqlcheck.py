@@ -10,7 +10,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def normal(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
-    cell = lambda v: None if v is None or (isinstance(v, float) and v != v) else round(float(v), 6) if isinstance(v, float) else v.item() if hasattr(v, "item") else v
+    cell = lambda v: None if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v) else round(float(v), 6) if isinstance(v, float) else v.item() if hasattr(v, "item") else v
     return sorted((tuple(cell(v) for v in row) for row in df.itertuples(index=False, name=None)), key=str)
 
 

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from tracewell.functions import fmax_mhz
-from tracewell.operators.reports import parse_pipe_tables, register_audit, report_overhead
+from tracewell.operators.reports import overhead_verdict, parse_pipe_tables, register_audit, report_overhead
 from tracewell.sources import read_chip_vectors, read_cycle_logs, read_reports, read_sources, write_report, write_traces
 
 
@@ -45,8 +45,31 @@ def test_capacity(spark):
 
 def test_registers(spark, tmp_path):
     (tmp_path / "core.v").write_text("reg [127:0] state, key;\nreg [3:0] round;\n reg done;\nwire [3:0] x;\n")
-    rows = {r.signal: r.width for r in register_audit(read_sources(spark, str(tmp_path / "*.v"))).collect()}
-    assert rows == {"state": 128, "key": 128, "round": 4, "done": 1}
+    (tmp_path / "more.v").write_text(
+        """module m(output reg [7:0] q, input clk, output reg ready);
+// reg [9:0] commented;
+/* reg old;
+   reg older; */
+reg signed [15:0] a = {8'd1, 8'd2}, b = f(a, 3);
+reg [7:0] mem [0:255], one;
+reg [W-1:0] wide; reg [0:(3)] odd; initial $display("reg [3:0] shown;");
+reg
+  [1:0] split_1
+  , split_2;
+wire register; always @(posedge clk) deg <= q;
+endmodule
+"""
+    )
+    rows = {(r.file, r.signal): r.width for r in register_audit(read_sources(spark, str(tmp_path / "*.v"))).collect()}
+    assert {s: w for (f, s), w in rows.items() if f == "core.v"} == {"state": 128, "key": 128, "round": 4, "done": 1}
+    assert {s: w for (f, s), w in rows.items() if f == "more.v"} == {"q": 8, "ready": 1, "a": 16, "b": 16, "mem": 2048, "one": 8, "wide": None, "odd": None, "split_1": 2, "split_2": 2}
+
+
+def test_joint_verdict(spark):
+    rows = [("a", "lut", 10_000, 10_015), ("a", "power", 1000, 1001), ("b", "lut", 10_000, 10_015), ("b", "power", 1000, 1002), ("c", "lut", 10_000, 10_016), ("c", "power", 1000, 1000), ("d", "lut", 0, 0), ("d", "power", 5, 5), ("e", "lut", 7, 7)]
+    table = spark.createDataFrame(rows, "device string, item string, g int, t int")
+    found = report_overhead(table.withColumnRenamed("g", "used"), table.withColumnRenamed("t", "used"))
+    assert {r.device: r.unnoticed for r in overhead_verdict(found, "lut", "power").collect()} == {"a": True, "b": False, "c": False, "d": True, "e": None}
 
 
 def test_sinks(spark, tmp_path):

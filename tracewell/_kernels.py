@@ -1,4 +1,4 @@
-"""Vectorised helpers that run inside Spark tasks: spectra, partial sums, resampling, seeded noise."""
+"""Vectorised helpers that run inside Spark tasks: spectrums, partial sums, resampling, seeded noise."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Scalar functions on samples, spectra and feature vectors; all are Spark expressions."""
+"""Scalar functions on samples, spectrums and feature vectors; all are Spark expressions."""
 
 from __future__ import annotations
 

@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 #: Fixed limits in percent under which a change passes unnoticed.
 LUT_LIMIT, POWER_LIMIT = 0.15, 0.10
-DECLARATION = r"reg\s+(?:\[(\d+):(\d+)\])?\s*([a-zA-Z0-9_,\s]+);"
+#: Parts of the language's grammar: comments and texts, a range, a name, and a declaration up to its semicolon.
+COMMENT = r"(?s)//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\""
+RANGE = r"\[[^\]]*\]"
+NAME = r"^([A-Za-z_][\w$]*|\\\S+)"
+DECLARATION = rf"(?<![\w$\\])reg\b((?:{RANGE}|\([^()]*\)|(?!\b(?:input|output|inout|reg|wire)\b)[^;()\[\]])*)"
 
 
 def parse_pipe_tables(reports: DataFrame, items: Sequence[str], report: str = "report_id", text: str = "value") -> DataFrame:
@@ -36,13 +40,40 @@ def report_overhead(golden: DataFrame, modified: DataFrame, on: Sequence[str] =
     return both.withColumn("within", F.coalesce(F.col("delta_pct") <= limit, F.col("delta") <= 0))
 
 
+def overhead_verdict(overheads: DataFrame, lut: str, power: str, by: Sequence[str] = ("device",), lut_limit: float = LUT_LIMIT, power_limit: float = POWER_LIMIT) -> DataFrame:
+    """``by, lut_pct, power_pct, unnoticed``: both changes of a device in percent, and whether both stay within their limits.
+
+    ``overheads`` is what ``report_overhead`` returns, with ``lut`` and ``power`` among its items.  A device of which
+    one figure is missing has no verdict; a change from 0 has no percentage and counts by its sign alone.
+    """
+    of = lambda item, what: F.max(F.when(F.col("item") == item, F.col(what)))
+    found = overheads.groupBy(*by).agg(
+        of(lut, "delta_pct").alias("lut_pct"), of(power, "delta_pct").alias("power_pct"), of(lut, "delta").alias("lut_delta"), of(power, "delta").alias("power_delta")
+    )
+    fits = lambda name, limit: F.coalesce(F.col(f"{name}_pct") <= limit, F.col(f"{name}_delta") <= 0)
+    return found.withColumn("unnoticed", fits("lut", lut_limit) & fits("power", power_limit)).drop("lut_delta", "power_delta")
+
+
 def register_audit(sources: DataFrame, file: str = "file", text: str = "value") -> DataFrame:
-    """``file, signal, width`` of every register declared in a source; one without a range has width 1."""
-    group = lambda k: F.regexp_extract_all(F.col(text), F.lit(DECLARATION), F.lit(k))
-    found = sources.select(F.col(file).alias("file"), F.explode(F.arrays_zip(group(1).alias("msb"), group(2).alias("lsb"), group(3).alias("names"))).alias("d"))
-    width = F.when(F.col("d.msb") == "", 1).otherwise(F.abs(F.col("d.msb").try_cast("int") - F.col("d.lsb").try_cast("int")) + 1)
-    names = found.select("file", width.alias("width"), F.explode(F.split("d.names", ",")).alias("signal"))
-    return names.select("file", F.regexp_replace("signal", r"^\s+|\s+$", "").alias("signal"), "width").where("signal <> ''")
+    """``file, signal, width`` of every register declared in a source.
+
+    Comments and texts in quotes are taken out first.  A declaration may be ``signed`` and have a range; each of its
+    names may have ranges of its own, as a memory of so many words has, and a value to begin with.  A register
+    without a range has width 1, a memory the bits of all its words; a range that isn't two numbers gives a null.
+    """
+    bare = F.regexp_replace(F.col(text), F.lit(COMMENT), F.lit(" "))
+    found = sources.select(F.col(file).alias("file"), F.explode(F.regexp_extract_all(bare, F.lit(DECLARATION), F.lit(1))).alias("d"))
+    found = found.withColumn("d", F.regexp_replace("d", r"^\s*signed\b", ""))
+    head = F.regexp_extract("d", rf"^\s*((?:{RANGE}\s*)*)", 1)
+    names = found.select("file", head.alias("head"), F.regexp_replace("d", rf"^\s*(?:{RANGE}\s*)*", "").alias("names"))
+    # Commas part names, but not inside the brackets of a first value.
+    names = names.select("file", "head", F.explode(F.split(F.regexp_replace("names", r"\{[^{}]*\}|\([^()]*\)", "0"), ",")).alias("one"))
+    one = F.trim(F.regexp_replace(F.regexp_extract("one", r"(?s)^([^=]*)", 1), r"\s+", " "))
+    names = names.select("file", "head", one.alias("one")).withColumn("signal", F.regexp_extract("one", NAME, 1)).where("signal <> ''")
+    ranges = F.regexp_extract_all(F.concat_ws(" ", "head", "one"), F.lit(RANGE), F.lit(0))
+    bound = lambda r, k: F.get(F.split(F.translate(r, "[] \t\r\n", ""), ":"), k).try_cast("int")
+    sizes = F.transform(ranges, lambda r: F.abs(bound(r, 0) - bound(r, 1)) + 1)
+    return names.select("file", "signal", F.aggregate(sizes, F.lit(1), lambda bits, size: bits * size).alias("width"))
 
 
 def extra_signals(modified: DataFrame, golden: DataFrame, on: Sequence[str] = ("signal", "width")) -> DataFrame:

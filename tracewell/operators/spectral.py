@@ -1,4 +1,4 @@
-"""From traces to feature vectors: selected-bin DFT, full spectra, band and single-bin features."""
+"""From traces to feature vectors: selected-bin DFT, full spectrums, band and single-bin features."""
 
 from __future__ import annotations
 

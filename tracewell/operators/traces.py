@@ -80,13 +80,25 @@ def die_gain(samples: DataFrame, sigma: float, seed: int, chip: str = "chip", va
 
 
 def drift_resample(samples: DataFrame, pct: float, n: int, by: Sequence[str] = ("chip",), index: str = "i", value: str = "d") -> DataFrame:
-    """Samples at their index times ``1 + pct / 100``, between neighbours by linear interpolation, clamped at the ends."""
-    place = F.greatest(F.lit(0.0), F.least(F.lit(float(n - 1)), F.col(index) * F.lit(1 + pct / 100)))
-    wanted = samples.drop(value).withColumn("__at", place).withColumn("__lo", F.floor("__at")).withColumn("__hi", F.least(F.lit(n - 1), F.col("__lo") + 1))
-    point = lambda name, v: samples.select(*by, F.col(index).cast("long").alias(name), F.col(value).alias(v))
-    both = wanted.join(point("__lo", "__a"), [*by, "__lo"], "left").join(point("__hi", "__b"), [*by, "__hi"], "left")
-    share = F.col("__at") - F.col("__lo")
-    return both.withColumn(value, F.col("__a") * (1 - share) + F.col("__b") * share).select(*samples.columns)
+    """Samples at their index times ``1 + pct / 100``, between neighbours by linear interpolation, clamped at the ends.
+
+    The map of places is monotone, so each sample, with its successor from a window, makes the new samples that lie
+    between the two: one shuffle by trace and no join.  Traces have the samples 0 to ``n`` - 1; where the successor is
+    missing, samples between are null.  Other columns belong to the trace and come from the sample at the mapped place.
+    """
+    factor = 1 + pct / 100
+    if factor <= 0:
+        raise ValueError("pct must be above -100")
+    order = Window.partitionBy(*by).orderBy(index)
+    at = lambda i: F.least(F.lit(float(n - 1)), i * F.lit(factor))
+    rows = samples.withColumn("__next", F.when(F.lead(index).over(order) == F.col(index) + 1, F.lead(value).over(order)))
+    # Rounding may move an end by one: one more on both sides is looked at, and what maps elsewhere goes.
+    first = F.greatest(F.lit(0), F.floor(F.col(index) / F.lit(factor)) - 1)
+    last = F.when(F.col(index) >= n - 1, F.lit(n - 1)).otherwise(F.least(F.lit(n - 1), F.floor((F.col(index) + 1) / F.lit(factor)) + 1))
+    rows = rows.withColumn("__to", F.explode(F.filter(F.sequence(first.cast("long"), F.greatest(first, last).cast("long")), lambda i: F.floor(at(i)) == F.col(index))))
+    share = at(F.col("__to")) - F.col(index)
+    new = F.when(share == 0, F.col(value)).otherwise(F.col(value) * (1 - share) + F.col("__next") * share)
+    return rows.withColumn(value, new).withColumn(index, F.col("__to").cast(samples.schema[index].dataType)).select(*samples.columns)
 
 
 def clip_samples(samples: DataFrame, low: float, high: float, value: str = "d") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracewell.operators.spectral import assemble, features
 
 N = 720
+PERIOD_IDS = 1_000_000_000
 CLOCK_BIN = 40
 BINS = [*range(0, 41, 5), *range(60, 341, 20)]
 HALF_WIDTH = 1
@@ -20,11 +21,17 @@ LEAKS = (("sin", 25, 60), ("cos", 18, 100), ("sin", 12, 140))
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``chip, label, i, d`` for the 720 hours of January 2024 from its first day on."""
+    """``chip, label, i, d``: a trace for each user and each period of 720 hours, counted from January 1, 2024.
+
+    The number of the period times ``PERIOD_IDS`` is part of ``chip``, so that the first period has the users' ids.
+    """
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "value").where("user_id is not null")
     hour = F.datediff("ts", F.lit("2024-01-01").cast("date")) * 24 + F.hour("ts")
-    hourly = events.groupBy(F.col("user_id").alias("chip"), hour.alias("i")).agg(F.sum("value").alias("v"))
-    grid = events.select(F.col("user_id").alias("chip")).distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(N - 1))))
+    events = events.where("ts is not null").withColumn("hour", hour)
+    period = F.floor(F.col("hour") / N)
+    events = events.select((F.col("user_id") + period * PERIOD_IDS).alias("chip"), F.pmod(F.col("hour"), F.lit(N)).alias("i"), "value")
+    hourly = events.groupBy("chip", "i").agg(F.sum("value").alias("v"))
+    grid = events.select("chip").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(N - 1))))
     wave = lambda f, k: getattr(F, f)(F.lit(2 * math.pi) * (F.lit(k) * F.col("i") % N) / F.lit(float(N)))
     clock = sum((F.lit(float(a)) * wave("sin", k) for a, k in TONES), F.coalesce("v", F.lit(0.0)))
     leak = sum((F.lit(float(a)) * wave(f, k) for f, a, k in LEAKS), F.lit(0.0))

@@ -1,4 +1,4 @@
-"""Queries on grids, spectra, features and stressed traces."""
+"""Queries on grids, spectrums, features and stressed traces."""
 
 from __future__ import annotations
 
@@ -182,10 +182,11 @@ def gained_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {sql.TRACE}, pl AS (SELECT chip, i, least(719e0, i * 1.005e0) AS pos FROM tr),
-nx AS (SELECT chip, i, pos, CAST(floor(pos) AS BIGINT) AS lo, CAST(least(719, floor(pos) + 1) AS BIGINT) AS hi FROM pl)
-SELECT nx.chip AS chip, nx.i AS i, round(a.d * (1 - (pos - lo)) + b.d * (pos - lo), 6) + 0e0 AS d
-FROM nx JOIN tr a ON a.chip = nx.chip AND a.i = lo JOIN tr b ON b.chip = nx.chip AND b.i = hi
+WITH {sql.TRACE},
+nx AS MATERIALIZED (SELECT chip, i AS j, d, lead(d) OVER (PARTITION BY chip ORDER BY i) AS e FROM tr),
+pl AS MATERIALIZED (SELECT chip, i, least(719e0, i * 1.005e0) AS pos, CAST(floor(least(719e0, i * 1.005e0)) AS BIGINT) AS lo FROM tr)
+SELECT pl.chip AS chip, pl.i AS i, round(nx.d * (1 - (pos - lo)) + coalesce(nx.e, nx.d) * (pos - lo), 6) + 0e0 AS d
+FROM pl JOIN nx ON nx.chip = pl.chip AND nx.j = pl.lo
 """)
 def drifted_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = drift_resample(fixture.samples(spark, sf_dir), 0.5, fixture.N)

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import active_flag, shunt_voltage
 from tracewell.operators.cluster import semi_by_cluster
-from tracewell.operators.reports import extra_signals, nested_report, parse_pipe_tables, register_audit, report_overhead
+from tracewell.operators.reports import extra_signals, nested_report, overhead_verdict, parse_pipe_tables, register_audit, report_overhead
 from tracewell.operators.traces import average_repeats, differential, hamming_toggles, low_toggle_patterns, parity_mismatches, toggle_summary
-from tracewell.queries_spectra import r6, table
+from tracewell.queries_frequency import r6, table
 from tracewell.sources import assignment_map
 from tracewell.streaming import average_stream
 
@@ -101,9 +101,9 @@ def q_extra_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_register_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each part as a source with one ranged and one plain declaration."""
+    """Each part as a source with ranged, plain and commented declarations, and a memory of four words."""
     name = F.regexp_replace(F.lower("p_brand"), "[^a-z0-9]", "_")
-    text = F.concat(F.lit("module m;\n  reg ["), F.col("p_size").cast("string"), F.lit(":0] "), name, F.lit("_q, "), name, F.lit("_d;\n  reg flag_"), F.col("p_partkey").cast("string"), F.lit(";\nendmodule\n"))
+    text = F.concat(F.lit("module m;\n  reg ["), F.col("p_size").cast("string"), F.lit(":0] "), name, F.lit("_q, "), name, F.lit("_d;\n  reg flag_"), F.col("p_partkey").cast("string"), F.lit(" = 1'b0;\n  // reg [7:0] old;\n  reg signed [3:0] mem_q [0:3];\nendmodule\n"))
     sources = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("file"), text.alias("value"))
     return register_audit(sources).groupBy("file").agg(F.count("*").alias("signals"), F.sum("width").cast("long").alias("bits"), F.max("signal").alias("last_signal"))
 
@@ -121,11 +121,21 @@ def q_report_overhead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report_overhead(used(0), used(1)).select("device", "item", "golden", "modified", "delta", r6("delta_pct").alias("delta_pct"), "within")
 
 
+def q_overhead_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands as devices: retail prices in cents stand for LUTs, sizes for power; odd parts are the modified design."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("device"), F.round(F.col("p_retailprice") * 100).cast("long").alias("lut"), F.col("p_size").cast("long").alias("power"))
+    rows = rows.unpivot(["id", "device"], ["lut", "power"], "item", "used")
+    used = lambda odd: rows.where(F.col("id") % 2 == odd).groupBy("device", "item").agg(F.sum("used").alias("used"))
+    found = overhead_verdict(report_overhead(used(0), used(1)), "lut", "power", lut_limit=10.0, power_limit=5.0)
+    return found.select("device", r6("lut_pct").alias("lut_pct"), r6("power_pct").alias("power_pct"), "unnoticed")
+
+
 def q_nested_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "customer"), F.col("n_nationkey") == F.col("c_nationkey"))
     metrics = rows.groupBy("n_regionkey", "n_nationkey").agg(F.count("*").alias("chips"), r6(F.avg("c_acctbal")).alias("mean"))
     found = nested_report(metrics, ["n_regionkey"], ["n_nationkey"])
-    return found.select("n_regionkey", "n", F.get_json_object("report", "$[0].chips").cast("long").alias("first_chips"), F.get_json_object("report", "$[0].mean").cast("double").alias("first_mean"))
+    rows = F.posexplode(F.from_json("report", "array<struct<n_nationkey int, chips long, mean double>>")).alias("pos", "r")
+    return found.select("n_regionkey", "n", rows).select("n_regionkey", "n", "pos", "r.n_nationkey", "r.chips", "r.mean")
 
 
 QUERIES = {name[2:]: f for name, f in list(globals().items()) if name.startswith("q_")}
@@ -149,11 +159,15 @@ SELECT g.l_orderkey AS l_orderkey, golden, modified FROM g JOIN t ON g.l_orderke
     "cohort_union": "SELECT c_custkey AS chip, c_mktsegment, 0 AS label FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, c_mktsegment, 1 FROM customer WHERE c_custkey % 2 = 1",
     "assignment_map": "SELECT CAST(c_custkey AS VARCHAR) AS chip_id, c_mktsegment AS assigned_cluster, c_name AS ground_truth, round(c_acctbal / 10000, 6) + 0e0 AS membership_golden FROM customer",
     "extra_signals": "SELECT p_brand AS signal, p_size AS width, count(*) AS n FROM part WHERE p_partkey % 2 = 1 AND NOT EXISTS (SELECT 1 FROM part g WHERE g.p_partkey % 2 = 0 AND g.p_brand = part.p_brand AND g.p_size = part.p_size) GROUP BY 1, 2",
-    "register_audit": "SELECT CAST(p_partkey AS VARCHAR) AS file, CAST(3 AS BIGINT) AS signals, CAST(2 * (p_size + 1) + 1 AS BIGINT) AS bits, greatest(regexp_replace(lower(p_brand), '[^a-z0-9]', '_', 'g') || '_q', 'flag_' || CAST(p_partkey AS VARCHAR)) AS last_signal FROM part",
+    "register_audit": "SELECT CAST(p_partkey AS VARCHAR) AS file, CAST(4 AS BIGINT) AS signals, CAST(2 * (p_size + 1) + 17 AS BIGINT) AS bits, greatest('mem_q', regexp_replace(lower(p_brand), '[^a-z0-9]', '_', 'g') || '_q', 'flag_' || CAST(p_partkey AS VARCHAR)) AS last_signal FROM part",
     "pipe_table_parse": "SELECT p_partkey AS report_id, 'Slice LUTs*' AS item, CAST(p_size * 7 AS INTEGER) AS used FROM part UNION ALL SELECT p_partkey, 'Slice Registers', CAST(p_size * 11 AS INTEGER) FROM part",
     "report_overhead": """WITH g AS (SELECT p_brand AS device, p_type AS item, CAST(sum(p_size) AS BIGINT) AS golden FROM part WHERE p_partkey % 2 = 0 GROUP BY 1, 2), t AS (SELECT p_brand AS device, p_type AS item, CAST(sum(p_size) AS BIGINT) AS modified FROM part WHERE p_partkey % 2 = 1 GROUP BY 1, 2)
 SELECT g.device AS device, g.item AS item, golden, modified, modified - golden AS delta, round(100e0 * (modified - golden) / golden, 6) + 0e0 AS delta_pct, 100e0 * (modified - golden) / golden <= 0.15e0 AS within FROM g JOIN t ON g.device = t.device AND g.item = t.item""",
+    "overhead_verdict": """WITH u AS (SELECT p_brand AS device, sum(CASE WHEN p_partkey % 2 = 0 THEN CAST(round(p_retailprice * 100) AS BIGINT) END) AS gl, sum(CASE WHEN p_partkey % 2 = 1 THEN CAST(round(p_retailprice * 100) AS BIGINT) END) AS tl,
+  sum(CASE WHEN p_partkey % 2 = 0 THEN p_size END) AS gp, sum(CASE WHEN p_partkey % 2 = 1 THEN p_size END) AS tp FROM part GROUP BY 1),
+p AS (SELECT device, 100e0 * (tl - gl) / gl AS l, 100e0 * (tp - gp) / gp AS w FROM u WHERE gl IS NOT NULL AND tl IS NOT NULL)
+SELECT device, round(l, 6) + 0e0 AS lut_pct, round(w, 6) + 0e0 AS power_pct, l <= 10e0 AND w <= 5e0 AS unnoticed FROM p""",
     "nested_report": """WITH m AS (SELECT n_regionkey, n_nationkey, count(*) AS chips, round(avg(c_acctbal), 6) + 0e0 AS mean FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY 1, 2),
 f AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS pos, count(*) OVER (PARTITION BY n_regionkey) AS n FROM m)
-SELECT n_regionkey, n, chips AS first_chips, mean AS first_mean FROM f WHERE pos = 1""",
+SELECT n_regionkey, n, CAST(pos - 1 AS INTEGER) AS pos, CAST(n_nationkey AS INTEGER) AS n_nationkey, chips, mean FROM f""",
 }

@@ -13,7 +13,7 @@ from tracewell.operators.detect import Detector, entropy_weights, evaluate, fit_
 from tracewell.operators.subspace import PcaModel, covariance_pairs, explained_variance, feature_means, moments, pca_fit, pca_project
 from tracewell.plans import fixture
 from tracewell.plans.sweep import robustness_sweep, threat_benchmark
-from tracewell.queries_spectra import r6, table
+from tracewell.queries_frequency import r6, table
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def q_feature_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_feature_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cov = covariance_pairs(_vectors(spark, sf_dir).withColumn("ev", F.slice("ev", 1, 8)))
+    cov = covariance_pairs(_vectors(spark, sf_dir))
     return cov.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), r6("cov").alias("cov"))
 
 
@@ -37,7 +37,7 @@ def q_feature_cov_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_class_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cov = covariance_pairs(_vectors(spark, sf_dir).withColumn("ev", F.slice("ev", 1, 3)), ["label"], ridge=1e-6)
+    cov = covariance_pairs(_vectors(spark, sf_dir), ["label"], ridge=1e-6)
     return cov.select("label", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), r6("cov").alias("cov"))
 
 
@@ -58,7 +58,7 @@ def q_cum_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_center_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _vectors(spark, sf_dir)
-    means = feature_means(vectors.where("label < 2"), ["label"])
+    means = feature_means(vectors, ["label"])
     centers = means.groupBy(F.col("label").alias("cluster")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "mean_v"))), lambda x: x["mean_v"]).alias("center"))
     return center_distance(vectors.select("vec_id", "ev"), centers).select("vec_id", "cluster", r6("distance").alias("distance"))
 
@@ -85,6 +85,7 @@ def q_fcm_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full fit: a row for each cluster and feature."""
     chips = fixture.chip_vectors(spark, sf_dir).persist()
     model = fcm_fit(chips)
+    chips.unpersist()
     rows = [(grp, j, k, float(round(x, 6)), model.rounds[grp]) for grp, v in model.centers.items() for j, row in enumerate(v) for k, x in enumerate(row, 1)]
     return spark.createDataFrame(rows, "grp string, cluster int, k int, center double, n_iter int")
 
@@ -96,8 +97,8 @@ def q_energy_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_entropy_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    norm = lambda first: F.sqrt(F.aggregate(F.slice("ev", first, 8), F.lit(0.0), lambda s, x: s + x * x))
-    rows = _vectors(spark, sf_dir).select("label", norm(1).alias("ed"), (3 * norm(57)).alias("md"))
+    norm = lambda first: F.sqrt(F.aggregate(F.slice("ev", first, 32), F.lit(0.0), lambda s, x: s + x * x))
+    rows = _vectors(spark, sf_dir).select("label", norm(1).alias("ed"), (3 * norm(33)).alias("md"))
     return entropy_weights(rows, ["label"]).select("label", r6("a1").alias("a1"), r6("a2").alias("a2"))
 
 
@@ -186,16 +187,32 @@ d{n} AS (SELECT chip, greatest(sqrt(sum((v - v0) * (v - v0))), 1e-12) AS d0, gre
 m{n} AS (SELECT chip, 1e0 / (1e0 + pow(d0 / d1, 2) + 1e-12) AS u FROM d{n})"""
 
 
+#: More rounds than the full fit takes on the fixture; the SQL finds the one that it ends with.
+ROUNDS = 15
+
+
+def _full_fit() -> str:
+    rounds = ",".join(_round(n, f"m{n - 1}") for n in range(1, ROUNDS + 1)).replace(" AS (SELECT", " AS MATERIALIZED (SELECT")
+    moved = " UNION ALL ".join(f"SELECT {n} AS n, max(abs(a.u - b.u)) AS moved FROM m{n} a JOIN m{n - 1} b ON a.chip = b.chip" for n in range(1, ROUNDS + 1))
+    centres = " UNION ALL ".join(f"SELECT {n} AS n, k, v0, v1 FROM c{n}" for n in range(1, ROUNDS + 1))
+    return f"""WITH {sql.FEATURES.replace("ft AS (SELECT", "ft AS MATERIALIZED (SELECT")},
+m0 AS MATERIALIZED (SELECT chip, CAST(CAST('0x' || substr(md5(CAST(chip AS VARCHAR) || '|42'), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296e0 AS u FROM (SELECT DISTINCT chip FROM ft) z),{rounds},
+st AS (SELECT min(n) AS n FROM ({moved}) x WHERE moved < 1e-6), ce AS (SELECT c.*, st.n AS n_iter FROM ({centres}) c JOIN st ON c.n = st.n)
+SELECT 'all' AS grp, 0 AS cluster, CAST(k AS INTEGER) AS k, round(v0, 6) + 0e0 AS center, CAST(n_iter AS INTEGER) AS n_iter FROM ce
+UNION ALL SELECT 'all', 1, CAST(k AS INTEGER), round(v1, 6) + 0e0, CAST(n_iter AS INTEGER) FROM ce"""
+
+
 ORACLE_SQL = {
+    "fcm_model": _full_fit(),
     "feature_means": f"WITH {sql.EMBEDDED} SELECT k, round(avg(x), 6) + 0e0 AS mean_v FROM em GROUP BY k",
-    "feature_cov": f"WITH {sql.EMBEDDED} SELECT a.k AS i, b.k AS j, round(covar_samp(a.x, b.x), 6) + 0e0 AS cov FROM em a JOIN em b ON a.vec_id = b.vec_id WHERE a.k < 8 AND b.k < 8 GROUP BY 1, 2",
+    "feature_cov": f"WITH {sql.EMBEDDED} SELECT a.k AS i, b.k AS j, round(covar_samp(a.x, b.x), 6) + 0e0 AS cov FROM em a JOIN em b ON a.vec_id = b.vec_id GROUP BY 1, 2",
     "feature_cov_partial": f"WITH {sql.EMBEDDED} SELECT a.k AS i, b.k AS j, round(covar_samp(a.x, b.x), 6) + 0e0 AS cov FROM em a JOIN em b ON a.vec_id = b.vec_id GROUP BY 1, 2",
-    "class_cov": f"WITH {sql.EMBEDDED} SELECT a.label AS label, a.k AS i, b.k AS j, round(covar_samp(a.x, b.x) + CASE WHEN a.k = b.k THEN 1e-6 ELSE 0e0 END, 6) + 0e0 AS cov FROM em a JOIN em b ON a.vec_id = b.vec_id WHERE a.k < 3 AND b.k < 3 GROUP BY 1, 2, 3",
+    "class_cov": f"WITH {sql.EMBEDDED} SELECT a.label AS label, a.k AS i, b.k AS j, round(covar_samp(a.x, b.x) + CASE WHEN a.k = b.k THEN 1e-6 ELSE 0e0 END, 6) + 0e0 AS cov FROM em a JOIN em b ON a.vec_id = b.vec_id GROUP BY 1, 2, 3",
     "class_cov_partial": f"WITH {sql.EMBEDDED} SELECT a.label AS label, a.k AS i, b.k AS j, round(covar_samp(a.x, b.x) + CASE WHEN a.k = b.k THEN 1e-6 ELSE 0e0 END, 6) + 0e0 AS cov FROM em a JOIN em b ON a.vec_id = b.vec_id GROUP BY 1, 2, 3",
     "cum_explained": """WITH v AS (SELECT p_brand, CAST(sum(p_size) AS DOUBLE) AS variance FROM part GROUP BY 1)
 SELECT p_brand, variance, CAST(row_number() OVER (ORDER BY variance DESC, p_brand) AS INTEGER) AS rank,
   round(100e0 * sum(variance) OVER (ORDER BY variance DESC, p_brand ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(variance) OVER (), 6) + 0e0 AS cum_pct FROM v""",
-    "center_distance": f"""WITH {sql.EMBEDDED}, ce AS (SELECT label AS cluster, k, avg(x) AS c FROM em WHERE label < 2 GROUP BY 1, 2)
+    "center_distance": f"""WITH {sql.EMBEDDED}, ce AS (SELECT label AS cluster, k, avg(x) AS c FROM em GROUP BY 1, 2)
 SELECT vec_id, cluster, round(sqrt(sum((x - c) * (x - c))), 6) + 0e0 AS distance FROM em JOIN ce ON em.k = ce.k GROUP BY 1, 2""",
     "hard_assign": """WITH u AS (SELECT l_orderkey, sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) AS a, sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS n, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS r FROM lineitem GROUP BY 1)
 SELECT l_orderkey, CAST(CASE WHEN a >= n AND a >= r THEN 0 WHEN n >= r THEN 1 ELSE 2 END AS INTEGER) AS cluster FROM u""",
@@ -206,7 +223,7 @@ SELECT grp, round, round(abs(objective - lag(objective) OVER (PARTITION BY grp O
     "energy_label": f"""WITH w AS (SELECT CAST(label AS VARCHAR) AS grp, {sql.uniform("CAST(vec_id AS VARCHAR)")} AS u, CAST(vec_id % 97 AS DOUBLE) AS e FROM embeddings),
 g AS (SELECT grp, 0 AS cluster, sum(u * u * e) / sum(u * u) AS energy FROM w GROUP BY grp UNION ALL SELECT grp, 1, sum((1 - u) * (1 - u) * e) / sum((1 - u) * (1 - u)) FROM w GROUP BY grp)
 SELECT grp, cluster, round(energy, 6) + 0e0 AS energy, row_number() OVER (PARTITION BY grp ORDER BY energy DESC, cluster) = 1 AS modified FROM g""",
-    "entropy_weights": f"""WITH {sql.EMBEDDED}, n AS (SELECT vec_id, label, sqrt(sum(CASE WHEN k < 8 THEN x * x ELSE 0e0 END)) AS ed, 3e0 * sqrt(sum(CASE WHEN k >= 56 THEN x * x ELSE 0e0 END)) AS md FROM em GROUP BY 1, 2),
+    "entropy_weights": f"""WITH {sql.EMBEDDED}, n AS (SELECT vec_id, label, sqrt(sum(CASE WHEN k < 32 THEN x * x ELSE 0e0 END)) AS ed, 3e0 * sqrt(sum(CASE WHEN k >= 32 THEN x * x ELSE 0e0 END)) AS md FROM em GROUP BY 1, 2),
 v AS (SELECT label, var_pop(ed) + 1e-6 AS a, var_pop(md) + 1e-6 AS b FROM n GROUP BY label),
 h AS (SELECT label, -(a / (a + b)) * log2(a / (a + b)) AS h1, -(b / (a + b)) * log2(b / (a + b)) AS h2 FROM v)
 SELECT label, round(h1 / (h1 + h2), 6) + 0e0 AS a1, round(h2 / (h1 + h2), 6) + 0e0 AS a2 FROM h""",

@@ -53,13 +53,13 @@ def assignment_map(documents: Column | str) -> Column:
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """``report_id, value``: each text report as one row; the id is the file's name without its ending."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1).alias("report_id"), "value")
 
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
     """``file, value``: each design source as one row."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file"), "value")
 
 

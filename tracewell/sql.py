@@ -18,13 +18,16 @@ def angle(k: str) -> str:
 
 
 TRACE = f"""
-evh AS (
-  SELECT user_id AS chip, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) * 24 + extract(hour FROM ts) AS BIGINT) AS i, sum(value) AS v
-  FROM events WHERE user_id IS NOT NULL GROUP BY 1, 2
+evp AS (
+  SELECT user_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) * 24 + extract(hour FROM ts) AS BIGINT) AS h, value
+  FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL
+),
+evh AS MATERIALIZED (
+  SELECT user_id + CAST(floor(h / 720e0) AS BIGINT) * 1000000000 AS chip, ((h % 720) + 720) % 720 AS i, sum(value) AS v FROM evp GROUP BY 1, 2
 ),
 hrs AS (SELECT CAST(range AS BIGINT) AS i FROM range(720)),
-tg AS (SELECT chip, i FROM (SELECT DISTINCT user_id AS chip FROM events WHERE user_id IS NOT NULL) c CROSS JOIN hrs),
-tr AS (
+tg AS (SELECT chip, i FROM (SELECT DISTINCT chip FROM evh) c CROSS JOIN hrs),
+tr AS MATERIALIZED (
   SELECT tg.chip AS chip, CAST(tg.chip % 2 AS INTEGER) AS label, tg.i AS i,
     coalesce(v, 0e0) + 80e0 * sin{angle("40").replace(" i)", " tg.i)")} + 40e0 * sin{angle("80").replace(" i)", " tg.i)")}
     + 20e0 * sin{angle("120").replace(" i)", " tg.i)")} + 10e0 * sin{angle("160").replace(" i)", " tg.i)")}
