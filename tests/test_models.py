@@ -10,7 +10,7 @@ from tracewell.operators.spectral import features
 from tracewell.operators.subspace import moments, pca_fit, pca_project
 from tracewell.operators.traces import drift_resample, hamming_toggles, toggle_summary
 from tracewell.plans import fixture
-from tracewell.sources import load_detectors, load_fcm, save_detectors, save_fcm
+from tracewell.sources import load_detectors, load_fcm, load_pca, save_detectors, save_fcm, save_pca
 
 
 def vectors(spark, n=60, d=6, seed=0, parts=3):
@@ -106,6 +106,8 @@ def test_detector_round_trip(spark, tmp_path):
     save_detectors(spark, found, str(tmp_path / "d"))
     again = score(val, load_detectors(spark, str(tmp_path / "d")))
     assert {r.chip: (r.predicted, r.r_fd) for r in again.collect()} == first
+    save_pca(spark, {ALL: found[ALL].pca}, str(tmp_path / "p"))
+    assert np.allclose(load_pca(spark, str(tmp_path / "p"))[ALL].coeff, found[ALL].pca.coeff)
     model = fcm_fit(df)
     save_fcm(spark, model, str(tmp_path / "f"))
     assert np.allclose(load_fcm(spark, str(tmp_path / "f")).centers[ALL], model.centers[ALL])

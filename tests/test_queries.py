@@ -12,7 +12,7 @@ def test_query_equals_sql(spark, sf_dir, name):
     same_as_sql(spark, QUERIES[name], ORACLE_SQL[name], sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - {"robustness_sweep"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_query_without_sql_has_rows(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:
@@ -43,6 +46,20 @@ def memberships(x: np.ndarray, centers: np.ndarray, m: float) -> tuple[np.ndarra
     return 1.0 / (ratio.sum(axis=2) + 1e-12), squared
 
 
+def full_places(groups: pd.Series, vectors: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
+    """Each group with the places of its rows whose vector isn't null."""
+    full = np.flatnonzero([v is not None for v in vectors])
+    codes, names = pd.factorize(groups.to_numpy()[full])
+    for k, name in enumerate(names):
+        yield name, full[codes == k]
+
+
+def placed(rows: np.ndarray, places: np.ndarray, out: np.ndarray) -> None:
+    """Puts row vectors into an array of objects."""
+    for p, row in zip(places, rows, strict=True):
+        out[p] = row
+
+
 def mahalanobis(x: np.ndarray, center: np.ndarray, inverse: np.ndarray) -> np.ndarray:
     d = x - center
     return np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", d, inverse, d), 0.0))

@@ -117,14 +117,11 @@ def with_memberships(chips: DataFrame, model: FcmModel, by: Sequence[str] = (),
 
     def assign(grp: pd.Series, vectors: pd.Series) -> pd.Series:
         centers, m = shared.value
-        out = pd.Series([None] * len(vectors), dtype=object)
-        for name, places in grp.groupby(grp).groups.items():
-            full = [k for k in places if vectors[k] is not None]
-            if full and name in centers:
-                u, _ = _kernels.memberships(np.stack([vectors[k] for k in full]), centers[name], m)
-                for k, row in zip(full, u, strict=True):
-                    out[k] = row.tolist()
-        return out
+        out, values = np.full(len(vectors), None, object), vectors.to_numpy()
+        for name, full in _kernels.full_places(grp, values):
+            if name in centers:
+                _kernels.placed(_kernels.memberships(np.stack(values[full]), centers[name], m)[0], full, out)
+        return pd.Series(out)
 
     return chips.withColumn("grp", _keys(chips, by)).withColumn("u", F.pandas_udf(assign, "array<double>")("grp", F.col(ev)))
 

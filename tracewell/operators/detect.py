@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,43 +110,64 @@ def score(df: DataFrame, detectors: dict[str, Detector], by: Sequence[str] = (),
         for pdf in batches:
             out = pdf[[f.name for f in kept]].copy()
             found = np.full((len(pdf), len(SCORES)), np.nan)
-            for grp, places in pdf.reset_index(drop=True).groupby("__grp").groups.items():
+            vectors = pdf[ev].to_numpy()
+            for grp, full in _kernels.full_places(pdf["__grp"], vectors):
                 d = shared.value.get(grp)
-                full = [p for p in places if pdf[ev].iloc[p] is not None]
-                if d is None or not full:
+                if d is None:
                     continue
                 a1, a2 = (d.a1, d.a2) if weights == "entropy" else weights
-                ed_g, ed_t, md_g, md_t = d.distances(np.stack([pdf[ev].iloc[p] for p in full]))
+                ed_g, ed_t, md_g, md_t = d.distances(np.stack(vectors[full]))
                 fd_g, fd_t = a1 * ed_g + a2 * md_g, a1 * ed_t + a2 * md_t
                 found[full] = np.stack([ed_g, ed_t, md_g, md_t, fd_g, fd_t, fd_g / (fd_t + 1e-12)], axis=1)
+            none = np.isnan(found)
             for k, name in enumerate(SCORES):
-                out[name] = [None if math.isnan(x) else x for x in found[:, k]]
-            out["predicted"] = [None if math.isnan(x) else int(x >= 1.0) for x in found[:, -1]]
+                out[name] = pd.arrays.FloatingArray(found[:, k].copy(), none[:, k].copy())
+            out["predicted"] = pd.arrays.IntegerArray((found[:, -1] >= 1.0).astype(np.int32), none[:, -1].copy())
             yield out
 
     return df.select(*[f.name for f in kept], ev, "__grp").mapInPandas(judge, schema)
 
 
-def evaluate(predictions: DataFrame, by: Sequence[str] = (), predicted: str = "predicted", truth: str = "label", empty: dict[str, float] | None = None) -> DataFrame:
-    """Confusion counts and rates in percent; a rate without cases has the default in ``empty``."""
-    empty = {"precision_pct": 100.0, "recall_pct": 100.0, "fpr_pct": 0.0, "fnr_pct": 0.0, "tpr_pct": 0.0, "tnr_pct": 0.0} | (empty or {})
-    p, t = F.col(predicted), F.col(truth)
-    count = lambda a, b: F.sum(F.when((p == a) & (t == b), 1).otherwise(0)).cast("long")
-    counts = predictions.groupBy(*by).agg(count(1, 1).alias("tp"), count(1, 0).alias("fp"), count(0, 0).alias("tn"), count(0, 1).alias("fn"))
-    tp, fp, tn, fn = (F.coalesce(F.col(c), F.lit(0)) for c in ("tp", "fp", "tn", "fn"))
+EMPTY = {"precision_pct": 100.0, "recall_pct": 100.0, "fpr_pct": 0.0, "fnr_pct": 0.0, "tpr_pct": 0.0, "tnr_pct": 0.0}
+
+
+def _counts(predicted: str, truth: str) -> list[Column]:
+    count = lambda p, t: F.sum(F.when((F.col(predicted) == p) & (F.col(truth) == t), 1).otherwise(0)).cast("long")
+    return [count(1, 1).alias("tp"), count(1, 0).alias("fp"), count(0, 0).alias("tn"), count(0, 1).alias("fn")]
+
+
+def _rates(empty: dict[str, float]) -> list[Column]:
+    tp, fp, tn, fn = (F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("tp", "fp", "tn", "fn"))
     rate = lambda a, b, name: F.coalesce(F.try_divide(100.0 * a, b), F.lit(empty[name])).alias(name)
-    return counts.select(
-        *by, tp.cast("long").alias("tp"), fp.cast("long").alias("fp"), tn.cast("long").alias("tn"), fn.cast("long").alias("fn"),
-        F.try_divide(100.0 * (tp + tn), tp + fp + tn + fn).alias("accuracy_pct"),
+    return [
+        tp.alias("tp"), fp.alias("fp"), tn.alias("tn"), fn.alias("fn"), F.try_divide(100.0 * (tp + tn), tp + fp + tn + fn).alias("accuracy_pct"),
         rate(tp, tp + fp, "precision_pct"), rate(tp, tp + fn, "recall_pct"), rate(fp, fp + tn, "fpr_pct"), rate(fn, fn + tp, "fnr_pct"), rate(tp, tp + fn, "tpr_pct"), rate(tn, tn + fp, "tnr_pct"),
-    )
+    ]
 
 
-def separation(predictions: DataFrame, by: Sequence[str] = (), ratio: str = "r_fd", truth: str = "label") -> DataFrame:
-    """Mean, least and largest ratio of each class (mean 1 for an empty class) and the margin between the means."""
+def _ratios(ratio: str, truth: str) -> list[Column]:
     of = lambda f, cls: f(F.when(F.col(truth) == cls, F.col(ratio)))
-    found = predictions.groupBy(*by).agg(
+    return [
         F.coalesce(of(F.avg, 0), F.lit(1.0)).alias("mean_golden"), F.coalesce(of(F.avg, 1), F.lit(1.0)).alias("mean_modified"),
         of(F.min, 0).alias("min_golden"), of(F.max, 0).alias("max_golden"), of(F.min, 1).alias("min_modified"), of(F.max, 1).alias("max_modified"),
-    )
-    return found.withColumn("margin", F.col("mean_modified") / (F.col("mean_golden") + 1e-12))
+    ]
+
+
+def _margin() -> Column:
+    return F.col("mean_modified") / (F.col("mean_golden") + 1e-12)
+
+
+def evaluate(predictions: DataFrame, by: Sequence[str] = (), predicted: str = "predicted", truth: str = "label", empty: dict[str, float] | None = None) -> DataFrame:
+    """Confusion counts and rates in percent; a rate without cases has the default in ``empty``."""
+    return predictions.groupBy(*by).agg(*_counts(predicted, truth)).select(*by, *_rates(EMPTY | (empty or {})))
+
+
+def separation(predictions: DataFrame, by: Sequence[str] = (), ratio: str = "r_fd", truth: str = "label") -> DataFrame:
+    """Mean, least and largest ratio of each class (mean 1 for an empty class) and the margin between the means."""
+    return predictions.groupBy(*by).agg(*_ratios(ratio, truth)).withColumn("margin", _margin())
+
+
+def evaluate_all(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """What ``evaluate`` and ``separation`` return, in one pass over the verdicts."""
+    ratios = ["mean_golden", "mean_modified", "min_golden", "max_golden", "min_modified", "max_modified"]
+    return predictions.groupBy(*by).agg(*_counts("predicted", "label"), *_ratios("r_fd", "label")).select(*by, *_rates(EMPTY), *ratios, _margin().alias("margin"))

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell import _kernels
 from tracewell.operators.cluster import _keys
 
 
@@ -93,7 +94,24 @@ def pca_of(m: Moments, k: int = 10) -> PcaModel:
 
 
 def pca_fit(chips: DataFrame, k: int = 10, by: Sequence[str] = (), ev: str = "ev") -> dict[str, PcaModel]:
-    return {grp: pca_of(m, k) for grp, m in moments(chips, by, ev).items()}
+    """Components of each group.
+
+    Tasks solve them, a group each: their linear algebra has one thread, while a threaded solve of a hundred
+    features or more may never end in the process of a Spark driver.
+    """
+    found, spark = moments(chips, by, ev), chips.sparkSession
+    if not found:
+        return {}
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                p = pca_of(Moments(r.n, np.array(r.mean), np.array(r.cov).reshape(len(r.mean), -1)), k)
+                yield pd.DataFrame({"grp": [r.grp], "coeff": [p.coeff.ravel()], "explained": [p.explained]})
+
+    rows = spark.createDataFrame([(grp, m.n, m.mean.tolist(), m.cov.ravel().tolist()) for grp, m in found.items()], "grp string, n long, mean array<double>, cov array<double>")
+    solved = rows.repartition(min(len(found), spark.sparkContext.defaultParallelism)).mapInPandas(solve, "grp string, coeff array<double>, explained array<double>").collect()  # a row for each group
+    return {r.grp: PcaModel(found[r.grp].mean, np.array(r.coeff).reshape(len(found[r.grp].mean), -1), np.array(r.explained)) for r in solved}
 
 
 def pca_project(chips: DataFrame, models: dict[str, PcaModel], by: Sequence[str] = (), ev: str = "ev", name: str = "pc") -> DataFrame:
@@ -101,14 +119,12 @@ def pca_project(chips: DataFrame, models: dict[str, PcaModel], by: Sequence[str]
     shared = chips.sparkSession.sparkContext.broadcast(models)
 
     def project(grp: pd.Series, vectors: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(vectors), dtype=object)
-        for g, places in grp.groupby(grp).groups.items():
+        out, values = np.full(len(vectors), None, object), vectors.to_numpy()
+        for g, full in _kernels.full_places(grp, values):
             model = shared.value.get(g)
-            full = [p for p in places if vectors[p] is not None]
-            if model is not None and full:
-                for p, row in zip(full, (np.stack([vectors[p] for p in full]) - model.mean) @ model.coeff, strict=True):
-                    out[p] = row.tolist()
-        return out
+            if model is not None:
+                _kernels.placed((np.stack(values[full]) - model.mean) @ model.coeff, full, out)
+        return pd.Series(out)
 
     return chips.withColumn(name, F.pandas_udf(project, "array<double>")(_keys(chips, by), F.col(ev)))
 

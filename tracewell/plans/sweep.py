@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell import _kernels
-from tracewell.operators.detect import Detector, evaluate, fit_detector, score, separation
+from tracewell.operators.detect import Detector, evaluate_all, fit_detector, score
 from tracewell.operators.spectral import features
 
 #: The two sweeps, fixed by the published experiment: signal-to-noise ratios at 0.5 % drift, drifts at 20 dB.
@@ -55,15 +55,14 @@ def stressed(traces: DataFrame, seed: int, samples: str = "samples", chip: str =
 def _evaluated(vectors: DataFrame, by: list[str], **fit) -> tuple[DataFrame, dict[str, Detector]]:
     detectors = fit_detector(vectors.where("split = 'train'"), by, **fit)
     verdicts = score(vectors.where("split = 'validation'"), detectors, by)
-    return evaluate(verdicts, by).join(separation(verdicts, by), by), detectors
+    return evaluate_all(verdicts, by), detectors
 
 
 def robustness_sweep(traces: DataFrame, lo: Sequence[int], hi: Sequence[int], bins: Sequence[int], seed: int = 42) -> DataFrame:
     """One row of metrics for each condition and method; one transform of a trace serves both methods."""
     stress = stressed(condition_grid(traces), seed)
-    vectors = features(stress, lo, hi, bins)
-    method = lambda name, column: vectors.withColumn("method", F.lit(name)).withColumn("ev", F.col(column)).drop("ev_band", "ev_bin")
-    both = method("band", "ev_band").unionByName(method("bin", "ev_bin")).persist()
+    methods = F.array(*(F.struct(F.lit(name).alias("method"), F.col(f"ev_{name}").alias("ev")) for name in ("band", "bin")))
+    both = features(stress, lo, hi, bins).withColumn("__m", F.explode(methods)).select("*", "__m.*").drop("__m", "ev_band", "ev_bin").persist()
     by = ["experiment", "snr_db", "drift_pct", "method"]
     return _evaluated(both, by, classes="label", tol=1e-5, max_iter=60)[0]
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tracewell import sql
 from tracewell.functions import hash_uniform
 from tracewell.operators.cluster import ALL, center_distance, cluster_accuracy, convergence, energy_label, fcm_fit, hard_assign, with_memberships
-from tracewell.operators.detect import Detector, entropy_weights, evaluate, fit_detector, score, separation
+from tracewell.operators.detect import Detector, entropy_weights, evaluate, evaluate_all, fit_detector, score, separation
 from tracewell.operators.subspace import PcaModel, covariance_pairs, explained_variance, feature_means, moments, pca_fit, pca_project
 from tracewell.plans import fixture
 from tracewell.plans.sweep import robustness_sweep, threat_benchmark
@@ -150,8 +150,7 @@ def q_detector_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_detector_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    verdicts = _verdicts(spark, sf_dir)
-    return evaluate(verdicts).crossJoin(separation(verdicts))  # one row each
+    return evaluate_all(_verdicts(spark, sf_dir))
 
 
 def q_pca_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:

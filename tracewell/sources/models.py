@@ -10,6 +10,7 @@ from tracewell.operators.detect import Detector
 from tracewell.operators.subspace import PcaModel
 
 FCM = "grp STRING, cluster INT, center ARRAY<DOUBLE>, n_iter INT, m DOUBLE"
+PCA = "grp STRING, mean ARRAY<DOUBLE>, explained ARRAY<DOUBLE>, coeff ARRAY<ARRAY<DOUBLE>>"
 DETECTOR = "grp STRING, golden ARRAY<DOUBLE>, modified ARRAY<DOUBLE>, golden_pc ARRAY<DOUBLE>, modified_pc ARRAY<DOUBLE>, mean ARRAY<DOUBLE>, explained ARRAY<DOUBLE>, coeff ARRAY<ARRAY<DOUBLE>>, inverse_g ARRAY<ARRAY<DOUBLE>>, inverse_t ARRAY<ARRAY<DOUBLE>>, a1 DOUBLE, a2 DOUBLE, n_iter INT, energy_higher BOOLEAN"
 
 
@@ -27,6 +28,14 @@ def load_fcm(spark: SparkSession, path: str) -> FcmModel:
     return model
 
 
+def save_pca(spark: SparkSession, models: dict[str, PcaModel], path: str) -> None:
+    spark.createDataFrame([(grp, m.mean.tolist(), m.explained.tolist(), m.coeff.tolist()) for grp, m in models.items()], PCA).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_pca(spark: SparkSession, path: str) -> dict[str, PcaModel]:
+    return {r.grp: PcaModel(np.array(r.mean), np.array(r.coeff), np.array(r.explained)) for r in spark.read.schema(PCA).parquet(path).collect()}
+
+
 def save_detectors(spark: SparkSession, detectors: dict[str, Detector], path: str) -> None:
     rows = [
         (grp, *(x.tolist() for x in (d.golden, d.modified, d.golden_pc, d.modified_pc, d.pca.mean, d.pca.explained, d.pca.coeff, d.inverse_g, d.inverse_t)), float(d.a1), float(d.a2), d.rounds, bool(d.energy_higher))
