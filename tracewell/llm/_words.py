@@ -19,6 +19,14 @@ SLICE_BYTES = 8 << 20
 MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
+def spans(values: np.ndarray) -> list[tuple[int, int]]:
+    """Where each run of equal values starts and ends; none for an empty array."""
+    if not len(values):
+        return []
+    edges = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
 def slices(batch: pa.RecordBatch | pa.Table, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.Table]:
     """Cuts a batch into tables of about ``limit`` bytes of text, one row at least.
 
@@ -26,9 +34,7 @@ def slices(batch: pa.RecordBatch | pa.Table, text: str, limit: int = SLICE_BYTES
     """
     table = pa.table(batch) if isinstance(batch, pa.Table) else pa.Table.from_batches([batch])
     sizes = pc.fill_null(pc.binary_length(table[text]), 0).to_numpy().astype(np.int64)
-    part = (np.cumsum(sizes) - sizes) // limit
-    edges = np.flatnonzero(np.diff(part, prepend=-1))
-    for start, stop in zip(edges, [*edges[1:], len(sizes)], strict=True):
+    for start, stop in spans((np.cumsum(sizes) - sizes) // limit):
         yield table.slice(start, stop - start)
         pa.default_memory_pool().release_unused()
 

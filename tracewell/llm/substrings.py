@@ -11,7 +11,8 @@ the smallest document are marks.  Marks travel to the documents in units of a si
 whatever they cover is removed.
 
 Windows that are estimated to occur ``HOT`` times or more aren't grouped in one task: their smallest document
-is found by partial minima, and the few windows that can be so frequent are given to all tasks.  The sketch
+is found by partial minima, and these windows are given to all tasks.  Where more than ``MOST_HOT`` windows are so
+frequent, the most frequent ones are, and the others are grouped like all windows.  The sketch
 has three cells a row for each window, up to ``MAX_STRIPES`` stripes of 4 million cells.  It is written to the shared
 folder as 1 bit a cell, and each worker reads it there (256 MB at most, in all rows); beyond about 350 million windows it lets more single windows through to the exact pass,
 which costs shuffled bytes but no result.
@@ -43,7 +44,8 @@ WINDOW = 13
 ROWS = 2
 CELLS_PER_WINDOW = 3
 STRIPE_BITS, MAX_STRIPES = 22, 256
-HOT = 20_000
+#: Windows so frequent aren't grouped in a task; so many of them at most are given to all tasks (20 bytes each).
+HOT, MOST_HOT = 20_000, 1_000_000
 UNIT_BYTES = 16 << 20
 BUCKET_WINDOWS = 500_000
 NO_ID = np.iinfo(np.int64).max
@@ -117,8 +119,7 @@ def build_sketch(docs: DataFrame, text: str, width: int, n_windows: int, hot: in
                 for r in range(ROWS):
                     cells, times = np.unique(cells_of(both[r], n_cells), return_counts=True)
                     stripes = (cells >> np.uint64(STRIPE_BITS)).astype(np.int64)
-                    edges = np.flatnonzero(np.diff(stripes, prepend=-1))
-                    for a, b in zip(edges, [*edges[1:], len(cells)], strict=True):
+                    for a, b in _words.spans(stripes):
                         inside = (cells[a:b] & np.uint64((1 << STRIPE_BITS) - 1)).astype(np.uint32)
                         more = np.flatnonzero(times[a:b] > 1)
                         parts.append((r, int(stripes[a]), pack(np.diff(inside, prepend=np.uint32(0)), more.astype(np.uint32), times[a:b][more].astype(np.uint32))))
@@ -128,8 +129,8 @@ def build_sketch(docs: DataFrame, text: str, width: int, n_windows: int, hot: in
         key, total = None, np.zeros(1 << STRIPE_BITS, np.uint32)
 
         def close() -> pa.RecordBatch:
-            often = np.flatnonzero(total >= hot).astype(np.uint64) + np.uint64(key[1] << STRIPE_BITS)
-            row = (*key, pack(np.packbits(total > 1, bitorder="little")), pack(often) if len(often) else None)
+            often = np.flatnonzero(total >= hot)
+            row = (*key, pack(np.packbits(total > 1, bitorder="little")), pack(often.astype(np.uint64) + np.uint64(key[1] << STRIPE_BITS), total[often]) if len(often) else None)
             return _batch([row], ("row", "stripe", "cells", "hot"), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))
 
         for batch in batches:
@@ -150,10 +151,14 @@ def build_sketch(docs: DataFrame, text: str, width: int, n_windows: int, hot: in
     merged = partial.repartition("row", "stripe").sortWithinPartitions("row", "stripe").mapInArrow(merge, schema + ", hot binary")
     path = new_path(docs.sparkSession, "sketch")
     merged.write.parquet(path)
-    found: list[list[np.ndarray]] = [[] for _ in range(ROWS)]
+    cells, times = [np.empty(0, np.uint64)] * ROWS, [np.empty(0, np.uint32)] * ROWS
     for r, often in docs.sparkSession.read.schema(schema + ", hot binary").parquet(path).where("hot is not null").select("row", "hot").toLocalIterator():
-        found[r] += unpack(often)  # at most n_windows / hot cells a row
-    return n_cells, path, [np.sort(np.concatenate(c)) if c else np.empty(0, np.uint64) for c in found]
+        more = unpack(often)
+        cells[r], times[r] = np.concatenate([cells[r], more[0]]), np.concatenate([times[r], more[1]])
+        if len(cells[r]) > 2 * MOST_HOT:
+            most = np.argpartition(times[r], -MOST_HOT)[-MOST_HOT:]
+            cells[r], times[r] = cells[r][most], times[r][most]
+    return n_cells, path, [np.sort(c) for c in cells]
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WINDOW, hot: int = HOT) -> DataFrame:
@@ -164,7 +169,6 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         F.coalesce(F.sum(F.octet_length(text)), F.lit(0)),
         F.coalesce(F.sum(F.greatest(F.lit(0), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")) - (width - 1))), F.lit(0)),
     ).first()
-    hot = max(hot, n_windows // 1_000_000)
     units = max(-(-n_bytes // UNIT_BYTES), spark.sparkContext.defaultParallelism)
     buckets = max(-(-n_windows // BUCKET_WINDOWS), spark.sparkContext.defaultParallelism)
     placed = docs.withColumn("__unit", F.pmod(F.xxhash64(doc_id), F.lit(units)).cast("int"))
@@ -190,9 +194,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                     h1, h2, of, place, to = h1[rest], h2[rest], of[rest], place[rest], to[rest]
                 order = np.argsort(to, kind="stable")
                 to = to[order]
-                edges = np.flatnonzero(np.diff(to, prepend=to[0] - 1 if len(to) else 0))
                 parts = []
-                for a, b in zip(edges, [*edges[1:], len(to)], strict=True):
+                for a, b in _words.spans(to):
                     k = order[a:b]
                     mark = (ids[of[k]], tags[of[k]], place[k])
                     parts.append((int(to[a]), pack(*mark) if to[a] < 0 else pack(h1[k], h2[k], *mark, unit[of[k]].astype(np.int32))))
@@ -272,8 +275,8 @@ def _smallest_of_hot(docs: DataFrame, text: str, doc_id: str, width: int, n_cell
                 yield pa.RecordBatch.from_arrays([pa.array(keys["a"].astype(np.int64)), pa.array(keys["b"].astype(np.int64)), pa.array(best), pa.array(np.bincount(place, minlength=len(keys)))], names=["a", "b", "id", "n"])
 
     found = docs.select(doc_id, text).mapInArrow(least, "a long, b long, id long, n long").groupBy("a", "b").agg(F.min("id").alias("id"), F.sum("n").alias("n"))
-    # Windows that only share a hot cell are grouped with all others; so at most n_windows / (hot / 2) are left.
-    rows = found.where(F.col("n") >= hot // 2).select("a", "b", "id").toPandas()
+    # Windows that only share a hot cell, and those beyond MOST_HOT, are grouped with all others.
+    rows = found.where(F.col("n") >= hot // 2).orderBy(F.desc("n"), "a", "b").limit(MOST_HOT).select("a", "b", "id").toPandas()
     keys = _keys(rows["a"].to_numpy(np.int64).astype(np.uint64), rows["b"].to_numpy(np.int64).astype(np.uint64))
     order = np.argsort(keys)
     return keys[order], rows["id"].to_numpy(np.int64)[order]
@@ -306,8 +309,7 @@ def _marks(held: list[list[np.ndarray]]) -> list[tuple[int, bytes]]:
     marked = np.flatnonzero(ids > least)
     marked = marked[np.lexsort((places[marked], ids[marked], units[marked]))]
     own = units[marked]
-    edges = np.flatnonzero(np.diff(own, prepend=-1))
-    return [(int(own[a]), pack(ids[marked[a:b]], tags[marked[a:b]], places[marked[a:b]])) for a, b in zip(edges, [*edges[1:], len(own)], strict=True)]
+    return [(int(own[a]), pack(ids[marked[a:b]], tags[marked[a:b]], places[marked[a:b]])) for a, b in _words.spans(own)]
 
 
 def _batch(rows: list[tuple], names: tuple[str, ...], kinds: tuple[pa.DataType, ...]) -> pa.RecordBatch:
