@@ -7,15 +7,16 @@ lower orders count the distinct characters seen before an n-gram.  The models of
 arrays of n-gram hashes, a pair for each order: discounted shares by n-gram and back-off weights by context,
 a column for each language.  A text gets the language with the lowest cross-entropy per character.
 
-A tenth of the training texts, chosen by a hash of the text, is kept from the counts and calibrates the
-rest: the temperature that turns cross-entropies into a probability (the score), and for each language the
+A tenth of the training texts, chosen by a hash of the text, calibrates the models of the rest, and then counts
+like all others, so that no language is missing because its texts are few: the temperature that turns cross-entropies into a probability (the score), and for each language the
 cross-entropy above which a text of ``MIN_CHARS`` or more characters is rejected as none of the languages.
 The limit lies three quarters of the way from the median of the language's own texts to the median of the
 same texts with the letters of each word in sorted order, so that mixed and unusual texts stay.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 and rejected; training rows
 without language or letter teach nothing; without any training row every text is ``und``; equal
-cross-entropies go to the language first in code-point order.
+cross-entropies go to the language first in code-point order; null ids and repeated rows are rows like others;
+texts of any length are taken whole; columns named like results are replaced; an empty table gives no rows.
 
 The models keep every n-gram of every order.  Spark derives and sorts them; the driver streams them into two
 files, which tasks map into memory, so that only the pages they look at take any.
@@ -271,8 +272,7 @@ def stored_models(counts: DataFrame) -> Models:
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             part, place, value = batch["part"].to_numpy(), batch["place"].to_numpy(), batch["value"].to_pylist()
-            edges = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
-            for a, b in zip(edges, [*edges[1:], len(part)], strict=True):
+            for a, b in _words.spans(part):
                 keys = place[a:b].view(np.uint64) ^ np.uint64(1 << 63)
                 yield pa.RecordBatch.from_arrays([pa.array(part[a : a + 1], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([b"".join(value[a:b])], pa.binary())], names=["part", "keys", "share"])
 
@@ -301,9 +301,13 @@ def train_models(train: DataFrame, text: str = "text", lang: str = "lang") -> Mo
     """Models from all rows of ``train`` with a language."""
     spark = train.sparkSession
     rows = train.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null").withColumn("held", F.pmod(F.xxhash64("text"), F.lit(10)) == 0)
-    models = stored_models(written(count_ngrams(rows.where("not held"), "text", "lang"), "grams"))
+    # One pass over the texts counts both parts: the flag travels as the first character of the language.
+    flagged = rows.withColumn("lang", F.concat(F.when(F.col("held"), "1").otherwise("0"), "lang"))
+    both = written(count_ngrams(flagged, "text", "lang"), "grams").withColumn("held", F.substring("lang", 1, 1) == "1").withColumn("lang", F.expr("substring(lang, 2)"))
+    final = stored_models(written(both.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "all-grams"))
+    models = stored_models(both.where("not held").select("lang", "gram", "n"))
     if not models.langs:
-        return models
+        return final
     shared = spark.sparkContext.broadcast(models)
     columns = [f"loss{i}" for i in range(len(TEMPERATURES))]
 
@@ -322,10 +326,10 @@ def train_models(train: DataFrame, text: str = "text", lang: str = "lang") -> Mo
     judged = rows.where("held").select("text", "lang").mapInArrow(judge, "lang string, h double, none double, n long, " + ", ".join(f"{c} double" for c in columns))
     median = lambda c: F.percentile_approx(F.when(F.col("n") >= MIN_CHARS, F.col(c)), 0.5, 10000)
     summary = judged.groupBy("lang").agg(median("h").alias("own"), median("none").alias("none"), *(F.sum(c).alias(c) for c in columns)).collect()  # a row for each language
-    models.limits = {r.lang: r.own + 0.75 * max(r.none - r.own, 0.0) for r in summary if r.own is not None}
+    final.limits = {r.lang: r.own + 0.75 * max(r.none - r.own, 0.0) for r in summary if r.own is not None}
     if summary:
-        models.temperature = TEMPERATURES[int(np.argmin([sum(r[c] for r in summary) for c in columns]))]
-    return models
+        final.temperature = TEMPERATURES[int(np.argmin([sum(r[c] for r in summary) for c in columns]))]
+    return final
 
 
 def predict(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
