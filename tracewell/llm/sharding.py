@@ -7,7 +7,8 @@ input was partitioned or which attempt of a task survived.  The buckets in their
 random order, which is cut into shards whose row counts differ by one at most.
 
 Defined results: null keys and null texts are ordinary values; rows with equal keys are told apart by
-their text; rows equal in both are interchangeable; an empty table gives no rows.  Columns of the input
+their text; rows equal in both are interchangeable and share a bucket; texts of any length stay whole; an empty
+table gives no rows.  Columns of the input
 named ``shard`` or ``slot`` are replaced.
 """
 
@@ -18,7 +19,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,10 +27,10 @@ BUCKET_BYTES = 24 << 20
 _BUCKET, _START = "__bucket", "__start"
 
 
-def bucket_count(df: DataFrame, text: str, bucket_bytes: int) -> int:
-    """Buckets so that each holds about ``bucket_bytes``; a task or more for each core."""
-    total = df.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 64)).first()[0] or 0
-    return max(math.ceil(total / bucket_bytes), 2 * df.sparkSession.sparkContext.defaultParallelism)
+def bucket_count(df: DataFrame, text: str, bucket_bytes: int) -> tuple[int, int]:
+    """Buckets so that each holds about ``bucket_bytes``, a task or more for each core; and the number of rows."""
+    total, rows = df.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 64), F.count("*")).first()
+    return max(math.ceil((total or 0) / bucket_bytes), 2 * df.sparkSession.sparkContext.defaultParallelism), rows
 
 
 def two_pass_shuffle(df: DataFrame, shards: int, seed: int = 17, key: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -37,13 +38,11 @@ def two_pass_shuffle(df: DataFrame, shards: int, seed: int = 17, key: str = "doc
     if shards < 1:
         raise ValueError("shards must be 1 or more")
     df = df.drop("shard", "slot")
-    buckets = bucket_count(df, text, bucket_bytes)
+    buckets, total = bucket_count(df, text, bucket_bytes)
     scattered = df.withColumn(_BUCKET, F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.crc32(F.col(text).cast("binary"))), F.lit(buckets)).cast("int"))
-    counts = np.zeros(buckets, np.int64)
-    for row in scattered.groupBy(_BUCKET).count().toLocalIterator():  # one small row for each bucket
-        counts[row[0]] = row[1]
-    total, starts = int(counts.sum()), np.cumsum(counts) - counts
-    offsets = df.sparkSession.createDataFrame([(int(b), int(starts[b])) for b in np.flatnonzero(counts)], f"{_BUCKET} int, {_START} long")
+    # A small row for each bucket_bytes of the input: few enough for one window over all buckets.
+    before = F.sum("count").over(Window.orderBy(_BUCKET)) - F.col("count")
+    offsets = scattered.groupBy(_BUCKET).count().select(_BUCKET, before.cast("long").alias(_START))
     schema = T.StructType([*df.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
 
     def permuted(_key: tuple, rows: pa.Table, start: pa.Table) -> pa.Table:
