@@ -10,8 +10,9 @@ read alone.
 
 Of records with equal payloads the one with the largest id holds the payload; the others are revisits
 that refer to it.  Defined results: null payload and null URL count as empty; rows with the id of the
-response and its payload are all responses; null ids sort below every other id; an empty table gives an
-index without rows.
+response and its payload are all responses; null ids sort below every other id, and of payloads that only
+null ids have, all are responses; payloads of any length are written whole; other columns aren't looked at, so
+none can clash; an empty table gives an index without rows.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ INDEX = "record_id long, url string, record_type string, refers_to long, payload
 RECORDS = "record_id long, url string, record_type string, refers_to long, payload_digest string, payload binary"
 BLOCK_BYTES = 16 << 20
 GAP_BYTES = 64 << 10
+#: Payloads that may be joined by broadcast: those of more rows than this, and with more than this part of all rows.
+HOT_ROWS, HOT_PAYLOADS = 100, 10_000
 RUN_BYTES = 4 << 20
 _HEAD = re.compile(rb"([^:\r\n]+): ?([^\r\n]*)\r\n")
 
@@ -88,8 +91,14 @@ def write_archives(pages: DataFrame, record_id: str, url: str, payload: str, fol
     rows = pages.select(F.col(record_id).cast("long").alias("record_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), body.alias("payload"))
     key = F.when(F.length("payload") >= min_revisit_bytes, F.concat_ws(":", F.sha1("payload"), F.length("payload")))
     rows = rows.withColumn("key", key)
-    shared = rows.where("key is not null").groupBy("key").agg(F.max("record_id").alias("holder"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(shared, "key", "left").select("record_id", "url", "payload", "holder", (F.col("holder").isNotNull() & ~F.col("record_id").eqNullSafe(F.col("holder"))).alias("revisit"))
+    shared = written(rows.where("key is not null").groupBy("key").agg(F.max("record_id").alias("holder"), F.count("*").alias("n")).where("n > 1"), "shared")
+    # Payloads of more than a ten-thousandth of all rows, ten thousand at most, are met by broadcast where they lie;
+    # these rows, and those without a key, get a key of their own for the join of the others.
+    limit = max(HOT_ROWS, rows.count() // HOT_PAYLOADS)
+    hot = F.broadcast(shared.where(F.col("n") > limit).select("key", F.col("holder").alias("of_hot")))
+    own = F.concat(F.lit("="), F.xxhash64("record_id", "url").cast("string"))
+    rows = rows.join(hot, "key", "left").withColumn("key", F.when(F.col("of_hot").isNull(), F.coalesce("key", own)).otherwise(own))
+    rows = rows.join(shared.where(F.col("n") <= limit).drop("n"), "key", "left").withColumn("holder", F.coalesce("of_hot", "holder")).select("record_id", "url", "payload", "holder", (F.col("holder").isNotNull() & ~F.col("record_id").eqNullSafe(F.col("holder"))).alias("revisit"))
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
