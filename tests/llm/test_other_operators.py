@@ -7,10 +7,11 @@ import hashlib
 import random
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tests.sqlcheck import same_as_sql
+from tests.sqlcheck import normal, same_as_sql
 
 import corpus_pipeline
 from tracewell.llm import chat, hamming, warc
@@ -113,6 +114,28 @@ def test_archives_and_back(spark, tmp_path):
     assert warc.read_records(warc.write_archives(pages.limit(0), "page_id", "url", "html")).count() == 0
 
 
+@pytest.mark.parametrize("hot", [100, 2])
+def test_archives_of_null_ids_and_repeated_rows(spark, monkeypatch, hot):
+    monkeypatch.setattr(warc, "HOT_ROWS", hot)
+    rows = [(None, "a", "x"), (None, "b", "x"), (5, "c", "y"), (5, "c", "y"), (None, "d", "y"), (3, "e", "y"), (7, "f", None), (8, "g", ""), (9, "h", "é" * 300_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", F.lit("clash"))
+    got = sorted((r.url, r.record_id, r.record_type, r.refers_to, bytes(r.payload).decode()) for r in warc.read_records(warc.write_archives(pages, "page_id", "url", "html")).collect())
+    assert got == [
+        ("a", None, "response", None, "x"), ("b", None, "response", None, "x"), ("c", 5, "response", None, "y"), ("c", 5, "response", None, "y"), ("d", None, "revisit", 5, ""),
+        ("e", 3, "revisit", 5, ""), ("f", 7, "revisit", 8, ""), ("g", 8, "response", None, ""), ("h", 9, "response", None, "é" * 300_000),
+    ]
+
+
+def test_warc_query_with_equal_payloads(spark, tmp_path):
+    """The query and its SQL over pages of which some are equal."""
+    rows = [(i, f"u{i}", None if i % 9 == 0 else f"<p>{i % 4}</p>") for i in range(60)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    ours, theirs = QUERIES["op8_warc"](spark, str(tmp_path)).toPandas(), con.sql(ORACLE_SQL["op8_warc"]).df()
+    assert normal(ours) == normal(theirs) and (ours["record_type"] == "revisit").sum() == 55
+
+
 def test_runs_join_close_ranges():
     found = list(warc._runs([("a", 0, 10), ("a", 10, 5), ("a", 10**6, 5), ("b", 0, 1)]))
     assert [(f, len(r)) for f, r in found] == [("a", 2), ("a", 1), ("b", 1)]
@@ -187,6 +210,27 @@ def test_pipeline_stages(spark, sf_dir):
     assert packed.select("doc_id").distinct().count() == kept[3]
 
 
+def test_pipeline_of_odd_documents(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, clashing columns, and no rows at all."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 8))) for _ in range(400)]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    rows = [(i, text(60), "en", "s", 1) for i in range(40)] + [(100, text(6000), "en", "s", 1), (101, None, "en", "s", 1), (102, "", None, None, None), (None, text(50), None, "s", None), (103, text(50), "en", None, 1)]
+    rows += [rows[3], rows[3], (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("shard", "score", "rejected", "kept", "taken", "target", "sequence_id", "path", "rep"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    spark.createDataFrame([(1, None), (None, 1), (2, 0), (2, 1)], "doc_id long, quality int").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    for found in (docs, docs.limit(0)):
+        kept = found
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, str(tmp_path))
+            assert kept.columns == corpus_pipeline.COLUMNS
+        packed = corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path)).collect()
+        ids = {r.doc_id for r in packed}
+        assert (set(range(40)) | {100, None, 103} >= ids and len(ids) >= 40) if found is docs else not packed
+
+
 def test_near_duplicates_of_null_and_repeated_ids(spark):
     """One row of each class stays, the first by id and text, whatever ids its rows share with other classes."""
     text = lambda group, near=0: " ".join([f"{group}{i}" for i in range(60)] + ["near"] * near)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -87,6 +88,20 @@ def test_shuffle_of_odd_rows(odd, spark, tmp_path):
     assert sharding.two_pass_shuffle(odd.limit(0), 2).count() == 0
 
 
+def test_shard_query_keeps_its_law(spark, sf_dir):
+    """Every column of the query over its table."""
+    from tracewell.llm.queries_shards import SHARDS, op2_sharding
+
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows, slots = op2_sharding(spark, sf_dir).collect(), defaultdict(list)
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(texts[r.doc_id]) + 8, zlib.crc32(texts[r.doc_id]), "rows", None)
+        slots[r.shard].append(r.slot)
+    assert set(slots) == set(range(SHARDS)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
 # bottom-k
 
 
@@ -184,12 +199,23 @@ def removed(rows, width=13):
     return out
 
 
-@pytest.mark.parametrize("hot", [substrings.HOT, 4])
-def test_substrings_equal_brute_force(docs, rows, hot):
+@pytest.mark.parametrize(("hot", "most"), [(substrings.HOT, substrings.MOST_HOT), (4, substrings.MOST_HOT), (2, 5)])
+def test_substrings_equal_brute_force(docs, rows, monkeypatch, hot, most):
+    monkeypatch.setattr(substrings, "MOST_HOT", most)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.remove_repeats(docs, hot=hot).collect()}
     assert got == removed(rows)
 
 
+def test_substrings_without_repeats(spark):
+    """No window that is estimated to be repeated; then windows that repeat in one document only."""
+    rng = random.Random(12)
+    data = [(i, " ".join(f"w{rng.randrange(10**9)}" for _ in range(40)), None, None, 0) for i in range(5)]
+    got = substrings.remove_repeats(spark.createDataFrame(data, SCHEMA)).collect()
+    assert len(got) == 5 and all(r.n_words == 40 and r.n_removed == 0 and r.kept == r.text for r in got)
+    again = [(i, f"{t} {t}", *rest) for i, t, *rest in data]
+    assert all(r.n_words == 80 and r.n_removed == 0 for r in substrings.remove_repeats(spark.createDataFrame(again, SCHEMA)).collect())
+
+
 def test_substrings_of_odd_rows(odd):
     got = sorted((r.doc_id if r.doc_id is not None else 99, r.text, r.n_words, r.n_removed) for r in substrings.remove_repeats(odd).collect())
     by = {(i, n): r for i, _, n, r in got}
@@ -320,7 +346,7 @@ def test_models_keep_all_ngrams(spark):
     train = spark.createDataFrame(rows, SCHEMA)
     models = langid.train_models(train)
     counts = Counter()
-    for r in train.where(F.pmod(F.xxhash64("text"), F.lit(10)) != 0).collect():
+    for r in train.collect():
         for w in r.text.split():
             s = langid.START * (langid.ORDER - 1) + w + langid.END
             counts.update((r.lang, s[k : k + langid.ORDER]) for k in range(len(s) - langid.ORDER + 1))
@@ -332,6 +358,61 @@ def test_models_keep_all_ngrams(spark):
             assert ours.shape == theirs.shape and (ours == theirs).all() if ours.dtype == np.uint64 else np.allclose(ours, theirs, atol=1e-7)
 
 
+def slow_cross_entropy(words: list[str], counts: Counter, floor: float) -> float:
+    """Interpolated Kneser-Ney, character by character, straight from its formula; ``counts`` of the longest n-grams."""
+    levels = {langid.ORDER: dict(counts)}
+    for n in range(langid.ORDER - 1, 0, -1):
+        levels[n] = dict(Counter(g[1:] for g in levels[n + 1]))  # how many characters precede each
+    discounts = {}
+    for n, own in levels.items():
+        ones, twos = (sum(c == t for c in own.values()) for t in (1, 2))
+        discounts[n] = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+
+    def probability(context: str, char: str) -> float:
+        n = len(context) + 1
+        lower = probability(context[1:], char) if n > 1 else floor
+        after = [c for g, c in levels[n].items() if g[:-1] == context]
+        if not after:
+            return lower
+        return max(levels[n].get(context + char, 0) - discounts[n], 0) / sum(after) + discounts[n] * len(after) / sum(after) * lower
+
+    total = chars = 0
+    for w in words:
+        s = langid.START * (langid.ORDER - 1) + w + langid.END
+        for k in range(langid.ORDER - 1, len(s)):
+            total -= math.log(probability(s[k - langid.ORDER + 1 : k], s[k]))
+            chars += 1
+    return total / chars
+
+
+def test_cross_entropies_equal_slow_kneser_ney(spark):
+    rows = english_and_vowels(70)
+    models = langid.train_models(spark.createDataFrame(rows[:60], SCHEMA))
+    counts: dict[str, Counter] = defaultdict(Counter)
+    for _, text, lang, *_ in rows[:60]:
+        for w in text.split():
+            s = langid.START * (langid.ORDER - 1) + w + langid.END
+            counts[lang].update(s[k : k + langid.ORDER] for k in range(len(s) - langid.ORDER + 1))
+    floor = 1 / (len({g[-1] for own in counts.values() for g in own}) + 1)
+    texts = [r[1] for r in rows[60:66]] + ["zq zq", "the Oua"]
+    found, _ = models.cross_entropies(pa.array(texts))
+    for text, row in zip(texts, found, strict=True):
+        assert np.allclose(row, [slow_cross_entropy(text.lower().split(), counts[lang], floor) for lang in models.langs], rtol=1e-6, atol=1e-6)
+
+
+def test_language_of_few_texts_is_learned(spark):
+    """A language whose only text calibrates is counted, too."""
+    rows = english_and_vowels(60)
+    for k in range(200):
+        text = " ".join(f"zu{'wxk'[(k + j) % 3]}o" for j in range(20)) + f" q{'a' * (k % 50)}{'b' * (k // 50)}"
+        rare = spark.createDataFrame([(1000, text, "rare", None, 0)], SCHEMA)
+        if rare.where(F.pmod(F.xxhash64("text"), F.lit(10)) == 0).count():
+            break
+    models = langid.train_models(spark.createDataFrame(rows, SCHEMA).unionByName(rare))
+    got = {r.doc_id: r for r in langid.predict(rare, models).collect()}
+    assert got[1000].lang_pred == "rare" and not got[1000].rejected
+
+
 def test_model_is_a_distribution():
     """After each context the probabilities of all characters, and what is kept for unknown ones, add up to 1."""
     grams = Counter()

@@ -41,8 +41,8 @@ WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.999
 POSITIONS, LEAF = 128, 48
 #: The chance that unrelated sets agree at a position, from which the depth follows.
 BACKGROUND = 0.05
-#: Sets to a chunk of minhash values; sets and shingles to a chunk of shingle sets.
-LEAF_CHUNK, CHUNK, CHUNK_SHINGLES = 8192, 1024, 1 << 20
+#: Sets to a chunk of minhash values; sets to a chunk of a small group; shingles to a chunk at most.
+LEAF_CHUNK, CHUNK, CHUNK_SHINGLES = 8192, 256, 1 << 20
 #: Keys that may be joined by broadcast: those with more than this part of all rows.
 HOT_KEYS = 10_000
 #: Standard errors of the minhash estimate that a pair at the threshold may fall below it.
@@ -348,7 +348,8 @@ def exact_links(members: DataFrame, threshold: float, width: int) -> DataFrame:
     """
     sets = written(member_sets(members, width), "members")
     groups = sets.groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("shingles_in"))
-    chunks = F.ceil(F.greatest(F.col("n") / CHUNK, F.col("shingles_in") / CHUNK_SHINGLES)).cast("int")
+    # Chunks grow with the square root of the group: so do the copies of a set, and the tasks of a group.
+    chunks = F.ceil(F.greatest(F.col("n") / F.greatest(F.lit(float(CHUNK)), 4 * F.sqrt("n")), F.col("shingles_in") / CHUNK_SHINGLES)).cast("int")
     groups = written(groups.select("grp", "n", chunks.alias("chunks")), "group-sizes")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

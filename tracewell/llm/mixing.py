@@ -14,7 +14,8 @@ so the number of sources must stay in the thousands, as it does where weights ar
 
 Defined results: null texts have size 0; null sources form one source, last in order; documents of size 0
 are taken 0 times; documents with equal id and text share a key and are taken in one step up to the
-budget; an empty table gives no rows.
+budget; texts of any length count whole; an empty table gives no rows.  ``mix`` keeps no other columns, so none can
+clash.  In ``apply_mix`` rows of equal id and text get equal shares, rounded up to a word each.
 """
 
 from __future__ import annotations
