@@ -3,6 +3,10 @@
 Each stage works on all that its predecessor kept.  Texts change only where substring dedup removes passages
 and where mixing takes the front of one document of a source; rows repeat where mixing takes a document more
 than once.
+
+Defined results: documents with null or letterless texts are rejected by the first stage; null ids are ids, null
+sources a source of their own; of repeated rows one stays; texts of any length pass whole; all but the last stage
+return the columns of documents alone, so that no other column can clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
