@@ -8,7 +8,8 @@ word of the slice.  Null texts count as empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,21 @@ SLICE_BYTES = 8 << 20
 MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
+_held_by: dict[str, Callable[[], None]] = {}
+
+
+def take_over(owner: str, release: Callable[[], None] | None = None) -> None:
+    """Gives back what another operator left in this worker, which lives on from stage to stage."""
+    for other in [o for o in _held_by if o != owner]:
+        _held_by.pop(other)()
+    if release is not None:
+        _held_by[owner] = release
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
+
+
 def spans(values: np.ndarray) -> list[tuple[int, int]]:
     """Where each run of equal values starts and ends; none for an empty array."""
     if not len(values):

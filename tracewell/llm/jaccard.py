@@ -194,6 +194,7 @@ def document_sets(docs: DataFrame, width: int) -> DataFrame:
     """``SETS`` of every document: its shingle set's hash and, if that has shingles, its minhash values."""
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _words.take_over("jaccard")
         for batch in batches:
             for rows in _words.slices(batch, "text", SLICE):
                 bounds, values = shingle_sets(rows["text"], width)

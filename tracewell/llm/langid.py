@@ -7,8 +7,8 @@ lower orders count the distinct characters seen before an n-gram.  The models of
 arrays of n-gram hashes, a pair for each order: discounted shares by n-gram and back-off weights by context,
 a column for each language.  A text gets the language with the lowest cross-entropy per character.
 
-A tenth of the training texts, chosen by a hash of the text, calibrates the models of the rest, and then counts
-like all others, so that no language is missing because its texts are few: the temperature that turns cross-entropies into a probability (the score), and for each language the
+A tenth of the training texts, chosen by a hash of the text, is kept from the counts, unless its language would have
+none, and calibrates the rest: the temperature that turns cross-entropies into a probability (the score), and for each language the
 cross-entropy above which a text of ``MIN_CHARS`` or more characters is rejected as none of the languages.
 The limit lies three quarters of the way from the median of the language's own texts to the median of the
 same texts with the letters of each word in sorted order, so that mixed and unusual texts stay.
@@ -85,6 +85,7 @@ def count_ngrams(train: DataFrame, text: str, lang: str) -> DataFrame:
     """``lang, gram, n``: how often each n-gram of order ``ORDER`` occurs in the texts of each language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _words.take_over("langid")
         for batch in batches:
             for rows in _words.slices(batch, "text", SLICE):
                 bounds, codes, vocabulary = letter_words(rows["text"])
@@ -304,10 +305,11 @@ def train_models(train: DataFrame, text: str = "text", lang: str = "lang") -> Mo
     # One pass over the texts counts both parts: the flag travels as the first character of the language.
     flagged = rows.withColumn("lang", F.concat(F.when(F.col("held"), "1").otherwise("0"), "lang"))
     both = written(count_ngrams(flagged, "text", "lang"), "grams").withColumn("held", F.substring("lang", 1, 1) == "1").withColumn("lang", F.expr("substring(lang, 2)"))
-    final = stored_models(written(both.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "all-grams"))
-    models = stored_models(both.where("not held").select("lang", "gram", "n"))
+    counted = both.where("not held").select("lang", "gram", "n")
+    only_held = both.where("held").join(F.broadcast(counted.select("lang").distinct()), "lang", "left_anti")  # languages: a row each
+    models = stored_models(written(counted.unionByName(only_held.select("lang", "gram", "n")), "counted"))
     if not models.langs:
-        return final
+        return models
     shared = spark.sparkContext.broadcast(models)
     columns = [f"loss{i}" for i in range(len(TEMPERATURES))]
 
@@ -326,10 +328,10 @@ def train_models(train: DataFrame, text: str = "text", lang: str = "lang") -> Mo
     judged = rows.where("held").select("text", "lang").mapInArrow(judge, "lang string, h double, none double, n long, " + ", ".join(f"{c} double" for c in columns))
     median = lambda c: F.percentile_approx(F.when(F.col("n") >= MIN_CHARS, F.col(c)), 0.5, 10000)
     summary = judged.groupBy("lang").agg(median("h").alias("own"), median("none").alias("none"), *(F.sum(c).alias(c) for c in columns)).collect()  # a row for each language
-    final.limits = {r.lang: r.own + 0.75 * max(r.none - r.own, 0.0) for r in summary if r.own is not None}
+    models.limits = {r.lang: r.own + 0.75 * max(r.none - r.own, 0.0) for r in summary if r.own is not None}
     if summary:
-        final.temperature = TEMPERATURES[int(np.argmin([sum(r[c] for r in summary) for c in columns]))]
-    return final
+        models.temperature = TEMPERATURES[int(np.argmin([sum(r[c] for r in summary) for c in columns]))]
+    return models
 
 
 def predict(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:

@@ -35,7 +35,7 @@ LENGTH = 4096
 UNITS = 256
 END_ID = 2
 #: Words whose ids a worker remembers, and the ids that one of them has at most.
-REMEMBERED, LONGEST = 1_000_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 #: New words are encoded so many at a time, parted by the mark.
 ENCODE_WORDS, MARK = 1024, "\x01"
 #: Pieces below ``SHORT`` units are put together in bundles of ``BUNDLE`` units or a little more.
@@ -139,6 +139,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: in
     """The pieces of every document; ``with_ids`` adds their ids as an array."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _words.take_over("packing", _tokens.clear)
         tokens = word_tokens(tokenizer)
         for batch in batches:
             for rows in _words.slices(batch, "text"):

@@ -112,6 +112,7 @@ def build_sketch(docs: DataFrame, text: str, width: int, n_windows: int, hot: in
     n_cells = max(1, min(-(-CELLS_PER_WINDOW * n_windows >> STRIPE_BITS), MAX_STRIPES)) << STRIPE_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _words.take_over("substrings", release_sketch)
         for batch in batches:
             for rows in _words.slices(batch, text, SLICE):
                 both = windows(rows, text, width)[0]
@@ -176,6 +177,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     smallest = spark.sparkContext.broadcast(_smallest_of_hot(docs, text, doc_id, width, n_cells, hot_cells, hot) if all(len(c) for c in hot_cells) else None)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _words.take_over("substrings", release_sketch)
         found, hottest = held_sketch(n_cells, path), smallest.value
         for batch in batches:
             for rows in _words.slices(batch, text, SLICE):
