@@ -38,9 +38,12 @@ def read_cycle_logs(spark: SparkSession, path: str, min_bytes: int = 100, core:
     return read.withColumn("vccint_shunt_v", F.coalesce("vccint_shunt_v", F.col("vccint_shunt_mv") / 1000)).drop("vccint_shunt_mv")
 
 
-def read_chip_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """``split, chip_id, label, category, ev`` from documents that list training and validation chips."""
-    files = spark.read.schema(CHIP_FILE).option("multiLine", True).json(path)
+def read_chip_vectors(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """``split, chip_id, label, category, ev`` from documents that list training and validation chips.
+
+    A document is a file or, with ``lines``, a line, so that one file may hold any number of them.
+    """
+    files = spark.read.schema(CHIP_FILE).option("multiLine", not lines).json(path)
     part = lambda name, split: files.select(F.lit(split).alias("split"), F.explode(name).alias("c"))
     both = part("training_chips", "train").unionByName(part("validation_chips", "validation"))
     return both.select("split", "c.chip_id", F.coalesce("c.label", "c.ground_truth").alias("label"), "c.category", "c.ev")
@@ -51,10 +54,10 @@ def assignment_map(documents: Column | str) -> Column:
     return F.from_json(documents, MEMBER)
 
 
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """``report_id, value``: each text report as one row; the id is the file's name without its ending."""
+def read_reports(spark: SparkSession, path: str, name: str = r"([^/]+?)(\.[^./]*)?$") -> DataFrame:
+    """``report_id, value``: each text report as one row; ``name`` finds the id in its path, by default the file's name without its ending."""
     files = spark.read.text(path, wholetext=True)
-    return files.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1).alias("report_id"), "value")
+    return files.select(F.regexp_extract(F.col("_metadata.file_path"), name, 1).alias("report_id"), "value")
 
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:

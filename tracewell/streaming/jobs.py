@@ -22,12 +22,13 @@ def score_stream(stream: DataFrame, detectors: dict[str, Detector], lo: Sequence
     return score(vectors, detectors, by)
 
 
-def toggles_stream(stream: DataFrame, idle_timeout_ms: int = 86_400_000) -> DataFrame:
+def toggles_stream(stream: DataFrame, idle_timeout_ms: int | None = 86_400_000) -> DataFrame:
     """``core, cycle, state, toggles, late`` of a continuous log of ``core, cycle, state``.
 
     The state of a core is its last cycle and state; rows of a batch are put in cycle order.  A row whose cycle
     isn't after the last one is late: it has null toggles and doesn't change the state.  A core that sends
-    nothing for ``idle_timeout_ms`` starts from state 0 again.
+    nothing for ``idle_timeout_ms`` starts from state 0 again; with None states stay, which a job that ends with its
+    input (``availableNow``) needs, as waiting for timeouts never ends.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -43,11 +44,12 @@ def toggles_stream(stream: DataFrame, idle_timeout_ms: int = 86_400_000) -> Data
             if not late:
                 last_cycle, last_state = cycle, now
         state.update((last_cycle, last_state))
-        state.setTimeoutDuration(idle_timeout_ms)
+        if idle_timeout_ms is not None:
+            state.setTimeoutDuration(idle_timeout_ms)
         yield pd.DataFrame(out, columns=["core", "cycle", "state", "toggles", "late"]).astype({"toggles": "Int32"})
 
     clean = stream.select(F.col("core").cast("string").alias("core"), F.col("cycle").cast("long").alias("cycle"), F.coalesce(F.col("state").cast("long"), F.lit(0).cast("long")).alias("state")).where("core is not null and cycle is not null")
-    return clean.groupBy("core").applyInPandasWithState(step, TOGGLES, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return clean.groupBy("core").applyInPandasWithState(step, TOGGLES, STATE, "append", GroupStateTimeout.NoTimeout if idle_timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def average_stream(stream: DataFrame, by: Sequence[str], value: str, window: str = "1 hour", watermark: str = "10 minutes", time: str = "ts") -> DataFrame:
