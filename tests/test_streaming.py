@@ -10,7 +10,7 @@ from tracewell.streaming import average_stream, score_stream, toggles_stream
 
 def run(stream, name, tmp_path, mode="append"):
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     assert q.exception() is None
 
 
@@ -31,7 +31,7 @@ def test_toggles_over_batches_equal_window(spark, tmp_path):
     for k, part in enumerate((log.where("cycle <= 17"), log.where("cycle > 17"), spark.createDataFrame([("a", 3, 5)], log.schema))):
         part.coalesce(1).write.parquet(str(tmp_path / f"in/p={k}"))
     files = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-    run(toggles_stream(files), "toggles", tmp_path)
+    run(toggles_stream(files, None), "toggles", tmp_path)  # with a timeout the job would wait for it without end
     got = spark.table("toggles").collect()
     late = [r for r in got if r.late]
     assert [(r.core, r.cycle, r.toggles) for r in late] == [("a", 3, None)]
