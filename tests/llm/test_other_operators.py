@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 from collections import defaultdict
 
@@ -180,6 +181,18 @@ def test_nearest_of_few_codes(spark):
     assert hamming.top_k(base, twice, 2).count() == 4
 
 
+def test_first_radius_is_below_what_random_codes_need():
+    def probability(n, d):
+        return n * sum(math.comb(64, i) for i in range(d + 1)) / 2**64
+
+    for n in (1, 500, 50_000, 10**9):
+        parts = hamming.widths(64, n)
+        start = hamming.first_radius(64, n, 10, parts)
+        assert 0 <= start < max(parts)
+        assert start == 0 or probability(n, len(parts) * (start + 1) - 1) < 10
+    assert hamming.first_radius(64, 10**9, 10, hamming.widths(64, 10**9)) == 2 and hamming.first_radius(10, 3, 1, [5, 5]) == 1
+
+
 def test_sign_codes(spark):
     df = spark.createDataFrame([([1.0] + [-1.0] * 62 + [2.0] + [0.0, 5.0],), ([0.0, 3.0],), ([None, None, 1.0],)], "v array<double>")
     assert [r.c for r in df.select(hamming.sign_code(F.col("v")).alias("c")).collect()] == [[1 - 2**63], [2], [4]]

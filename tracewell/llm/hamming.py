@@ -2,9 +2,10 @@
 
 A code of any number of bits is an array of 64-bit words.  It is cut into segments of about log2(n) bits for n
 distinct codes, and indexed once for each segment, under the segment's value.  A query looks up the values within
-a radius of its own, in all segments; the radius grows from 0 by rounds.  Once m segments are searched up to radius
+a radius of its own, in all segments; the radius grows by rounds.  Once m segments are searched up to radius
 r, every code up to distance m * (r + 1) - 1 has been seen, and a query ends with the round that covers the distance
-of its k-th code.
+of its k-th code.  The first round takes all radii up to one less than codes drawn at random would need, as each round
+moves the index; codes that lie closer together than random ones mostly end there.
 
 The index is dealt out into cells, by segment, the first bits of the segment's value and, where many codes share
 these, a hash of the code.  In a round a query goes only to cells whose first bits lie within the radius, and only
@@ -58,6 +59,16 @@ def widths(bits: int, n: int) -> list[int]:
     return [bits // parts + (k < bits % parts) for k in range(parts)]
 
 
+def first_radius(bits: int, n: int, k: int, parts: list[int]) -> int:
+    """One less than the radius that covers the k-th of ``n`` codes drawn at random, 0 at least."""
+    distance, seen = 0, n / 2**bits
+    while seen < k and distance < bits:
+        distance += 1
+        seen += n * math.comb(bits, distance) / 2**bits
+    needed = math.ceil((distance + 1) / len(parts)) - 1
+    return max(0, min(needed, max(parts)) - 1)
+
+
 def masks(width: int, radius: int) -> np.ndarray:
     """All values of ``width`` bits of which ``radius`` are set."""
     return np.array([sum(1 << i for i in c) for c in combinations(range(width), radius)], np.int64)
@@ -187,10 +198,9 @@ def nearest(codes: DataFrame, asked: DataFrame, k: int, n: int, parts: list[int]
     cells = written(cells, "cells")
     index = index.join(F.broadcast(cells), ["segment", "prefix"]).withColumn("sub", F.pmod(F.xxhash64("code"), "subs").cast("int")).drop("subs")
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def search(batches: Iterator[pa.RecordBatch], radii: range) -> Iterator[pa.RecordBatch]:
         key, held, cell = None, [], None
         for batch in batches:
-            radius = batch["radius"][0].as_py() if batch.num_rows else 0
             columns = [batch[c].to_numpy() for c in ("segment", "prefix", "sub", "part", "kind")]
             change = np.zeros(batch.num_rows, bool)
             for c in columns:
@@ -210,18 +220,21 @@ def nearest(codes: DataFrame, asked: DataFrame, k: int, n: int, parts: list[int]
                     cell = Cell(_swapped(words_of(table["code"], words)), table["least"].to_numpy(), parts, key[0])
                 ids, bound = rows["query_id"].to_numpy(), rows["bound"].to_numpy()
                 wanted = _swapped(words_of(rows["code"], words))
-                for query, place, distance in cell.search(wanted, radius, bound, key[1], lows[key[0]], k):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[query]), rows["code"].take(pa.array(query)), _binary(_swapped(cell.codes[place])), pa.array(cell.least[place]), pa.array(distance.astype(np.int32))],
-                        names=[f.split()[0] for f in FOUND.split(", ")],
-                    )
+                for radius in radii:
+                    for query, place, distance in cell.search(wanted, radius, bound, key[1], lows[key[0]], k):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(ids[query]), rows["code"].take(pa.array(query)), _binary(_swapped(cell.codes[place])), pa.array(cell.least[place]), pa.array(distance.astype(np.int32))],
+                            names=[f.split()[0] for f in FOUND.split(", ")],
+                        )
 
     best = Window.partitionBy("query_id", "asked").orderBy("distance", "least")
     far = sum(parts) + 1
     active = asked.withColumn("bound", F.lit(far))
     done: list[DataFrame] = []
     top: DataFrame | None = None
-    for radius in range(max(parts) + 1):
+    start = first_radius(sum(parts), n, k, parts)
+    for radius in range(start, max(parts) + 1):
+        radii = range(radius + 1) if radius == start else range(radius, radius + 1)
         near = F.array(*(F.lit(x) for x in range(1 << high) if x.bit_count() <= radius))
         going = active.mapInArrow(prefixes("asked", "own"), "query_id long, asked binary, bound int, segment int, own int")
         going = going.withColumn("prefix", F.explode(F.transform(near, lambda x: x.bitwiseXOR(F.col("own"))))).join(F.broadcast(cells), ["segment", "prefix"])
@@ -233,8 +246,8 @@ def nearest(codes: DataFrame, asked: DataFrame, k: int, n: int, parts: list[int]
         rows = copied.select("segment", "prefix", "sub", "part", F.lit(0).alias("kind"), "code", "least", F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("int").alias("bound"))
         rows = rows.unionByName(going.select("segment", "prefix", "sub", "part", F.lit(1).alias("kind"), F.col("asked").alias("code"), F.lit(None).cast("long").alias("least"), "query_id", "bound"))
         tasks = max(spark.sparkContext.defaultParallelism, m << high)
-        rows = rows.withColumn("radius", F.lit(radius)).repartition(tasks, "segment", "prefix", "sub", "part").sortWithinPartitions("segment", "prefix", "sub", "part", "kind")
-        new = rows.mapInArrow(search, FOUND)
+        rows = rows.repartition(tasks, "segment", "prefix", "sub", "part").sortWithinPartitions("segment", "prefix", "sub", "part", "kind")
+        new = rows.mapInArrow(lambda batches, radii=radii: search(batches, radii), FOUND)
         top = new if top is None else new.unionByName(top)
         ranked = top.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k)
         ranked = ranked.withColumn("worst", F.max("distance").over(Window.partitionBy("query_id", "asked"))).withColumn("n", F.count("*").over(Window.partitionBy("query_id", "asked")))
