@@ -9,7 +9,7 @@ random order, which is cut into shards whose row counts differ by one at most.
 Defined results: null keys and null texts are ordinary values; rows with equal keys are told apart by
 their text; rows equal in both are interchangeable and share a bucket; texts of any length stay whole; an empty
 table gives no rows.  Columns of the input
-named ``shard`` or ``slot`` are replaced.
+named ``shard`` or ``slot`` are replaced; one named ``__bucket`` is an error.
 """
 
 from __future__ import annotations
@@ -24,19 +24,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BUCKET_BYTES = 24 << 20
+#: Buckets at least; the number depends on the rows alone, so that a seed gives one order on any cluster.
+FEW = 32
 _BUCKET, _START = "__bucket", "__start"
 
 
 def bucket_count(df: DataFrame, text: str, bucket_bytes: int) -> tuple[int, int]:
-    """Buckets so that each holds about ``bucket_bytes``, a task or more for each core; and the number of rows."""
+    """Buckets so that each holds about ``bucket_bytes``, whatever the cluster; and the number of rows."""
     total, rows = df.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 64), F.count("*")).first()
-    return max(math.ceil((total or 0) / bucket_bytes), 2 * df.sparkSession.sparkContext.defaultParallelism), rows
+    return max(math.ceil((total or 0) / bucket_bytes), FEW), rows
 
 
 def two_pass_shuffle(df: DataFrame, shards: int, seed: int = 17, key: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All rows of ``df`` with ``shard`` (0 to ``shards`` - 1) and ``slot``, their place in the shard."""
     if shards < 1:
         raise ValueError("shards must be 1 or more")
+    if _BUCKET in df.columns:
+        raise ValueError(f"{_BUCKET} is the name of a column that the shuffle adds")
     df = df.drop("shard", "slot")
     buckets, total = bucket_count(df, text, bucket_bytes)
     scattered = df.withColumn(_BUCKET, F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.crc32(F.col(text).cast("binary"))), F.lit(buckets)).cast("int"))
