@@ -12,8 +12,9 @@ formatted conversation leaves it in parts of ``PART_CHARS`` or more characters t
 conversation of any number of turns needs no more memory than its longest message and a part.
 
 Defined results: null texts and roles are empty; events of one turn with equal ``seq`` apply in the order
-message, edit, regenerate, delta, then by role and text; null conversations form one conversation, null
-turns come first and null kinds are messages; an empty log gives no rows.
+message, edit, regenerate, delta, then by role and text, so repeated rows apply repeatedly; null conversations form one
+conversation, null turns come first and null kinds are messages; texts of any length are one event each and stay whole;
+of other columns none is kept, so no name can clash; an empty log gives no rows.
 """
 
 from __future__ import annotations
@@ -77,9 +78,11 @@ def surviving_events(events: DataFrame) -> DataFrame:
     discarded = F.max(F.when(F.col("kind") == 3, F.col("seq"))).over(earlier)
     rows = rows.withColumn("discarded", discarded).where("discarded is null or seq > discarded")
     place = ["conv_id", "turn", "seq", "kind", "role", "text"]
-    upto = Window.partitionBy("conv_id", "turn").orderBy(*place[2:]).rowsBetween(Window.unboundedPreceding, 0)
+    # All windows deal by conversation alone, so that the fold after them finds a conversation in one partition.
+    upto = Window.partitionBy("conv_id").orderBy(*place[1:]).rowsBetween(Window.unboundedPreceding, 0)
+    turn = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(0, 0)
     rows = rows.withColumn("set", F.sum(F.when(F.col("kind") < 4, 1).otherwise(0)).over(upto))
-    return rows.withColumn("message", F.max("set").over(Window.partitionBy("conv_id", "turn"))).where("set = message").sortWithinPartitions(*place).select("conv_id", "turn", "kind", "role", "text")
+    return rows.withColumn("message", F.max("set").over(turn)).where("set = message").sortWithinPartitions(*place).select("conv_id", "turn", "kind", "role", "text")
 
 
 def messages(log: DataFrame, order: list[str], kind: str | None = None) -> DataFrame:

@@ -50,11 +50,36 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
+def logged(plain: DataFrame) -> DataFrame:
+    """Messages as the events that a chat service could have logged on the way to them, in no order.
+
+    By a hash of its place a message came at once, in three deltas, as a draft that was edited, or as a draft whose answer
+    was given and discarded when the message was generated anew, in two deltas.
+    """
+    text, n = F.coalesce("text", F.lit("")), F.char_length(F.coalesce("text", F.lit("")))
+    third = F.floor(n / 3).cast("int")
+    part = lambda start, length: F.substring(text, start, length)
+    event = lambda k, kind, body, later=0, role=F.col("role"): F.struct((F.col("turn") + later).alias("turn"), (F.col("turn") * 8 + k).alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), body.alias("text"))
+    draft = F.concat(F.reverse(text), F.lit("<|im_end|> draft"))
+    ways = [
+        F.array(event(0, "message", text)),
+        F.array(event(0, "message", F.lit("")), event(1, "delta", part(F.lit(1), third)), event(2, "delta", part(third + 1, third)), event(3, "delta", part(2 * third + 1, n))),
+        F.array(event(0, "message", draft), event(1, "edit", text)),
+        F.array(
+            event(0, "message", draft), event(1, "message", F.lit("discarded"), 1, F.lit("user")), event(2, "regenerate", F.lit(None).cast("string")),
+            event(3, "delta", part(F.lit(1), third)), event(4, "delta", part(third + 1, n)),
+        ),
+    ]
+    way = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4))
+    events = F.when(way == 0, ways[0]).when(way == 1, ways[1]).when(way == 2, ways[2]).otherwise(ways[3])
+    return plain.select("conv_id", F.explode(events).alias("e")).select("conv_id", "e.*").repartition("conv_id", "seq")
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = f"{END}{START}assistant ok"
     added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     rows = documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
-    return render(messages(rows, ["turn", "role", "text"])).mapInArrow(digests, DIGEST)
+    return render(logged(messages(rows, ["turn", "role", "text"]))).mapInArrow(digests, DIGEST)
 
 
 QUERIES = {"op4_chat": op4_chat}
