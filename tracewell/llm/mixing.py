@@ -5,8 +5,9 @@ on its id, its text and the seed alone.  Within a source the documents in key or
 source's budget of words: complete epochs over all documents first, then the front of the order, where
 the document that crosses the budget is taken in part.
 
-The order within a source is never made in one task.  The keys are put into cells of equal probability,
-the cells of a source are summed, and only the one cell that the budget falls into is put in order.
+The order within a source is never made in one task.  The range of a source's keys, in logarithms, is cut into cells, the
+cells are summed, and the one that the budget falls into is cut again until it has ``CELL_ROWS`` rows or a single key;
+only that one is put in order.  So cells don't depend on what weights there are.
 
 Targets share the budget by source weight; a target stops at ``max_epochs`` times its source's size and
 the excess goes to the others by weight.  The table of sources (a row for each) goes through the driver;
@@ -29,6 +30,8 @@ from tracewell.llm._tables import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 CELLS = 4096
+#: Rows that one task puts in order.
+CELL_ROWS = 20_000
 #: Up to so many sources the table of their limits is broadcast; beyond, Spark joins it as it sees fit.
 BROADCAST_SOURCES = 10_000
 
@@ -66,40 +69,54 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), quality: DataFram
     else:
         rows = rows.withColumn("weight", F.lit(1.0))
     key = -F.log("uniform") / F.coalesce("weight", F.lit(1.0))
-    rows = rows.withColumn("key", key).withColumn("cell", F.least(F.lit(cells - 1), F.floor((1 - F.exp(-F.col("key"))) * cells)).cast("int"))
+    rows = rows.withColumn("key", key).withColumn("place", F.log("key"))
     rows = written(rows.drop("weight", "uniform"), "mix-rows")
 
-    per_cell = rows.groupBy("source", "cell").agg(F.sum("size").alias("size"))
-    totals = [tuple(r) for r in per_cell.groupBy("source").agg(F.sum("size")).collect()]  # a row for each source
+    totals = [tuple(r) for r in rows.groupBy("source").agg(F.sum("size"), F.min("place"), F.max("place")).collect()]  # a row for each source
     totals.sort(key=lambda r: (r[0] is None, r[0] or ""))
     sizes = [r[1] for r in totals]
     shares = [float(weights[i % len(weights)]) for i in range(len(totals))]
     targets = targets_of(sizes, shares, sum(sizes) if budget is None else budget, max_epochs)
-    epochs = [int(t // s) if s else 0 for t, s in zip(targets, sizes, strict=True)]
-    rest = [round(t - e * s) for t, e, s in zip(targets, epochs, sizes, strict=True)]
-    plan = spark.createDataFrame(
-        [(s, n, t, e, r) for (s, n), t, e, r in zip(totals, targets, epochs, rest, strict=True)],
-        "source string, source_size long, target double, epochs int, rest long",
-    )
-
-    before = F.sum("size").over(Window.partitionBy("source").orderBy("cell")) - F.col("size")
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    placed = per_cell.withColumn("before", before)
-    last = placed.join(plan, same(placed, plan)).where("before <= rest and rest < before + size")
-    last = last.select(placed["source"].alias("of"), F.col("cell").alias("last_cell"), "before")
-    limits = plan.join(last, plan["source"].eqNullSafe(last["of"]), "left").drop("of")
-
-    if len(totals) <= BROADCAST_SOURCES:
-        limits = F.broadcast(limits)
+    plan: list[tuple] = []
+    for (source, size, low, high), target in zip(totals, targets, strict=True):
+        epochs = int(target // size) if size else 0
+        rest = round(target - epochs * size)
+        if size and rest == size:
+            epochs, rest = epochs + 1, 0
+        plan.append((source, size, target, epochs, rest, *((low, high, 0) if rest else (None, None, None))))
+    limits = _limits(rows, plan, cells)
+
+    limits = F.broadcast(limits) if len(plan) <= BROADCAST_SOURCES else limits
     joined = rows.join(limits.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    inner = joined.where("cell = last_cell")
+    inside = F.coalesce(F.col("place").between(F.col("low"), F.col("high")), F.lit(False))
     order = Window.partitionBy("source").orderBy("key", "doc_id", "text_crc").rowsBetween(Window.unboundedPreceding, -1)
-    inner = inner.withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(order), F.lit(0)))))
-    outer = joined.where("last_cell is null or cell <> last_cell").withColumn("part", F.when(F.col("last_cell").isNull() | (F.col("cell") > F.col("last_cell")), 0).otherwise(F.col("size")))
+    inner = joined.where(inside).withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(order), F.lit(0)))))
+    outer = joined.where(~inside).withColumn("part", F.when(F.col("place") < F.col("low"), F.col("size")).otherwise(0))
     taken = (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken")
     return outer.unionByName(inner).select("doc_id", "text_crc", "size", "source", "source_size", "target", taken)
 
 
+LIMITS = "source string, source_size long, target double, epochs int, rest long, low double, high double, before long"
+
+
+def _limits(rows: DataFrame, plan: list[tuple], cells: int) -> DataFrame:
+    """The plan with the keys between which a source's budget ends: ``low`` and ``high``, and the size ``before`` them."""
+    spark, open_ = rows.sparkSession, {i for i, p in enumerate(plan) if p[5] is not None}
+    while open_:
+        found = spark.createDataFrame([(i, plan[i][0], *plan[i][4:]) for i in open_], "number int, of string, rest long, low double, high double, before long")
+        found = F.broadcast(found) if len(open_) <= BROADCAST_SOURCES else found
+        some = rows.join(found, F.col("source").eqNullSafe(F.col("of"))).where(F.col("place").between(F.col("low"), F.col("high")))
+        cell = F.least(F.lit(cells - 1), F.floor(F.try_divide(F.col("place") - F.col("low"), F.col("high") - F.col("low")) * cells))
+        some = some.withColumn("cell", F.coalesce(cell, F.lit(0)).cast("int"))
+        sums = some.groupBy("number", "cell").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.min("place").alias("low"), F.max("place").alias("high"), F.max("rest").alias("rest"), F.max("before").alias("start"))
+        upto = F.col("start") + F.sum("size").over(Window.partitionBy("number").orderBy("cell")) - F.col("size")
+        hit = sums.withColumn("upto", upto).where("upto <= rest and rest < upto + size").collect()  # a row for each source
+        for r in hit:
+            plan[r.number] = (*plan[r.number][:5], r.low, r.high, r.upto)
+        open_ = {r.number for r in hit if r.n > CELL_ROWS and r.low < r.high}
+    return spark.createDataFrame(plan, LIMITS)
+
+
 def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it; a part of a copy is a copy of its first words."""
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
