@@ -19,7 +19,8 @@ which costs shuffled bytes but no result.
 
 Defined results: a null text has no words; null ids count as larger than all others and not as smaller than
 each other; rows with equal ids are one document; a document of fewer words than a window keeps all; an
-empty table gives no rows.  Columns of the input are kept; ``n_words``, ``n_removed`` and ``kept`` are set.
+empty table gives no rows.  Columns of the input are kept; ``n_words``, ``n_removed`` and ``kept`` are set; a column named
+``__unit`` is an error.
 """
 
 from __future__ import annotations
@@ -165,6 +166,8 @@ def build_sketch(docs: DataFrame, text: str, width: int, n_windows: int, hot: in
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WINDOW, hot: int = HOT) -> DataFrame:
     """``docs`` with ``n_words``, ``n_removed`` and ``kept``, the words that stay, joined by one space."""
     spark = docs.sparkSession
+    if "__unit" in docs.columns:
+        raise ValueError("__unit is the name of a column that is added")
     docs = docs.drop("n_words", "n_removed", "kept")
     n_bytes, n_windows = docs.agg(
         F.coalesce(F.sum(F.octet_length(text)), F.lit(0)),
@@ -172,7 +175,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     ).first()
     units = max(-(-n_bytes // UNIT_BYTES), spark.sparkContext.defaultParallelism)
     buckets = max(-(-n_windows // BUCKET_WINDOWS), spark.sparkContext.defaultParallelism)
-    placed = docs.withColumn("__unit", F.pmod(F.xxhash64(doc_id), F.lit(units)).cast("int"))
+    # By id and text, as rows with null or equal ids may be many; marks carry the unit of their own row.
+    placed = docs.withColumn("__unit", F.pmod(F.xxhash64(doc_id, F.crc32(F.col(text).cast("binary"))), F.lit(units)).cast("int"))
     n_cells, path, hot_cells = build_sketch(docs, text, width, n_windows, hot)
     smallest = spark.sparkContext.broadcast(_smallest_of_hot(docs, text, doc_id, width, n_cells, hot_cells, hot) if all(len(c) for c in hot_cells) else None)
 
