@@ -80,6 +80,17 @@ def test_shuffle_depends_on_seed_alone(docs):
     assert first == place(docs.repartition(6, "text"), 1) and first != place(docs, 2)
 
 
+def test_shuffle_depends_on_no_core_count(docs, monkeypatch):
+    from pyspark import SparkContext
+
+    place = lambda: {r.doc_id: (r.shard, r.slot) for r in sharding.two_pass_shuffle(docs, 4, 1).collect()}
+    first = place()
+    monkeypatch.setattr(SparkContext, "defaultParallelism", property(lambda self: 64))
+    assert first == place()
+    with pytest.raises(ValueError, match="__bucket"):
+        sharding.two_pass_shuffle(docs.withColumn("__bucket", F.lit(1)), 4)
+
+
 def test_shuffle_of_odd_rows(odd, spark, tmp_path):
     got = sharding.two_pass_shuffle(odd, 2)
     assert got.count() == 6 and got.columns.count("slot") == 1
@@ -206,6 +217,26 @@ def test_substrings_equal_brute_force(docs, rows, monkeypatch, hot, most):
     assert got == removed(rows)
 
 
+def test_units_of_null_ids(spark, monkeypatch):
+    """Rows of null id and rows of one id are dealt by their texts."""
+    monkeypatch.setattr(substrings, "UNIT_BYTES", 4096)
+    rng = random.Random(6)
+    passage = " ".join(f"p{k}" for k in range(20))
+    data = [(None if k % 2 else 7, f"{passage} " * (k % 3) + " ".join(f"w{rng.randrange(10**6)}" for _ in range(5)), None, None, 0) for k in range(2000)]
+    df = spark.createDataFrame([(-1, passage, None, None, 0), *data], SCHEMA)
+    cut = substrings.remove_repeats(df.withColumn("n", F.lit(1)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        used = cut.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(used) == 4 and max(r["count"] for r in used) < 1000
+    rows = cut.collect()
+    assert len(rows) == 2001 and all(r.kept == r.text.replace(f"{passage} ", "").strip() for r in rows if r.doc_id != -1)
+    with pytest.raises(ValueError, match="__unit"):
+        substrings.remove_repeats(df.withColumn("__unit", F.lit(1)))
+
+
 def test_substrings_without_repeats(spark):
     """No window that is estimated to be repeated; then windows that repeat in one document only."""
     rng = random.Random(12)
@@ -464,6 +495,37 @@ def test_mix_prefers_good_documents(spark):
     assert sum(taken[i] for i in range(200)) > 2 * sum(taken[i] for i in range(200, 400))
 
 
+@pytest.mark.parametrize("cell_rows", [3, mixing.CELL_ROWS])
+def test_mix_of_unequal_weights(spark, monkeypatch, cell_rows):
+    """Weights of one and of a million, in one source and between sources, against sorting all keys."""
+    monkeypatch.setattr(mixing, "CELL_ROWS", cell_rows)
+    rng = random.Random(8)
+    weight = {i: [1e-6, 1.0, 1e6][i % 3] if i < 300 else 1e6 for i in range(600)}
+    size = {i: rng.randint(0, 9) for i in weight}
+    source = {i: "mixed" if i < 300 else "heavy" for i in weight}
+    df = spark.createDataFrame([(i, "w " * size[i], None, source[i], 0) for i in weight], SCHEMA)
+    quality = spark.createDataFrame(list(weight.items()), "doc_id long, weight double")
+    got = {r.doc_id: r for r in mixing.mix(df, (1, 1), quality, budget=1000, cells=16).collect()}
+    for name in ("mixed", "heavy"):
+        own = [i for i in weight if source[i] == name]
+        total = sum(size[i] for i in own)
+        key = {}
+        for i in own:
+            word = hashlib.md5(f"{i}|{hashlib.md5(('w ' * size[i]).encode()).hexdigest()}|29".encode()).hexdigest()[:13]
+            key[i] = -math.log((int(word, 16) + 0.5) / 2**52) / weight[i]
+        epochs, rest = divmod(500, total)
+        for i in sorted(own, key=lambda i: (key[i], i)):
+            part = min(rest, size[i])
+            rest -= part
+            assert got[i].taken == epochs * size[i] + part
+
+
+def test_mix_takes_a_whole_source(spark):
+    """A target within half a word of a whole epoch is that epoch."""
+    df = spark.createDataFrame([(i, "w " * 5, None, "a", 0) for i in range(9)], SCHEMA)
+    assert [r.taken for r in mixing.mix(df, (1,), budget=44.7).collect()] == [5] * 9
+
+
 def test_mix_of_odd_rows(odd):
     got = mixing.mix(odd)
     assert got.count() == 6 and mixing.mix(odd.limit(0)).count() == 0
