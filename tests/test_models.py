@@ -4,12 +4,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.operators.cluster import ALL, cluster_accuracy, energy_label, fcm_fit, hard_assign, with_memberships
+from tracewell.operators.cluster import ALL, cluster_accuracy, energy_label, fcm_fit, hard_assign, key_of, with_memberships
 from tracewell.operators.detect import evaluate, fit_detector, score, separation
 from tracewell.operators.spectral import features
 from tracewell.operators.subspace import moments, pca_fit, pca_project
 from tracewell.operators.traces import drift_resample, hamming_toggles, toggle_summary
 from tracewell.plans import fixture
+from tracewell.plans.sweep import threat_benchmark
 from tracewell.sources import load_detectors, load_fcm, load_pca, save_detectors, save_fcm, save_pca
 
 
@@ -59,6 +60,22 @@ def test_grouped_fit_equals_single_fits(spark):
     assert np.allclose(both.centers["a"], fcm_fit(a).centers[ALL]) and np.allclose(both.centers["b"], fcm_fit(b).centers[ALL])
 
 
+def test_groups_of_nulls_and_bars(spark):
+    """Groups stay apart where values are null, hold a bar or a backslash, or are the text that stands for a null."""
+    names = [("a", None), (None, "a"), ("a|b", "c"), ("a", "b|c"), ("\\", "|"), ("\\|", ""), ("\\N", "x"), (None, "x"), ("", None), (None, None)]
+    rows = [(x, y, i, [float(100 * k), float(i)]) for k, (x, y) in enumerate(names) for i in range(4)]
+    df = spark.createDataFrame(rows, "x string, y string, chip int, ev array<double>").repartition(3)
+    found = moments(df, by=["x", "y"])
+    assert {key: (m.n, m.mean[0]) for key, m in found.items()} == {key_of(*name): (4, 100.0 * k) for k, name in enumerate(names)}
+    model = fcm_fit(df, by=["x", "y"])
+    assert set(model.centers) == set(found)
+    split = df.withColumn("split", F.when(F.col("chip") % 2 == 0, "train").otherwise("validation")).withColumn("label", F.col("chip") % 2).withColumn("raw_energy", F.lit(1.0))
+    detectors = fit_detector(split, by=["x", "y"], components=1)
+    assert all(r.r_fd is not None for r in score(split, detectors, ["x", "y"]).collect())
+    rows = threat_benchmark(split.drop("y").withColumnRenamed("x", "threat").where("threat is null or threat = 'a|b'")).collect()
+    assert {r.threat for r in rows} == {None, "a|b"}
+
+
 def test_ties_and_labels(spark):
     df = spark.createDataFrame([([0.5, 0.5],), ([0.2, 0.8],)], "u array<double>")
     assert [r.c for r in df.select(hard_assign(F.col("u")).alias("c")).collect()] == [0, 1]

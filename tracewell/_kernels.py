@@ -29,9 +29,10 @@ def spectrum(samples: np.ndarray) -> np.ndarray:
 
 
 def band_rms(magnitudes: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Root mean square of each band by differences of running sums."""
-    total = np.concatenate([[0.0], np.cumsum(magnitudes**2)])
-    return np.sqrt(np.maximum(total[hi] - total[lo], 0.0) / np.maximum(hi - lo, 1))
+    """Root mean square of each band; a band is summed by itself, so a weak one loses nothing beside a strong one."""
+    ends = np.stack([lo, hi], axis=1).ravel()
+    sums = np.add.reduceat(np.append(magnitudes**2, 0.0), ends)[::2]
+    return np.sqrt(np.where(hi > lo, sums, 0.0) / np.maximum(hi - lo, 1))
 
 
 def unit(vector: np.ndarray) -> np.ndarray:

@@ -39,7 +39,16 @@ class FcmModel:
 
 
 def _keys(df: DataFrame, by: Sequence[str]) -> Column:
-    return F.concat_ws("|", *(F.col(b).cast("string") for b in by)) if by else F.lit(ALL)
+    """A group's name: its values with bars between, of which none is in a value; a null isn't the text of any value."""
+    if not by:
+        return F.lit(ALL)
+    safe = lambda c: F.replace(F.replace(c.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\p"))
+    return F.concat_ws("|", *(F.coalesce(safe(F.col(b)), F.lit("\\N")) for b in by))
+
+
+def key_of(*values: object) -> str:
+    """The name that ``_keys`` gives the group of these values (texts and whole numbers)."""
+    return "|".join("\\N" if v is None else str(v).replace("\\", "\\\\").replace("|", "\\p") for v in values)
 
 
 def fcm_fit(chips: DataFrame, c: int = 2, m: float = 2.0, tol: float = 1e-6, max_iter: int = 1000, stop: str = "membership", by: Sequence[str] = (), chip: str = "chip", ev: str = "ev", seed: int = 42) -> FcmModel:

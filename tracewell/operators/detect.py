@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell import _kernels
-from tracewell.operators.cluster import FcmModel, _keys, energy_label, fcm_fit, hard_assign, with_memberships
+from tracewell.operators.cluster import FcmModel, _keys, energy_label, fcm_fit, hard_assign, key_of, with_memberships
 from tracewell.operators.subspace import PcaModel, moments, pca_fit, pca_project
 
 RIDGE = 1e-6
@@ -75,7 +75,7 @@ def fit_detector(train: DataFrame, by: Sequence[str] = (), components: int = 10,
         g = next(c for c in range(len(v)) if c != t)
         p, inverse, centre = pca[grp], [], []
         for cls, row in ((0, v[g]), (1, v[t])):
-            m = class_moments.get(f"{grp}|{cls}")
+            m = class_moments.get(key_of(grp, cls))
             k = p.coeff.shape[1]
             inverse.append(np.linalg.pinv((m.cov if m is not None and m.n > 1 else np.zeros((k, k))) + ridge * np.eye(k)))
             centre.append(m.mean if centers == "scores" and m is not None else (row - p.mean) @ p.coeff)

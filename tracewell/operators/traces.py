@@ -68,10 +68,13 @@ def noise_variance(power: Column, snr_db: float | Column) -> Column:
 
 
 def add_noise(samples: DataFrame, snr_db: float, seed: int, by: Sequence[str] = ("chip",), index: str = "i", value: str = "d") -> DataFrame:
-    """White Gaussian noise at a signal-to-noise ratio; a sample's noise depends on its trace, place and the seed."""
-    power = signal_power(samples, by, value)
-    noise = F.sqrt(noise_variance(F.col("power"), snr_db)) * hash_normal(*(F.col(b) for b in by), F.col(index), F.lit(seed))
-    return samples.join(power, list(by)).withColumn(value, F.col(value) + noise).drop("power")
+    """White Gaussian noise at a signal-to-noise ratio; a sample's noise depends on its trace, place and the seed.
+
+    A trace's power comes from a window over it, so the samples are made and shuffled once.
+    """
+    power = F.avg(F.col(value) * F.col(value)).over(Window.partitionBy(*by))
+    noise = F.sqrt(noise_variance(power, snr_db)) * hash_normal(*(F.col(b) for b in by), F.col(index), F.lit(seed))
+    return samples.withColumn(value, F.col(value) + noise)
 
 
 def die_gain(samples: DataFrame, sigma: float, seed: int, chip: str = "chip", value: str = "d") -> DataFrame:

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell import _kernels
+from tracewell.operators.cluster import _keys
 from tracewell.operators.detect import Detector, evaluate_all, fit_detector, score
 from tracewell.operators.spectral import features
+from tracewell.sources.shared import written
 
 #: The two sweeps, fixed by the published experiment: signal-to-noise ratios at 0.5 % drift, drifts at 20 dB.
 SNRS, SNR_DRIFT = (30.0, 25.0, 20.0, 15.0, 10.0, 5.0), 0.5
@@ -62,13 +64,13 @@ def robustness_sweep(traces: DataFrame, lo: Sequence[int], hi: Sequence[int], bi
     """One row of metrics for each condition and method; one transform of a trace serves both methods."""
     stress = stressed(condition_grid(traces), seed)
     methods = F.array(*(F.struct(F.lit(name).alias("method"), F.col(f"ev_{name}").alias("ev")) for name in ("band", "bin")))
-    both = features(stress, lo, hi, bins).withColumn("__m", F.explode(methods)).select("*", "__m.*").drop("__m", "ev_band", "ev_bin").persist()
+    both = features(stress, lo, hi, bins).withColumn("__m", F.explode(methods)).select("*", "__m.*").drop("__m", "ev_band", "ev_bin")
     by = ["experiment", "snr_db", "drift_pct", "method"]
-    return _evaluated(both, by, classes="label", tol=1e-5, max_iter=60)[0]
+    return _evaluated(written(both, "sweep"), by, classes="label", tol=1e-5, max_iter=60)[0]
 
 
 def threat_benchmark(vectors: DataFrame, by: str = "threat") -> DataFrame:
     """One row for each threat class: metrics, explained variance, and whether the modified cluster has more energy."""
-    rows, detectors = _evaluated(vectors.persist(), [by], classes="label", tol=1e-6, max_iter=60)
-    extra = vectors.sparkSession.createDataFrame([(g, float(100 * d.pca.explained[: d.pca.coeff.shape[1]].sum()), bool(d.energy_higher), int(d.rounds)) for g, d in detectors.items()], f"{by} string, explained_pct double, energy_higher boolean, n_iter int")
-    return rows.join(F.broadcast(extra), by)
+    rows, detectors = _evaluated(written(vectors, "threats"), [by], classes="label", tol=1e-6, max_iter=60)
+    extra = vectors.sparkSession.createDataFrame([(g, float(100 * d.pca.explained[: d.pca.coeff.shape[1]].sum()), bool(d.energy_higher), int(d.rounds)) for g, d in detectors.items()], "__grp string, explained_pct double, energy_higher boolean, n_iter int")
+    return rows.withColumn("__grp", _keys(rows, [by])).join(F.broadcast(extra), "__grp").drop("__grp")

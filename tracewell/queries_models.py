@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from tracewell import sql
 from tracewell.functions import hash_uniform
-from tracewell.operators.cluster import ALL, center_distance, cluster_accuracy, convergence, energy_label, fcm_fit, hard_assign, with_memberships
+from tracewell.operators.cluster import ALL, center_distance, cluster_accuracy, convergence, energy_label, fcm_fit, hard_assign, key_of, with_memberships
 from tracewell.operators.detect import Detector, entropy_weights, evaluate, evaluate_all, fit_detector, score, separation
 from tracewell.operators.subspace import PcaModel, covariance_pairs, explained_variance, feature_means, moments, pca_fit, pca_project
 from tracewell.plans import fixture
 from tracewell.plans.sweep import robustness_sweep, threat_benchmark
 from tracewell.queries_frequency import r6, table
+from tracewell.sources.shared import written
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ def q_class_cov_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full covariance of each label with the ridge, from partial sums; null for a label of one vector, as in ``class_cov``."""
     vectors = _vectors(spark, sf_dir)
     found = moments(vectors, ["label"])
-    keys = [(r.label, "" if r.label is None else str(r.label)) for r in vectors.where("ev is not null").select("label").distinct().collect()]  # a row for each label
+    keys = [(r.label, key_of(r.label)) for r in vectors.where("ev is not null").select("label").distinct().collect()]  # a row for each label
     value = lambda m, i, j: float(round(m.cov[i, j] + (1e-6 if i == j else 0.0), 6)) + 0.0 if m.n > 1 else None
     rows = [(label, i, j, value(found[key], i, j)) for label, key in keys for i in range(len(found[key].mean)) for j in range(len(found[key].mean))]
     return spark.createDataFrame(rows, f"label {vectors.schema['label'].dataType.simpleString()}, i int, j int, cov double")
@@ -76,16 +77,14 @@ def q_convergence_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_fcm_iter3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memberships after three rounds; each round is checked in SQL."""
-    chips = fixture.chip_vectors(spark, sf_dir).persist()
+    chips = written(fixture.chip_vectors(spark, sf_dir), "chips")
     model = fcm_fit(chips, tol=0.0, max_iter=3)
     return with_memberships(chips, model).select("chip", r6(F.get("u", F.lit(0))).alias("u0"))
 
 
 def q_fcm_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full fit: a row for each cluster and feature."""
-    chips = fixture.chip_vectors(spark, sf_dir).persist()
-    model = fcm_fit(chips)
-    chips.unpersist()
+    model = fcm_fit(written(fixture.chip_vectors(spark, sf_dir), "chips"))
     rows = [(grp, j, k, float(round(x, 6)), model.rounds[grp]) for grp, v in model.centers.items() for j, row in enumerate(v) for k, x in enumerate(row, 1)]
     return spark.createDataFrame(rows, "grp string, cluster int, k int, center double, n_iter int")
 
@@ -139,7 +138,7 @@ def q_separation_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = fixture.chip_vectors(spark, sf_dir).persist()
+    vectors = written(fixture.chip_vectors(spark, sf_dir), "chips")
     detectors = fit_detector(vectors.where("split = 'train'"))
     return score(vectors.where("split = 'validation'").drop("ev_bin"), detectors)
 
@@ -155,7 +154,7 @@ def q_detector_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_pca_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Squared error of each chip's vector rebuilt from ten components, and the variance they explain."""
-    vectors = fixture.chip_vectors(spark, sf_dir).persist()
+    vectors = written(fixture.chip_vectors(spark, sf_dir), "chips")
     model = pca_fit(vectors)
     pca = model[ALL]
     scores = pca_project(vectors, model)
