@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracewell.operators.cluster import ALL, cluster_accuracy, energy_label, fcm_fit, hard_assign, key_of, with_memberships
 from tracewell.operators.detect import evaluate, fit_detector, score, separation
 from tracewell.operators.spectral import features
-from tracewell.operators.subspace import moments, pca_fit, pca_project
+from tracewell.operators.subspace import moments, pca_fit, pca_project, triangles
 from tracewell.operators.traces import drift_resample, hamming_toggles, toggle_summary
 from tracewell.plans import fixture
 from tracewell.plans.sweep import threat_benchmark
@@ -101,6 +101,55 @@ def test_moments_and_pca(spark):
     assert np.allclose(pcs.mean(axis=0), 0, atol=1e-9) and np.allclose(np.cov(pcs, rowvar=False), np.diag(np.diag(np.cov(pcs, rowvar=False))), atol=1e-9)
 
 
+def test_moments_far_from_zero(spark):
+    """One pass, one scan, and nothing cancels beside an offset of 1e9."""
+    rng = np.random.default_rng(4)
+    x = 1e9 + np.round(rng.normal(size=(400, 3)) * 64) / 64  # whole 64ths have an exact place beside the offset
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "ev array<double>").repartition(7)
+    exact = np.cov((x - 1e9), rowvar=False)
+    assert np.allclose(moments(df)[ALL].cov, exact, rtol=1e-9, atol=1e-12)
+    t = triangles(df)[ALL]
+    assert t.n == 400 and np.allclose(t.mean - 1e9, (x - 1e9).mean(axis=0), atol=1e-5)
+
+
+def test_one_scan_for_moments(spark, tmp_path, monkeypatch):
+    vectors(spark).select("ev").write.parquet(str(tmp_path / "v"))
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("moments", "moments")
+    try:
+        moments(spark.read.schema("ev array<double>").parquet(str(tmp_path / "v")))
+        stages = {s for j in jobs.getJobIdsForGroup("moments") for s in jobs.getJobInfo(j).stageIds}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(stages) <= 6  # tasks, salted groups, groups: no pass for the means before them
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_svd_form_keeps_small_components(spark, parts):
+    """Components of 1e-9 of the first, which a covariance in doubles doesn't have any more."""
+    rng = np.random.default_rng(9)
+    left, right = np.linalg.qr(rng.normal(size=(300, 6)))[0], np.linalg.qr(rng.normal(size=(6, 6)))[0]
+    x = (left - left.mean(axis=0)) * 10.0 ** -np.arange(0, 12, 2.0) @ right.T + 3.0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chip int, ev array<double>").repartition(parts)
+    model = pca_fit(df, 6, form="svd")[ALL]
+    _, singular, rows = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    assert np.allclose(np.sqrt(model.explained), singular / np.linalg.norm(singular), rtol=1e-3, atol=1e-14)
+    small = slice(0, 4)
+    assert np.allclose(np.abs(np.sum(model.coeff[:, small] * rows[small].T, axis=0)), 1.0, atol=1e-10)
+    loose = np.linalg.eigvalsh(np.cov(x, rowvar=False))[::-1]
+    assert abs(np.sqrt(max(loose[-1], 0)) * np.sqrt(299) / singular[-1] - 1) > 0.1  # what the covariance form would give
+    with pytest.raises(ValueError, match="form"):
+        pca_fit(df, form="other")
+
+
+def test_few_vectors_in_svd_form(spark):
+    df = spark.createDataFrame([("a", [1.0, 2.0, 3.0]), ("b", [1.0, 0.0, 0.0]), ("b", [3.0, 0.0, 0.0]), ("c", None)], "g string, ev array<double>")
+    found = triangles(df, ["g"])
+    assert found["a"].n == 1 and np.allclose(found["a"].r, 0) and np.allclose(found["a"].mean, [1, 2, 3])
+    assert set(found) == {"a", "b"} and np.allclose(found["b"].r.T @ found["b"].r, np.diag([2.0, 0, 0]))
+    assert pca_fit(df, by=["g"], form="svd")["b"].coeff[:, 0].tolist() == [1.0, 0.0, 0.0]
+
+
 def test_class_covariance_of_all_places(spark, sf_dir):
     from tracewell.queries import QUERIES
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,40 +38,115 @@ class Moments:
     cov: np.ndarray  # divided by n - 1
 
 
+def _stacked(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as the rows of a matrix, from the list's flat values."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(column), -1)
+
+
+def _by_group(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
+    names = batch["grp"].dictionary_encode()
+    codes = names.indices.to_numpy()
+    for k, name in enumerate(names.dictionary.to_pylist()):  # groups may differ in their number of places
+        yield name, _stacked(batch["ev"] if len(names.dictionary) == 1 else batch["ev"].take(pa.array(np.flatnonzero(codes == k))))
+
+
+Block = tuple[int, np.ndarray, np.ndarray]
+PARTIAL = "grp string, n long, mean array<double>, block array<double>"
+
+
+def _gathered(rows: DataFrame, of: Callable[[np.ndarray], Block], merged: Callable[[Block, Block], Block], salts: int, means: int = 1) -> DataFrame:
+    """A block for each group: of the vectors that a task meets, then of the tasks in salted groups, then of these.
+
+    ``means`` is how many rows the mean is made of.
+    """
+
+    def batch_of(found: dict[str, Block]) -> pa.RecordBatch:
+        lists = lambda place: pa.array([found[g][place].ravel() for g in found], pa.list_(pa.float64()))
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([b[0] for b in found.values()], pa.int64()), lists(1), lists(2)], names=["grp", "n", "mean", "block"])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, Block] = {}
+        for batch in batches:
+            for grp, x in _by_group(batch):
+                own = of(x)
+                found[grp] = merged(found[grp], own) if grp in found else own
+        yield batch_of(found)
+
+    def together(table: pa.Table) -> pa.Table:
+        total: Block | None = None
+        for n, mean, block in zip(table["n"].to_pylist(), table["mean"], table["block"], strict=True):
+            mean, block = (x.values.to_numpy() for x in (mean, block))
+            own = (n, mean.reshape(means, -1), block.reshape(-1, len(mean) // means))
+            total = own if total is None else merged(total, own)
+        return pa.Table.from_batches([batch_of({table["grp"][0].as_py(): total})])
+
+    blocks = rows.mapInArrow(partial, PARTIAL).withColumn("salt", F.spark_partition_id() % salts)
+    return blocks.groupBy("grp", "salt").applyInArrow(together, PARTIAL).groupBy("grp").applyInArrow(together, PARTIAL)
+
+
+def _grouped(vectors: DataFrame, by: Sequence[str], ev: str) -> DataFrame:
+    return vectors.where(F.col(ev).isNotNull()).select(_keys(vectors, by).alias("grp"), F.col(ev).cast("array<double>").alias("ev"))
+
+
+def _co_moments(x: np.ndarray) -> Block:
+    """The mean is the first vector and the mean gap to it, which keeps the digits that a large offset would take."""
+    gaps = x - x[0]
+    mean = gaps.mean(axis=0)
+    return len(x), np.stack([x[0], mean]), (gaps - mean).T @ (gaps - mean)
+
+
+def _merged_moments(a: Block, b: Block) -> Block:
+    """Counts, means and co-moments of two parts, of which each is centred at its own mean."""
+    n, gap = a[0] + b[0], (b[1][0] - a[1][0]) + (b[1][1] - a[1][1])
+    return n, np.stack([a[1][0], a[1][1] + gap * (b[0] / n)]), a[2] + b[2] + np.outer(gap, gap) * (a[0] * b[0] / n)
+
+
 def moments(vectors: DataFrame, by: Sequence[str] = (), ev: str = "ev", salts: int = 32) -> dict[str, Moments]:
-    """Count, mean and sample covariance of each group.
+    """Count, mean and sample covariance of each group, in one pass.
 
-    Two passes: sums give the means, then tasks sum the outer products of vectors shifted by their group's
-    mean, so that nothing cancels.  Each task sends one block for each group; blocks are added up in salted
-    groups first.  What the driver gets grows with the groups and dimensions, not with the vectors.
+    Each task sends one block for each group: co-moments around the mean of what it has met, so that nothing cancels,
+    however far the vectors lie from 0.  Blocks are merged in pairs, in salted groups first.  What the driver gets grows
+    with the groups and dimensions, not with the vectors.
     """
-    rows = vectors.where(F.col(ev).isNotNull()).select(_keys(vectors, by).alias("grp"), F.col(ev).alias("ev"))
-    means: dict[str, np.ndarray] = {}
-    counts: dict[str, int] = {}
-    totals = rows.select("grp", F.posexplode("ev").alias("k", "v")).groupBy("grp", "k").agg(F.avg("v").alias("mean"), F.count("*").alias("n")).toPandas()
-    for grp, part in totals.sort_values(["grp", "k"]).groupby("grp"):
-        means[grp], counts[grp] = part["mean"].to_numpy(float), int(part["n"].iloc[0])
-    shared = vectors.sparkSession.sparkContext.broadcast(means)
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[str, np.ndarray] = {}
-        for pdf in batches:
-            for grp, part in pdf.groupby("grp", sort=False):
-                x = np.stack(part["ev"].to_numpy()) - shared.value[grp]
-                total[grp] = total.get(grp, 0.0) + x.T @ x
-        for grp, block in total.items():
-            yield pd.DataFrame({"grp": [grp], "block": [block.ravel().tolist()]})
+    out = {}
+    for r in _gathered(_grouped(vectors, by, ev), _co_moments, _merged_moments, salts, means=2).toLocalIterator():
+        d = len(r.mean) // 2
+        out[r.grp] = Moments(r.n, np.array(r.mean[:d]) + np.array(r.mean[d:]), np.array(r.block).reshape(d, d) / max(r.n - 1, 1))
+    return out
+
+
+@dataclass
+class Triangle:
+    """Count, mean and the R factor of the centred vectors: R'R is their scatter, without ever being squared."""
+
+    n: int
+    mean: np.ndarray
+    r: np.ndarray
+
+
+def _triangle(x: np.ndarray) -> Block:
+    """Of the vectors with a one before each: the first row of R is the scaled mean, and what is below belongs to the centred ones."""
+    r = np.linalg.qr(np.column_stack([np.ones(len(x)), x]), mode="r")
+    return len(x), r[:1], r
+
+
+def _merged_triangles(a: Block, b: Block) -> Block:
+    r = np.linalg.qr(np.concatenate([a[2], b[2]]), mode="r")
+    return a[0] + b[0], r[:1], r
 
-    def added(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "block": [np.sum(np.stack(pdf["block"].to_numpy()), axis=0).tolist()]})
 
-    blocks = rows.mapInPandas(partial, "grp string, block array<double>").withColumn("salt", F.spark_partition_id() % salts)
-    blocks = blocks.groupBy("grp", "salt").applyInPandas(added, "grp string, block array<double>")
+def triangles(vectors: DataFrame, by: Sequence[str] = (), ev: str = "ev", salts: int = 32) -> dict[str, Triangle]:
+    """Tall-skinny QR of each group, in one pass: R factors of batches, of tasks and of salted groups in a tree.
+
+    Small singular values keep their digits, which are lost in a covariance below about 1e-8 of the largest one.
+    """
     out = {}
-    for row in blocks.groupBy("grp").applyInPandas(added, "grp string, block array<double>").toLocalIterator():
-        d = len(means[row.grp])
-        n = counts[row.grp]
-        out[row.grp] = Moments(n, means[row.grp], np.array(row.block).reshape(d, d) / max(n - 1, 1))
+    for row in _gathered(_grouped(vectors, by, ev), _triangle, _merged_triangles, salts).toLocalIterator():
+        d = len(row.mean) - 1
+        r = np.array(row.block).reshape(-1, d + 1)
+        r = np.concatenate([r, np.zeros((max(0, d + 1 - len(r)), d + 1))])
+        out[row.grp] = Triangle(row.n, r[0, 1:] / r[0, 0], r[1:, 1:])
     return out
 
 
@@ -81,35 +157,50 @@ class PcaModel:
     explained: np.ndarray  # shares of the variance, all D of them, largest first
 
 
-def pca_of(m: Moments, k: int = 10) -> PcaModel:
-    """The first components of a covariance; of each the first largest coefficient is positive."""
-    values, vectors = np.linalg.eigh(m.cov)
-    values, vectors = np.maximum(values[::-1], 0.0), vectors[:, ::-1]
-    k = min(k, m.n - 1, len(values)) if m.n > 1 else 1
+def _components(mean: np.ndarray, n: int, values: np.ndarray, vectors: np.ndarray, k: int) -> PcaModel:
+    """``values`` are variances, largest first, ``vectors`` columns; of each column the first largest coefficient is positive."""
+    values = np.maximum(values, 0.0)
+    k = min(k, n - 1, len(values)) if n > 1 else 1
     coeff = vectors[:, :k]
     top = np.abs(coeff).argmax(axis=0)
     coeff = coeff * np.where(coeff[top, np.arange(k)] < 0, -1.0, 1.0)
     total = values.sum()
-    return PcaModel(m.mean, coeff, values / total if total > 0 else values)
+    return PcaModel(mean, coeff, values / total if total > 0 else values)
+
+
+def pca_of(m: Moments, k: int = 10) -> PcaModel:
+    """The first components of a covariance."""
+    values, vectors = np.linalg.eigh(m.cov)
+    return _components(m.mean, m.n, values[::-1], vectors[:, ::-1], k)
+
+
+def pca_of_triangle(t: Triangle, k: int = 10) -> PcaModel:
+    """The first components by singular values of the centred vectors, which those of R are."""
+    _, singular, vectors = np.linalg.svd(t.r)
+    return _components(t.mean, t.n, singular**2 / max(t.n - 1, 1), vectors.T, k)
 
 
-def pca_fit(chips: DataFrame, k: int = 10, by: Sequence[str] = (), ev: str = "ev") -> dict[str, PcaModel]:
-    """Components of each group.
+def pca_fit(chips: DataFrame, k: int = 10, by: Sequence[str] = (), ev: str = "ev", form: str = "covariance") -> dict[str, PcaModel]:
+    """Components of each group, from its ``covariance`` or by singular values (``svd``) of a tall-skinny QR.
 
     Tasks solve them, a group each: their linear algebra has one thread, while a threaded solve of a hundred
     features or more may never end in the process of a Spark driver.
     """
-    found, spark = moments(chips, by, ev), chips.sparkSession
+    if form not in ("covariance", "svd"):
+        raise ValueError(f"unknown form {form!r}")
+    spark = chips.sparkSession
+    found = moments(chips, by, ev) if form == "covariance" else triangles(chips, by, ev)
     if not found:
         return {}
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples():
-                p = pca_of(Moments(r.n, np.array(r.mean), np.array(r.cov).reshape(len(r.mean), -1)), k)
+                matrix = np.array(r.matrix).reshape(len(r.mean), -1)
+                p = pca_of(Moments(r.n, np.array(r.mean), matrix), k) if form == "covariance" else pca_of_triangle(Triangle(r.n, np.array(r.mean), matrix), k)
                 yield pd.DataFrame({"grp": [r.grp], "coeff": [p.coeff.ravel()], "explained": [p.explained]})
 
-    rows = spark.createDataFrame([(grp, m.n, m.mean.tolist(), m.cov.ravel().tolist()) for grp, m in found.items()], "grp string, n long, mean array<double>, cov array<double>")
+    rows = spark.createDataFrame([(grp, m.n, m.mean.tolist(), (m.cov if form == "covariance" else m.r).ravel().tolist()) for grp, m in found.items()], "grp string, n long, mean array<double>, matrix array<double>")
     solved = rows.repartition(min(len(found), spark.sparkContext.defaultParallelism)).mapInPandas(solve, "grp string, coeff array<double>, explained array<double>").collect()  # a row for each group
     return {r.grp: PcaModel(found[r.grp].mean, np.array(r.coeff).reshape(len(found[r.grp].mean), -1), np.array(r.explained)) for r in solved}
 

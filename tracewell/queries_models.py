@@ -10,7 +10,7 @@ from tracewell import sql
 from tracewell.functions import hash_uniform
 from tracewell.operators.cluster import ALL, center_distance, cluster_accuracy, convergence, energy_label, fcm_fit, hard_assign, key_of, with_memberships
 from tracewell.operators.detect import Detector, entropy_weights, evaluate, evaluate_all, fit_detector, score, separation
-from tracewell.operators.subspace import PcaModel, covariance_pairs, explained_variance, feature_means, moments, pca_fit, pca_project
+from tracewell.operators.subspace import PcaModel, covariance_pairs, explained_variance, feature_means, moments, pca_fit, pca_project, triangles
 from tracewell.plans import fixture
 from tracewell.plans.sweep import robustness_sweep, threat_benchmark
 from tracewell.queries_frequency import r6, table
@@ -37,6 +37,18 @@ def q_feature_cov_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, j, float(round(m.cov[i, j], 6)) + 0.0) for i in range(d) for j in range(d)], "i int, j int, cov double")
 
 
+def q_scatter_qr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The covariance of each label as R'R of its tall-skinny QR, a row for each pair of places; null for a label of one vector."""
+    vectors = _vectors(spark, sf_dir)
+    found = triangles(vectors, ["label"])
+    rows = []
+    for r in vectors.where("ev is not null").select("label").distinct().collect():  # a row for each label
+        t = found[key_of(r.label)]
+        scatter = t.r.T @ t.r / max(t.n - 1, 1)
+        rows += [(r.label, i, j, float(round(scatter[i, j], 6)) + 0.0 if t.n > 1 else None) for i in range(len(t.mean)) for j in range(len(t.mean))]
+    return spark.createDataFrame(rows, f"label {vectors.schema['label'].dataType.simpleString()}, i int, j int, cov double")
+
+
 def q_class_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
     cov = covariance_pairs(_vectors(spark, sf_dir), ["label"], ridge=1e-6)
     return cov.select("label", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), r6("cov").alias("cov"))
@@ -205,6 +217,7 @@ ORACLE_SQL = {
     "feature_means": f"WITH {sql.EMBEDDED} SELECT k, round(avg(x), 6) + 0e0 AS mean_v FROM em GROUP BY k",
     "feature_cov": f"WITH {sql.EMBEDDED} SELECT a.k AS i, b.k AS j, round(covar_samp(a.x, b.x), 6) + 0e0 AS cov FROM em a JOIN em b ON a.vec_id = b.vec_id GROUP BY 1, 2",
     "feature_cov_partial": f"WITH {sql.EMBEDDED} SELECT a.k AS i, b.k AS j, round(covar_samp(a.x, b.x), 6) + 0e0 AS cov FROM em a JOIN em b ON a.vec_id = b.vec_id GROUP BY 1, 2",
+    "scatter_qr": f"WITH {sql.EMBEDDED} SELECT a.label AS label, a.k AS i, b.k AS j, round(covar_samp(a.x, b.x), 6) + 0e0 AS cov FROM em a JOIN em b ON a.vec_id = b.vec_id GROUP BY 1, 2, 3",
     "class_cov": f"WITH {sql.EMBEDDED} SELECT a.label AS label, a.k AS i, b.k AS j, round(covar_samp(a.x, b.x) + CASE WHEN a.k = b.k THEN 1e-6 ELSE 0e0 END, 6) + 0e0 AS cov FROM em a JOIN em b ON a.vec_id = b.vec_id GROUP BY 1, 2, 3",
     "class_cov_partial": f"WITH {sql.EMBEDDED} SELECT a.label AS label, a.k AS i, b.k AS j, round(covar_samp(a.x, b.x) + CASE WHEN a.k = b.k THEN 1e-6 ELSE 0e0 END, 6) + 0e0 AS cov FROM em a JOIN em b ON a.vec_id = b.vec_id GROUP BY 1, 2, 3",
     "cum_explained": """WITH v AS (SELECT p_brand, CAST(sum(p_size) AS DOUBLE) AS variance FROM part GROUP BY 1)
