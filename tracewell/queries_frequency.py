@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell import sql
 from tracewell.functions import band_windows, eq3_grid, l2_norm, l2_normalize, linear_grid, to_bin, to_db
+from tracewell.operators.longfft import long_features
 from tracewell.operators.spectral import band_features, dft_bins, sample_bins
 from tracewell.operators.traces import add_noise, clip_samples, die_gain, drift_resample, noise_variance, signal_power, spectrum_slice
 from tracewell.plans import fixture
@@ -111,6 +112,13 @@ def ev_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(fixture.chip_vectors(spark, sf_dir), "ev")
 
 
+@query(ORACLE_SQL["ev_band"])
+def ev_band_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The band features by a transform in four steps over blocks of long samples; no task gets a whole trace."""
+    found = long_features(fixture.samples(spark, sf_dir), fixture.N, fixture.LO, fixture.HI, fixture.BINS, ["chip", "label"], block=128)
+    return _long(found, "ev_band")
+
+
 @query(f"WITH {sql.BIN_FEATURES} SELECT chip, label, CAST(k AS INTEGER) AS k, round(v, 6) + 0e0 AS v FROM fb")
 def ev_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(fixture.chip_vectors(spark, sf_dir), "ev_bin")

@@ -9,7 +9,7 @@ from tracewell.operators.report_tables import path_delays, power_figures, report
 from tracewell.operators.reports import overhead_verdict, report_overhead
 from tracewell.queries_frequency import r6, table
 from tracewell.sources import read_reports
-from tracewell.sources.shared import new_path
+from tracewell.sources.shared import new_path, written
 
 
 def _right(value: Column | str, width: int) -> Column:
@@ -97,6 +97,7 @@ def q_report_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the modified design of each device costs, and whether it passes, from parsed files alone."""
     power, timing, utilization = _written_reports(spark, sf_dir, "power", "timing", "utilization")
     figures = report_figures(utilization, power, timing).select(F.regexp_extract("report_id", "^(.*)_(golden|modified)$", 1).alias("device"), F.regexp_extract("report_id", "_(golden|modified)$", 1).alias("kind"), "item", "used")
+    figures = written(figures, "figures")  # used three times
     overheads = report_overhead(figures.where("kind = 'golden'"), figures.where("kind = 'modified'"))
     delay = overheads.where("item = 'Critical path (ns)'").select("device", F.col("delta_pct").alias("delay_pct"))
     found = overhead_verdict(overheads, "Slice LUTs*", "Dynamic (W)", lut_limit=10.0, power_limit=40.0).join(delay, "device")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from tracewell.operators.cluster import FcmModel
 from tracewell.operators.detect import Detector
@@ -50,3 +52,23 @@ def load_detectors(spark: SparkSession, path: str) -> dict[str, Detector]:
         pca = PcaModel(np.array(r.mean), np.array(r.coeff), np.array(r.explained))
         out[r.grp] = Detector(*(np.array(x) for x in (r.golden, r.modified)), pca, *(np.array(x) for x in (r.golden_pc, r.modified_pc, r.inverse_g, r.inverse_t)), r.a1, r.a2, r.n_iter, r.energy_higher)
     return out
+
+
+def latest_version(spark: SparkSession, path: str) -> int:
+    """The highest version in a store of detectors; 0 for a store without one."""
+    try:
+        versions = spark.read.parquet(path)
+    except AnalysisException:  # nothing is there yet
+        return 0
+    return int(versions.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]) if "version" in versions.columns else 0
+
+
+def publish_detectors(spark: SparkSession, detectors: dict[str, Detector], path: str) -> int:
+    """Adds a version to a store and returns its number.  One file makes a version, so it is there whole or not at all."""
+    version = latest_version(spark, path) + 1
+    save_detectors(spark, detectors, f"{path}/version={version}")
+    return version
+
+
+def load_version(spark: SparkSession, path: str, version: int) -> dict[str, Detector]:
+    return load_detectors(spark, f"{path}/version={version}")

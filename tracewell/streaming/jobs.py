@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracewell.operators.detect import Detector, score
 from tracewell.operators.spectral import features
+from tracewell.streaming.ordered import TOGGLES, toggles_of
 
-TOGGLES = "core string, cycle long, state long, toggles int, late boolean"
 STATE = "last_cycle long, last_state long"
 
 
@@ -37,16 +38,17 @@ def toggles_stream(stream: DataFrame, idle_timeout_ms: int | None = 86_400_000)
             return
         last_cycle, last_state = state.get if state.exists else (-(1 << 62), 0)
         rows = pd.concat(list(batches)).sort_values("cycle", kind="stable")
-        out = []
-        for cycle, now in zip(rows["cycle"].tolist(), rows["state"].tolist(), strict=True):
-            late = cycle <= last_cycle
-            out.append((key[0], cycle, now, None if late else ((now ^ last_state) & (2**64 - 1)).bit_count(), late))
-            if not late:
-                last_cycle, last_state = cycle, now
+        cycle, now = rows["cycle"].to_numpy(np.int64), rows["state"].to_numpy(np.int64)
+        late = cycle <= np.maximum.accumulate(np.concatenate([[last_cycle], cycle[:-1]]))
+        toggles = np.zeros(len(rows), np.int32)
+        toggles[~late] = toggles_of(now[~late], last_state)
+        out = pd.DataFrame({"core": key[0], "cycle": cycle, "state": now, "toggles": pd.arrays.IntegerArray(toggles, late.copy()), "late": late})
+        if not late.all():
+            last_cycle, last_state = int(cycle[~late][-1]), int(now[~late][-1])
         state.update((last_cycle, last_state))
         if idle_timeout_ms is not None:
             state.setTimeoutDuration(idle_timeout_ms)
-        yield pd.DataFrame(out, columns=["core", "cycle", "state", "toggles", "late"]).astype({"toggles": "Int32"})
+        yield out
 
     clean = stream.select(F.col("core").cast("string").alias("core"), F.col("cycle").cast("long").alias("cycle"), F.coalesce(F.col("state").cast("long"), F.lit(0).cast("long")).alias("state")).where("core is not null and cycle is not null")
     return clean.groupBy("core").applyInPandasWithState(step, TOGGLES, STATE, "append", GroupStateTimeout.NoTimeout if idle_timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
