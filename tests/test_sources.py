@@ -2,11 +2,12 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracewell.functions import fmax_mhz
 from tracewell.operators.reports import overhead_verdict, parse_pipe_tables, register_audit, report_overhead
-from tracewell.sources import read_chip_vectors, read_cycle_logs, read_reports, read_sources, write_report, write_traces
+from tracewell.sources import cycle_logs, read_chip_vectors, read_cycle_logs, read_reports, read_sources, write_report, write_traces
 
 
 def test_cycle_logs_of_both_headers(spark, tmp_path):
@@ -20,6 +21,52 @@ def test_cycle_logs_of_both_headers(spark, tmp_path):
     assert abs(t.vccint_shunt_v - 0.008535) < 1e-12 and t.cipher_match is None and t.trojan_active is None
 
 
+@pytest.mark.parametrize("range_bytes", [1, 7, 40, 131, 1 << 20])
+def test_ranges_of_a_log_hold_each_line_once(tmp_path, monkeypatch, range_bytes):
+    """Cut anywhere, also inside the header and beside line ends, with and without a last line end."""
+    monkeypatch.setattr(cycle_logs, "READ_BYTES", 16)
+    for name, end in (("log_a.csv", "\n"), ("log_b.csv", ""), ("log_c.csv", "\r\n\n")):
+        lines = [f"{i},{i * 10**15},{i % 7},{i / 8},{'x' if i % 3 else 1}" for i in range(25)]
+        (tmp_path / name).write_text("\n".join(["cycle,timestamp_ns,hamming_toggles, vccint_shunt_mv ,trojan_active", *lines]) + end)
+    parts = cycle_logs.dealt(cycle_logs.listed(str(tmp_path), 100), range_bytes)
+    assert all(sum(b - a for _, a, b in p.parts) <= range_bytes for p in parts)
+    rows = [r for p in parts for path, a, b in p.parts for batch in cycle_logs.rows_of(path, a, b, cycle_logs.CORE, str(tmp_path)) for r in batch.to_pylist()]
+    assert sorted((r["core"], r["cycle"]) for r in rows) == [(c, i) for c in "abc" for i in range(25)]
+    assert all(r["timestamp_ns"] == r["cycle"] * 10**15 and r["vccint_shunt_v"] == r["cycle"] / 8000 and r["trojan_active"] == (None if r["cycle"] % 3 else 1) and r["cipher_match"] is None for r in rows)
+
+
+def test_odd_fields_and_files(spark, tmp_path):
+    head = "cycle,timestamp_ns,hamming_toggles,vccint_shunt_v,cipher_match\n"
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d/log_x.csv").write_text(head + "1,2\n2147483648,9223372036854775807,+3,-.5,é\n 5 , 9223372036854775808 , 1.5 ,1e-3, 0 ,more\n\n" + head + "x,y,z,NaN,\n")
+    (tmp_path / "log_empty.csv").write_text("")
+    (tmp_path / "_hidden_y.csv").write_text(head + "1,1,1,1,1\n" * 30)
+    rows = sorted(map(tuple, read_cycle_logs(spark, str(tmp_path)).collect()), key=str)
+    assert rows == sorted([("x", 1, 2, None, None, None, None), ("x", None, 2**63 - 1, 3, -0.5, None, None), ("x", 5, None, None, 0.001, 0, None), ("x", None, None, None, None, None, None)], key=str)
+    assert read_cycle_logs(spark, str(tmp_path / "nothing")).count() == 0
+    assert read_cycle_logs(spark, f"file://{tmp_path}/d/*.csv").count() == 4
+
+
+def test_streamed_logs_equal_batch_and_no_join(spark, tmp_path):
+    head = "cycle,timestamp_ns,hamming_toggles,vccint_shunt_v,cipher_match\n"
+    write = lambda core, n: (tmp_path / f"log_{core}.csv").write_text(head + "".join(f"{i},{i},{i % 5},0.5,1\n" for i in range(n)))
+
+    def run():
+        q = read_cycle_logs(spark, str(tmp_path / "*.csv"), stream=True).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120) and q.exception() is None
+
+    write("a", 40)
+    run()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 40
+    write("b", 30), write("c", 20)
+    run()
+    run()
+    batch = read_cycle_logs(spark, str(tmp_path / "*.csv"))
+    assert sorted(map(tuple, spark.read.schema(batch.schema).parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, batch.collect()))
+    plan = batch._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
 def test_chip_vectors(spark, tmp_path):
     doc = {"n_samples": 10, "training_chips": [{"chip_id": "a", "label": 0, "ev": [1.0, 2.0]}], "validation_chips": [{"chip_id": "b", "ground_truth": 1, "category": "x", "ev": []}]}
     (tmp_path / "v.json").write_text(json.dumps(doc, indent=1))

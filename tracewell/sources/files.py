@@ -7,35 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The two headers of cycle logs, fixed by the loggers: volts with a parity flag, millivolts with an activity flag.
-LOG_V = "cycle INT, timestamp_ns BIGINT, hamming_toggles INT, vccint_shunt_v DOUBLE, cipher_match INT"
-LOG_MV = "cycle INT, timestamp_ns BIGINT, hamming_toggles INT, vccint_shunt_mv DOUBLE, trojan_active INT"
-#: Up to so many files the table of their headers is broadcast, so that no line is shuffled.
-BROADCAST_FILES = 50_000
+from tracewell.sources.cycle_logs import register_cycle_logs
+
 CHIP = "ARRAY<STRUCT<chip_id STRING, label INT, ground_truth INT, category STRING, ev ARRAY<DOUBLE>>>"
 CHIP_FILE = f"sampling_frequency_hz DOUBLE, clock_frequency_hz DOUBLE, n_samples BIGINT, eigenvector_dimension INT, training_chips {CHIP}, validation_chips {CHIP}"
 MEMBER = "MAP<STRING, STRUCT<assigned_cluster STRING, ground_truth STRING, membership_golden DOUBLE, membership_trojan DOUBLE>>"
 
 
-def read_cycle_logs(spark: SparkSession, path: str, min_bytes: int = 100, core: str = r"_([A-Za-z0-9]+)\.csv$") -> DataFrame:
+def read_cycle_logs(spark: SparkSession, path: str, min_bytes: int = 100, core: str = r"_([A-Za-z0-9]+)\.csv$", stream: bool = False) -> DataFrame:
     """Cycle logs of either header as one table with ``core`` from the file name, in volts.
 
     Files under ``min_bytes`` are stubs and skipped.  A file's first line tells its header; columns that a
-    header lacks are null, as are fields that aren't numbers.
+    header lacks are null, as are fields that aren't numbers.  With ``stream`` new files are followed.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")).where(F.col("bytes") >= min_bytes)
-    is_head = F.col("value").startswith("cycle,")
-    heads = lines.where(is_head).groupBy("file").agg(F.min("value").alias("head"))
-    files = spark.read.format("binaryFile").load(path).select("path").count()  # lists names, reads no content
-    rows = lines.where(~is_head & (F.trim("value") != "")).join(F.broadcast(heads) if files <= BROADCAST_FILES else heads, "file")
-    parts = F.split("value", ",")
-    at = lambda name: F.array_position(F.transform(F.split("head", ","), F.trim), F.lit(name)).cast("int")
-    field = lambda name, kind: F.when(at(name) > 0, F.trim(F.get(parts, at(name) - 1)).try_cast(kind)).alias(name)
-    read = rows.select(
-        F.regexp_extract("file", core, 1).alias("core"), field("cycle", "int"), field("timestamp_ns", "bigint"), field("hamming_toggles", "int"),
-        field("vccint_shunt_v", "double"), field("vccint_shunt_mv", "double"), field("cipher_match", "int"), field("trojan_active", "int"),
-    )
-    return read.withColumn("vccint_shunt_v", F.coalesce("vccint_shunt_v", F.col("vccint_shunt_mv") / 1000)).drop("vccint_shunt_mv")
+    register_cycle_logs(spark)
+    reader = spark.readStream if stream else spark.read
+    return reader.format("cycle_logs").option("min_bytes", min_bytes).option("core", core).load(path)
 
 
 def read_chip_vectors(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
