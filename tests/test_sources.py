@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import fmax_mhz
 from tracewell.operators.reports import overhead_verdict, parse_pipe_tables, register_audit, report_overhead
 from tracewell.sources import cycle_logs, read_chip_vectors, read_cycle_logs, read_reports, read_sources, write_report, write_traces
+from tracewell.sources.buckets import bucket_count
 
 
 def test_cycle_logs_of_both_headers(spark, tmp_path):
@@ -67,6 +68,22 @@ def test_streamed_logs_equal_batch_and_no_join(spark, tmp_path):
     assert "Join" not in plan and "Exchange" not in plan
 
 
+def test_bucketed_logs_shuffle_nothing(spark, sf_dir):
+    from tracewell.queries import QUERIES
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("bucketed_toggles", "bucketed_differential"):
+            found = QUERIES[name](spark, sf_dir)
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "Bucketed: true" in plan
+            assert ("Window" if name == "bucketed_toggles" else "SortMergeJoin") in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert bucket_count(0) == 1 and bucket_count(1 << 40) == 8192
+
+
 def test_chip_vectors(spark, tmp_path):
     doc = {"n_samples": 10, "training_chips": [{"chip_id": "a", "label": 0, "ev": [1.0, 2.0]}], "validation_chips": [{"chip_id": "b", "ground_truth": 1, "category": "x", "ev": []}]}
     (tmp_path / "v.json").write_text(json.dumps(doc, indent=1))

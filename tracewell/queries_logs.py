@@ -22,16 +22,32 @@ lg AS (
 tg AS (SELECT run, cycle, part, qty, price, kind, CAST(plain + CASE WHEN run % 2 = 1 AND kind = 'O' THEN 1 ELSE 0 END AS INTEGER) AS toggles FROM lg)"""
 
 
+#: The order of a run's lines.
+ORDER = ["cycle", "part", "qty", "price"]
+
+
+def plain_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("cycle"), F.col("l_partkey").alias("part"), F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("price"), F.col("l_linestatus").alias("kind"))
+
+
+def counter() -> F.Column:
+    return F.when((F.col("run") % 2 == 1) & (F.col("kind") == "O"), 1).otherwise(0)
+
+
 def state_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("cycle"), F.col("l_partkey").alias("part"), F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("price"), F.col("l_linestatus").alias("kind"))
-    counter = F.when((F.col("run") % 2 == 1) & (F.col("kind") == "O"), 1).otherwise(0)
-    return hamming_toggles(rows, ["run"], ["cycle", "part", "qty", "price"], ["part"], counter)
+    return hamming_toggles(plain_log(spark, sf_dir), ["run"], ORDER, ["part"], counter())
 
 
 def q_hamming_toggles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state_log(spark, sf_dir).select("run", "cycle", "part", "toggles")
 
 
+def q_hamming_toggles_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toggles with the counter of the base design, of which the bits that change count; quantities are its states."""
+    held = F.when(F.col("run") % 2 == 1, F.col("qty").cast("long")).otherwise(0)
+    return hamming_toggles(plain_log(spark, sf_dir), ["run"], ORDER, ["part"], held, "base").select("run", "cycle", "part", "toggles")
+
+
 def q_toggle_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toggle_summary(state_log(spark, sf_dir), F.col("run") % 2 == 1)
     return found.select(*(r6(c).alias(c) for c in found.columns))
@@ -48,19 +64,19 @@ def q_shunt_voltage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.select("run", "cycle", "part", "active", volts("main").alias("main_mv"), volts("base").alias("base_mv"))
 
 
-def _two_logs(spark: SparkSession, sf_dir: str, value: F.Column) -> tuple[DataFrame, DataFrame]:
+def two_logs(spark: SparkSession, sf_dir: str, value: F.Column) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", value.alias("out"))
     log = lambda odd: rows.where((F.col("l_linenumber") % 2 == 1) == F.lit(odd)).groupBy("l_orderkey").agg(F.max("out").alias("out"))
     return log(True), log(False)
 
 
 def q_trace_differential(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return differential(*_two_logs(spark, sf_dir, F.col("l_quantity")), ["l_orderkey"], "out")
+    return differential(*two_logs(spark, sf_dir, F.col("l_quantity")), ["l_orderkey"], "out")
 
 
 def q_parity_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("l_returnflag") != "N", F.col("l_returnflag"))
-    return parity_mismatches(*_two_logs(spark, sf_dir, status), ["l_orderkey"], "out")
+    return parity_mismatches(*two_logs(spark, sf_dir, status), ["l_orderkey"], "out")
 
 
 def q_average_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,6 +156,8 @@ def q_nested_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {name[2:]: f for name, f in list(globals().items()) if name.startswith("q_")}
 ORACLE_SQL = {
+    "hamming_toggles_base": """WITH z AS (SELECT l_orderkey AS run, l_linenumber AS cycle, l_partkey AS part, l_quantity AS qty, l_extendedprice AS price, CASE WHEN l_orderkey % 2 = 1 THEN CAST(trunc(l_quantity) AS BIGINT) ELSE 0 END AS c FROM lineitem)
+SELECT run, cycle, part, CAST(bit_count(xor(part, coalesce(lag(part) OVER w, 0))) + bit_count(xor(c, coalesce(lag(c) OVER w, 0))) AS INTEGER) AS toggles FROM z WINDOW w AS (PARTITION BY run ORDER BY cycle, part, qty, price)""",
     "hamming_toggles": f"WITH {LOG_SQL} SELECT run, cycle, part, toggles FROM tg",
     "toggle_summary": f"""WITH {LOG_SQL}, m AS (SELECT avg(CASE WHEN run % 2 = 0 THEN toggles END) AS g, avg(CASE WHEN run % 2 = 1 THEN toggles END) AS t FROM tg)
 SELECT round(g, 6) + 0e0 AS mean_golden, round(t, 6) + 0e0 AS mean_modified, round(100e0 * (t - g) / g, 6) + 0e0 AS delta_pct FROM m""",

@@ -101,10 +101,31 @@ def q_fcm_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "grp string, cluster int, k int, center double, n_iter int")
 
 
-def q_energy_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_fcm_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The objective of every round of the full fit, and how much it changed."""
+    model = fcm_fit(written(fixture.chip_vectors(spark, sf_dir), "chips"))
+    history = spark.createDataFrame([(grp, n, j) for grp, n, j, _ in model.history], "grp string, round int, objective double")
+    return convergence(history).select("grp", "round", r6("objective").alias("objective"), r6("delta").alias("delta"))
+
+
+def _energies(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
     u = hash_uniform(F.col("vec_id"))
     rows = _vectors(spark, sf_dir).select(F.col("label").cast("string").alias("grp"), F.array(u, 1 - u).alias("u"), (F.col("vec_id") % 97).cast("double").alias("raw_energy"), "ev")
-    return energy_label(rows).select("grp", "cluster", r6("energy").alias("energy"), "modified")
+    return energy_label(rows, rule).select("grp", "cluster", r6("energy").alias("energy"), "modified")
+
+
+def q_energy_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _energies(spark, sf_dir, "weighted_raw")
+
+
+def q_energy_label_center(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters labelled by the energy of their weighted centres."""
+    return _energies(spark, sf_dir, "center")
+
+
+def q_energy_label_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters labelled by the summed energy of their hard members."""
+    return _energies(spark, sf_dir, "hard_total")
 
 
 def q_entropy_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,9 +134,8 @@ def q_entropy_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_weights(rows, ["label"]).select("label", r6("a1").alias("a1"), r6("a2").alias("a2"))
 
 
-def q_fusion_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores against a fixed model: the mean vectors of both labels as centres, two features as components."""
-    vectors = fixture.chip_vectors(spark, sf_dir)
+def fixed_detector(vectors: DataFrame) -> dict[str, Detector]:
+    """A model that is no fit: the mean vectors of both labels as centres, two features as components."""
     centre = {label: np.zeros(24) for label in (0, 1)}
     for r in feature_means(vectors, ["label"]).where("label in (0, 1)").collect():  # 2 x 24 rows
         centre[r.label][r.k] = r.mean_v
@@ -123,11 +143,19 @@ def q_fusion_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     axes[8, 0] = axes[9, 1] = 1.0  # the clock's bin and the first leak's
     pca = PcaModel(np.zeros(24), axes, np.zeros(24))
     inverse_g, inverse_t = np.array([[4.0, 0.5], [0.5, 2.0]]), np.array([[3.0, -0.25], [-0.25, 5.0]])
-    detector = Detector(centre[0], centre[1], pca, centre[0][[8, 9]], centre[1][[8, 9]], inverse_g, inverse_t, 0.7, 0.3)
-    found = score(vectors.drop("ev_bin"), {ALL: detector})
+    return {ALL: Detector(centre[0], centre[1], pca, centre[0][[8, 9]], centre[1][[8, 9]], inverse_g, inverse_t, 0.7, 0.3)}
+
+
+def rounded_scores(found: DataFrame) -> DataFrame:
     return found.select("chip", "label", *(F.round(c, 4).alias(c) for c in ("ed_g", "ed_t", "md_g", "md_t", "fd_g", "fd_t")), "predicted")
 
 
+def q_fusion_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores against a fixed model."""
+    vectors = fixture.chip_vectors(spark, sf_dir)
+    return rounded_scores(score(vectors.drop("ev_bin"), fixed_detector(vectors)))
+
+
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("predicted"), F.col("toxic").alias("label"))
     return labels.join(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id")
@@ -212,7 +240,23 @@ SELECT 'all' AS grp, 0 AS cluster, CAST(k AS INTEGER) AS k, round(v0, 6) + 0e0 A
 UNION ALL SELECT 'all', 1, CAST(k AS INTEGER), round(v1, 6) + 0e0, CAST(n_iter AS INTEGER) FROM ce"""
 
 
+def _history() -> str:
+    """The objective of each round up to the one that the fit ends with."""
+    fit = _full_fit()
+    steps = " UNION ALL ".join(f"SELECT {n} AS n, sum(u * u * d0 * d0 + (1 - u) * (1 - u) * d1 * d1) AS j FROM m{n} JOIN d{n} ON m{n}.chip = d{n}.chip" for n in range(1, ROUNDS + 1))
+    return fit[: fit.index("SELECT 'all' AS grp")].rstrip() + f""", jn AS (SELECT x.n AS n, j FROM ({steps}) x JOIN st ON x.n <= st.n)
+SELECT 'all' AS grp, CAST(n AS INTEGER) AS round, round(j, 6) + 0e0 AS objective, round(abs(j - lag(j) OVER (ORDER BY n)), 6) + 0e0 AS delta FROM jn"""
+
+
+_MEMBERS = f"w AS (SELECT vec_id, CAST(label AS VARCHAR) AS grp, {sql.uniform('CAST(vec_id AS VARCHAR)')} AS u FROM embeddings)"
+_LABELLED = "SELECT grp, cluster, round(energy, 6) + 0e0 AS energy, row_number() OVER (PARTITION BY grp ORDER BY energy DESC, cluster) = 1 AS modified FROM g"
 ORACLE_SQL = {
+    "fcm_history": _history(),
+    "energy_label_center": f"""WITH {sql.EMBEDDED}, {_MEMBERS},
+c AS (SELECT grp, cluster, k, sum(q * q * x) / (sum(q * q) + 1e-12) AS v FROM (SELECT grp, 0 AS cluster, k, u AS q, x FROM w JOIN em ON w.vec_id = em.vec_id UNION ALL SELECT grp, 1, k, 1 - u, x FROM w JOIN em ON w.vec_id = em.vec_id) z GROUP BY 1, 2, 3),
+g AS (SELECT grp, cluster, sum(v * v) AS energy FROM c GROUP BY 1, 2) {_LABELLED}""",
+    "energy_label_total": f"""WITH {sql.EMBEDDED}, {_MEMBERS},
+g AS (SELECT grp, CAST(CASE WHEN u >= 1 - u THEN 0 ELSE 1 END AS INTEGER) AS cluster, sum(x * x) AS energy FROM w JOIN em ON w.vec_id = em.vec_id GROUP BY 1, 2) {_LABELLED}""",
     "fcm_model": _full_fit(),
     "feature_means": f"WITH {sql.EMBEDDED} SELECT k, round(avg(x), 6) + 0e0 AS mean_v FROM em GROUP BY k",
     "feature_cov": f"WITH {sql.EMBEDDED} SELECT a.k AS i, b.k AS j, round(covar_samp(a.x, b.x), 6) + 0e0 AS cov FROM em a JOIN em b ON a.vec_id = b.vec_id GROUP BY 1, 2",

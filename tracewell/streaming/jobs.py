@@ -57,8 +57,9 @@ def toggles_stream(stream: DataFrame, idle_timeout_ms: int | None = 86_400_000)
 def average_stream(stream: DataFrame, by: Sequence[str], value: str, window: str = "1 hour", watermark: str = "10 minutes", time: str = "ts") -> DataFrame:
     """``window_start, by, mean_value, n`` over tumbling windows; rows behind the watermark are left out.
 
-    On a batch frame the watermark means nothing and every row counts.
+    On a batch frame the watermark means nothing and every row counts.  A stream's times without a zone are taken in the
+    session's, as watermarks need one.
     """
-    rows = stream.withWatermark(time, watermark) if stream.isStreaming else stream
+    rows = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, watermark) if stream.isStreaming else stream
     found = rows.groupBy(F.window(time, window), *by).agg(F.avg(value).alias("mean_value"), F.count(value).alias("n"))
     return found.select(F.col("window.start").alias("window_start"), *by, "mean_value", "n")
