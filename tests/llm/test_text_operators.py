@@ -384,7 +384,7 @@ def test_models_keep_all_ngrams(spark):
     assert len(counts) > 310_000
     whole = langid.build_models([(name, gram, n) for (name, gram), n in counts.items()])
     assert models.langs == whole.langs and models.floor == whole.floor
-    for table in ("grams", "contexts", "shares", "backoffs"):
+    for table in langid.TABLES:
         for ours, theirs in zip(getattr(models, table), getattr(whole, table), strict=True):
             assert ours.shape == theirs.shape and (ours == theirs).all() if ours.dtype == np.uint64 else np.allclose(ours, theirs, atol=1e-7)
 
@@ -432,6 +432,25 @@ def test_cross_entropies_equal_slow_kneser_ney(spark):
         assert np.allclose(row, [slow_cross_entropy(text.lower().split(), counts[lang], floor) for lang in models.langs], rtol=1e-6, atol=1e-6)
 
 
+def test_sixty_languages(spark, monkeypatch):
+    """Languages that share most n-grams, in parts of a few words; each text against the model of its language alone."""
+    monkeypatch.setattr(langid, "CELLS", 2000)
+    rng = random.Random(21)
+    letters = "abcdefghijklmnopqrst"
+    own = {f"l{k:02}": ["".join(rng.choices(letters, k=rng.randint(2, 7))) for _ in range(25)] for k in range(60)}
+    data = [(i, " ".join(rng.choices(own[name], k=60)), name, None, 0) for i, name in enumerate(name for name in own for _ in range(12))]
+    train = spark.createDataFrame([d for d in data if d[0] % 12], SCHEMA)
+    models = langid.train_models(train)
+    assert models.langs == sorted(own) and all(len(x) < 60 * len(np.unique(x)) / 4 for x in models.grams[2:])  # entries, not columns
+    test = [d for d in data if d[0] % 12 == 0]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(spark.createDataFrame(test, SCHEMA), models).collect()}
+    assert got == {d[0]: d[2] for d in test}
+    whole, n = models.cross_entropies(pa.array([d[1] for d in test]))
+    monkeypatch.setattr(langid, "CELLS", 1 << 30)
+    again, m = models.cross_entropies(pa.array([d[1] for d in test]))
+    assert np.allclose(whole, again, rtol=1e-9) and (n == m).all()
+
+
 def test_language_of_few_texts_is_learned(spark):
     """A language whose only text calibrates is counted, too."""
     rows = english_and_vowels(60)

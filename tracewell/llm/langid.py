@@ -3,12 +3,12 @@
 Words are maximal runs of letters in lower case.  Each word, opened by ``ORDER - 1`` start marks and closed
 by an end mark, is a sequence of characters; a language's model gives each character a probability from the
 ``ORDER - 1`` before it.  The counts of the longest n-grams are gathered from all training rows by Spark;
-lower orders count the distinct characters seen before an n-gram.  The models of all languages share sorted
-arrays of n-gram hashes, a pair for each order: discounted shares by n-gram and back-off weights by context,
-a column for each language.  A text gets the language with the lowest cross-entropy per character.
+lower orders count the distinct characters seen before an n-gram.  The models are sorted arrays of hashes, a pair for
+each order: discounted shares by n-gram and back-off weights by context, an entry for each language that has the n-gram.
+A text gets the language with the lowest cross-entropy per character.
 
-A tenth of the training texts, chosen by a hash of the text, is kept from the counts, unless its language would have
-none, and calibrates the rest: the temperature that turns cross-entropies into a probability (the score), and for each language the
+A tenth of the training texts, chosen by a hash of the text, is never counted, unless its language would have
+no other text; it calibrates the rest: the temperature that turns cross-entropies into a probability (the score), and for each language the
 cross-entropy above which a text of ``MIN_CHARS`` or more characters is rejected as none of the languages.
 The limit lies three quarters of the way from the median of the language's own texts to the median of the
 same texts with the letters of each word in sorted order, so that mixed and unusual texts stay.
@@ -18,8 +18,10 @@ without language or letter teach nothing; without any training row every text is
 cross-entropies go to the language first in code-point order; null ids and repeated rows are rows like others;
 texts of any length are taken whole; columns named like results are replaced; an empty table gives no rows.
 
-The models keep every n-gram of every order.  Spark derives and sorts them; the driver streams them into two
-files, which tasks map into memory, so that only the pages they look at take any.
+The models keep every n-gram of every order.  Spark derives and sorts them; the driver streams them into three
+files of 14 bytes for each n-gram of a language, which Spark sends to the executors and tasks map into memory, so that only
+the pages they look at take any.  Words are scored in parts of ``CELLS`` probabilities, whatever the number of languages,
+and go to the sums of their texts at once.
 """
 
 from __future__ import annotations
@@ -50,8 +52,8 @@ TEMPERATURES = (0.02, 0.05, 0.1, 0.2, 0.5, 1.0)
 #: Characters of a text that count towards its score at most: later ones repeat the evidence.
 EVIDENCE = 200
 SLICE = 8 << 20
-#: Distinct words that are scored at a time, which bounds a worker's memory.
-WORDS_AT_ONCE = 32_768
+#: Probabilities (characters times languages) that are held at a time, which bounds a worker's memory.
+CELLS = 2 << 20
 PREDICTION = "lang_pred string, score double, cross_entropy double, n_letters long, rejected boolean"
 
 
@@ -114,27 +116,31 @@ def count_ngrams(train: DataFrame, text: str, lang: str) -> DataFrame:
     return rows.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-#: The arrays of a model, each a list with an entry for each order.
-TABLES = ("grams", "shares", "contexts", "backoffs")
+#: The arrays of a model, each a list with an entry for each order, and their kinds in the files.
+TABLES = ("grams", "gram_langs", "shares", "contexts", "context_langs", "backoffs")
+KINDS = (np.uint64, np.uint16, np.float32)
 
 
 @dataclass
 class Models:
-    """The models of all languages: for each order sorted n-gram and context hashes with a column for each language.
+    """The models of all languages: for each order an entry for each language and n-gram, and for each language and context.
 
-    With ``files`` the arrays lie in Spark files of these names (hashes, values), ``sizes`` rows to a table; a
-    pickled model has only the names and maps the files again where it is read.
+    Entries are in the order of the hashes and then of the languages; a language without an entry has the share 0, or the
+    back-off weight 1.  With ``files`` the arrays lie in Spark files of these names (hashes, languages, values), ``sizes``
+    entries to a table; a pickled model has only the names and maps the files again where it is read.
     """
 
     langs: list[str]
     floor: float
     grams: list[np.ndarray] = field(default_factory=list)
+    gram_langs: list[np.ndarray] = field(default_factory=list)
     shares: list[np.ndarray] = field(default_factory=list)
     contexts: list[np.ndarray] = field(default_factory=list)
+    context_langs: list[np.ndarray] = field(default_factory=list)
     backoffs: list[np.ndarray] = field(default_factory=list)
     temperature: float = 0.1
     limits: dict[str, float] = field(default_factory=dict)
-    files: tuple[str, str] | None = None
+    files: tuple[str, ...] | None = None
     sizes: list[int] = field(default_factory=list)
 
     def __getstate__(self) -> dict:
@@ -146,55 +152,64 @@ class Models:
             self.map_files()
 
     def map_files(self) -> None:
-        keys, values = (np.asarray(np.memmap(SparkFiles.get(name), kind, "r")) for name, kind in zip(self.files, (np.uint64, np.float32), strict=True))
-        values = values.reshape(-1, len(self.langs))
+        columns = [np.asarray(np.memmap(SparkFiles.get(name), kind, "r")) for name, kind in zip(self.files, KINDS, strict=True)]
         ends = np.cumsum(self.sizes)
         spans = [slice(end - size, end) for end, size in zip(ends, self.sizes, strict=True)]
-        self.grams, self.shares = ([x[s] for s in spans[::2]] for x in (keys, values))
-        self.contexts, self.backoffs = ([x[s] for s in spans[1::2]] for x in (keys, values))
-
-    def word_costs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The negative log probability of each word in each language, and its number of predicted characters."""
-        costs, sizes = np.empty((len(words), len(self.langs))), np.empty(len(words), np.int64)
-        for k in range(0, len(words), WORDS_AT_ONCE):
-            part = slice(k, k + WORDS_AT_ONCE)
-            points, places, sizes[part] = characters(words[part])
-            total = np.cumsum(-np.log(self.character_probabilities(points, places)), axis=0, dtype=np.float64)
-            ends = np.cumsum(sizes[part])
-            costs[part] = np.diff(total[ends - 1], axis=0, prepend=0.0)
-        return costs, sizes
+        self.grams, self.gram_langs, self.shares = ([x[s] for s in spans[::2]] for x in columns)
+        self.contexts, self.context_langs, self.backoffs = ([x[s] for s in spans[1::2]] for x in columns)
+
+    def word_costs(self, words: list[str]) -> np.ndarray:
+        """The negative log probability of each word in each language."""
+        points, places, sizes = characters(words)
+        costs = -np.log(self.character_probabilities(points, places), dtype=np.float64)
+        return np.add.reduceat(costs, np.cumsum(sizes) - sizes, axis=0)
 
     def character_probabilities(self, points: np.ndarray, places: np.ndarray) -> np.ndarray:
         p = np.full((len(places), len(self.langs)), self.floor, np.float32)
-        for n, (grams, shares, contexts, backoffs) in enumerate(zip(self.grams, self.shares, self.contexts, self.backoffs, strict=True), 1):
-            p *= _rows(contexts, backoffs, gram_keys(points, places - 1, n - 1), 1.0)
-            p += _rows(grams, shares, gram_keys(points, places, n), 0.0)
+        for n in range(1, len(self.grams) + 1):
+            k = n - 1
+            p *= _rows(self.contexts[k], self.context_langs[k], self.backoffs[k], gram_keys(points, places - 1, k), 1.0, len(self.langs))
+            p += _rows(self.grams[k], self.gram_langs[k], self.shares[k], gram_keys(points, places, n), 0.0, len(self.langs))
         return p
 
     def cross_entropies(self, texts: pa.ChunkedArray | pa.Array, scrambled: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Nats per predicted character for each text and language, and the number of characters."""
         bounds, codes, vocabulary = letter_words(texts)
         words = vocabulary.to_pylist()
-        costs, sizes = self.word_costs(["".join(sorted(w)) for w in words] if scrambled else words)
-        total = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(costs[codes], axis=0)])[bounds]
-        n = np.diff(np.concatenate([[0], np.cumsum(sizes[codes])])[bounds])
-        return np.diff(total, axis=0) / np.maximum(n, 1)[:, None], n
-
-
-def _rows(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
+        sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
+        of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        order = np.argsort(codes, kind="stable")  # the places of each word side by side
+        of, codes = of[order], codes[order]
+        total = np.zeros((len(bounds) - 1, len(self.langs)))
+        limit, upto = max(1, CELLS // len(self.langs)), np.cumsum(sizes)
+        a = 0
+        while a < len(words):
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + limit, side="right")))
+            costs = self.word_costs(["".join(sorted(w)) for w in words[a:b]] if scrambled else words[a:b])
+            x, y = np.searchsorted(codes, [a, b])
+            for k in range(len(self.langs)):
+                total[:, k] += np.bincount(of[x:y], weights=costs[codes[x:y] - a, k], minlength=len(total))
+            a = b
+        n = np.bincount(of, weights=sizes[codes], minlength=len(total)).astype(np.int64)
+        return total / np.maximum(n, 1)[:, None], n
+
+
+def _rows(keys: np.ndarray, langs: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float, n_langs: int) -> np.ndarray:
+    """The values of all languages for each wanted hash."""
     if not len(keys):
-        return np.full((len(wanted), values.shape[1]), missing, np.float32)
+        return np.full((len(wanted), n_langs), missing, np.float32)
     distinct, inverse = np.unique(wanted, return_inverse=True)  # sorted probes walk the arrays in order
-    at = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
-    out = values[at]
-    out[keys[at] != distinct] = missing
+    start, stop = np.searchsorted(keys, distinct), np.searchsorted(keys, distinct, side="right")
+    n = stop - start
+    entry = np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+    out = np.full((len(distinct), n_langs), missing, np.float32)
+    out[np.repeat(np.arange(len(distinct)), n), langs[entry]] = values[entry]
     return out[inverse]
 
 
 def build_models(rows: list[tuple[str, str, int]]) -> Models:
     """Interpolated Kneser-Ney models from ``(lang, n-gram, count)``, in the memory of one process; for small tables."""
     langs = sorted({r[0] for r in rows})
-    column = {name: i for i, name in enumerate(langs)}
     counts: list[dict[str, Counter]] = [{name: Counter() for name in langs} for _ in range(ORDER + 1)]
     for name, gram, n in rows:
         counts[ORDER][name][gram] += n
@@ -204,10 +219,10 @@ def build_models(rows: list[tuple[str, str, int]]) -> Models:
     alphabet = {g for name in langs for g in counts[1][name]}
     models = Models(langs, 1.0 / (len(alphabet) + 1))
     for n in range(1, ORDER + 1):
-        shares: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(langs), np.float32))
-        backoffs: dict[str, np.ndarray] = defaultdict(lambda: np.ones(len(langs), np.float32))
-        for name in langs:
-            own, k = counts[n][name], column[name]
+        shares: dict[tuple[str, int], float] = {}
+        backoffs: dict[tuple[str, int], float] = {}
+        for k, name in enumerate(langs):
+            own = counts[n][name]
             n1, n2 = (sum(1 for c in own.values() if c == t) for t in (1, 2))
             discount = min(0.95, max(0.1, n1 / (n1 + 2 * n2) if n1 else 0.5))
             totals, types = Counter(), Counter()
@@ -215,19 +230,20 @@ def build_models(rows: list[tuple[str, str, int]]) -> Models:
                 totals[g[:-1]] += c
                 types[g[:-1]] += 1
             for g, c in own.items():
-                shares[g][k] = (c - discount if c > discount else 0.0) / totals[g[:-1]]
+                shares[g, k] = (c - discount if c > discount else 0.0) / totals[g[:-1]]
             for context, total in totals.items():
-                backoffs[context][k] = discount * types[context] / total
-        for table, keys, values in ((shares, models.grams, models.shares), (backoffs, models.contexts, models.backoffs)):
-            hashes = key_of(list(table))
-            order = np.argsort(hashes)
+                backoffs[context, k] = discount * types[context] / total
+        for found, keys, numbers, values in ((shares, models.grams, models.gram_langs, models.shares), (backoffs, models.contexts, models.context_langs, models.backoffs)):
+            hashes, of = key_of([g for g, _ in found]), np.array([k for _, k in found], np.uint16)
+            order = np.lexsort((of, hashes))
             keys.append(hashes[order])
-            values.append(np.array(list(table.values()), np.float32)[order] if table else np.zeros((0, len(langs)), np.float32))
+            numbers.append(of[order])
+            values.append(np.array(list(found.values()), np.float32)[order])
     return models
 
 
-def model_tables(counts: DataFrame, langs: list[str]) -> DataFrame:
-    """``part, gram, v0, v1, ...``: all n-grams (part ``2 n - 2``) and contexts (``2 n - 1``) with a value for each language."""
+def model_tables(counts: DataFrame) -> DataFrame:
+    """``part, gram, lang, v``: the share of each n-gram (part ``2 n - 2``), and the back-off weight of each context (``2 n - 1``)."""
     parts, level = [], counts
     for n in range(ORDER, 0, -1):
         if n < ORDER:
@@ -244,10 +260,7 @@ def model_tables(counts: DataFrame, langs: list[str]) -> DataFrame:
     rows = parts[0]
     for more in parts[1:]:
         rows = rows.union(more)
-    unseen = (F.col("part") % 2).cast("double")  # share 0, back-off 1
-    own = lambda name: F.max(F.when(F.col("lang") == name, F.col("v")))
-    rows = rows.groupBy("part", "gram").agg(*(own(name).alias(f"v{k}") for k, name in enumerate(langs)))
-    return rows.select("part", "gram", *(F.coalesce(f"v{k}", unseen).alias(f"v{k}") for k in range(len(langs))))
+    return rows
 
 
 def stored_models(counts: DataFrame) -> Models:
@@ -258,7 +271,7 @@ def stored_models(counts: DataFrame) -> Models:
     models = Models(langs, 1.0 / (alphabet + 1))
     if not langs:
         return models
-    names = [f"v{k}" for k in range(len(langs))]
+    number = {name: k for k, name in enumerate(langs)}
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,27 +280,29 @@ def stored_models(counts: DataFrame) -> Models:
             for p in np.unique(part):
                 keys[part == p] = key_of(grams[part == p].tolist())
             place = (keys ^ np.uint64(1 << 63)).view(np.int64)  # signed, in the order of the hashes
-            values = np.stack([batch[v].to_numpy() for v in names], axis=1).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch["part"], pa.array(place), pa.array([v.tobytes() for v in values], pa.binary())], names=["part", "place", "value"])
+            of = np.array([number[x] for x in batch["lang"].to_pylist()], np.int32)
+            yield pa.RecordBatch.from_arrays([batch["part"], pa.array(place), pa.array(of), batch["v"].cast(pa.float32())], names=["part", "place", "lang", "v"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part, place, value = batch["part"].to_numpy(), batch["place"].to_numpy(), batch["value"].to_pylist()
+            part, place, of, v = (batch[c].to_numpy() for c in ("part", "place", "lang", "v"))
             for a, b in _words.spans(part):
-                keys = place[a:b].view(np.uint64) ^ np.uint64(1 << 63)
-                yield pa.RecordBatch.from_arrays([pa.array(part[a : a + 1], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([b"".join(value[a:b])], pa.binary())], names=["part", "keys", "share"])
+                columns = [place[a:b].view(np.uint64) ^ np.uint64(1 << 63), of[a:b].astype(np.uint16), v[a:b]]
+                yield pa.RecordBatch.from_arrays([pa.array(part[a : a + 1], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in columns)], names=["part", "keys", "langs", "values"])
 
-    rows = written(model_tables(counts, langs).mapInArrow(keyed, "part int, place long, value binary"), "model")
+    rows = written(model_tables(counts).mapInArrow(keyed, "part int, place long, lang int, v float"), "model")
     folder, name = tempfile.mkdtemp(prefix="spark-"), uuid.uuid4().hex
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    models.files, models.sizes = (f"{name}.keys", f"{name}.values"), [0] * (2 * ORDER)
-    with open(os.path.join(folder, models.files[0]), "wb") as keys, open(os.path.join(folder, models.files[1]), "wb") as values:
-        for r in rows.orderBy("part", "place").mapInArrow(blocks, "part int, keys binary, share binary").toLocalIterator():  # a batch of rows at a time
+    models.files, models.sizes = tuple(f"{name}.{x}" for x in ("keys", "langs", "values")), [0] * (2 * ORDER)
+    paths = [os.path.join(folder, file) for file in models.files]
+    with open(paths[0], "wb") as keys, open(paths[1], "wb") as numbers, open(paths[2], "wb") as values:
+        for r in rows.orderBy("part", "place", "lang").mapInArrow(blocks, "part int, keys binary, langs binary, values binary").toLocalIterator():  # a batch of rows at a time
             models.sizes[r.part] += len(r["keys"]) // 8
             keys.write(r["keys"])
-            values.write(r["share"])
-    for file in models.files:
-        spark.sparkContext.addFile(os.path.join(folder, file))
+            numbers.write(r["langs"])
+            values.write(r["values"])
+    for path in paths:
+        spark.sparkContext.addFile(path)
     models.map_files()
     return models
 
@@ -299,7 +314,7 @@ def probabilities(h: np.ndarray, n: np.ndarray, temperature: float) -> np.ndarra
 
 
 def train_models(train: DataFrame, text: str = "text", lang: str = "lang") -> Models:
-    """Models from all rows of ``train`` with a language."""
+    """Models from the rows of ``train`` with a language; a tenth of the texts calibrates and isn't counted."""
     spark = train.sparkSession
     rows = train.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null").withColumn("held", F.pmod(F.xxhash64("text"), F.lit(10)) == 0)
     # One pass over the texts counts both parts: the flag travels as the first character of the language.
