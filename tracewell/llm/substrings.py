@@ -50,7 +50,7 @@ HOT, MOST_HOT = 20_000, 1_000_000
 UNIT_BYTES = 16 << 20
 BUCKET_WINDOWS = 500_000
 NO_ID = np.iinfo(np.int64).max
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 
 def windows(rows: pa.Table, text: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
