@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell import sql
+from tracewell import sql, sql_models
 from tracewell.functions import hash_uniform
 from tracewell.operators.cluster import ALL, center_distance, cluster_accuracy, convergence, energy_label, fcm_fit, hard_assign, key_of, with_memberships
 from tracewell.operators.detect import Detector, entropy_weights, evaluate, evaluate_all, fit_detector, score, separation
@@ -146,8 +146,8 @@ def fixed_detector(vectors: DataFrame) -> dict[str, Detector]:
     return {ALL: Detector(centre[0], centre[1], pca, centre[0][[8, 9]], centre[1][[8, 9]], inverse_g, inverse_t, 0.7, 0.3)}
 
 
-def rounded_scores(found: DataFrame) -> DataFrame:
-    return found.select("chip", "label", *(F.round(c, 4).alias(c) for c in ("ed_g", "ed_t", "md_g", "md_t", "fd_g", "fd_t")), "predicted")
+def rounded_scores(found: DataFrame, *more: str) -> DataFrame:
+    return found.select("chip", "label", *(F.round(c, 4).alias(c) for c in ("ed_g", "ed_t", "md_g", "md_t", "fd_g", "fd_t")), *(F.round(c, 3).alias(c) for c in more), "predicted")
 
 
 def q_fusion_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,11 +185,14 @@ def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_detector_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: a detector fitted on the training chips, its verdict on every validation chip."""
-    return _verdicts(spark, sf_dir).drop("split", "raw_energy")
+    return rounded_scores(_verdicts(spark, sf_dir), "r_fd")
 
 
 def q_detector_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate_all(_verdicts(spark, sf_dir))
+    found = evaluate_all(_verdicts(spark, sf_dir))
+    rates = [c for c in found.columns if c.endswith("_pct")]
+    ratios = ["mean_golden", "mean_modified", "min_golden", "max_golden", "min_modified", "max_modified"]
+    return found.select("tp", "fp", "tn", "fn", *(r6(c).alias(c) for c in rates), *(F.round(c, 3).alias(c) for c in ratios), F.round(F.log10("margin"), 6).alias("log_margin"))
 
 
 def q_pca_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,11 +232,11 @@ m{n} AS (SELECT chip, 1e0 / (1e0 + pow(d0 / d1, 2) + 1e-12) AS u FROM d{n})"""
 ROUNDS = 15
 
 
-def _full_fit() -> str:
+def _full_fit(features: str = sql.FEATURES.replace("ft AS (SELECT", "ft AS MATERIALIZED (SELECT")) -> str:
     rounds = ",".join(_round(n, f"m{n - 1}") for n in range(1, ROUNDS + 1)).replace(" AS (SELECT", " AS MATERIALIZED (SELECT")
     moved = " UNION ALL ".join(f"SELECT {n} AS n, max(abs(a.u - b.u)) AS moved FROM m{n} a JOIN m{n - 1} b ON a.chip = b.chip" for n in range(1, ROUNDS + 1))
     centres = " UNION ALL ".join(f"SELECT {n} AS n, k, v0, v1 FROM c{n}" for n in range(1, ROUNDS + 1))
-    return f"""WITH {sql.FEATURES.replace("ft AS (SELECT", "ft AS MATERIALIZED (SELECT")},
+    return f"""WITH {features},
 m0 AS MATERIALIZED (SELECT chip, CAST(CAST('0x' || substr(md5(CAST(chip AS VARCHAR) || '|42'), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296e0 AS u FROM (SELECT DISTINCT chip FROM ft) z),{rounds},
 st AS (SELECT min(n) AS n FROM ({moved}) x WHERE moved < 1e-6), ce AS (SELECT c.*, st.n AS n_iter FROM ({centres}) c JOIN st ON c.n = st.n)
 SELECT 'all' AS grp, 0 AS cluster, CAST(k AS INTEGER) AS k, round(v0, 6) + 0e0 AS center, CAST(n_iter AS INTEGER) AS n_iter FROM ce
@@ -248,9 +251,33 @@ def _history() -> str:
 SELECT 'all' AS grp, CAST(n AS INTEGER) AS round, round(j, 6) + 0e0 AS objective, round(abs(j - lag(j) OVER (ORDER BY n)), 6) + 0e0 AS delta FROM jn"""
 
 
+def _detector() -> str:
+    """The whole detector: the fit runs over the training chips, which it knows as ``ft``."""
+    whole = sql.FEATURES.replace("ft AS (SELECT", "fa AS MATERIALIZED (SELECT") + ",\nft AS MATERIALIZED (SELECT * FROM fa WHERE (chip // 2) % 3 <> 2)"
+    fit = _full_fit(whole)
+    fit = fit[: fit.index("SELECT 'all' AS grp")].rstrip()
+    last = " UNION ALL ".join(f"SELECT {n} AS n, chip, u FROM m{n}" for n in range(1, ROUNDS + 1))
+    more = f"""{fit},
+me AS MATERIALIZED (SELECT chip, u FROM ({last}) x JOIN st ON x.n = st.n),
+bz AS (SELECT range AS bin FROM range(360)),
+en AS MATERIALIZED (SELECT chip, sum(re * re + im * im) AS e FROM (SELECT tr.chip AS chip, bin, sum(d * cos{sql.angle("bin")}) AS re, sum(d * sin{sql.angle("bin")}) AS im FROM tr CROSS JOIN bz WHERE EXISTS (SELECT 1 FROM me WHERE me.chip = tr.chip) GROUP BY tr.chip, bin) z GROUP BY chip),
+tf AS (SELECT chip, k, v FROM ft)"""
+    return sql_models.detector(more).replace("FROM ft GROUP BY chip", "FROM fa GROUP BY chip")
+
+
 _MEMBERS = f"w AS (SELECT vec_id, CAST(label AS VARCHAR) AS grp, {sql.uniform('CAST(vec_id AS VARCHAR)')} AS u FROM embeddings)"
 _LABELLED = "SELECT grp, cluster, round(energy, 6) + 0e0 AS energy, row_number() OVER (PARTITION BY grp ORDER BY energy DESC, cluster) = 1 AS modified FROM g"
+_RATIO = "coalesce(avg(CASE WHEN label = {} THEN r_fd END), 1e0)"
 ORACLE_SQL = {
+    "pca_reconstruct": f"""WITH {sql.FEATURES.replace("ft AS (SELECT", "ft AS MATERIALIZED (SELECT")}, {sql_models.components("ft")}, {sql_models.projected("pc", "cl")}
+SELECT cl.chip AS chip, round(list_dot_product(x, x) - list_dot_product(y, y), 6) + 0e0 AS squared_error, round((SELECT 100e0 * sum(l) FROM co) / (SELECT sum(v) FROM cx WHERE i = j), 6) + 0e0 AS explained_pct FROM cl JOIN pc ON cl.chip = pc.chip""",
+    "detector_verdicts": f"{_detector()} SELECT chip, label, {', '.join(f'round({c}, 4) AS {c}' for c in ('ed_g', 'ed_t', 'md_g', 'md_t', 'fd_g', 'fd_t'))}, round(r_fd, 3) AS r_fd, predicted FROM vd",
+    "detector_metrics": f"""{_detector()},
+cf AS (SELECT CAST(sum(CASE WHEN predicted = 1 AND label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN predicted = 1 AND label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN predicted = 0 AND label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn,
+  CAST(sum(CASE WHEN predicted = 0 AND label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fn, {_RATIO.format(0)} AS g, {_RATIO.format(1)} AS t, min(CASE WHEN label = 0 THEN r_fd END) AS g0, max(CASE WHEN label = 0 THEN r_fd END) AS g1, min(CASE WHEN label = 1 THEN r_fd END) AS t0, max(CASE WHEN label = 1 THEN r_fd END) AS t1 FROM vd)
+SELECT tp, fp, tn, fn, round(100e0 * (tp + tn) / (tp + fp + tn + fn), 6) AS accuracy_pct, round(CASE WHEN tp + fp > 0 THEN 100e0 * tp / (tp + fp) ELSE 100e0 END, 6) AS precision_pct, round(CASE WHEN tp + fn > 0 THEN 100e0 * tp / (tp + fn) ELSE 100e0 END, 6) AS recall_pct,
+  round(CASE WHEN fp + tn > 0 THEN 100e0 * fp / (fp + tn) ELSE 0e0 END, 6) AS fpr_pct, round(CASE WHEN fn + tp > 0 THEN 100e0 * fn / (fn + tp) ELSE 0e0 END, 6) AS fnr_pct, round(CASE WHEN tp + fn > 0 THEN 100e0 * tp / (tp + fn) ELSE 0e0 END, 6) AS tpr_pct,
+  round(CASE WHEN tn + fp > 0 THEN 100e0 * tn / (tn + fp) ELSE 0e0 END, 6) AS tnr_pct, round(g, 3) AS mean_golden, round(t, 3) AS mean_modified, round(g0, 3) AS min_golden, round(g1, 3) AS max_golden, round(t0, 3) AS min_modified, round(t1, 3) AS max_modified, round(log10(t / (g + 1e-12)), 6) AS log_margin FROM cf""",
     "fcm_history": _history(),
     "energy_label_center": f"""WITH {sql.EMBEDDED}, {_MEMBERS},
 c AS (SELECT grp, cluster, k, sum(q * q * x) / (sum(q * q) + 1e-12) AS v FROM (SELECT grp, 0 AS cluster, k, u AS q, x FROM w JOIN em ON w.vec_id = em.vec_id UNION ALL SELECT grp, 1, k, 1 - u, x FROM w JOIN em ON w.vec_id = em.vec_id) z GROUP BY 1, 2, 3),
