@@ -188,11 +188,16 @@ def q_detector_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded_scores(_verdicts(spark, sf_dir), "r_fd")
 
 
-def q_detector_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = evaluate_all(_verdicts(spark, sf_dir))
+RATIOS = ["mean_golden", "mean_modified", "min_golden", "max_golden", "min_modified", "max_modified"]
+
+
+def _rounded_metrics(found: DataFrame, *others: str) -> DataFrame:
     rates = [c for c in found.columns if c.endswith("_pct")]
-    ratios = ["mean_golden", "mean_modified", "min_golden", "max_golden", "min_modified", "max_modified"]
-    return found.select("tp", "fp", "tn", "fn", *(r6(c).alias(c) for c in rates), *(F.round(c, 3).alias(c) for c in ratios), F.round(F.log10("margin"), 6).alias("log_margin"))
+    return found.select(*others, "tp", "fp", "tn", "fn", *(r6(c).alias(c) for c in rates), *(F.round(c, 3).alias(c) for c in RATIOS), F.round(F.log10("margin"), 6).alias("log_margin"))
+
+
+def q_detector_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded_metrics(evaluate_all(_verdicts(spark, sf_dir)))
 
 
 def q_pca_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +219,8 @@ def q_threat_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three threat classes: chips of each, by number, with their own detector."""
     vectors = fixture.chip_vectors(spark, sf_dir).drop("ev_bin")
     classes = F.array(F.lit("T100"), F.lit("T400"), F.lit("T800"))
-    return threat_benchmark(vectors.withColumn("threat", F.get(classes, (F.floor(F.col("chip") / 6) % 3).cast("int"))))
+    found = threat_benchmark(vectors.withColumn("threat", F.get(classes, (F.floor(F.col("chip") / 6) % 3).cast("int"))))
+    return _rounded_metrics(found, "threat", "energy_higher", "n_iter")
 
 
 QUERIES = {name[2:]: f for name, f in list(globals().items()) if name.startswith("q_")}
@@ -251,9 +257,9 @@ def _history() -> str:
 SELECT 'all' AS grp, CAST(n AS INTEGER) AS round, round(j, 6) + 0e0 AS objective, round(abs(j - lag(j) OVER (ORDER BY n)), 6) + 0e0 AS delta FROM jn"""
 
 
-def _detector() -> str:
-    """The whole detector: the fit runs over the training chips, which it knows as ``ft``."""
-    whole = sql.FEATURES.replace("ft AS (SELECT", "fa AS MATERIALIZED (SELECT") + ",\nft AS MATERIALIZED (SELECT * FROM fa WHERE (chip // 2) % 3 <> 2)"
+def _detector(classes: str = "cluster", chips: str = "true") -> str:
+    """The whole detector of some chips: the fit runs over the training chips, which it knows as ``ft``."""
+    whole = sql.FEATURES.replace("ft AS (SELECT", "fa AS MATERIALIZED (SELECT") + f",\nft AS MATERIALIZED (SELECT * FROM fa WHERE (chip // 2) % 3 <> 2 AND {chips})"
     fit = _full_fit(whole)
     fit = fit[: fit.index("SELECT 'all' AS grp")].rstrip()
     last = " UNION ALL ".join(f"SELECT {n} AS n, chip, u FROM m{n}" for n in range(1, ROUNDS + 1))
@@ -262,22 +268,34 @@ me AS MATERIALIZED (SELECT chip, u FROM ({last}) x JOIN st ON x.n = st.n),
 bz AS (SELECT range AS bin FROM range(360)),
 en AS MATERIALIZED (SELECT chip, sum(re * re + im * im) AS e FROM (SELECT tr.chip AS chip, bin, sum(d * cos{sql.angle("bin")}) AS re, sum(d * sin{sql.angle("bin")}) AS im FROM tr CROSS JOIN bz WHERE EXISTS (SELECT 1 FROM me WHERE me.chip = tr.chip) GROUP BY tr.chip, bin) z GROUP BY chip),
 tf AS (SELECT chip, k, v FROM ft)"""
-    return sql_models.detector(more).replace("FROM ft GROUP BY chip", "FROM fa GROUP BY chip")
+    return sql_models.detector(more, classes).replace("FROM ft GROUP BY chip", f"FROM fa WHERE {chips} GROUP BY chip")
+
+
+def _metrics(detector: str, others: str = "") -> str:
+    ratio = "coalesce(avg(CASE WHEN label = {} THEN r_fd END), 1e0)"
+    return f"""{detector},
+cf AS (SELECT CAST(sum(CASE WHEN predicted = 1 AND label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN predicted = 1 AND label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN predicted = 0 AND label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn,
+  CAST(sum(CASE WHEN predicted = 0 AND label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fn, {ratio.format(0)} AS g, {ratio.format(1)} AS t, min(CASE WHEN label = 0 THEN r_fd END) AS g0, max(CASE WHEN label = 0 THEN r_fd END) AS g1, min(CASE WHEN label = 1 THEN r_fd END) AS t0, max(CASE WHEN label = 1 THEN r_fd END) AS t1 FROM vd HAVING count(*) > 0)
+SELECT {others}tp, fp, tn, fn, round(100e0 * (tp + tn) / (tp + fp + tn + fn), 6) AS accuracy_pct, round(CASE WHEN tp + fp > 0 THEN 100e0 * tp / (tp + fp) ELSE 100e0 END, 6) AS precision_pct, round(CASE WHEN tp + fn > 0 THEN 100e0 * tp / (tp + fn) ELSE 100e0 END, 6) AS recall_pct,
+  round(CASE WHEN fp + tn > 0 THEN 100e0 * fp / (fp + tn) ELSE 0e0 END, 6) AS fpr_pct, round(CASE WHEN fn + tp > 0 THEN 100e0 * fn / (fn + tp) ELSE 0e0 END, 6) AS fnr_pct, round(CASE WHEN tp + fn > 0 THEN 100e0 * tp / (tp + fn) ELSE 0e0 END, 6) AS tpr_pct,
+  round(CASE WHEN tn + fp > 0 THEN 100e0 * tn / (tn + fp) ELSE 0e0 END, 6) AS tnr_pct, round(g, 3) AS mean_golden, round(t, 3) AS mean_modified, round(g0, 3) AS min_golden, round(g1, 3) AS max_golden, round(t0, 3) AS min_modified, round(t1, 3) AS max_modified, round(log10(t / (g + 1e-12)), 6) AS log_margin FROM cf"""
+
+
+_EXPLAINED = "round((SELECT 100e0 * sum(l) FROM co) / (SELECT sum(v) FROM cx WHERE i = j), 6) + 0e0 AS explained_pct"
+_THREATS = " UNION ALL ".join(
+    "SELECT * FROM (" + _metrics(_detector("label", f"(chip // 6) % 3 = {k}"), f"'{threat}' AS threat, (SELECT CASE WHEN t = 1 THEN e1 > e0 ELSE e0 > e1 END FROM eg CROSS JOIN ro) AS energy_higher, (SELECT CAST(n AS INTEGER) FROM st) AS n_iter, {_EXPLAINED}, ") + f") q{k}"
+    for k, threat in enumerate(("T100", "T400", "T800"))
+)
 
 
 _MEMBERS = f"w AS (SELECT vec_id, CAST(label AS VARCHAR) AS grp, {sql.uniform('CAST(vec_id AS VARCHAR)')} AS u FROM embeddings)"
 _LABELLED = "SELECT grp, cluster, round(energy, 6) + 0e0 AS energy, row_number() OVER (PARTITION BY grp ORDER BY energy DESC, cluster) = 1 AS modified FROM g"
-_RATIO = "coalesce(avg(CASE WHEN label = {} THEN r_fd END), 1e0)"
 ORACLE_SQL = {
     "pca_reconstruct": f"""WITH {sql.FEATURES.replace("ft AS (SELECT", "ft AS MATERIALIZED (SELECT")}, {sql_models.components("ft")}, {sql_models.projected("pc", "cl")}
-SELECT cl.chip AS chip, round(list_dot_product(x, x) - list_dot_product(y, y), 6) + 0e0 AS squared_error, round((SELECT 100e0 * sum(l) FROM co) / (SELECT sum(v) FROM cx WHERE i = j), 6) + 0e0 AS explained_pct FROM cl JOIN pc ON cl.chip = pc.chip""",
+SELECT cl.chip AS chip, round(list_dot_product(x, x) - list_dot_product(y, y), 6) + 0e0 AS squared_error, {_EXPLAINED} FROM cl JOIN pc ON cl.chip = pc.chip""",
     "detector_verdicts": f"{_detector()} SELECT chip, label, {', '.join(f'round({c}, 4) AS {c}' for c in ('ed_g', 'ed_t', 'md_g', 'md_t', 'fd_g', 'fd_t'))}, round(r_fd, 3) AS r_fd, predicted FROM vd",
-    "detector_metrics": f"""{_detector()},
-cf AS (SELECT CAST(sum(CASE WHEN predicted = 1 AND label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN predicted = 1 AND label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN predicted = 0 AND label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn,
-  CAST(sum(CASE WHEN predicted = 0 AND label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fn, {_RATIO.format(0)} AS g, {_RATIO.format(1)} AS t, min(CASE WHEN label = 0 THEN r_fd END) AS g0, max(CASE WHEN label = 0 THEN r_fd END) AS g1, min(CASE WHEN label = 1 THEN r_fd END) AS t0, max(CASE WHEN label = 1 THEN r_fd END) AS t1 FROM vd)
-SELECT tp, fp, tn, fn, round(100e0 * (tp + tn) / (tp + fp + tn + fn), 6) AS accuracy_pct, round(CASE WHEN tp + fp > 0 THEN 100e0 * tp / (tp + fp) ELSE 100e0 END, 6) AS precision_pct, round(CASE WHEN tp + fn > 0 THEN 100e0 * tp / (tp + fn) ELSE 100e0 END, 6) AS recall_pct,
-  round(CASE WHEN fp + tn > 0 THEN 100e0 * fp / (fp + tn) ELSE 0e0 END, 6) AS fpr_pct, round(CASE WHEN fn + tp > 0 THEN 100e0 * fn / (fn + tp) ELSE 0e0 END, 6) AS fnr_pct, round(CASE WHEN tp + fn > 0 THEN 100e0 * tp / (tp + fn) ELSE 0e0 END, 6) AS tpr_pct,
-  round(CASE WHEN tn + fp > 0 THEN 100e0 * tn / (tn + fp) ELSE 0e0 END, 6) AS tnr_pct, round(g, 3) AS mean_golden, round(t, 3) AS mean_modified, round(g0, 3) AS min_golden, round(g1, 3) AS max_golden, round(t0, 3) AS min_modified, round(t1, 3) AS max_modified, round(log10(t / (g + 1e-12)), 6) AS log_margin FROM cf""",
+    "detector_metrics": _metrics(_detector()),
+    "threat_benchmark": _THREATS,
     "fcm_history": _history(),
     "energy_label_center": f"""WITH {sql.EMBEDDED}, {_MEMBERS},
 c AS (SELECT grp, cluster, k, sum(q * q * x) / (sum(q * q) + 1e-12) AS v FROM (SELECT grp, 0 AS cluster, k, u AS q, x FROM w JOIN em ON w.vec_id = em.vec_id UNION ALL SELECT grp, 1, k, 1 - u, x FROM w JOIN em ON w.vec_id = em.vec_id) z GROUP BY 1, 2, 3),

@@ -53,7 +53,7 @@ def inverse(name: str, rows: str, ridge: str) -> str:
     """The CTE ``name`` (m): the inverse of the covariance of ``rows`` (y) with the ridge."""
     size = f"range(1, {COMPONENTS + 1})"
     parts = [
-        f"{name}n AS MATERIALIZED (SELECT i, j, CASE WHEN count(*) > 1 THEN (sum(y[i] * y[j]) - sum(y[i]) * sum(y[j]) / count(*)) / (count(*) - 1) ELSE 0e0 END + CASE WHEN i = j THEN {ridge} ELSE 0e0 END AS v FROM {rows} CROSS JOIN (SELECT range AS i FROM {size}) a CROSS JOIN (SELECT range AS j FROM {size}) b GROUP BY i, j)",
+        f"{name}n AS MATERIALIZED (SELECT i, j, CASE WHEN count(y) > 1 THEN (sum(y[i] * y[j]) - sum(y[i]) * sum(y[j]) / count(y)) / (count(y) - 1) ELSE 0e0 END + CASE WHEN i = j THEN {ridge} ELSE 0e0 END AS v FROM (SELECT range AS i FROM {size}) a CROSS JOIN (SELECT range AS j FROM {size}) b LEFT JOIN {rows} ON true GROUP BY i, j)",
         f"{name}0 AS MATERIALIZED (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) || list_transform({size}, lambda c: CASE WHEN c = i THEN 1e0 ELSE 0e0 END) AS r FROM {name}n GROUP BY i) z)",
     ]
     for p in range(1, COMPONENTS + 1):
@@ -75,12 +75,13 @@ def _mahalanobis(a: str, b: str, inverse_: str) -> str:
     return f"sqrt(greatest(0e0, list_dot_product({_gap(a, b)}, list_transform({inverse_}, lambda r: list_dot_product(r, {_gap(a, b)})))))"
 
 
-def detector(fit: str) -> str:
-    """CTEs up to ``vd``: the verdict of each validation chip.
+def detector(fit: str, classes: str = "cluster") -> str:
+    """CTEs up to ``vd``: the verdict of each validation chip; ``classes`` as in ``fit_detector``.
 
     ``fit`` has CTEs ``ft`` (chip, label, k, v: all chips), ``tf`` (the same of training chips), ``ce`` (k, v0, v1, n_iter: both centres),
     ``me`` (chip, u: memberships of the first cluster) and ``en`` (chip, e: raw energies).
     """
+    cls = "CASE WHEN (CASE WHEN u >= 1 - u THEN 0 ELSE 1 END) = t THEN 1 ELSE 0 END" if classes == "cluster" else "al.label"
     return f"""{fit},
 eg AS MATERIALIZED (SELECT sum(u * u * e) / sum(u * u) AS e0, sum((1 - u) * (1 - u) * e) / sum((1 - u) * (1 - u)) AS e1 FROM me JOIN en ON me.chip = en.chip),
 ro AS MATERIALIZED (SELECT CASE WHEN e0 >= e1 THEN 0 ELSE 1 END AS t FROM eg),
@@ -91,7 +92,7 @@ al AS MATERIALIZED (SELECT chip, any_value(label) AS label, list(v ORDER BY k) A
 az AS MATERIALIZED (SELECT chip, {_gap("x", "mu")} AS x FROM al CROSS JOIN ml UNION ALL SELECT -1, {_gap("g", "mu")} FROM cg CROSS JOIN ml UNION ALL SELECT -2, {_gap("m", "mu")} FROM cg CROSS JOIN ml),
 {projected("pc", "az")},
 cc AS MATERIALIZED (SELECT (SELECT y FROM pc WHERE chip = -1) AS gp, (SELECT y FROM pc WHERE chip = -2) AS mp),
-tc AS MATERIALIZED (SELECT me.chip AS chip, y, CASE WHEN (CASE WHEN u >= 1 - u THEN 0 ELSE 1 END) = t THEN 1 ELSE 0 END AS cls FROM me JOIN pc ON me.chip = pc.chip CROSS JOIN ro),
+tc AS MATERIALIZED (SELECT me.chip AS chip, y, {cls} AS cls FROM me JOIN pc ON me.chip = pc.chip JOIN al ON me.chip = al.chip CROSS JOIN ro),
 y0 AS MATERIALIZED (SELECT y FROM tc WHERE cls = 0), y1 AS MATERIALIZED (SELECT y FROM tc WHERE cls = 1),
 {inverse("ig", "y0", "1e-6")},
 {inverse("it", "y1", "1e-6")},
