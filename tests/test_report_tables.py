@@ -102,3 +102,15 @@ def test_odd_reports(spark):
     assert report_lines(odd).where("report_id = 'crlf' and section = '1.1 Parts'").count() == report_lines(frame(spark, p=FRAMED)).where("section = '1.1 Parts'").count()
     assert timing_figures(odd).count() == 0 and {r.report_id for r in power_figures(odd).collect()} == {"crlf"}
     assert report_figures(odd, odd, odd).count() == 1 and path_delays(odd).count() == 0
+
+
+def test_sweep_report(spark):
+    import json
+
+    from tracewell.operators.reports import sweep_report
+
+    rows = spark.createDataFrame([("snr", 10.0, "bin", 50.0, 1.5), ("snr", 5.0, "bin", 45.0, None), ("snr", 10.0, "band", 100.0, 9.0), ("drift", 0.5, "bin", 1.0, 2.0), ("drift", 0.5, "bin", 1.0, 1.0), ("drift", None, "bin", 9.0, 9.0), ("drift", 0.5, None, 3.0, None)], "experiment string, snr_db double, method string, accuracy double, margin double")
+    found = {r.experiment: json.loads(r.report) for r in sweep_report(rows, "experiment", "snr_db", "method", ["accuracy", "margin"]).collect()}
+    assert found["snr"] == {"conditions": [5.0, 10.0], "methods": {"band": {"accuracy": [None, 100.0], "margin": [None, 9.0]}, "bin": {"accuracy": [45.0, 50.0], "margin": [None, 1.5]}}}
+    assert found["drift"]["methods"] == {"bin": {"accuracy": [1.0], "margin": [2.0]}, "": {"accuracy": [3.0], "margin": [None]}}
+    assert sweep_report(rows.limit(0), "experiment", "snr_db", "method", ["accuracy"]).count() == 0

@@ -86,3 +86,23 @@ def nested_report(rows: DataFrame, by: Sequence[str], order: Sequence[str]) -> D
     others = [c for c in rows.columns if c not in by]
     keys = [*order, *[c for c in others if c not in order]]
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.to_json(F.array_sort(F.collect_list(F.struct(*keys)))).alias("report"))
+
+
+def sweep_report(rows: DataFrame, experiment: str, condition: str, method: str, metrics: Sequence[str]) -> DataFrame:
+    """``experiment, report``: a JSON object for each experiment, as sweeps are published.
+
+    It has the conditions in order as ``conditions``, and for each method an object of arrays, one for each metric with a
+    value for each condition; a condition that a method lacks has null.  Rows without a condition are left out, a null method
+    is an empty name, and of rows of one condition and method the largest counts.  A sweep is a report, not a data set.
+    """
+    rows = rows.where(F.col(condition).isNotNull()).withColumn(method, F.coalesce(F.col(method).cast("string"), F.lit("")))
+    rows = rows.groupBy(experiment, condition, method).agg(F.max(F.struct(*metrics)).alias("m"))
+    by_condition = rows.groupBy(experiment, method).agg(F.map_from_entries(F.collect_list(F.struct(F.col(condition).cast("string").alias("c"), "m"))).alias("found"))
+    known = rows.groupBy(experiment).agg(F.array_sort(F.collect_set(condition)).alias("conditions"))
+    both = by_condition.join(known.withColumnRenamed(experiment, "__of"), F.col(experiment).eqNullSafe(F.col("__of")))
+    at = lambda c: F.try_element_at("found", c.cast("string"))
+    array = lambda m: F.transform("conditions", lambda c: at(c)[m])
+    arrays = F.struct(*(array(m).alias(m) for m in metrics))
+    methods = both.select(experiment, "conditions", method, arrays.alias("arrays"))
+    whole = methods.groupBy(experiment).agg(F.first("conditions").alias("conditions"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(method, "arrays")))).alias("methods"))
+    return whole.select(F.col(experiment).alias("experiment"), F.to_json(F.struct("conditions", "methods"), {"ignoreNullFields": "false"}).alias("report"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.operators.report_tables import path_delays, power_figures, report_cells, report_figures, timing_figures
-from tracewell.operators.reports import overhead_verdict, report_overhead
+from tracewell.operators.reports import overhead_verdict, report_overhead, sweep_report
 from tracewell.queries_frequency import r6, table
 from tracewell.sources import read_reports
 from tracewell.sources.shared import new_path, written
@@ -104,6 +104,17 @@ def q_report_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("device", *(r6(c).alias(c) for c in ("lut_pct", "power_pct", "delay_pct")), "unnoticed")
 
 
+def q_sweep_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of orders as a published sweep (experiments are statuses, conditions years, methods priorities), read back from its JSON."""
+    orders = table(spark, sf_dir, "orders").where("o_orderdate is not null")
+    rows = orders.groupBy(F.col("o_orderstatus").alias("experiment"), F.year("o_orderdate").alias("year"), F.substring("o_orderpriority", 1, 1).alias("method")).agg(F.count("*").alias("n"), r6(F.avg("o_totalprice")).alias("mean"))
+    reports = sweep_report(rows, "experiment", "year", "method", ["n", "mean"])
+    parsed = F.from_json("report", "conditions array<int>, methods map<string, struct<n: array<long>, mean: array<double>>>")
+    found = reports.select("experiment", parsed.alias("r")).select("experiment", "r.conditions", F.explode("r.methods").alias("method", "m"))
+    cells = F.explode(F.arrays_zip(F.col("conditions").alias("year"), F.col("m.n").alias("n"), F.col("m.mean").alias("mean")))
+    return found.select("experiment", "method", cells.alias("c")).select("experiment", "method", "c.year", "c.n", "c.mean")
+
+
 QUERIES = {name[2:]: f for name, f in list(globals().items()) if name.startswith("q_")}
 _DESIGNS = """ds AS (
   SELECT regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g') AS device, p_partkey % 2 = 1 AS modified, CAST(sum(p_size) AS BIGINT) AS luts, count(*) * 11 AS registers FROM part WHERE p_brand IS NOT NULL AND p_partkey IS NOT NULL GROUP BY 1, 2
@@ -128,6 +139,9 @@ _CELLS = [
     _cell("1.1 On-Chip Components", "Register", "Used", "CAST(registers AS VARCHAR)", "registers"), _cell("1.1 On-Chip Components", "Static Power", "Power (W)", "'0.070'", "0.07e0"), _cell("1.1 On-Chip Components", "Static Power", "Used", "''", "NULL"),
 ]
 ORACLE_SQL = {
+    "sweep_report": """WITH r AS (SELECT o_orderstatus AS experiment, CAST(year(o_orderdate) AS INTEGER) AS y, substr(o_orderpriority, 1, 1) AS method, count(*) AS n, round(avg(o_totalprice), 6) + 0e0 AS mean FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1, 2, 3),
+c AS (SELECT DISTINCT experiment, y FROM r), m AS (SELECT DISTINCT experiment, method FROM r)
+SELECT c.experiment AS experiment, m.method AS method, c.y AS year, n, mean FROM c JOIN m ON c.experiment = m.experiment LEFT JOIN r ON r.experiment = c.experiment AND r.y = c.y AND r.method = m.method""",
     "power_reports": f"WITH {_DESIGNS} " + " UNION ALL ".join(_CELLS),
     "power_figures": f"WITH {_DESIGNS} SELECT report_id, round((mw + 70) / 1000e0, 6) AS total_w, round(mw / 1000e0, 6) + 0e0 AS dynamic_w, 0.07e0 AS static_w, false AS dynamic_below FROM de",
     "timing_reports": f"""WITH {_DESIGNS} SELECT report_id, round(slack / 1000e0, 6) + 0e0 AS wns_ns, least(0e0, slack * 1000e0) + 0e0 AS tns_ns, 0.134e0 AS whs_ns, 10e0 AS period_ns, round(1000e0 / (10e0 - slack / 1000e0), 6) AS fmax_mhz,
