@@ -578,6 +578,19 @@ def test_packing_is_whole_and_tight(docs, rows):
     assert all(len(r.input_ids) == 512 for r in whole) and len(whole) == len(by_sequence)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_pieces_have_the_ids_of_whole_texts(spark, docs, rows, name):
+    """Also by a tokenizer that keeps white space, whose texts can't be cut at it."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path(name))
+    assert packing.WordTokens(tokenizer_path(name)).by_word == name.startswith("word")
+    got = defaultdict(list)
+    for r in sorted(packing.cut_pieces(docs, tokenizer_path(name), length=512, with_ids=True).collect(), key=lambda r: (r.doc_id, r.start)):
+        got[r.doc_id] += r.ids
+    assert got == {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, packing.END_ID] for i, t, *_ in rows}
+
+
 def test_cutting_stock_covers_all():
     rng = np.random.default_rng(0)
     for counts in (rng.integers(0, 50, 32), np.zeros(16, int), np.eye(1, 16, 15, dtype=int)[0] * 7):

@@ -78,6 +78,12 @@ def split_words(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndar
     return bounds, codes, vocabulary
 
 
+def whole_texts(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """As ``split_words``, with each text as its one word."""
+    encoded = one_array(column).dictionary_encode()
+    return np.arange(len(column) + 1), encoded.indices.to_numpy(), encoded.dictionary
+
+
 def hash_words(vocabulary: pa.Array) -> np.ndarray:
     """Two independent 64-bit hashes of each distinct word, shape ``(2, n)``."""
     digest = xxhash.xxh3_128_digest

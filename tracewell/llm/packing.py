@@ -8,8 +8,8 @@ solved by column generation, where a knapsack over the units prices the columns;
 and what is left is filled greedily, largest first.  Pieces are ranked within their length class, in blocks
 so that no task orders a whole class, and the rank names the pattern, sequence and place of a piece.
 
-Tokens of a text are found word by word: the tokenizer drops white space and no rule of it reaches over
-white space, so each distinct word of a batch is encoded once.
+Tokens of a text are found word by word, each distinct word of a batch once, where the tokenizer drops white space and no
+rule of it reaches over white space; that is tried with all pairs of kinds of characters, and other tokenizers get whole texts.
 
 Defined results: a null or empty text has the closing id alone; null ids are ids like others; equal rows are packed
 once each; a text of any length is cut whole, in slices of one row at least; of other columns of the documents none is
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm import _words
 from tracewell.llm._tables import written
+from tracewell.llm._tokenizers import parts_at_space
 
 LENGTH = 4096
 UNITS = 256
@@ -56,8 +57,10 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        own = [e.ids for e in self.tokenizer.encode_batch_fast(["a", MARK, f"a {MARK} a"], add_special_tokens=False)]
-        self.mark = own[1][0] if len(own[1]) == 1 and own[2] == own[0] + own[1] + own[0] else None
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.by_word = parts_at_space(ids, [t.content for t in self.tokenizer.get_added_tokens_decoder().values()])
+        own = [ids(x) for x in ("a", MARK, f"a {MARK} a")]
+        self.mark = own[1][0] if self.by_word and len(own[1]) == 1 and own[2] == own[0] + own[1] + own[0] else None
         self.first, self.second = np.empty(0, np.uint64), np.empty(0, np.uint64)
         self.starts, self.sizes, self.again = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
         self.ids = np.empty(0, np.uint32)
@@ -121,7 +124,7 @@ def word_tokens(path: str) -> WordTokens:
 
 def token_ids(texts: pa.ChunkedArray | pa.Array, tokens: WordTokens, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """``(bounds, ids)`` of the texts, each text closed by ``end_id``."""
-    bounds, codes, vocabulary = _words.split_words(texts)
+    bounds, codes, vocabulary = _words.split_words(texts) if tokens.by_word else _words.whole_texts(texts)
     ids, starts, lengths = tokens.encode(vocabulary)
     sizes = lengths[codes]
     ends = np.concatenate([[0], np.cumsum(sizes)])

@@ -23,7 +23,6 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +35,7 @@ from pyspark.sql import types as T
 from tracewell.llm import _words
 from tracewell.llm._pack import pack, unpack
 from tracewell.llm._tables import written
+from tracewell.llm._tokenizers import parts_at_space
 
 SLICE = 16 << 20
 #: Bytes of text to a bucket of pre-tokens; buckets at least and at most.
@@ -43,9 +43,6 @@ BUCKET_BYTES, FEW, MANY = 8 << 20, 64, 16_384
 REMEMBERED = 500_000
 #: Words that are cut at a time.
 WORDS_AT_ONCE = 4096
-SPACES = " \t\n\r\x0b\x0c"
-#: One of each kind of character that rules tell apart, and endings with an apostrophe.
-KINDS = ("a", "B", "1", "!", "'", "'s", "'re", "é", "é", "́", "漢", " ", "​", "<", "_", "\U0001f600")
 
 
 class Cutter:
@@ -63,8 +60,7 @@ class Cutter:
             raise ValueError("special strings that take their surroundings with them aren't supported")
         specials = sorted((t.content for t in added), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
-        spaced = any(c.isspace() for s in specials for c in s)
-        self.by_word = not spaced and all(self.plain(a + s + b) == self.plain(a) + self.plain(b) for a, s, b in product(KINDS, SPACES, KINDS))
+        self.by_word = parts_at_space(self.plain, specials)
 
     def normal(self, text: str) -> str:
         return self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer is not None else text
@@ -75,10 +71,7 @@ class Cutter:
 
     def units(self, texts: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         """``(bounds, codes, vocabulary)`` of what is cut at once: words, or whole texts."""
-        if self.by_word:
-            return _words.split_words(texts)
-        whole = _words.one_array(texts).dictionary_encode()
-        return np.arange(len(texts) + 1), whole.indices.to_numpy(), whole.dictionary
+        return _words.split_words(texts) if self.by_word else _words.whole_texts(texts)
 
     def cut(self, units: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """The pre-tokens of all units, one after the other, and of each unit how many, and its number of special strings."""
