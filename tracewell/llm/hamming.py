@@ -35,6 +35,8 @@ from tracewell.llm._tables import written
 BITS = 64
 #: Codes to a cell; queries to a copy of a cell; probes and candidates that a task holds at a time.
 CELL_CODES, CELL_QUERIES = 100_000, 20_000
+#: Up to so many cells their tables are broadcast (16 bytes each); beyond, Spark joins them as it sees fit.
+BROADCAST_CELLS = 1_000_000
 PROBES, CANDIDATES = 1 << 20, 1 << 21
 MIN_WIDTH, MAX_WIDTH = 4, 24
 FOUND = "query_id long, asked binary, code binary, least long, distance int"
@@ -196,7 +198,8 @@ def nearest(codes: DataFrame, asked: DataFrame, k: int, n: int, parts: list[int]
     # Segments times 2 ** high cells: as many as the index has parts of cell_codes.
     cells = index.groupBy("segment", "prefix").agg(F.ceil(F.count("*") / cell_codes).cast("int").alias("subs"))
     cells = written(cells, "cells")
-    index = index.join(F.broadcast(cells), ["segment", "prefix"]).withColumn("sub", F.pmod(F.xxhash64("code"), "subs").cast("int")).drop("subs")
+    small = F.broadcast if m << high <= BROADCAST_CELLS else lambda rows: rows  # of segments and first bits
+    index = index.join(small(cells), ["segment", "prefix"]).withColumn("sub", F.pmod(F.xxhash64("code"), "subs").cast("int")).drop("subs")
 
     def search(batches: Iterator[pa.RecordBatch], radii: range) -> Iterator[pa.RecordBatch]:
         key, held, cell = None, [], None
@@ -237,10 +240,10 @@ def nearest(codes: DataFrame, asked: DataFrame, k: int, n: int, parts: list[int]
         radii = range(radius + 1) if radius == start else range(radius, radius + 1)
         near = F.array(*(F.lit(x) for x in range(1 << high) if x.bit_count() <= radius))
         going = active.mapInArrow(prefixes("asked", "own"), "query_id long, asked binary, bound int, segment int, own int")
-        going = going.withColumn("prefix", F.explode(F.transform(near, lambda x: x.bitwiseXOR(F.col("own"))))).join(F.broadcast(cells), ["segment", "prefix"])
+        going = going.withColumn("prefix", F.explode(F.transform(near, lambda x: x.bitwiseXOR(F.col("own"))))).join(small(cells), ["segment", "prefix"])
         going = going.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
         crowds = written(going.groupBy("segment", "prefix", "sub").agg(F.ceil(F.count("*") / cell_queries).cast("int").alias("copies")), "crowds")
-        crowds = F.broadcast(crowds)  # a row for each cell
+        crowds = small(crowds)  # a row for each cell
         going = going.join(crowds, ["segment", "prefix", "sub"]).withColumn("part", F.pmod(F.xxhash64("query_id", "asked"), "copies").cast("int"))
         copied = index.join(crowds, ["segment", "prefix", "sub"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
         rows = copied.select("segment", "prefix", "sub", "part", F.lit(0).alias("kind"), "code", "least", F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("int").alias("bound"))
