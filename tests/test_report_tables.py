@@ -1,9 +1,5 @@
 from __future__ import annotations
 
-import pytest
-from tests.sqlcheck import same_as_sql
-
-from tracewell import queries_reports
 from tracewell.operators.report_tables import path_delays, power_figures, report_cells, report_figures, report_lines, report_pairs, timing_figures
 
 FRAMED = """Power Report
@@ -60,11 +56,6 @@ def frame(spark, **reports):
     return spark.createDataFrame(list(reports.items()), "report_id string, value string")
 
 
-@pytest.mark.parametrize("name", sorted(queries_reports.QUERIES))
-def test_query_of_files(spark, sf_dir, name):
-    same_as_sql(spark, queries_reports.QUERIES[name], queries_reports.ORACLE_SQL[name], sf_dir)
-
-
 def test_framed_tables(spark):
     rows = report_cells(frame(spark, p=FRAMED)).collect()
     cells = {(r.section, r.item, r.k): r for r in rows}
