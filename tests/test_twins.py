@@ -9,11 +9,12 @@ from tests.test_models import numpy_fcm
 
 from tracewell import _kernels
 from tracewell.operators.cluster import start_memberships
-from tracewell.operators.detect import SCORES
+from tracewell.operators.detect import SCORES, evaluate_all
 from tracewell.operators.subspace import moments, pca_fit
 from tracewell.plans import fixture
 from tracewell.plans.sweep import condition_grid
 from tracewell.queries import QUERIES
+from tracewell.queries_models import threats, verdicts
 
 
 def twin(train: list[dict], others: list[dict], classes: str, tol: float = 1e-6, limit: int = 1000) -> dict:
@@ -72,11 +73,11 @@ def split(rows):
 def test_verdicts_and_metrics(spark, sf_dir, chips):
     train, others = split(chips)
     found = twin(train, others, "cluster")
-    got = {r.chip: r for r in QUERIES["detector_verdicts"](spark, sf_dir).collect()}
+    got = {r.chip: r for r in verdicts(spark, sf_dir).collect()}
     assert len(got) == len(others)
     for r, scores, predicted in zip(others, found["scores"], found["predicted"], strict=True):
         assert got[r["chip"]].predicted == predicted and np.allclose([got[r["chip"]][s] for s in SCORES], scores, rtol=1e-5)
-    agrees(QUERIES["detector_metrics"](spark, sf_dir).first(), metrics(found, others), 1e-5)
+    agrees(evaluate_all(verdicts(spark, sf_dir)).first(), metrics(found, others), 1e-5)
 
 
 def test_reconstruction(spark, sf_dir, chips):
@@ -90,7 +91,7 @@ def test_reconstruction(spark, sf_dir, chips):
 
 
 def test_threat_classes(spark, sf_dir, chips):
-    got = {r.threat: r for r in QUERIES["threat_benchmark"](spark, sf_dir).collect()}
+    got = {r.threat: r for r in threats(spark, sf_dir).collect()}
     names = ("T100", "T400", "T800")
     seen = 0
     for name, row in got.items():

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:
@@ -47,6 +48,21 @@ def memberships(x: np.ndarray, centers: np.ndarray, m: float) -> tuple[np.ndarra
     return 1.0 / (ratio.sum(axis=2) + 1e-12), squared
 
 
+def stacked(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as the rows of a matrix, from the list's flat values."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(column), -1)
+
+
+def grouped_vectors(batch: pa.RecordBatch, group: str, *vectors: str) -> Iterator[tuple]:
+    """Each group of a batch with the matrices of its vectors; groups may differ in their number of places."""
+    names = batch[group].dictionary_encode()
+    codes = names.indices.to_numpy()
+    for k, name in enumerate(names.dictionary.to_pylist()):
+        own = None if len(names.dictionary) == 1 else pa.array(np.flatnonzero(codes == k))
+        yield name, *(stacked(batch[v] if own is None else batch[v].take(own)) for v in vectors)
+
+
 def full_places(groups: pd.Series, vectors: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
     """Each group with the places of its rows whose vector isn't null."""
     full = np.flatnonzero([v is not None for v in vectors])

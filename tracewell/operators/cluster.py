@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ def fcm_fit(chips: DataFrame, c: int = 2, m: float = 2.0, tol: float = 1e-6, max
     """
     if c < 2 or m <= 1 or stop not in ("membership", "objective"):
         raise ValueError("c must be 2 or more, m above 1, stop membership or objective")
-    rows = chips.where(F.col(ev).isNotNull()).select(_keys(chips, by).alias("grp"), start_memberships(F.col(chip), c, seed).alias("u0"), F.col(ev).alias("ev"))
+    rows = chips.where(F.col(ev).isNotNull()).select(_keys(chips, by).alias("grp"), start_memberships(F.col(chip), c, seed).alias("u0"), F.col(ev).cast("array<double>").alias("ev"))
     spark = chips.sparkSession
     model = FcmModel(m, {})
     before: dict[str, np.ndarray] = {}
@@ -71,15 +72,14 @@ def fcm_fit(chips: DataFrame, c: int = 2, m: float = 2.0, tol: float = 1e-6, max
     for n in range(max_iter + 1):
         shared = spark.sparkContext.broadcast((model.centers, before, active))
 
-        def sums(batches: Iterator[pd.DataFrame], shared=shared, first=n == 0) -> Iterator[pd.DataFrame]:
+        def sums(batches: Iterator[pa.RecordBatch], shared=shared, first=n == 0) -> Iterator[pa.RecordBatch]:
             now, last, wanted = shared.value
             total: dict[str, np.ndarray] = {}
             worst: dict[str, float] = {}
-            for pdf in batches:
-                for grp, part in pdf.groupby("grp", sort=False):
+            for batch in batches:
+                for grp, x, u0 in _kernels.grouped_vectors(batch, "grp", "ev", "u0"):
                     if wanted is not None and grp not in wanted:
                         continue
-                    x, u0 = np.stack(part["ev"].to_numpy()), np.stack(part["u0"].to_numpy())
                     if first:
                         u, j, moved = u0, 0.0, math.inf
                     else:
@@ -92,9 +92,13 @@ def fcm_fit(chips: DataFrame, c: int = 2, m: float = 2.0, tol: float = 1e-6, max
                     total[grp] = total.get(grp, 0.0) + block
                     worst[grp] = max(worst.get(grp, 0.0), moved)
             for grp, block in total.items():
-                yield pd.DataFrame({"grp": grp, "cluster": np.repeat(np.arange(c), block.shape[1]), "pos": np.tile(np.arange(block.shape[1]), c), "value": block.ravel(), "moved": worst[grp]})
+                size = block.size
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([grp] * size, pa.string()), pa.array(np.repeat(np.arange(c, dtype=np.int32), block.shape[1])), pa.array(np.tile(np.arange(block.shape[1], dtype=np.int32), c)), pa.array(block.ravel()), pa.array(np.full(size, worst[grp]))],
+                    names=["grp", "cluster", "pos", "value", "moved"],
+                )
 
-        parts = rows.mapInPandas(sums, "grp string, cluster int, pos int, value double, moved double")
+        parts = rows.mapInArrow(sums, "grp string, cluster int, pos int, value double, moved double")
         # Groups x clusters x (dimensions + 2) rows, whatever the number of chips.
         found = parts.groupBy("grp", "cluster", "pos").agg(F.sum("value").alias("value"), F.max("moved").alias("moved")).toPandas().sort_values(["grp", "cluster", "pos"])
         before, centers = dict(model.centers), {}

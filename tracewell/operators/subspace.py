@@ -38,19 +38,6 @@ class Moments:
     cov: np.ndarray  # divided by n - 1
 
 
-def _stacked(column: pa.Array) -> np.ndarray:
-    """Vectors of one length as the rows of a matrix, from the list's flat values."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
-    return flat.reshape(len(column), -1)
-
-
-def _by_group(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
-    names = batch["grp"].dictionary_encode()
-    codes = names.indices.to_numpy()
-    for k, name in enumerate(names.dictionary.to_pylist()):  # groups may differ in their number of places
-        yield name, _stacked(batch["ev"] if len(names.dictionary) == 1 else batch["ev"].take(pa.array(np.flatnonzero(codes == k))))
-
-
 Block = tuple[int, np.ndarray, np.ndarray]
 PARTIAL = "grp string, n long, mean array<double>, block array<double>"
 
@@ -68,7 +55,7 @@ def _gathered(rows: DataFrame, of: Callable[[np.ndarray], Block], merged: Callab
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Block] = {}
         for batch in batches:
-            for grp, x in _by_group(batch):
+            for grp, x in _kernels.grouped_vectors(batch, "grp", "ev"):
                 own = of(x)
                 found[grp] = merged(found[grp], own) if grp in found else own
         yield batch_of(found)

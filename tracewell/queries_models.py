@@ -177,7 +177,7 @@ def q_separation_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("c_mktsegment", *(r6(c).alias(c) for c in found.columns[1:]))
 
 
-def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = written(fixture.chip_vectors(spark, sf_dir), "chips")
     detectors = fit_detector(vectors.where("split = 'train'"))
     return score(vectors.where("split = 'validation'").drop("ev_bin"), detectors)
@@ -185,7 +185,7 @@ def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_detector_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: a detector fitted on the training chips, its verdict on every validation chip."""
-    return rounded_scores(_verdicts(spark, sf_dir), "r_fd")
+    return rounded_scores(verdicts(spark, sf_dir), "r_fd")
 
 
 RATIOS = ["mean_golden", "mean_modified", "min_golden", "max_golden", "min_modified", "max_modified"]
@@ -197,7 +197,7 @@ def _rounded_metrics(found: DataFrame, *others: str) -> DataFrame:
 
 
 def q_detector_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded_metrics(evaluate_all(_verdicts(spark, sf_dir)))
+    return _rounded_metrics(evaluate_all(verdicts(spark, sf_dir)))
 
 
 def q_pca_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,12 +215,15 @@ def q_robustness_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robustness_sweep(fixture.traces(spark, sf_dir), fixture.LO, fixture.HI, fixture.BINS)
 
 
-def q_threat_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+def threats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three threat classes: chips of each, by number, with their own detector."""
     vectors = fixture.chip_vectors(spark, sf_dir).drop("ev_bin")
     classes = F.array(F.lit("T100"), F.lit("T400"), F.lit("T800"))
-    found = threat_benchmark(vectors.withColumn("threat", F.get(classes, (F.floor(F.col("chip") / 6) % 3).cast("int"))))
-    return _rounded_metrics(found, "threat", "energy_higher", "n_iter")
+    return threat_benchmark(vectors.withColumn("threat", F.get(classes, (F.floor(F.col("chip") / 6) % 3).cast("int"))))
+
+
+def q_threat_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded_metrics(threats(spark, sf_dir), "threat", "energy_higher", "n_iter")
 
 
 QUERIES = {name[2:]: f for name, f in list(globals().items()) if name.startswith("q_")}
