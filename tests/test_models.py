@@ -197,6 +197,16 @@ def test_features_of_odd_traces(spark):
     assert abs(np.linalg.norm(got[1].ev_band) - 1) < 1e-9 and int(np.argmax(got[1].ev_bin)) == fixture.BINS.index(40) and abs(got[1].raw_energy - 360.0**2) < 1e-6
 
 
+@pytest.mark.parametrize("pct", [-60.0, -50.0, -3.0, -0.1, 0.0, 0.5, 1.5, 3.0, 100.0, 250.0])
+def test_drift_equals_interpolation(spark, pct):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=333)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, d double").withColumn("chip", F.lit("a"))
+    got = {r.i: r.d for r in drift_resample(df, pct, 333).collect()}
+    assert sorted(got) == list(range(333))
+    assert np.allclose([got[i] for i in range(333)], np.interp(np.minimum(332, np.arange(333) * (1 + pct / 100)), np.arange(333), x), atol=1e-9)
+
+
 def test_wide_states_and_drift(spark):
     log = spark.createDataFrame([("a", 1, 7, 1), ("a", 2, 7, None), ("a", 3, -1, 0)], "core string, cycle int, hi long, lo long")
     assert [r.toggles for r in hamming_toggles(log, ["core"], ["cycle"], ["hi", "lo"]).orderBy("cycle").collect()] == [4, 1, 61]

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,3 +143,15 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).where("split = 'train'").select("chip").collect()[0][0] == 1
     write_report(traces.drop("samples"), str(tmp_path / "r"), as_json=True)
     assert spark.read.json(str(tmp_path / "r")).count() == 2
+
+
+def test_written_tables_are_released(spark, tmp_path):
+    from tracewell.sources import shared
+
+    shared.release(spark)
+    first, second = shared.written(spark.range(5), "a"), shared.written(spark.range(7), "b")
+    folder = shared.shared_folder(spark).removeprefix("file://")
+    assert len(os.listdir(folder)) >= 2 and first.count() == 5
+    assert shared.release(spark, keep=1) == 1 and second.count() == 7
+    assert shared.release(spark) == 1 and shared.release(spark) == 0
+    assert not [x for x in os.listdir(folder) if x.startswith(("a-", "b-"))]

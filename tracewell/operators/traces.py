@@ -95,10 +95,14 @@ def drift_resample(samples: DataFrame, pct: float, n: int, by: Sequence[str] = (
     order = Window.partitionBy(*by).orderBy(index)
     at = lambda i: F.least(F.lit(float(n - 1)), i * F.lit(factor))
     rows = samples.withColumn("__next", F.when(F.lead(index).over(order) == F.col(index) + 1, F.lead(value).over(order)))
-    # Rounding may move an end by one: one more on both sides is looked at, and what maps elsewhere goes.
-    first = F.greatest(F.lit(0), F.floor(F.col(index) / F.lit(factor)) - 1)
-    last = F.when(F.col(index) >= n - 1, F.lit(n - 1)).otherwise(F.least(F.lit(n - 1), F.floor((F.col(index) + 1) / F.lit(factor)) + 1))
-    rows = rows.withColumn("__to", F.explode(F.filter(F.sequence(first.cast("long"), F.greatest(first, last).cast("long")), lambda i: F.floor(at(i)) == F.col(index))))
+    # The ends follow by division; rounding may move them by one.
+    place, off = F.col(index), lambda j: F.floor(at(j))
+    first = F.greatest(F.lit(0), F.ceil(place / F.lit(factor))).cast("long")
+    first = F.when((first > 0) & (off(first - 1) >= place), first - 1).when(off(first) < place, first + 1).otherwise(first)
+    last = (F.ceil((place + 1) / F.lit(factor)) - 1).cast("long")
+    last = F.when(off(last + 1) <= place, last + 1).when(off(last) > place, last - 1).otherwise(last)
+    last = F.when(place >= n - 1, F.lit(n - 1).cast("long")).otherwise(F.least(F.lit(n - 1).cast("long"), last))
+    rows = rows.withColumn("__first", first).withColumn("__last", last).where("__first <= __last").withColumn("__to", F.explode(F.sequence("__first", "__last")))
     share = at(F.col("__to")) - F.col(index)
     new = F.when(share == 0, F.col(value)).otherwise(F.col(value) * (1 - share) + F.col("__next") * share)
     return rows.withColumn(value, new).withColumn(index, F.col("__to").cast(samples.schema[index].dataType)).select(*samples.columns)

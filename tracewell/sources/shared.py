@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_made: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,7 +27,23 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A place that nothing is at; ``release`` removes what has been written there."""
+    _made.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def release(spark: SparkSession, keep: int = 0) -> int:
+    """Removes what this process has written to the shared folder, but for the last ``keep`` places; returns how many went.
+
+    To be called between jobs whose results have been stored: a DataFrame that still reads such a place can't be computed
+    any more.  Works on any store that Spark can write to.
+    """
+    gone = _made[: len(_made) - keep]
+    del _made[: len(gone)]
+    for place in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(gone)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
