@@ -12,7 +12,7 @@ whatever they cover is removed.
 
 Windows that are estimated to occur ``HOT`` times or more aren't grouped in one task: their smallest document
 is found by partial minima, and these windows are given to all tasks.  Where more than ``MOST_HOT`` windows are so
-frequent, the most frequent ones are, and the others are grouped like all windows.  The sketch
+frequent, the most frequent ones are, and the others, each of them at most a millionth of all windows, are grouped like all.  The sketch
 has three cells a row for each window, up to ``MAX_STRIPES`` stripes of 4 million cells.  It is written to the shared
 folder as 1 bit a cell, and each worker reads it there (256 MB at most, in all rows); beyond about 350 million windows it lets more single windows through to the exact pass,
 which costs shuffled bytes but no result.
