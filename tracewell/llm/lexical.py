@@ -43,6 +43,8 @@ from tracewell.llm._tables import written
 SLICE = 16 << 20
 #: Distinct terms of a group of items, summed over the items.
 TERMS_AT_ONCE = 200_000
+#: Blocks that a task searches, one after the other: its first ones bound the search of the others.
+BLOCKS = 4
 #: Intervals that are split at a time, at first and at most.
 FIRST_BATCH, BATCH = 16, 512
 NO_ID = np.iinfo(np.int64).max
@@ -91,6 +93,7 @@ class Corpus:
     documents: int
     terms: int
     weights: np.ndarray  # of each term of the vocabulary; 0 for one that no document has
+    blocks: int = 1
 
 
 INDEX = "ids array<long>, lengths array<long>, documents long, terms long, listed binary, postings binary"
@@ -137,11 +140,11 @@ def corpus_counts(index: DataFrame, asked: Asked) -> Corpus:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "df"])
 
-    n, length = index.agg(F.sum("documents"), F.sum("terms")).first()
+    n, length, blocks = index.agg(F.sum("documents"), F.sum("terms"), F.count("*")).first()
     weights = np.zeros(n_terms, np.int64)
     for term, df in index.select("listed").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toLocalIterator():
         weights[term] = math.floor(1000 * math.log((2 * n + 2) / (2 * df + 1)))
-    return Corpus(n or 0, length or 0, weights)
+    return Corpus(n or 0, length or 0, weights, blocks)
 
 
 class Block:
@@ -268,7 +271,8 @@ def best_of_blocks(index: DataFrame, asked: Asked, corpus: Corpus, k: int, kind:
     from pyspark.sql.pandas.types import to_arrow_type
 
     batch_type = to_arrow_type(kind)
-    return index.select("ids", "lengths", "listed", "postings").mapInArrow(search, schema)
+    # Blocks are alike in size, while files of the index hold as many as their task has made.
+    return index.select("ids", "lengths", "listed", "postings").repartition(max(1, -(-corpus.blocks // BLOCKS))).mapInArrow(search, schema)
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = 20, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", terms_at_once: int = TERMS_AT_ONCE) -> DataFrame:
