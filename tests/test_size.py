@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from tracewell.operators import spectral
 from tracewell.plans import fixture
 
 
@@ -18,6 +21,20 @@ def plan_of(df) -> str:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+@pytest.mark.parametrize("block", [1 << 16, 32])
+def test_selected_bins_repeat_no_sample(spark, monkeypatch, block):
+    monkeypatch.setattr(spectral, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3, 100))
+    rows = [(k, i, float(x[k, i])) for i in range(100) for k in range(3)] + [(0, None, 1.0), (0, 5, None), (9, 1, None)]
+    found = spectral.dft_bins(spark.createDataFrame(rows, "chip long, i int, d double"), [0, 7, 49], 100)
+    assert "NestedLoopJoin" not in plan_of(found) and "CartesianProduct" not in plan_of(found)
+    got = {(r.chip, r.bin): r for r in found.collect()}
+    assert len(got) == 12 and all(got[9, b].re is None and got[9, b].mag is None for b in (0, 7, 49))
+    for k, y in enumerate(np.fft.fft(x)):
+        assert all(abs(complex(got[k, b].re, got[k, b].im) - y[b]) < 1e-9 for b in (0, 7, 49))
+
+
 def test_samples_are_made_behind_the_shuffle(spark, sf_dir):
     """Sums of hours are shuffled, samples aren't; and no partition takes up what AQE would put together by the small sums."""
     for df in (fixture.samples(spark, sf_dir).groupBy("chip").agg(F.sum("d")), fixture.traces(spark, sf_dir)):

@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,18 +15,46 @@ from tracewell import _kernels
 from tracewell.functions.signal import magnitude
 
 
+#: Samples of a trace that are dealt out together, and bins that a batch is transformed at together.
+BLOCK, CHUNK = 1 << 16, 64
+
+
 def dft_bins(samples: DataFrame, bins: Sequence[int], n: int, by: Sequence[str] = ("chip",), index: str = "i", value: str = "d") -> DataFrame:
     """``by, bin, re, im, mag`` of long samples at a few bins.
 
-    The bins are a broadcast literal table; the phase is reduced modulo ``n`` as an integer, so its cosine
-    loses nothing on long traces.  For all bins of a trace use ``features``.
+    Samples are dealt out by trace (of longer ones by block), which those that are so already needn't be; a batch of them
+    becomes a row of sums for each of its traces and bins, so no sample is repeated for the bins.  The phase is reduced
+    modulo ``n`` as an integer, so its cosine loses nothing on long traces.  Null samples are left out; a trace
+    without others has null sums.  For all bins of a trace use ``features``.
     """
-    spark = samples.sparkSession
-    wanted = spark.createDataFrame([(int(b),) for b in sorted(set(bins))], "bin int")
-    rows = samples.select(*by, index, value).crossJoin(F.broadcast(wanted))
-    angle = F.lit(2 * math.pi) * F.pmod(F.col("bin").cast("long") * F.col(index).cast("long"), F.lit(n)) / F.lit(float(n))
-    sums = rows.groupBy(*by, "bin").agg(F.sum(F.col(value) * F.cos(angle)).alias("re"), (-F.sum(F.col(value) * F.sin(angle))).alias("im"))
-    return sums.withColumn("mag", magnitude(F.col("re"), F.col("im")))
+    wanted = np.array(sorted({int(b) for b in bins}), np.int64)
+    place = F.col(index).cast("long")
+    rows = samples.select(*by, place.alias("__i"), F.col(value).cast("double").alias("__d"))
+    rows = rows.repartition(*by) if n <= BLOCK else rows.repartition(*by, F.floor(F.col("__i") / BLOCK))
+    schema = T.StructType([*(rows.schema[b] for b in by), T.StructField("bin", T.IntegerType()), T.StructField("re", T.DoubleType()), T.StructField("im", T.DoubleType())])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = pa.table({b: batch[b] for b in by} | {"__at": pa.array(np.arange(batch.num_rows))}).group_by(list(by), use_threads=False).aggregate([("__at", "list")])
+            places = keys["__at_list"].combine_chunks()
+            starts, order = places.offsets.to_numpy()[:-1], places.values.to_numpy()
+            full = (batch["__i"].is_valid().to_numpy(zero_copy_only=False) & batch["__d"].is_valid().to_numpy(zero_copy_only=False))[order]
+            i = np.where(full, batch["__i"].fill_null(0).to_numpy()[order], 0)
+            d = np.where(full, batch["__d"].fill_null(0.0).to_numpy()[order], 0.0)
+            none = np.add.reduceat(full.astype(np.int64), starts) == 0
+            for a in range(0, len(wanted), CHUNK):
+                own = wanted[a : a + CHUNK]
+                angle = 2 * math.pi * (np.outer(i, own) % n) / n
+                re, im = (np.add.reduceat(d[:, None] * f(angle), starts, axis=0).ravel() for f in (np.cos, np.sin))
+                mask, again = np.repeat(none, len(own)), pa.array(np.repeat(np.arange(len(starts)), len(own)))
+                yield pa.RecordBatch.from_arrays(
+                    [*(keys[b].combine_chunks().take(again) for b in by), pa.array(np.tile(own, len(starts)), pa.int32()), pa.array(re, mask=mask), pa.array(-im, mask=mask)], names=schema.names
+                )
+
+    parts = rows.mapInArrow(sums, schema).groupBy(*by, "bin").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    return parts.withColumn("mag", magnitude(F.col("re"), F.col("im")))
 
 
 def band_join(spectrum: DataFrame, windows: DataFrame) -> DataFrame:
