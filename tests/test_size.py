@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import spectral
 from tracewell.plans import fixture
+from tracewell.queries import QUERIES
 
 
 def plan_of(df) -> str:
@@ -21,6 +22,11 @@ def plan_of(df) -> str:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_bands_by_join_transform_samples_once(spark, sf_dir):
+    plan = plan_of(QUERIES["ev_band_by_join"](spark, sf_dir))
+    assert plan.count("events.parquet") == 1 and "SortMergeJoin" not in plan
+
+
 @pytest.mark.parametrize("block", [1 << 16, 32])
 def test_selected_bins_repeat_no_sample(spark, monkeypatch, block):
     monkeypatch.setattr(spectral, "BLOCK", block)

@@ -71,8 +71,8 @@ def sample_bins(spectrum: DataFrame, grid: DataFrame) -> DataFrame:
 def band_features(spectrum: DataFrame, windows: DataFrame, by: Sequence[str] = ("chip",)) -> DataFrame:
     """``by, k, v``: the root mean square of each band of a long spectrum, as parts of a unit vector."""
     rms = band_join(spectrum, windows).groupBy(*by, "k").agg(F.sqrt(F.avg(F.col("mag") * F.col("mag"))).alias("rms"))
-    norms = rms.groupBy(*by).agg(F.sqrt(F.sum(F.col("rms") * F.col("rms"))).alias("norm"))
-    return rms.join(norms, list(by)).select(*by, "k", (F.col("rms") / (F.col("norm") + 1e-12)).alias("v"))
+    norm = F.sqrt(F.sum(F.col("rms") * F.col("rms")).over(Window.partitionBy(*by)))  # over a trace's bands
+    return rms.select(*by, "k", (F.col("rms") / (norm + 1e-12)).alias("v"))
 
 
 def features(traces: DataFrame, lo: Sequence[int], hi: Sequence[int], bins: Sequence[int], samples: str = "samples") -> DataFrame:
