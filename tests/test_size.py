@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tracewell.operators import spectral
+from tracewell.operators.traces import hamming_toggles
 from tracewell.plans import fixture
 from tracewell.queries import QUERIES
+from tracewell.streaming import toggles_stream
 
 
 def plan_of(df) -> str:
@@ -46,3 +50,46 @@ def test_samples_are_made_behind_the_shuffle(spark, sf_dir):
     for df in (fixture.samples(spark, sf_dir).groupBy("chip").agg(F.sum("d")), fixture.traces(spark, sf_dir)):
         plan = plan_of(df)
         assert plan.count("Exchange hashpartitioning") == 2 and "REPARTITION_BY_NUM" in plan and "Join" not in plan
+
+
+def test_toggles_of_many_cores_share_buckets(spark, tmp_path):
+    """Four calls of Python a batch for 300 cores; cores of a bucket keep their own states, and late rows."""
+    rows = [(f"c{k}", i, (k * 7919 + i * 2654435761) % (1 << 40)) for k in range(300) for i in range(1, 10)]
+    log = spark.createDataFrame(rows, "core string, cycle long, state long")
+    again = spark.createDataFrame([("c5", 3, 1), ("c6", 10, 2), ("c6", 10, 3), (None, 1, 1)], log.schema)
+    for k, part in enumerate((log.where("cycle <= 4"), log.where("cycle > 4 and core != 'c9'"), again)):
+        part.coalesce(1).write.parquet(str(tmp_path / f"in/p={k}"))
+    files = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    q = toggles_stream(files, None, buckets=4).writeStream.format("memory").queryName("many").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120) and q.exception() is None
+    assert max(p.stateOperators[0].numRowsTotal for p in q.recentProgress) == 4
+    got = spark.table("many").collect()
+    kept = log.where("core != 'c9' or cycle <= 4").unionByName(again.where("core = 'c6' and state = 2"))
+    batch = {(r.core, r.cycle): r.toggles for r in hamming_toggles(kept, ["core"], ["cycle"], ["state"]).collect()}
+    assert {(r.core, r.cycle): r.toggles for r in got if not r.late} == batch and len(got) == len(batch) + 2
+    assert sorted((r.core, r.cycle, r.toggles) for r in got if r.late) == [("c5", 3, None), ("c6", 10, None)]
+
+
+def test_only_silent_cores_of_a_bucket_begin_anew(spark, tmp_path):
+    path, schema = tmp_path / "in", "core string, cycle long, state long"
+    write = lambda *rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(path))
+    write(("a", 1, 7), ("b", 1, 7))
+    q = toggles_stream(spark.readStream.schema(schema).parquet(str(path)), 4_000, buckets=1).writeStream.format("memory").queryName("idle").option("checkpointLocation", str(tmp_path / "c")).start()
+
+    def came(n):
+        ends = time.time() + 60
+        while spark.table("idle").count() < n and time.time() < ends:
+            time.sleep(0.1)
+
+    try:
+        for k in range(2, 8):  # b sends something in time, a doesn't
+            came(k)
+            time.sleep(1)
+            write(("b", k, 7))
+        came(8)
+        write(("a", 2, 7), ("b", 8, 6))
+        came(10)
+    finally:
+        q.stop()
+    got = {(r.core, r.cycle): r.toggles for r in spark.table("idle").collect()}
+    assert got["a", 1] == got["a", 2] == got["b", 1] == 3 and got["b", 8] == 1 and all(got["b", k] == 0 for k in range(2, 8))

@@ -14,7 +14,10 @@ from tracewell.operators.detect import Detector, score
 from tracewell.operators.spectral import features
 from tracewell.streaming.ordered import TOGGLES, toggles_of
 
-STATE = "last_cycle long, last_state long"
+#: Of the cores of a bucket: their last cycles and states, and when they last sent something.
+STATE = "cores array<string>, cycles array<long>, states array<long>, seen array<long>"
+#: Buckets of cores; a call of Python and a state for each core would take a millisecond for each.
+BUCKETS = 1024
 
 
 def score_stream(stream: DataFrame, detectors: dict[str, Detector], lo: Sequence[int], hi: Sequence[int], bins: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
@@ -23,35 +26,58 @@ def score_stream(stream: DataFrame, detectors: dict[str, Detector], lo: Sequence
     return score(vectors, detectors, by)
 
 
-def toggles_stream(stream: DataFrame, idle_timeout_ms: int | None = 86_400_000) -> DataFrame:
+def toggles_stream(stream: DataFrame, idle_timeout_ms: int | None = 86_400_000, buckets: int = BUCKETS) -> DataFrame:
     """``core, cycle, state, toggles, late`` of a continuous log of ``core, cycle, state``.
 
     The state of a core is its last cycle and state; rows of a batch are put in cycle order.  A row whose cycle
     isn't after the last one is late: it has null toggles and doesn't change the state.  A core that sends
     nothing for ``idle_timeout_ms`` starts from state 0 again; with None states stay, which a job that ends with its
     input (``availableNow``) needs, as waiting for timeouts never ends.
+
+    Cores are dealt out to ``buckets``, and a bucket's rows of a batch are worked on together.  A bucket that gets rows
+    writes the state of all its cores, some 40 bytes each: give more buckets to logs of more than some ten million cores.  A
+    stream that goes on from a checkpoint keeps its number.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        now = 0 if idle_timeout_ms is None else state.getCurrentProcessingTimeMs()
+        cores, *known = state.get if state.exists else ([], [], [], [])
+        cores, known = np.array(cores, object), np.array(known, np.int64).reshape(3, -1)
+        if idle_timeout_ms is not None:
+            awake = known[2] + idle_timeout_ms > now
+            cores, known = cores[awake], known[:, awake]
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches))
+            codes, cores = pd.factorize(np.concatenate([cores, rows["core"].to_numpy(object)]))
+            kept = known.shape[1]  # these codes are 0, 1, ...
+            fresh = np.array([[-(1 << 62)], [0], [now]], np.int64)
+            known = np.concatenate([known, np.repeat(fresh, len(cores) - kept, axis=1)], axis=1)
+            codes, cycle, value = codes[kept:], rows["cycle"].to_numpy(np.int64), rows["state"].to_numpy(np.int64)
+            order = np.lexsort((cycle, codes))  # stable: of equal cycles the one that came first
+            codes, cycle, value = codes[order], cycle[order], value[order]
+            before = np.where(_first(codes), known[0, codes], np.maximum(known[0, codes], np.concatenate([cycle[:1], cycle[:-1]])))
+            late = cycle <= before
+            toggles = np.zeros(len(codes), np.int32)
+            c, good = codes[~late], value[~late]
+            toggles[~late] = toggles_of(good, np.where(_first(c), known[1, c], np.concatenate([good[:1], good[:-1]])))
+            ends = _first(c[::-1])[::-1]
+            known[0, c[ends]], known[1, c[ends]], known[2, codes] = cycle[~late][ends], good[ends], now
+            yield pd.DataFrame({"core": cores[codes], "cycle": cycle, "state": value, "toggles": pd.arrays.IntegerArray(toggles, late.copy()), "late": late})
+        if not len(cores):
             state.remove()
             return
-        last_cycle, last_state = state.get if state.exists else (-(1 << 62), 0)
-        rows = pd.concat(list(batches)).sort_values("cycle", kind="stable")
-        cycle, now = rows["cycle"].to_numpy(np.int64), rows["state"].to_numpy(np.int64)
-        late = cycle <= np.maximum.accumulate(np.concatenate([[last_cycle], cycle[:-1]]))
-        toggles = np.zeros(len(rows), np.int32)
-        toggles[~late] = toggles_of(now[~late], last_state)
-        out = pd.DataFrame({"core": key[0], "cycle": cycle, "state": now, "toggles": pd.arrays.IntegerArray(toggles, late.copy()), "late": late})
-        if not late.all():
-            last_cycle, last_state = int(cycle[~late][-1]), int(now[~late][-1])
-        state.update((last_cycle, last_state))
+        state.update((cores.tolist(), *known.tolist()))
         if idle_timeout_ms is not None:
-            state.setTimeoutDuration(idle_timeout_ms)
-        yield out
+            state.setTimeoutDuration(max(1, int(known[2].min()) + idle_timeout_ms - now))
 
     clean = stream.select(F.col("core").cast("string").alias("core"), F.col("cycle").cast("long").alias("cycle"), F.coalesce(F.col("state").cast("long"), F.lit(0).cast("long")).alias("state")).where("core is not null and cycle is not null")
-    return clean.groupBy("core").applyInPandasWithState(step, TOGGLES, STATE, "append", GroupStateTimeout.NoTimeout if idle_timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+    dealt = clean.withColumn("bucket", F.pmod(F.xxhash64("core"), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInPandasWithState(step, TOGGLES, STATE, "append", GroupStateTimeout.NoTimeout if idle_timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def _first(codes: np.ndarray) -> np.ndarray:
+    """Whether a row is the first of its code; rows of a code lie together."""
+    return np.concatenate([np.ones(min(1, len(codes)), bool), codes[1:] != codes[:-1]])
 
 
 def average_stream(stream: DataFrame, by: Sequence[str], value: str, window: str = "1 hour", watermark: str = "10 minutes", time: str = "ts") -> DataFrame:

@@ -17,9 +17,9 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 COUNTERS = "ordered_log"
 
 
-def toggles_of(states: np.ndarray, before: int) -> np.ndarray:
-    """How many bits each state differs in from the one before it."""
-    shifted = np.concatenate([np.array([before], np.int64), states[:-1]])
+def toggles_of(states: np.ndarray, before: int | np.ndarray) -> np.ndarray:
+    """How many bits each state differs in from the one before it; ``before`` is that of the first one, or of each."""
+    shifted = before if isinstance(before, np.ndarray) else np.concatenate([np.array([before], np.int64), states[:-1]])
     return np.bitwise_count((states ^ shifted).view(np.uint64)).astype(np.int32)
 
 
