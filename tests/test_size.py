@@ -8,10 +8,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.operators import spectral
+from tracewell.operators import detect, spectral
+from tracewell.operators.cluster import fcm_fit, with_memberships
+from tracewell.operators.subspace import pca_fit, pca_project
 from tracewell.operators.traces import hamming_toggles
 from tracewell.plans import fixture
 from tracewell.queries import QUERIES
+from tracewell.sources import cycle_logs
 from tracewell.streaming import toggles_stream
 
 
@@ -93,3 +96,28 @@ def test_only_silent_cores_of_a_bucket_begin_anew(spark, tmp_path):
         q.stop()
     got = {(r.core, r.cycle): r.toggles for r in spark.table("idle").collect()}
     assert got["a", 1] == got["a", 2] == got["b", 1] == 3 and got["b", 8] == 1 and all(got["b", k] == 0 for k in range(2, 8))
+
+
+def test_detector_places_chips_by_one_function(spark):
+    """Memberships and scores are those of the operators, by one process of Python for each task and not two."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(k, f"g{k % 2}", rng.normal(size=4).tolist() if k else None) for k in range(30)], "chip long, x string, ev array<double>").persist()
+    model, pca = fcm_fit(df, by=["x"], max_iter=3), pca_fit(df, 2, ["x"])
+    found = detect._placed(df, model, pca, ["x"], "ev")
+    assert plan_of(found).count("ArrowEvalPython") == 1
+    apart = pca_project(with_memberships(df, model, ["x"]), pca, ["x"])
+    assert found.columns == apart.columns and sorted(found.collect()) == sorted(apart.collect())
+
+
+def test_a_batch_of_a_log_is_small(tmp_path):
+    lines = "".join(f"{k},{k * 10},{k % 7},0.5,1\n" for k in range(300_000))
+    (tmp_path / "log_golden.csv").write_text("cycle,timestamp_ns,hamming_toggles,vccint_shunt_v,cipher_match\n" + lines)
+    path = str(tmp_path / "log_golden.csv")
+    batches = list(cycle_logs.rows_of(path, 0, 1 << 30, cycle_logs.CORE, path))
+    assert sum(b.num_rows for b in batches) == 300_000 and max(b.num_rows for b in batches) < 80_000
+
+
+def test_streamed_traces_are_made_once(spark, sf_dir, monkeypatch):
+    made = []
+    monkeypatch.setattr(fixture, "_hours", lambda *a, f=fixture._hours: made.append(1) or f(*a))
+    assert QUERIES["stream_score"](spark, sf_dir).count() > 0 and made == [1]

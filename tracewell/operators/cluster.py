@@ -124,17 +124,21 @@ def fcm_fit(chips: DataFrame, c: int = 2, m: float = 2.0, tol: float = 1e-6, max
     return model
 
 
+def memberships_of(grp: pd.Series, values: np.ndarray, centers: dict[str, np.ndarray], m: float) -> np.ndarray:
+    """Memberships of a batch's vectors; none for a null vector or a group without centres."""
+    out = np.full(len(values), None, object)
+    for name, full in _kernels.full_places(grp, values):
+        if name in centers:
+            _kernels.placed(_kernels.memberships(np.stack(values[full]), centers[name], m)[0], full, out)
+    return out
+
+
 def with_memberships(chips: DataFrame, model: FcmModel, by: Sequence[str] = (), ev: str = "ev") -> DataFrame:
     """``chips`` with ``grp`` and ``u``, the memberships by the model's centres."""
     shared = chips.sparkSession.sparkContext.broadcast((model.centers, model.m))
 
     def assign(grp: pd.Series, vectors: pd.Series) -> pd.Series:
-        centers, m = shared.value
-        out, values = np.full(len(vectors), None, object), vectors.to_numpy()
-        for name, full in _kernels.full_places(grp, values):
-            if name in centers:
-                _kernels.placed(_kernels.memberships(np.stack(values[full]), centers[name], m)[0], full, out)
-        return pd.Series(out)
+        return pd.Series(memberships_of(grp, vectors.to_numpy(), *shared.value))
 
     return chips.withColumn("grp", _keys(chips, by)).withColumn("u", F.pandas_udf(assign, "array<double>")("grp", F.col(ev)))
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell import _kernels
-from tracewell.operators.cluster import FcmModel, _keys, energy_label, fcm_fit, hard_assign, key_of, with_memberships
-from tracewell.operators.subspace import PcaModel, moments, pca_fit, pca_project
+from tracewell.operators.cluster import FcmModel, _keys, energy_label, fcm_fit, hard_assign, key_of, memberships_of
+from tracewell.operators.subspace import PcaModel, moments, pca_fit, projected
 
 RIDGE = 1e-6
 SCORES = ("ed_g", "ed_t", "md_g", "md_t", "fd_g", "fd_t", "r_fd")
@@ -48,6 +48,22 @@ class Detector:
         return *ed, _kernels.mahalanobis(pc, self.golden_pc, self.inverse_g), _kernels.mahalanobis(pc, self.modified_pc, self.inverse_t)
 
 
+def _placed(train: DataFrame, model: FcmModel, pca: dict[str, PcaModel], by: Sequence[str], ev: str) -> DataFrame:
+    """``train`` with ``grp``, ``u`` and ``pc``: what ``with_memberships`` and ``pca_project`` add, by one function.
+
+    Each Python function of a stage has a process for each task, with its own copy of the libraries.
+    """
+    shared = train.sparkSession.sparkContext.broadcast((model.centers, model.m, pca))
+
+    def both(grp: pd.Series, vectors: pd.Series) -> pd.DataFrame:
+        centers, m, models = shared.value
+        values = vectors.to_numpy()
+        return pd.DataFrame({"u": memberships_of(grp, values, centers, m), "pc": projected(grp, values, models)})
+
+    found = train.withColumn("grp", _keys(train, by)).withColumn("__place", F.pandas_udf(both, "u array<double>, pc array<double>")("grp", F.col(ev)))
+    return found.withColumn("u", F.col("__place.u")).withColumn("pc", F.col("__place.pc")).drop("__place")
+
+
 def fit_detector(train: DataFrame, by: Sequence[str] = (), components: int = 10, ridge: float = RIDGE, classes: str = "cluster", rule: str = "weighted_raw", centers: str = "fcm", tol: float = 1e-6, max_iter: int = 1000, ev: str = "ev") -> dict[str, Detector]:
     """A detector for each group of ``by``, from ``chip``, ``ev``, ``raw_energy`` and (for ``classes='label'``) ``label``.
 
@@ -57,12 +73,12 @@ def fit_detector(train: DataFrame, by: Sequence[str] = (), components: int = 10,
     """
     train = train.persist()
     model: FcmModel = fcm_fit(train, by=by, tol=tol, max_iter=max_iter, ev=ev)
-    assigned = with_memberships(train, model, by, ev)
-    labelled = energy_label(assigned.withColumnRenamed(ev, "ev") if ev != "ev" else assigned, rule, ("grp",), model.m)
+    pca = pca_fit(train, components, by, ev)
+    scores = _placed(train, model, pca, by, ev).persist()
+    labelled = energy_label(scores.withColumnRenamed(ev, "ev") if ev != "ev" else scores, rule, ("grp",), model.m)
     roles = {(r.grp, r.cluster): (r.modified, r.energy) for r in labelled.toLocalIterator()}  # groups x clusters rows
     modified = {g: c for (g, c), (is_modified, _) in roles.items() if is_modified}
-    pca = pca_fit(train, components, by, ev)
-    scores = pca_project(assigned, pca, by, ev)
+    placed = scores
     if classes == "cluster":
         flags = F.create_map(*(F.lit(x) for pair in modified.items() for x in pair))
         scores = scores.withColumn("cls", (hard_assign(F.col("u")) == flags[F.col("grp")]).cast("int"))
@@ -91,6 +107,7 @@ def fit_detector(train: DataFrame, by: Sequence[str] = (), components: int = 10,
     golden = scores.where("cls = 0 and pc is not null").select("grp", "pc").mapInPandas(golden_distances, "grp string, ed double, md double")
     for r in entropy_weights(golden, ["grp"]).toLocalIterator():
         out[r.grp].a1, out[r.grp].a2 = r.a1, r.a2
+    placed.unpersist()
     train.unpersist()
     return out
 

@@ -192,17 +192,22 @@ def pca_fit(chips: DataFrame, k: int = 10, by: Sequence[str] = (), ev: str = "ev
     return {r.grp: PcaModel(found[r.grp].mean, np.array(r.coeff).reshape(len(found[r.grp].mean), -1), np.array(r.explained)) for r in solved}
 
 
+def projected(grp: pd.Series, values: np.ndarray, models: dict[str, PcaModel]) -> np.ndarray:
+    """A batch's vectors in the components of their groups; none for a null vector or a group without a model."""
+    out = np.full(len(values), None, object)
+    for g, full in _kernels.full_places(grp, values):
+        model = models.get(g)
+        if model is not None:
+            _kernels.placed((np.stack(values[full]) - model.mean) @ model.coeff, full, out)
+    return out
+
+
 def pca_project(chips: DataFrame, models: dict[str, PcaModel], by: Sequence[str] = (), ev: str = "ev", name: str = "pc") -> DataFrame:
     """``chips`` with ``name``, the centred vectors in the components of their group."""
     shared = chips.sparkSession.sparkContext.broadcast(models)
 
     def project(grp: pd.Series, vectors: pd.Series) -> pd.Series:
-        out, values = np.full(len(vectors), None, object), vectors.to_numpy()
-        for g, full in _kernels.full_places(grp, values):
-            model = shared.value.get(g)
-            if model is not None:
-                _kernels.placed((np.stack(values[full]) - model.mean) @ model.coeff, full, out)
-        return pd.Series(out)
+        return pd.Series(projected(grp, vectors.to_numpy(), shared.value))
 
     return chips.withColumn(name, F.pandas_udf(project, "array<double>")(_keys(chips, by), F.col(ev)))
 
