@@ -30,8 +30,8 @@ MIN_BYTES, CORE, RANGE_BYTES = 100, r"_([A-Za-z0-9]+)\.csv$", 64 << 20
 WHOLE, DECIMAL = r"^[+-]?[0-9]+$", r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 #: Columns, and those that headers name; millivolts become volts.
 FIELDS = {"cycle": pa.int32(), "timestamp_ns": pa.int64(), "hamming_toggles": pa.int32(), "vccint_shunt_v": pa.float64(), "vccint_shunt_mv": pa.float64(), "cipher_match": pa.int32(), "trojan_active": pa.int32()}
-#: What a task reads at a time.
-READ_BYTES = 8 << 20
+#: What a task reads at a time; its lines take a multiple of that in the task's process while they are parsed.
+READ_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
