@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell import queries_logs, queries_models
 from tracewell.operators.detect import score
+from tracewell.operators.spectral import features
 from tracewell.operators.traces import differential, hamming_toggles
 from tracewell.plans import fixture
 from tracewell.queries_frequency import r6, table
@@ -29,12 +30,13 @@ def q_stored_model_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same verdicts from a stream over written traces, two files to a batch."""
+    """The same verdicts from a stream over written traces, half of the files to a batch; the traces are made once."""
     path = new_path(spark, "verdicts")
-    publish_detectors(spark, fixed_detector(fixture.chip_vectors(spark, sf_dir)), f"{path}/models")
-    traces = fixture.traces(spark, sf_dir)
-    traces.repartition(4).write.parquet(f"{path}/traces")
-    stream = spark.readStream.schema(traces.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/traces")
+    traces = written(fixture.traces(spark, sf_dir), "traces")
+    vectors = features(traces, fixture.LO, fixture.HI, fixture.BINS).withColumnRenamed("ev_band", "ev")
+    publish_detectors(spark, fixed_detector(vectors), f"{path}/models")
+    files = traces.inputFiles()
+    stream = spark.readStream.schema(traces.schema).option("maxFilesPerTrigger", -(-len(files) // 2)).parquet(files[0].rpartition("/")[0])
     query = verdict_stream(stream, f"{path}/models", f"{path}/out", f"{path}/checkpoint", fixture.LO, fixture.HI, fixture.BINS, available_now=True)
     query.awaitTermination()
     return rounded_scores(read_verdicts(spark, f"{path}/out"))
